@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
+from tallyforge.plans.rows import drop_rows
 from tallyforge.plans.scratch import materialise
 from tallyforge.plans.skew import ascii_lower, explode_copies, lookup
 
@@ -94,11 +95,9 @@ def op4_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stay(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one per text that the index did not hold."""
     decided, _ = decide(docs, index, id_col, text_col)
-    keep = decided.where(F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    tagged = docs.withColumn("__sha", digest_of(F.col(text_col)))
-    found = tagged.join(keep, (F.col("__sha") == F.col("__digest")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    copy = Window.partitionBy("__sha", id_col).orderBy(F.lit(0))
-    return found.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").select(*docs.columns)
+    kept = F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    rows = materialise(decided.select(F.col("doc_id").alias("id"), F.col("digest").alias("mark"), kept.alias("kept"), "copies"), "decided")
+    return drop_rows(docs, id_col, digest_of(F.col(text_col)), rows.where("not kept"), rows.where("kept and copies > 1"))
 
 
 SQL = """

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import exact_dedup, licenses, sharding, url_rules
+from tallyforge.llm import exact_dedup, jaccard, langid, licenses, packing, sharding, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_slot_sharding": sharding.op1_slot_sharding,
         "op2_license_sentences": licenses.op2_license_sentences,
+        "op3_kneser_ney_langid": langid.op3_kneser_ney_langid,
         "op4_digest_dedup": exact_dedup.op4_digest_dedup,
+        "op6_config_lp_packing": packing.op6_config_lp_packing,
+        "op8_parity_join": jaccard.op8_parity_join,
         "op9_url_rules": url_rules.op9_url_rules,
     }
 
