@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import exact_dedup, jaccard, langid, licenses, packing, sharding, url_rules
+from tallyforge.llm import decontam, exact_dedup, jaccard, langid, licenses, packing, pii, sharding, substring, url_rules
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op2_license_sentences": licenses.op2_license_sentences,
         "op3_kneser_ney_langid": langid.op3_kneser_ney_langid,
         "op4_digest_dedup": exact_dedup.op4_digest_dedup,
+        "op5_seed_alignment": decontam.op5_seed_alignment,
         "op6_config_lp_packing": packing.op6_config_lp_packing,
+        "op7_surrogates": pii.op7_surrogates,
         "op8_parity_join": jaccard.op8_parity_join,
         "op9_url_rules": url_rules.op9_url_rules,
+        "op10_gear_chunks": substring.op10_gear_chunks,
     }
 
 
