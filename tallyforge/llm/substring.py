@@ -39,7 +39,7 @@ from tallyforge.plans.skew import lookup
 
 WINDOW = 8
 MEAN_CHUNK, MAX_CHUNK = 20, 256
-MIN_WORDS = 28
+MIN_WORDS = 32
 #: Bytes of one text that are walked at once.
 BLOCK = 1_000_000
 _GEAR = np.random.default_rng(19700101).integers(0, 2**64, 256, dtype=np.uint64)
