@@ -7,7 +7,6 @@ gathered, except where an order within the wallet is the meaning.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,17 +124,12 @@ def borrower_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("address").agg(count_if(F.col("kind") == "borrow").alias("borrows"), count_if(F.col("kind") == "repay").alias("repays"), count_if(F.col("kind") == "liquidation").alias("liquidations")).where("borrows > 0")
 
 
-@F.pandas_udf("double")
-def hex_to_double(values: pd.Series) -> pd.Series:
-    """256-bit hexadecimal to double; null and unreadable give null."""
-
-    def one(x: str | None) -> float | None:
-        try:
-            return float(int(x, 16)) if x and x != "0x" else None if x is None else 0.0
-        except ValueError:
-            return None
-
-    return values.map(one)
+def hex_to_double(c: Column | str) -> Column:
+    """Up to 256 bits of hexadecimal to double, eight digits at a time; '0x' is 0, null and unreadable give null."""
+    digits = F.regexp_replace(F.lower(c), "^0x", "")
+    padded = F.lpad(digits, 64, "0")
+    parts = [F.conv(F.substring(padded, 8 * i + 1, 8), 16, 10).cast("double") * float(2 ** (32 * (7 - i))) for i in range(8)]
+    return F.when(digits.rlike("^[0-9a-f]{0,64}$"), sum(parts[1:], parts[0]))
 
 
 def portfolio_features(balances: DataFrame, tokens: DataFrame) -> DataFrame:
