@@ -30,15 +30,15 @@ def ranking(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """roc_auc (ties count half; 0.5 with an empty class) and pr_auc (average precision, pooled ties; 0 without positives) per key."""
     df, own = _keyed(df, keys)
     run = running_sums(_ties(df, own), own, "p", ["pos", "neg"])
-    totals = run.groupBy(*own).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = run.groupBy(*own).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     met = run.join(totals, own)
-    above_pos, above_neg = F.col("P") - F.col("before_pos"), F.col("N") - F.col("before_neg")
+    above_pos, above_neg = F.col("all_pos") - F.col("before_pos"), F.col("all_neg") - F.col("before_neg")
     out = met.groupBy(*own).agg(
-        F.max("P").alias("P"), F.max("N").alias("N"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("wins"),
+        F.max("all_pos").alias("all_pos"), F.max("all_neg").alias("all_neg"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("wins"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * above_pos / (above_pos + above_neg)).otherwise(0.0)).alias("precise"),
     )
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("wins") / (F.col("P") * F.col("N"))).otherwise(0.5)
-    ap = F.when(F.col("P") > 0, F.col("precise") / F.col("P")).otherwise(0.0)
+    auc = F.when((F.col("all_pos") > 0) & (F.col("all_neg") > 0), F.col("wins") / (F.col("all_pos") * F.col("all_neg"))).otherwise(0.5)
+    ap = F.when(F.col("all_pos") > 0, F.col("precise") / F.col("all_pos")).otherwise(0.0)
     return out.select(*(keys or []), auc.alias("roc_auc"), ap.alias("pr_auc"))
 
 
