@@ -46,7 +46,7 @@ def claim_violations(claims: DataFrame, facts: DataFrame, id_col: str = "doc_id"
     ok = facts.where("verified and value is not null")
     known = ok.select("value", F.lit(False).alias("ratio")).unionByName(ok.where("unit = 'ratio'").select((F.col("value") * 100).alias("value"), F.lit(True).alias("ratio"))).distinct()
     m, v = F.col("magnitude"), F.col("value")
-    decimals = F.length(F.regexp_replace(F.coalesce(F.element_at(F.split("raw", r"\."), 2), F.lit("")), r"\D", ""))
+    decimals = F.length(F.regexp_replace(F.coalesce(F.get(F.split("raw", r"\."), 1), F.lit("")), r"\D", ""))
     near = F.abs(v - m) <= F.when(decimals > 0, F.pow(F.lit(10.0), -decimals)).otherwise(0.5)
     digits = F.length(F.regexp_replace(F.round(m).cast("decimal(30,0)").cast("string"), "0+$", ""))
     grain = F.pow(F.lit(10.0), F.floor(F.log10(m)) - (digits - 1))
@@ -60,7 +60,11 @@ def proof_violations(docs: DataFrame, *, allowed: list[str] = (), own_name: str
     listed = [n.lower() for n in (*allowed, *COVERED, own_name)]
     patterns = [(k, f"(?i){p}{_ENTITY}", True) for k, p in _RELATIONS] + [("testimonial", p, False) for p in _TESTIMONIALS]
     patterns += [("impersonation", rf"(?i)\bwe\s+are\s+(?:the\s+)?(?:team\s+behind|official)\s+(?!{own_name}\b)([A-Z][\w.$-]*)", False), ("impersonation", rf"(?i)\bon\s+behalf\s+of\s+(?!{own_name}\b)([A-Z][\w.$-]*)", False)]
-    hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(1)), lambda e, k=k, n=n: F.struct(F.lit(k).alias("kind"), e.alias("entity"), F.lit(n).alias("proper"))) for k, p, n in patterns)))
+
+    def found(kind: str, pattern: str, proper: bool):
+        return F.transform(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1)), lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("entity"), F.lit(proper).alias("proper")))
+
+    hits = F.flatten(F.array(*(found(*p) for p in patterns)))
     each = docs.where(F.col(text_col).isNotNull()).select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")
     name = F.regexp_replace(F.lower(F.trim("entity")), r"[.,;:!?]+$", "")
     return each.where((~F.col("proper") | F.col("entity").rlike(r"^[A-Z0-9$]")) & ((F.col("kind") == "impersonation") | ~name.isin(listed))).select(id_col, "kind", "entity")

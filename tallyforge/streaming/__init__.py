@@ -1 +1,88 @@
-"""Part of tallyforge."""
+"""Structured Streaming jobs: metering, activity, score changes, bursts and rescoring.
+
+A stream is any streaming DataFrame with the columns a job names; `at` is its event time.
+Every job is a transformation of the stream; run_available() drains one into a table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tallyforge.plans.scratch import scratch_path
+
+
+def run_available(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
+    """Process all that the stream's source has now, and return what was emitted, with the batch that emitted it."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/out/b={batch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields), "batch long"])
+    return spark.read.schema(schema).parquet(f"{path}/out/*") if _any(spark, f"{path}/out") else spark.createDataFrame([], schema)
+
+
+def _any(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:
+    """The last emitted row per key of an update-mode stream."""
+    rest = [c for c in emitted.columns if c not in (*keys, "batch")]
+    return emitted.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+
+
+def stream_usage(calls: DataFrame, *, late: str = "2 days") -> DataFrame:
+    """Calls per key and UTC day, in update mode; days beyond the watermark are closed. Months are sums of days."""
+    return calls.withWatermark("at", late).groupBy("api_key", F.window("at", "1 day")).agg(F.count("*").alias("calls")).select("api_key", F.col("window.start").alias("day"), "calls")
+
+
+def stream_activity(transfers: DataFrame, *, width: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
+    """Transfers per wallet and window, each hash once within the watermark; slide under width makes it sliding."""
+    once = transfers.withWatermark("at", late).dropDuplicatesWithinWatermark(["address", "hash"])
+    return once.groupBy("address", F.window("at", width, slide or width)).agg(F.count("*").alias("tx_count")).select("address", F.col("window.start").alias("start"), "tx_count")
+
+
+def stream_score_changes(scores: DataFrame, *, min_delta: int = 10) -> DataFrame:
+    """First scores and changes of at least min_delta; the state of a (address, chain) is its last score.
+
+    scores: address, chain, ts, event_id, score. Rows of a batch are taken in time order.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for r in rows.itertuples():
+            if last is None or abs(r.score - last) >= min_delta:
+                out.append((*key, r.ts, r.event_id, r.score, last))
+            last = r.score
+        state.update((int(last),))
+        yield pd.DataFrame(out, columns=["address", "chain", "ts", "event_id", "score", "previous"]).astype({"previous": "Int64"})
+
+    schema = "address string, chain string, ts long, event_id long, score long, previous long"
+    return scores.groupBy("address", "chain").applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_burst(transfers: DataFrame, *, width: str = "7 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Counts per wallet on a grid of sliding windows: the live approximation of the exact burst window."""
+    return transfers.withWatermark("at", late).groupBy("address", F.window("at", width, slide)).agg(F.count("*").alias("in_window")).select("address", F.col("window.start").alias("start"), "in_window")
+
+
+def stream_rescore(activity: DataFrame, rescore: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a query that rescores, per batch, just the wallets that the batch touched. rescore: distinct keys to scored rows."""
+
+    def each(df: DataFrame, batch: int) -> None:
+        touched = df.select("address", "chain").distinct()
+        sink(rescore(touched), batch)
+
+    return activity.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
