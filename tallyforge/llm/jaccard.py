@@ -20,7 +20,9 @@ Sets that share a part meet in a key group, whose pairs are never all made:
    over HOT members are left out of this, unless for sets that would have no more than d
    parts without them (`slack` again): a pair is lost only if both its sets are such, so
    those are still compared there.
-A full-width sketch drops most pairs before verification, which intersects the sets.
+Parts that agree hold equal tokens, so their token counts bound the intersection from
+below; a pair that this bound proves is a link at once. A full-width sketch drops most of
+the others before verification, which brings the two texts together and intersects their sets.
 
 Links are exact up to collisions of 64-bit hashes. Equal sets are one node throughout.
 
@@ -62,8 +64,8 @@ def parts_of(band: int) -> int:
     return d + 1 + int(np.ceil(0.06 * d + 1.5 * np.sqrt(d + 1)))
 
 
-def part_words(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, slack, keys) for each band in which a sorted set of tokens can have a partner of another set."""
+def part_words(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(band, slack, keys, tokens in each part) for each band in which a sorted set of tokens can have a partner of another set."""
     n = len(tokens)
     own = int(np.searchsorted(_LOWEST, n, "right")) - 1
     for band in (own, own + 1):
@@ -77,11 +79,12 @@ def part_words(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         word = np.bitwise_xor.reduceat(tokens, first)
         at = part[first]
+        held = np.diff(np.append(first, n))
         slack = len(first) - d - 1
         if slack < 0:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)
-            at, word = np.concatenate((at, empty)), np.concatenate((word, np.zeros(len(empty), np.uint64)))
-        yield band, slack, mix(word ^ mix(at + np.uint64(band << 40)))
+            at, word, held = np.concatenate((at, empty)), np.concatenate((word, np.zeros(len(empty), np.uint64))), np.append(held, np.zeros(len(empty), np.int64))
+        yield band, slack, mix(word ^ mix(at + np.uint64(band << 40))), held
 
 
 def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -113,11 +116,12 @@ def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=1_000_000):
-        key, node, band, slack, size = [], [], [], [], []
+        key, node, band, slack, size, tokens = [], [], [], [], [], []
         for s in _sets(batch):
             if len(s):
-                for b, k, words in part_words(s):
+                for b, k, words, held in part_words(s):
                     key.append(words)
+                    tokens.append(held)
                     node.append(_node(s))
                     band.append(b)
                     slack.append(k)
@@ -126,16 +130,21 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(np.array(node, np.int64), size)),
                 pa.array(np.repeat(np.array(band, np.int16), size)), pa.array(np.repeat(np.array(slack, np.int32), size)),
-            ], ["key", "node", "band", "slack"])
+                pa.array(np.concatenate(tokens).astype(np.int32)),
+            ], ["key", "node", "band", "slack", "tokens"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=1_000_000):
-        sets = _sets(batch)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-        ], ["node", "tokens"])
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, x, y) whose texts x and y are similar; equal neighbours in y are hashed once."""
+    last, y = None, None
+    for batch in slices(batches, text="x", limit=1_000_000):
+        other, good = text_bytes(batch.column("y")), []
+        for i, x in enumerate(shingle_sets([t.translate(LOWER) for t in text_bytes(batch.column("x"))])):
+            if other[i] != last:
+                last, y = other[i], shingle_sets([other[i].translate(LOWER)])[0]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(100 * both >= 75 * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
 def _similar(n: Column, m: Column, both: Column, percent: int = 75) -> Column:
@@ -158,8 +167,8 @@ class ParityJoin:
     def _labels(self) -> DataFrame:
         """(node, label) of the nodes that have links to other nodes."""
         shared = self._shared_keys()
-        pivots = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("agree"))
-        best = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("agree", "pivot")).alias("b")).select(F.col("node").alias("a"), "b")
+        pivots = shared.where("node <> pivot").groupBy("node", "pivot", "band").agg(F.sum("tokens").alias("common"))
+        best = pivots.groupBy("node").agg(F.max(F.struct("common", "pivot")).alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"), "best.common")
         first = materialise(self._verified(materialise(best, "pairs")), "links")
         labels = materialise(connected_components(first), "labels")
         rest = materialise(self._across(shared, labels), "pairs")
@@ -169,8 +178,8 @@ class ParityJoin:
         return materialise(connected_components(first.unionByName(second)), "labels")
 
     def _shared_keys(self) -> DataFrame:
-        """(key, node, band, slack, members, pivot) of the key groups that hold more than one node."""
-        keys = self.text.select("text").mapInArrow(_keys, "key long, node long, band short, slack int")
+        """(key, node, band, slack, tokens, members, pivot) of the key groups that hold more than one node."""
+        keys = self.text.select("text").mapInArrow(_keys, "key long, node long, band short, slack int, tokens int")
         group = Window.partitionBy("key")
         met = keys.select("*", F.min("node").over(group).alias("pivot"), F.max("node").over(group).alias("last"), F.count("*").over(group).alias("members"))
         return materialise(met.where("pivot <> last").drop("last").distinct(), "keys")
@@ -185,27 +194,27 @@ class ParityJoin:
         mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("m_key"))
         open_rows = materialise(told.join(mixed, F.col("key") == F.col("m_key"), "left_semi").select("key", "node", "label"), "open")
         x, y = open_rows.select(F.col("key").alias("xk"), F.col("node").alias("a"), F.col("label").alias("la")), open_rows.select(F.col("key").alias("yk"), F.col("node").alias("b"), F.col("label").alias("lb"))
-        return x.join(y, (F.col("xk") == F.col("yk")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+        return x.join(y, (F.col("xk") == F.col("yk")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b", F.lit(0).cast("long").alias("common")).distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links: sizes, then sketches, then the sets themselves."""
-        facts = self.nodes.select("node", "n", "sketch", "rep")
+        """The pairs (a, b, common) that are links; common: a lower bound of the intersection."""
+        facts = self.nodes.select("node", "n", "sketch")
         a = facts.select(F.col("node").alias("na"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
         b = facts.select(F.col("node").alias("nb"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"))
         apart = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb"))
         near = near.where((100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (7 * apart <= F.col("n_a") + F.col("n_b")))
-        near = materialise(near.select("a", "b"), "near")
-        wanted = near.select(F.col("a").alias("w")).unionByName(near.select(F.col("b").alias("w"))).distinct()
-        reps = self.nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").select(F.col("rep").alias("r")).distinct()
-        texts = self.text.join(small(materialise(reps, "reps")), F.col("doc_id").eqNullSafe(F.col("r")), "left_semi").select("text")
-        found = texts.mapInArrow(_tokens, "node long, tokens array<long>")
-        sets = materialise(found.join(wanted, F.col("node") == F.col("w"), "left_semi").dropDuplicates(["node"]), "tokens")
-        one = sets.select(F.col("node").alias("ta"), F.col("tokens").alias("x"))
-        two = sets.select(F.col("node").alias("tb"), F.col("tokens").alias("y"))
-        both = near.join(one, F.col("a") == F.col("ta")).drop("ta").join(two, F.col("b") == F.col("tb")).drop("tb")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(_similar(F.size("x"), F.size("y"), common)).select("a", "b")
+        near = materialise(near.select("a", "b", _similar(F.col("n_a"), F.col("n_b"), F.col("common")).alias("proven")), "near")
+        open_pairs = near.where("not proven")
+        row = self.nodes.select(F.col("node").alias("k"), F.col("first_row.doc_id").alias("r_id"), F.col("first_row.row_hash").alias("r_hash"))
+        left = materialise(open_pairs.join(row, F.col("a") == F.col("k")).select("a", "b", "r_id", "r_hash"), "left")
+        right = materialise(row.join(open_pairs.select("b").distinct(), F.col("k") == F.col("b")).select("b", "r_id", "r_hash"), "right")
+        hashed = self.text.withColumn("row_hash", row_hash(F.col("doc_id"), F.col("text")))
+        here = (F.col("row_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
+        x = hashed.join(small(left), here).select("a", "b", F.col("text").alias("x"))
+        y = hashed.join(small(right), here).select(F.col("b").alias("yb"), F.col("text").alias("y"))
+        met = x.join(y, F.col("b") == F.col("yb")).select("a", "b", "x", "y")
+        return near.where("proven").select("a", "b").unionByName(met.mapInArrow(_linked, "a long, b long"))
 
     def components(self) -> DataFrame:
         """One row per document: doc_id, row_hash, n_shingles, component_id, and its component's first row."""
