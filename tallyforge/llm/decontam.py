@@ -112,7 +112,9 @@ def matches(texts: list[bytes], items: Items, similarity: float = SIMILARITY) ->
     item, start, text = items.item[entry], np.repeat(pos, n) - items.place[entry], np.repeat(text, n)
     order = np.lexsort((start, item, text))
     item, start, text = item[order], start[order], text[order]
-    heads = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (text[1:] != text[:-1])))) if len(item) else []
+    if not len(item):
+        return []
+    heads = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]))))
     out = []
     for a, b in zip(heads, [*heads[1:], len(item)], strict=True):
         i, t = int(item[a]), int(text[a])

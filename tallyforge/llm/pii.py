@@ -118,7 +118,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "name":
         part, gender, script, _ = canon.split("|")
         pool = FAMILY[script] if part == "family" else GIVEN[script][gender]
-        picks = [pool[n[i] % len(pool)] for i in range(1 + attempt // (2 * len(pool)))]
+        picks = [pool[x % len(pool)] for x in draw(key, kind, canon, attempt, 1 + attempt // 2)]  # longer names once short ones are taken
         return f"{part}|{gender}|{script}|{'-'.join(picks)}"
     return _shape(canon, n[: len(canon)])
 

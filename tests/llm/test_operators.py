@@ -1,0 +1,326 @@
+"""Each corpus operator against a plain implementation."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from prose_words import prose
+from pyspark.sql import functions as F
+
+from tallyforge.llm import decontam, exact_dedup, jaccard, langid, licenses, packing, pii, sharding, substring, url_rules
+from tallyforge.llm.words import LOWER, shingle_sets
+
+
+def docs_of(spark, texts, first=1):
+    return spark.createDataFrame([(i + first, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+# Sharding
+
+
+def test_shards_hold_near_equal_bytes_with_gapless_places(spark, make_dir):
+    texts = [prose(i, 5 + i % 90) for i in range(600)] + [None, ""]
+    d = make_dir([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    rows = sharding.op1_slot_sharding(spark, d).collect()
+    assert len(rows) == len(texts)
+    sizes, places = Counter(), defaultdict(list)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        sizes[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= max(r["size"] for r in rows)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_growing_moves_slots_only_into_the_new_shard(spark, tmp_path):
+    weights = spark.range(256).selectExpr("cast(id as int) AS virtual_slot", "cast(100 + id * 7 % 50 as long) AS bytes")
+    maps = sharding.SlotMaps(spark, str(tmp_path / "maps"))
+    old = maps.publish(sharding.balance(weights, 4), 1)
+    new = maps.publish(sharding.grow(old, 4), 2)
+    moved = old.alias("o").join(new.alias("n"), "virtual_slot").where("o.shard <> n.shard")
+    assert {r[0] for r in moved.select("n.shard").distinct().collect()} == {4}
+    loads = [r[0] for r in new.groupBy("shard").agg(F.sum("bytes")).select("sum(bytes)").collect()]
+    assert max(loads) < 1.15 * min(loads)
+    with pytest.raises(Exception, match="(?i)exist"):
+        maps.publish(old, 2)
+
+
+# Licences
+
+
+def test_licence_sequences(spark):
+    mit = ". ".join(licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-keep", "as-is")) + "."
+    texts = [f"Hello.\n{mit}", "Licensed under the Apache License, Version 2.0.\nAll rights reserved.", "RELEASED under the MIT License", "released under the mitt license.", None, "", licenses.SENTENCES["as-is"][0]]
+    got = {r.doc_id: (r.licences, r.unmatched) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == {1: (["MIT"], []), 2: (["Apache-2.0", "all-rights-reserved"], []), 3: (["MIT"], []), 4: ([], []), 5: ([], []), 6: ([], []), 7: ([], ["as-is"])}
+
+
+# Language ID
+
+
+def test_kneser_ney_probabilities_sum_to_one():
+    grams, sizes, _ = langid.packed([langid.clean(prose(3, 400))])
+    keys, counts = np.unique(grams[sizes == langid.ORDER], return_counts=True)
+    model = langid.kneser_ney(keys, counts)
+    alphabet = model[0][0]
+    unseen_share = np.exp(model[0][1]).sum()
+    assert unseen_share < 1
+    full = {n: dict(zip(t[0].tolist(), t[1].tolist())) for n, t in enumerate(model, 1)}
+    back = {n: dict(zip(t[0].tolist(), t[2].tolist())) for n, t in enumerate(model, 1)}
+
+    def logp(context, c, n):
+        g = (context << 16) | int(c)
+        if g in full[n]:
+            return full[n][g]
+        tail = context & ((1 << 16 * (n - 2)) - 1) if n > 1 else 0
+        return back[n - 1].get(context, 0.0) + logp(tail, c, n - 1)
+
+    for context in (model[2][0][:20]).tolist():
+        total = sum(np.exp(logp(context, c, 4)) for c in alphabet.tolist())
+        assert total == pytest.approx(1.0, abs=0.02)
+
+
+def test_languages_are_told_apart_on_held_out_texts(spark, make_dir):
+    de = [" ".join(random.Random(i).choices("der die und nicht auch über für schön straße haus machen".split(), k=20)) for i in range(120)]
+    en = [" ".join(random.Random(i).choices("the and not also over for nice street house make with".split(), k=20)) for i in range(120)]
+    docs = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([(t, "de") for t in de] + [(t, "en") for t in en])] + [(900, None, "de", "s", 0), (901, "123 ...", "en", "s", 0)]
+    rows = {r.doc_id: r for r in langid.op3_kneser_ney_langid(spark, make_dir(docs)).collect()}
+    assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in rows)
+    assert all(rows[i].lang_pred == lang and 0 <= rows[i].score <= 1 for i, t, lang, _, _ in docs if i < 900)
+    assert rows[900].lang_pred == rows[901].lang_pred == "und" and rows[900].rejected
+
+
+# Exact dedup
+
+
+def test_exact_groups(spark, make_dir):
+    texts = ["Same", "same", "SAME ", None, "", "x", "straße", "STRASSE", "Ä", "ä"]
+    rows = {r.doc_id: r for r in exact_dedup.op4_digest_dedup(spark, make_dir([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    norm = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for t in texts]
+    for i, t in enumerate(norm):
+        group = [j for j, u in enumerate(norm) if u == t]
+        assert (rows[i].keep_id, rows[i].group_size, rows[i].kept, rows[i].text_sha256) == (max(group), len(group), i == max(group), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_index_is_persistent(spark):
+    index = exact_dedup.DigestIndex.scratch(spark, buckets=4)
+    first = exact_dedup.stay(docs_of(spark, ["a", "b", "A"]), index)
+    assert sorted(r.doc_id for r in first.collect()) == [2, 3]
+    second = exact_dedup.stay(docs_of(spark, ["B", "c", "c"], first=10), index)
+    assert [r.doc_id for r in second.collect()] == [12]
+    assert index.read().count() == 3
+
+
+# Decontamination
+
+
+def test_alignment_equals_the_full_table():
+    rng = random.Random(5)
+    for _ in range(40):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                best = max(best, h[i][j])
+        assert decontam.align(np.array(a, np.uint64), np.array(b, np.uint64))[0] == best
+
+
+def test_edited_copies_are_found_and_clean_texts_are_not(spark):
+    rng, items = random.Random(2), [(k, prose(100 + k, 24 + k)) for k in range(12)]
+    docs, want = [], set()
+    for k, text in items:
+        words = text.split()
+        for p in rng.sample(range(len(words)), len(words) // 6):
+            words[p] = f"other{p}"
+        docs.append(f"{prose(500 + k, 50)} {' '.join(words).upper()}!!! {prose(700 + k, 50)}")
+        want.add((k + 1, k))
+    docs += [prose(900 + k, 120) for k in range(12)]
+    found = decontam.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and all(r.similarity >= 0.75 for r in found)
+
+
+# Packing
+
+
+def test_packing_round_trip(spark):
+    texts = [prose(i, 3 + (i * 37) % 900) for i in range(120)] + [None, "", "<|endoftext|> inside"]
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    own, docs = Tokenizer.from_file(path), docs_of(spark, texts)
+    placed = packing.packed(docs, path).cache()
+    packed_ids = {r.sequence_id: r.ids for r in packing.sequences(docs, placed, path).collect()}
+    assert all(len(x) <= 1024 for x in packed_ids.values())
+    pieces = defaultdict(list)
+    for r in placed.collect():
+        ids = packed_ids[r.sequence_id][r.offset : r.offset + r.length]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+        pieces[r.doc_id].append((r.piece, r.start, ids))
+    for i, t in enumerate(texts):
+        own_pieces = sorted(pieces[i + 1])
+        assert sum((p[2] for p in own_pieces), []) == own.encode(t or "", add_special_tokens=False).ids + [2]
+        assert all(len(p[2]) == 1024 for p in own_pieces[1:]) and [p[0] for p in own_pieces] == list(range(len(own_pieces)))
+    assert sum(map(len, packed_ids.values())) == sum(len(p[2]) for ps in pieces.values() for p in ps)
+    assert len(packed_ids) <= 1.02 * -(-sum(map(len, packed_ids.values())) // 1024) + 2
+
+
+@pytest.mark.parametrize("lengths", [[600, 400, 24] * 50, [341, 342, 512, 171] * 40, list(range(300, 700, 3)) * 3])
+def test_plans_cover_the_histogram(lengths):
+    counts = Counter(lengths)
+    plan, got = packing.solve(dict(counts), 1024, rounds=150), Counter()
+    for config, n in plan:
+        assert sum(a * b for a, b in config) <= 1024
+        for length, k in config:
+            got[length] += k * n
+    assert got == counts and sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(dict(counts), 1024))
+
+
+def test_knapsack_is_optimal():
+    lengths, weights = np.array([3, 5, 7]), np.array([2.0, 3.9, 5.0])
+    best = max(3 * 0 + 2 * a + 3.9 * b + 5 * c for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22)
+    assert (packing.knapsack(lengths, weights, 22) * weights).sum() == pytest.approx(best)
+
+
+# Personal data
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    texts = ["Mr John Smith wrote to ann.b@mail.example.com; Mrs Smith called +1 (961) 555-6946.", "ANN.B@MAIL.EXAMPLE.COM and ann.b@mail.example.com, 10.1.2.3, 4111111111111111", None, "nothing here", "г-н Иванов"]
+    out = {r.doc_id: r for r in pii.rewrite(docs_of(spark, texts)).collect()}
+    assert out[3].text is None and out[4].text == "nothing here" and out[4].pii_kinds == []
+    assert not re.search(r"John|Smith|ann\.b@|961|6946", out[1].text) and re.search(r"^Mr \w+ (\w+) wrote .* Mrs \1 called \+1 \(\d{3}\) \d{3}-\d{4}\.$", out[1].text)
+    mail = re.search(r"[\w.]+@[\w.]+", out[1].text)[0]
+    assert mail in out[2].text and mail.upper() in out[2].text and pii.luhn(re.search(r"\d{16}", out[2].text)[0]) and re.search(r"\b10\.\d+\.\d+\.\d+", out[2].text)
+    assert re.fullmatch(r"г-н [А-Я][а-я]+", out[5].text)
+
+
+def test_surrogates_are_distinct(spark):
+    found = spark.createDataFrame([("name", f"family|x|latin|n{i}") for i in range(300)] + [("ip", f"8.8.{i}.1") for i in range(200)], "kind string, canon string")
+    rows = pii.assigned(found).collect()
+    assert len(rows) == 500 == len({(r.kind, r.surrogate) for r in rows}) and not {r.surrogate for r in rows} & {r.canon for r in rows}
+    assert any(r.attempt > 0 for r in rows)
+
+
+# Jaccard join
+
+
+def brute_components(texts):
+    sets, out = {}, {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER).decode())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    for i in sets:
+        out[i] = (len(sets[i]), root(i))
+    return out
+
+
+@pytest.mark.parametrize("hot", [jaccard.HOT, 2])
+def test_components_equal_brute_force(spark, hot):
+    rng, texts = random.Random(9), [None, "", "one two", "one two", "ONE two", "one two three"]
+    for base in range(8):
+        words = prose(base, rng.choice([6, 12, 40, 200])).split()
+        for _ in range(rng.choice([1, 3, 12])):
+            copy = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(999)}"
+            texts.append(" ".join(copy))
+    line = prose(77, 14)
+    texts += [f"{line}\n{prose(300 + i, 12)}" for i in range(20)]
+    rng.shuffle(texts)
+    df = docs_of(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ParityJoin(df, hot=hot).components().collect()}
+    want = brute_components(list(enumerate(texts, 1)))
+    assert got == want
+    kept = {r.doc_id for r in jaccard.stay(df).collect()}
+    assert kept == {i for i, (n, c) in want.items() if c == i}
+
+
+def test_pigeonhole_never_loses_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(3, 400))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        d = int(rng.integers(0, len(a) // 4 + 1))
+        drop, add = (d // 2, d - d // 2) if rng.random() < 0.5 else (0, d)
+        b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**64, add, dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both) or np.array_equal(a, b):
+            continue
+        ka, kb = ({int(k) for _, _, keys, _ in jaccard.part_words(x) for k in keys} for x in (a, b))
+        assert ka & kb
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        while len(x) != len(y):
+            x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        assert sum(bin(int(v)).count("1") for v in (x ^ y).view(np.uint64)) <= len(a) + len(b) - 2 * both
+
+
+def test_shingles_of_long_texts_do_not_depend_on_blocks(monkeypatch):
+    from tallyforge.llm import words
+
+    text = prose(5, 3000).encode()
+    whole = shingle_sets([text])[0]
+    monkeypatch.setattr(words, "BLOCK", 700)
+    assert np.array_equal(shingle_sets([b"x", text])[1], whole)
+
+
+# URL rules
+
+
+def test_urls_equal_brute_force(spark):
+    rng = random.Random(3)
+    labels, paths = ["a", "b", "com", "org", "x"], ["/", "/a", "/a/", "/ab/c", "/b?q", "", "/a#f"]
+    rules = sorted({(rng.choice(["allow", "block"]), ".".join(rng.choices(labels, k=rng.randrange(1, 4))), rng.choice(["/", "/a", "/a/", "/ab", "/b", ""])) for _ in range(40)}, key=lambda r: r[1:])
+    rules = list({r[1:]: r for r in rules}.values())
+    urls = [(i, f"{rng.choice(['http', 'HTTPS'])}://{'.'.join(rng.choices(labels + ['COM'], k=rng.randrange(1, 5)))}{rng.choice(paths)}") for i in range(300)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string"), partitions=5).collect()}
+    for i, u in urls:
+        rest = u.split("://", 1)[1]
+        host, path = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if not fits:
+            assert got[i] == (None, "allow")
+        else:
+            best = max(f[0] for f in fits)
+            assert got[i] in {(r, v) for n, r, v in fits if n == best}
+
+
+# Substrings
+
+
+def test_chunks_tile_the_text_and_resist_insertions():
+    text = (prose(8, 400) + " ñandú \U0001F600 " + prose(9, 400)).encode()
+    starts, sizes, words, digests = substring.chunks(text)
+    assert starts[0] == 0 and (starts[1:] == starts[:-1] + sizes[:-1]).all() and sizes.sum() == len(text) and words.sum() == len(text.split())
+    for s, n in zip(starts, sizes, strict=True):
+        text[s : s + n].decode()
+    after = substring.chunks(b"inserted " + text)[3]
+    assert len(set(digests.tolist()) - set(after.tolist())) <= 2
+
+
+def test_repeated_passages_are_cut_and_clean_texts_stay(spark):
+    passage = prose(60, 70)
+    texts = [f"{prose(61, 40)} {passage} {prose(62, 40)}", prose(63, 120), f"{prose(64, 50)} {passage} {prose(65, 30)}", f"{prose(66, 40)} {prose(60, 70)}", prose(67, 120), None, ""]
+    df = docs_of(spark, texts)
+    spans = substring.repeats(df).cache()
+    assert {r.doc_id for r in spans.collect()} == {3, 4} and all(r.owner_ids == [1] for r in spans.collect())
+    cut = {r.doc_id: r.text for r in substring.without_repeats(df, spans).collect()}
+    assert cut[1] == texts[0] and cut[2] == texts[1] and cut[6] is None and cut[7] == ""
+    assert len(cut[3].split()) < 50 + 30 + 40 and cut[3].startswith(prose(64, 45))
