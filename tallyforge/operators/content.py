@@ -12,7 +12,8 @@ CADENCE = {"x": 12, "farcaster": 16, "email": 1, "seo": 4, "video": 4}
 UNSUBSCRIBE = "{{unsubscribe_url}}"
 COVERED = ["aave", "compound", "ethereum", "arbitrum", "optimism", "polygon", "base", "avalanche", "scroll", "solana"]
 
-_NUMBER = r"(?:(?<=([A-Za-z0-9_#@/-])))?(\d[\d,]*(?:\.\d+)?)\s*([kKmMbB])?\s*(\+)?\s*(%|percent)?"
+# the look-ahead keeps the look-behind group from being set where no number starts
+_NUMBER = r"(?=\d)(?:(?<=([A-Za-z0-9_#@/-])))?(\d[\d,]*(?:\.\d+)?)\s*([kKmMbB])?\s*(\+)?\s*(%|percent)?"
 _ENTITY = r"([\w.$-]+(?:\s+(?-i:[A-Z])[\w.$-]*)*)"
 # Phrases that claim a relationship; the name that follows must look like a proper noun.
 _RELATIONS = [
