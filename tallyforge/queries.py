@@ -317,12 +317,12 @@ def _(s, d) -> DataFrame:
 
 
 @query("c5_as_of_join", f"""WITH {with_views('history')}, {_SNAP}, req AS (SELECT event_id AS request_id, address, chain, ts - 43200 AS as_of_ts FROM history)
-SELECT r.address, r.chain, r.request_id, r.as_of_ts, s.valid_at_ts, s.completeness FROM req r ASOF LEFT JOIN snap s ON r.address = s.address AND r.chain = s.chain AND r.as_of_ts >= s.valid_at_ts""")
+SELECT r.address, r.chain, r.request_id, r.as_of_ts, coalesce(s.valid_at_ts, -1) AS valid_at_ts, s.completeness FROM req r ASOF LEFT JOIN snap s ON r.address = s.address AND r.chain = s.chain AND r.as_of_ts >= s.valid_at_ts""")
 def _(s, d) -> DataFrame:
     x = _snapshots(s, d)
     snap = labels.put_snapshots(x.drop("seq").limit(0), x)
     req = v.score_history(s, d).select("address", "chain", F.col("event_id").alias("request_id"), (F.col("ts") - 43200).alias("as_of_ts"))
-    return labels.as_of_join(req, snap, version="v5")
+    return labels.as_of_join(req, snap, version="v5").fillna(-1, ["valid_at_ts"])
 
 
 @query("c6_lookahead_gate", f"""WITH {with_views('history')} SELECT event_id, CASE WHEN ts + (event_id % 5 - 3) * 60 > ts THEN 'features after as-of' WHEN ts + (event_id % 7 - 2) * 60 < ts THEN 'outcome before as-of' END AS violation FROM history""")
@@ -730,12 +730,12 @@ def _(s, d) -> DataFrame:
 _MOVED = "moved AS (SELECT * FROM (SELECT *, lag(score) OVER (PARTITION BY address, chain ORDER BY ts, event_id) AS previous FROM history) WHERE previous IS NULL OR abs(score - previous) >= 10)"
 
 
-@query("h4_score_changes", f"WITH {with_views('history')}, {_MOVED} SELECT m.address, chain, event_id, score, previous, 'sub' || i AS subscription_id FROM moved m, (VALUES (1), (2)) s(i) WHERE CAST(substr(m.address, 2) AS INT) % 5 = i")
+@query("h4_score_changes", f"WITH {with_views('history')}, {_MOVED} SELECT m.address, chain, event_id, score, coalesce(previous, -1) AS previous, 'sub' || i AS subscription_id FROM moved m, (VALUES (1), (2)) s(i) WHERE CAST(substr(m.address, 2) AS INT) % 5 = i")
 def _(s, d) -> DataFrame:
     h = v.score_history(s, d)
     n = F.substring("address", 2, 9).cast("int") % 5
     subs = h.select("address").distinct().where(n.isin(1, 2, 3)).select("address", F.concat(F.lit("sub"), n.cast("string")).alias("subscription_id"), F.when(n == 3, 1).alias("revoked_at"))
-    return monitoring.score_changes(h, subs).select("address", "chain", "event_id", "score", "previous", "subscription_id")
+    return monitoring.score_changes(h, subs).select("address", "chain", "event_id", "score", F.coalesce("previous", F.lit(-1)).alias("previous"), "subscription_id")
 
 
 _NOW = 1706659200
