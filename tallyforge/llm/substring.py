@@ -133,7 +133,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     shared = materialise(groups.where("owner <> last or named < uses").select("digest", "owner", "uses"), "shared-chunks")
     total = shared.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
     told = lookup(rows, shared, ["digest"], "uses", max(total, 1)).where(F.col("uses").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner")))
-    told = told.select("doc_id", "row_hash", "start", "size", "words", "owner").distinct()
+    told = materialise(told.select("doc_id", "row_hash", "start", "size", "words", "owner"), "repeated-chunks")
+    # dealt by document once: equal rows are dropped and runs are found in the same partitions
+    told = told.repartition("doc_id", "row_hash").dropDuplicates(["doc_id", "row_hash", "start"])
     text = Window.partitionBy("doc_id", "row_hash").orderBy("start")
     opens = F.when(F.col("start") == F.lag(F.col("start") + F.col("size")).over(text), 0).otherwise(1)
     runs = told.withColumn("opens", opens).withColumn("run", F.sum("opens").over(text))
