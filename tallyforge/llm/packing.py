@@ -243,7 +243,7 @@ def pack(slim: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = spark.createDataFrame(runs_of(plan) or [(-1, 0, 0, 1, 0, 0)], "r_length int, first long, last long, each long, sequence long, at long")
     columns = ["doc_id", "row_hash", "piece", "start", "length", "ids_crc32"]
     grouped = slim.groupBy(*columns).agg(F.count("*").alias("copies"))
-    ranked = rank_within(grouped, "length", ["doc_id", "row_hash", "piece", "start", "ids_crc32"], "rank", copies="copies")
+    ranked = rank_within(grouped, "length", ["doc_id", "row_hash", "piece", "start", "ids_crc32"], "rank", copies="copies", spread=64)
     each = explode_copies(ranked, "copies", "copy").withColumn("rank", F.col("rank") + F.col("copy")).drop("copy")
     placed = each.join(F.broadcast(runs), (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     nth = F.col("rank") - F.col("first")
