@@ -14,12 +14,13 @@ nothing and are left out; a set that then has too few parts left (its `slack`, p
 beyond d + 1, is negative) adds its empty parts, so no pair is lost.
 
 Sets that share a part meet in a key group, whose pairs are never all made:
-1. each set is compared with one pivot, the smallest member of the key groups that it
-   shares most often; verified links give components;
-2. only pairs of one key group that are in different components remain. Key groups of
-   over HOT members are left out of this, unless for sets that would have no more than d
-   parts without them (`slack` again): a pair is lost only if both its sets are such, so
-   those are still compared there.
+1. each set is compared with PIVOTS central members of its key groups, those that it
+   shares most tokens with; verified links give components. Central members are those
+   whose parts most others have, so a family of edited copies gathers around them;
+2. only pairs of one key group that are in different components remain. Of these, a
+   similar pair agrees in more than `slack` parts, so each set leaves out its `slack` most
+   frequent parts (the order is the same for all sets): by the prefix principle the pair
+   still meets in one of the others. Sizes and sketches are compared in the join itself.
 Parts that agree hold equal tokens, so their token counts bound the intersection from
 below; a pair that this bound proves is a link at once. A full-width sketch drops most of
 the others before verification, which brings the two texts together and intersects their sets.
@@ -48,9 +49,12 @@ from tallyforge.plans.rows import drop_rows, small
 from tallyforge.plans.scratch import materialise
 from tallyforge.plans.skew import explode_copies, lookup
 
-SKETCH_BITS = 1024
+#: A sketch has the power of two from this many bits a token on: unrelated sets then differ in far more bits than d.
+BITS_PER_TOKEN = 2
 BAND_GROWTH = 1.8
-HOT = 64
+PIVOTS = 3
+#: Longs of a sketch that travel with a key: wider sketches are folded to this width.
+CARRIED = 16
 
 _BANDS = [1]
 while _BANDS[-1] < 2**40:
@@ -87,12 +91,36 @@ def part_words(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield band, slack, mix(word ^ mix(at + np.uint64(band << 40))), held
 
 
-def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """The parity sketch of a set: bit h mod bits is the parity of the tokens that fall there."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: bit h mod width is the parity of the tokens that fall there.
+
+    Half of a sketch XOR-ed to the other half is the sketch of half the width.
+    """
+    bits = max(256, 1 << int(BITS_PER_TOKEN * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _halved(s: Column) -> Column:
+    half = (F.size(s) / 2).cast("int")
+    return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+
+def folded_to(s: Column, longs: int) -> Column:
+    """A sketch of at most `longs` longs: the XOR of its equal pieces."""
+    pieces = F.transform(F.sequence(F.lit(1), F.size(s), F.lit(longs)), lambda i: F.slice(s, i, F.lit(longs)))
+    return F.when(F.size(s) <= longs, s).otherwise(F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.element_at(pieces, 1), lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))))
+
+
+def bits_apart(x: Column, y: Column) -> Column:
+    """Hamming distance of two sketches, the wider one folded if their widths differ (by two at most)."""
+
+    def folded(s: Column, other: Column) -> Column:
+        return F.when(F.size(s) > F.size(other), _halved(s)).otherwise(s)
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+
+
 def _node(tokens: np.ndarray) -> int:
     """64 bits that identify a set."""
     n = np.array([len(tokens)], np.uint64)
@@ -154,8 +182,7 @@ def _similar(n: Column, m: Column, both: Column, percent: int = 75) -> Column:
 class ParityJoin:
     """Near-duplicate links and components of a table of documents."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
-        self.hot = hot
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         hashed = self.text.withColumn("row_hash", row_hash(F.col("doc_id"), F.col("text")))
         kind = docs.schema[id_col].dataType.simpleString()
@@ -167,8 +194,7 @@ class ParityJoin:
     def _labels(self) -> DataFrame:
         """(node, label) of the nodes that have links to other nodes."""
         shared = self._shared_keys()
-        pivots = shared.where("node <> pivot").groupBy("node", "pivot", "band").agg(F.sum("tokens").alias("common"))
-        best = pivots.groupBy("node").agg(F.max(F.struct("common", "pivot")).alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"), "best.common")
+        best = self._pivot_pairs(shared)
         first = materialise(self._verified(materialise(best, "pairs")), "links")
         labels = materialise(connected_components(first), "labels")
         rest = materialise(self._across(shared, labels), "pairs")
@@ -178,32 +204,53 @@ class ParityJoin:
         return materialise(connected_components(first.unionByName(second)), "labels")
 
     def _shared_keys(self) -> DataFrame:
-        """(key, node, band, slack, tokens, members, pivot) of the key groups that hold more than one node."""
+        """(key, node, band, slack, tokens, members) of the key groups that hold more than one node."""
         keys = self.text.select("text").mapInArrow(_keys, "key long, node long, band short, slack int, tokens int")
         group = Window.partitionBy("key")
-        met = keys.select("*", F.min("node").over(group).alias("pivot"), F.max("node").over(group).alias("last"), F.count("*").over(group).alias("members"))
-        return materialise(met.where("pivot <> last").drop("last").distinct(), "keys")
+        met = keys.select("*", F.min("node").over(group).alias("least"), F.max("node").over(group).alias("most"), F.count("*").over(group).alias("members"))
+        return materialise(met.where("least <> most").drop("least", "most").distinct(), "keys")
+
+    def _pivot_pairs(self, shared: DataFrame) -> DataFrame:
+        """(a, b, common): each node with up to PIVOTS central nodes of its key groups, by common tokens."""
+        weight = shared.groupBy("node").agg(F.sum(F.log("members")).alias("weight")).select(F.col("node").alias("w_node"), "weight")
+        weighed = shared.select("key", "node", "band", "tokens").join(small(materialise(weight, "weights")), F.col("node") == F.col("w_node"))
+        group = Window.partitionBy("key")
+
+        def central(i: int) -> Column:
+            luck = 1 + F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1000)) / 4000 if i else F.lit(1.0)
+            return F.max(F.struct((F.col("weight") * luck).alias("w"), F.col("node").alias("n"))).over(group)["n"]
+
+        told = weighed.select("node", "band", "tokens", F.array_distinct(F.array(*(central(i) for i in range(PIVOTS)))).alias("pivots"))
+        each = told.select("node", "band", "tokens", F.explode("pivots").alias("pivot")).where("node <> pivot")
+        common = each.groupBy("node", "pivot", "band").agg(F.sum("tokens").alias("common")).groupBy("node", "pivot").agg(F.max("common").alias("common"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "pivot"))
+        pairs = common.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+        return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "common").groupBy("a", "b").agg(F.max("common").alias("common"))
 
     def _across(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a, b), a < b, that share a key group and are in different components."""
-        short = shared.where(F.col("members") > self.hot).groupBy("node", "band", "slack").agg(F.count("*").alias("lost")).where("lost > slack").select(F.col("node").alias("s_node"), F.col("band").alias("s_band"), F.lit(True).alias("short"))
+        """Pairs (a, b, common), a < b, that may be links between different components."""
         label = small(labels.select(F.col("node").alias("l_node"), F.col("component").alias("label")))
-        told = shared.select("key", "node", "band", "members").join(label, F.col("node") == F.col("l_node"), "left")
-        told = told.select("key", "node", "band", "members", F.coalesce("label", "node").alias("label"))
-        told = told.join(small(short), (F.col("node") == F.col("s_node")) & (F.col("band") == F.col("s_band")), "left").where((F.col("members") <= self.hot) | F.col("short"))
+        told = shared.select("key", "node", "band", "slack", "members").join(label, F.col("node") == F.col("l_node"), "left").drop("l_node").withColumn("label", F.coalesce("label", "node"))
         mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("m_key"))
-        open_rows = materialise(told.join(mixed, F.col("key") == F.col("m_key"), "left_semi").select("key", "node", "label"), "open")
-        x, y = open_rows.select(F.col("key").alias("xk"), F.col("node").alias("a"), F.col("label").alias("la")), open_rows.select(F.col("key").alias("yk"), F.col("node").alias("b"), F.col("label").alias("lb"))
-        return x.join(y, (F.col("xk") == F.col("yk")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b", F.lit(0).cast("long").alias("common")).distinct()
+        open_rows = materialise(told.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), "open")
+        frequent = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("members"), "key"))
+        rare = open_rows.withColumn("rank", frequent).where(F.col("rank") > F.greatest("slack", F.lit(0))).select("key", "node", "label")
+        facts = self.nodes.select(F.col("node").alias("f_node"), "n", folded_to(F.col("sketch"), CARRIED).alias("sketch"))
+        rows = materialise(rare.join(facts, F.col("node") == F.col("f_node")).drop("f_node"), "rare")
+        side = lambda i: rows.select(F.col("key").alias(f"k{i}"), F.col("node").alias(f"node{i}"), F.col("label").alias(f"label{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"sk{i}"))
+        sizes = 100 * F.least("n1", "n2") >= 75 * F.greatest("n1", "n2")
+        close = 7 * bits_apart(F.col("sk1"), F.col("sk2")) <= F.col("n1") + F.col("n2")
+        met = side(1).join(side(2), (F.col("k1") == F.col("k2")) & (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & sizes & close)
+        return met.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.lit(0).cast("long").alias("common")).distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, common) that are links; common: a lower bound of the intersection."""
         facts = self.nodes.select("node", "n", "sketch")
         a = facts.select(F.col("node").alias("na"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
         b = facts.select(F.col("node").alias("nb"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"))
-        apart = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb"))
-        near = near.where((100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (7 * apart <= F.col("n_a") + F.col("n_b")))
+        near = near.where(100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b"))
+        near = near.where(7 * bits_apart(F.col("sk_a"), F.col("sk_b")) <= F.col("n_a") + F.col("n_b"))
         near = materialise(near.select("a", "b", _similar(F.col("n_a"), F.col("n_b"), F.col("common")).alias("proven")), "near")
         open_pairs = near.where("not proven")
         row = self.nodes.select(F.col("node").alias("k"), F.col("first_row.doc_id").alias("r_id"), F.col("first_row.row_hash").alias("r_hash"))

@@ -232,8 +232,9 @@ def brute_components(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [jaccard.HOT, 2])
-def test_components_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("pivots", [3, 1])
+def test_components_equal_brute_force(spark, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rng, texts = random.Random(9), [None, "", "one two", "one two", "ONE two", "one two three"]
     for base in range(8):
         words = prose(base, rng.choice([6, 12, 40, 200])).split()
@@ -246,7 +247,7 @@ def test_components_equal_brute_force(spark, hot):
     texts += [f"{line}\n{prose(300 + i, 12)}" for i in range(20)]
     rng.shuffle(texts)
     df = docs_of(spark, texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ParityJoin(df, hot=hot).components().collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ParityJoin(df).components().collect()}
     want = brute_components(list(enumerate(texts, 1)))
     assert got == want
     kept = {r.doc_id for r in jaccard.stay(df).collect()}
