@@ -187,7 +187,7 @@ class ParityJoin:
         hashed = self.text.withColumn("row_hash", row_hash(F.col("doc_id"), F.col("text")))
         kind = docs.schema[id_col].dataType.simpleString()
         self.slim = materialise(hashed.mapInArrow(_slim, f"doc_id {kind}, row_hash long, n long, node long, sketch array<long>"), "sets")
-        groups = self.slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("group_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "row_hash")).alias("first_row"))
+        groups = self.slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("group_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first_row"))
         self.nodes = materialise(groups, "nodes")
         self.labels = self._labels()
 

@@ -254,6 +254,13 @@ def test_components_equal_brute_force(spark, monkeypatch, pivots):
     assert kept == {i for i, (n, c) in want.items() if c == i}
 
 
+def test_a_null_id_stays_only_alone(spark):
+    df = spark.createDataFrame([(None, prose(1, 30)), (4, prose(1, 30)), (3, prose(1, 30) + " x"), (None, prose(2, 30))], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in jaccard.stay(df).collect()) == ["3", "None"]
+    got = sorted((str(r.doc_id), r.component_id) for r in jaccard.ParityJoin(df).components().collect() if r.component_id)
+    assert got == [("3", 3), ("4", 3), ("None", 3)]
+
+
 def test_pigeonhole_never_loses_a_similar_pair():
     rng = np.random.default_rng(4)
     for _ in range(300):
