@@ -1,21 +1,25 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case (A-Z) and without ASCII punctuation. A test item's seeds
-are its SEED-word n-grams that are rare in the corpus: n-grams that occur no more often
-than RARE times the median of the item's own n-grams (so that an item that leaked widely
-keeps its seeds). Counts are taken over the whole corpus in a first pass.
-
-A passage qualifies if its local alignment with the item (match +1, mismatch and gap -1)
-scores at least half the item's m words: a whole copy in which a quarter of the words were
-replaced, or half of the item word for word. `similarity` is (score + m) / 2m, so the
-limit is 0.75, and a copy with e replaced words has 1 - e / m. Such a passage keeps at least
-m / 4 - 2 of the item's n-grams (every edit spoils SEED at most), less those that are not
-rare; passages with fewer seeds on nearby diagonals are not aligned. Nothing else is left out.
+Words are compared in lower case (A-Z) and without ASCII punctuation. A passage qualifies
+if its local alignment with the item (match +1, mismatch and gap -1) scores at least half
+the item's m words: a whole copy in which a quarter of the words were replaced, or half of
+the item word for word. `similarity` is (score + m) / 2m, so the limit is 0.75, and a copy
+with e replaced words has 1 - e / m.
+
+Seeds are SEED-word n-grams of the item, and leave out no passage that qualifies. Its
+alignment has M matches and E edits, whether words are replaced, left out or put in, with
+M - E >= m / 2. The matches form at most E + 1 runs, and a run of L words holds L - 1 pairs,
+so M - E - 1 >= m / 2 - 1 of the item's pairs are left, on diagonals that lie no more than
+m / 2 apart. (Runs of three words can be missing altogether: put in a word after every
+second one.) Counts over the whole corpus are taken in a first pass: up to half of these
+pairs' number are not used as seeds, the most frequent ones first, and the number of seeds
+that a passage needs falls by one for each, so no count is too high to be found. What has
+the seeds is aligned.
 
 The items are the stated query set: they are broadcast in blocks of at most BLOCK_BYTES of
 text, and the corpus is walked once a block, in one narrow pass without a shuffle.
 
-Edge cases: null and empty texts match nothing. Items with null text or fewer than SEED
+Edge cases: null and empty texts match nothing. Items with null text or fewer than MIN_WORDS
 words match nothing. Repeated rows and ids are reported each on their own; repeated items
 each match. Empty tables give no rows. Other columns are not read; stay() keeps them.
 """
@@ -34,8 +38,8 @@ from tallyforge.llm.words import LOWER, ngram_hashes, word_hashes
 from tallyforge.plans.rows import drop_rows
 from tallyforge.plans.scratch import materialise
 
-SEED = 3
-RARE = 4
+SEED = 2
+MIN_WORDS = 3
 BLOCK_BYTES = 16_000_000
 SIMILARITY = 0.75
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -50,8 +54,9 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str]):
         words, at = word_hashes(normalised([t.encode() for t in texts]))
-        whole = [(i, words[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b - a >= SEED]
+        whole = [(i, words[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b - a >= MIN_WORDS]
         self.ids, self.words = [i for i, _ in whole], [w for _, w in whole]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         grams = [ngram_hashes(w, SEED) for w in self.words]
         self.gram = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -65,15 +70,15 @@ class Items:
         self.count = np.diff(np.append(self.first, len(self.gram)))
 
     def seed(self, counts: np.ndarray) -> None:
-        """Keep the rare n-grams; counts: corpus occurrences of each of self.keys."""
+        """Keep the rarer n-grams; counts: corpus occurrences of each of self.keys."""
         seen = np.repeat(counts, self.count)
-        rare = np.zeros(len(self.gram), bool)
-        self.need = np.zeros(len(self.words), np.int64)
-        for i, w in enumerate(self.words):
-            own = np.flatnonzero(self.item == i)
-            limit = RARE * max(np.median(seen[own]), 2)
-            rare[own] = seen[own] <= limit
-            self.need[i] = max(1, len(w) // 4 - 2 - int((~rare[own]).sum()))
+        pairs = np.maximum(1, (self.sizes + 1) // 2 - 1)  # those that a passage which qualifies is left with
+        order = np.lexsort((self.place, -seen, self.item))
+        grams = self.sizes - SEED + 1
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(grams) - grams, grams)
+        rare = np.ones(len(order), bool)
+        rare[order] = rank >= (pairs // 2)[self.item[order]]
+        self.need = pairs - pairs // 2
         self.gram, self.item, self.place = self.gram[rare], self.item[rare], self.place[rare]
         self._index()
 
@@ -112,25 +117,27 @@ def matches(texts: list[bytes], items: Items, similarity: float = SIMILARITY) ->
     item, start, text = items.item[entry], np.repeat(pos, n) - items.place[entry], np.repeat(text, n)
     order = np.lexsort((start, item, text))
     item, start, text = item[order], start[order], text[order]
+    # a place counts if, with the seeds after it, it has enough of them on diagonals that one alignment can reach
+    last = np.arange(len(item)) + items.need[item] - 1
+    fits = np.flatnonzero(last < len(item))
+    last, reach = last[fits], items.sizes[item[fits]] // 2
+    fits = fits[(item[last] == item[fits]) & (text[last] == text[fits]) & (start[last] - start[fits] <= reach)]
+    item, start, text = item[fits], start[fits], text[fits]
     if not len(item):
         return []
     heads = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]))))
     out = []
     for a, b in zip(heads, [*heads[1:], len(item)], strict=True):
         i, t = int(item[a]), int(text[a])
-        if b - a < items.need[i]:
-            continue
         query, low, high = items.words[i], int(at[t]), int(at[t + 1])
         m = len(query)
         starts = start[a:b]
-        cuts = np.flatnonzero(np.diff(starts) > m // 2) + 1
         best, end = 0, 0
-        for group in np.split(starts, cuts):
-            if len(group) >= items.need[i]:
-                left = max(low, int(group[0]) - m // 2 - 1)
-                score, e = align(query, words[left : min(high, int(group[-1]) + m + m // 2 + 1)])
-                if score > best:
-                    best, end = score, left + e - low
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > 2 * m) + 1):
+            left = max(low, int(group[0]) - m // 2 - 1)
+            score, e = align(query, words[left : min(high, int(group[-1]) + m + m // 2 + 1)])
+            if score > best:
+                best, end = score, left + e - low
         if (best + m) / (2 * m) >= similarity:
             out.append((t, i, (best + m) / (2 * m), end))
     return out

@@ -145,6 +145,37 @@ def test_edited_copies_are_found_and_clean_texts_are_not(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want and all(r.similarity >= 0.75 for r in found)
 
 
+def test_many_copies_of_one_edited_passage_are_found(spark):
+    item, small = prose(140, 40).split(), prose(141, 40).split()
+    replaced = " ".join(f"other{p}" if p % 5 == 0 else w for p, w in enumerate(item))
+    put_in = " ".join(f"{w} more{p}" if p % 2 else w for p, w in enumerate(small[:-1]))
+    docs = [f"{prose(1500 + k, 30)} {replaced} {prose(1600 + k, 30)}" for k in range(20)] + [f"{prose(1700 + k, 30)} {put_in} {small[-1]} {prose(1800 + k, 30)}" for k in range(20)]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(small))], "item_id long, text string")
+    found = decontam.contaminated(docs_of(spark, docs), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k + 1, 1 + k // 20) for k in range(40)}
+
+
+def test_seeds_leave_out_no_passage_that_qualifies():
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(3, 14))) for _ in range(30)]
+    items = decontam.Items(list(range(len(texts))), texts)
+    docs = []
+    for _ in range(200):
+        own = rng.choice(texts).split()
+        for _ in range(rng.randrange(5)):
+            p = rng.randrange(len(own) + 1)
+            own[p : p + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+        docs.append(" ".join([*rng.choices(words, k=rng.randrange(6)), *own]).encode())
+    _, keys = items.find(np.concatenate([decontam.ngram_hashes(decontam.word_hashes([d])[0], decontam.SEED) for d in docs]))
+    items.seed(np.bincount(keys, minlength=len(items.keys)))
+    got = {(t, i): s for t, i, s, _ in decontam.matches(docs, items)}
+    for t, d in enumerate(docs):
+        for i, w in enumerate(items.words):
+            similarity = (decontam.align(w, decontam.word_hashes([d])[0])[0] + len(w)) / (2 * len(w))
+            assert got.get((t, i)) == (similarity if similarity >= 0.75 else None)
+
+
 # Packing
 
 
