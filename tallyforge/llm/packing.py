@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +42,9 @@ END_ID = 2
 #: Rounds of multiplicative weights, and so the most configurations in a plan before the best-fit rest.
 ROUNDS = 600
 STEP = 0.25
+#: White space in a row from which a text is left to tokenizers: tiktoken's matcher stacks a state a character and panics near a million.
+LONG_GAP = 100_000
+_LONG_GAP = re.compile(rf"(?<!\s)\s{{{LONG_GAP}}}")
 
 
 def default_tokenizer() -> str:
@@ -55,7 +59,7 @@ def encoder(path: str):
 
     Byte-level BPE with the usual word pattern and no normaliser is run by tiktoken on the
     same vocabulary, which is several times faster; anything else, and any text with one of
-    the tokenizer's added tokens in it, is left to tokenizers.
+    the tokenizer's added tokens or a run of LONG_GAP white space in it, is left to tokenizers.
     """
     from tokenizers import Tokenizer
 
@@ -76,7 +80,7 @@ def encoder(path: str):
     # Fixed value: the word pattern of byte-level BPE.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: slow(text) if any(a in text for a in added) else fast(text)
+    return lambda text: slow(text) if any(a in text for a in added) or (len(text) >= LONG_GAP and _LONG_GAP.search(text)) else fast(text)
 
 
 def _byte_letters() -> dict[str, int]:

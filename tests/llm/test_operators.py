@@ -201,6 +201,15 @@ def test_packing_round_trip(spark):
     assert len(packed_ids) <= 1.02 * -(-sum(map(len, packed_ids.values())) // 1024) + 2
 
 
+def test_very_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    own, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for text in (" " * 2_000_000, "a" + "\n" * 1_200_000 + "b", ("x" + " " * 99_999) * 3, "a" + "\u00a0" * 100_001):
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("lengths", [[600, 400, 24] * 50, [341, 342, 512, 171] * 40, list(range(300, 700, 3)) * 3])
 def test_plans_cover_the_histogram(lengths):
     counts = Counter(lengths)
