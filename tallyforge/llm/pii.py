@@ -11,9 +11,10 @@ digits, the country code and the punctuation of a phone number, a card's issuer
 valid or invalid check digit, private addresses private; a name is replaced by one of the same
 gender, script and capitals.
 
-Distinctness is checked over the corpus. All distinct entities are gathered as a table;
-where two of a kind drew the same surrogate, or one drew a real entity of that kind, all but
-the first (by canonical form) draw again, until there are no collisions. Entities that
+Distinctness is checked over the corpus, on canonical forms (names without regard to case and
+gender). All distinct entities are gathered as a table; where two of a kind drew the same
+surrogate, all but the first (by canonical form) draw again, and so does every one that drew a
+real entity of that kind, until there are no collisions. Entities that
 had to draw again travel to their documents as a short list beside the text.
 
 Edge cases: a null text stays null, with no entities; empty and entity-free texts stay as
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, table
@@ -201,6 +202,12 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_listed, "kind string, canon string").distinct()
 
 
+def identity(kind: Column, canon: Column) -> Column:
+    """What tells two entities of a kind apart for a reader: of a name its part and the name in lower case, else the canonical form."""
+    fields = F.split(canon, r"\|")
+    return F.when(kind == "name", F.concat_ws("|", fields[0], F.lower(fields[3]))).otherwise(canon)
+
+
 def assigned(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, canon, attempt, surrogate) for every entity: no two of a kind share a surrogate, and none is a real entity."""
 
@@ -208,22 +215,22 @@ def assigned(found: DataFrame, key: bytes = KEY) -> DataFrame:
     def drawn(kind: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, c, a) for k, c, a in zip(kind, canon, attempt, strict=True)], dtype=object)
 
-    real = found.select(F.col("kind").alias("r_kind"), F.col("canon").alias("r_canon"))
+    real = found.select(F.col("kind").alias("r_kind"), identity(F.col("kind"), F.col("canon")).alias("r_same")).distinct()
     todo, settled = found, None
     for attempt in range(ROUNDS):
-        tried = materialise(todo.select("kind", "canon", F.lit(attempt).alias("attempt")).withColumn("surrogate", drawn("kind", "canon", "attempt")), "drawn")
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon")) == 1
+        tried = materialise(todo.select("kind", "canon", F.lit(attempt).alias("attempt")).withColumn("surrogate", drawn("kind", "canon", "attempt")).withColumn("same", identity(F.col("kind"), F.col("surrogate"))), "drawn")
+        first = F.row_number().over(Window.partitionBy("kind", "same").orderBy("canon")) == 1
         clear = tried.withColumn("first", first).where("first").drop("first")
-        clear = clear.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("surrogate") == F.col("r_canon")), "left_anti")
+        clear = clear.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("same") == F.col("r_same")), "left_anti")
         if settled is not None:
-            taken = settled.select(F.col("kind").alias("t_kind"), F.col("surrogate").alias("taken"))
-            clear = clear.join(taken, (F.col("kind") == F.col("t_kind")) & (F.col("surrogate") == F.col("taken")), "left_anti")
+            taken = settled.select(F.col("kind").alias("t_kind"), F.col("same").alias("taken"))
+            clear = clear.join(taken, (F.col("kind") == F.col("t_kind")) & (F.col("same") == F.col("taken")), "left_anti")
         clear = materialise(clear, "settled")
         settled = clear if settled is None else settled.unionByName(clear)
         done = clear.select(F.col("kind").alias("d_kind"), F.col("canon").alias("d_canon"))
         todo = materialise(tried.join(done, (F.col("kind") == F.col("d_kind")) & (F.col("canon") == F.col("d_canon")), "left_anti").select("kind", "canon"), "collided")
         if todo.isEmpty():
-            return settled
+            return settled.drop("same")
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds; the pools of names are too small")
 
 

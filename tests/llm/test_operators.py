@@ -247,6 +247,17 @@ def test_surrogates_are_distinct(spark):
     assert any(r.attempt > 0 for r in rows)
 
 
+def test_no_surrogate_is_a_real_name(spark):
+    real = [f"Mrs Anna {n}" for n in pii.FAMILY["latin"][:12]] + [f"MR {n.upper()}" for n in pii.FAMILY["latin"][12:15]] + ["Dr Clara Thorne", "г-жа Анна Белов"]
+    texts = real + [f"Frau {a}{b}y {c}{d}o" for a in "BD" for b in "aei" for c in "KLM" for d in "ou"]
+    known = {w.casefold() for t in texts for _, _, _, w, _ in pii.mentions(t)}
+    assert {"anna", "keller", "белов"} <= known
+    rows = pii.assigned(pii.entities(docs_of(spark, texts))).collect()
+    drawn = [(r.canon.split("|")[0], r.surrogate.rsplit("|", 1)[1].casefold()) for r in rows]
+    assert not known & {n for _, n in drawn} and len(set(drawn)) == len(rows)
+    assert not any(re.search(r"(?i)(?<![\w-])(anna|keller|белов)(?![\w-])", r.text) for r in pii.rewrite(docs_of(spark, texts)).collect())
+
+
 # Jaccard join
 
 
