@@ -7,11 +7,15 @@ against that sequence: a rule takes the identifiers that it matches out of the s
 so a longer rule (a full licence text) comes before the rules for its parts. Identifiers
 that no rule takes are reported as unmatched.
 
-Sentences end at a line break, or at one of . ! ? before white space. Runs of two or more
-of these marks do not end one: they are noise between words. Normalising turns A-Z to
-lower case, and everything but a-z, 0-9, "." and "-" to single spaces.
+Sentences end at a blank line, or at one of . ! ? before white space. Runs of two or more of
+these marks do not end one: they are noise between words. A line break, and : or ; before white
+space, may end a sentence or stand between two of its words, so hard-wrapped texts and lines
+without a mark are both found, the longest first. Normalising turns A-Z to lower case, and everything but a-z, 0-9, "." and "-"
+to single spaces.
 
-All of it is one projection over each row: no shuffle, no Python, whole texts.
+All of it is one projection over each row: no shuffle, no Python, whole texts. The SQL twin is
+narrower: it ends sentences at every line break and at . ! ? only, and does not know PUBLISHED,
+so it agrees on texts that are not wrapped.
 
 Edge cases: null, empty, and licence-free texts give no licences and n_sentences of known
 sentences 0. Repeated sentences give repeated identifiers, and a rule that matches twice
@@ -51,6 +55,11 @@ SENTENCES = {
     "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
 }
 
+# Further forms of these sentences in licence texts as they are published; the SQL twin does not have them.
+PUBLISHED = {
+    "apache2-notice": ["licensed under the apache license version 2.0 the license"],
+}
+
 # Licence rules in the order in which they are tried.
 RULES = [
     ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-no-warranty"]),
@@ -73,21 +82,23 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, without empty ones."""
-    t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def marked(text: Column) -> Column:
+    """The normalised text, with \\x01 where a sentence ends and a line feed where one may end."""
+    t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01", "abcdefghijklmnopqrstuvwxyz ")
     t = F.regexp_replace(t, r"[.!?]{2,}", " ")
-    t = F.regexp_replace(t, r"[.!?](\s+|$)", "\n")
-    t = F.regexp_replace(t, r"[^a-z0-9.\n-]+", " ")
-    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    t = F.regexp_replace(t, r"[.!?](\s+|$)|\n[^\S\n]*\n", "\x01")
+    t = F.regexp_replace(t, r"[:;](\s+|$)", "\n")
+    t = F.regexp_replace(t, r"[^-a-z0-9.\n\x01]+", " ")
+    return F.trim(F.regexp_replace(t, r" *([\n\x01]) *", "$1"))
 
 
-def identifiers(text: Column, known: dict[str, list[str]] = SENTENCES) -> Column:
+def identifiers(text: Column, known: tuple[dict[str, list[str]], ...] = (SENTENCES, PUBLISHED)) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    by_sentence = {s: k for k, forms in known.items() for s in forms}
-    hits = F.filter(sentences(text), lambda s: s.isin(*by_sentence))
+    by_sentence = {s: k for forms_of in known for k, forms in forms_of.items() for s in forms}
+    any_of = "|".join(s.replace(".", r"\.").replace(" ", r"[ \n]") for s in sorted(by_sentence, key=len, reverse=True))
+    hits = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^\n\x01])({any_of})(?![^\n\x01])"), F.lit(1))
     table_of = F.create_map(*(F.lit(x) for pair in by_sentence.items() for x in pair))
-    return F.transform(hits, lambda s: F.element_at(table_of, s))
+    return F.transform(hits, lambda s: F.element_at(table_of, F.translate(s, "\n", " ")))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:

@@ -60,6 +60,55 @@ def test_licence_sequences(spark):
     assert got == {1: (["MIT"], []), 2: (["Apache-2.0", "all-rights-reserved"], []), 3: (["MIT"], []), 4: ([], []), 5: ([], []), 6: ([], []), 7: ([], ["as-is"])}
 
 
+def test_licence_texts_as_published(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+    apache = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+    lines = "All rights reserved\nLicensed under CC0 1.0\nmore words"
+    got = {r.doc_id: (r.licences, r.unmatched) for r in licenses.scan(docs_of(spark, [mit, apache, bsd, gpl, lines, apache.replace("\n", "\r\n")])).collect()}
+    assert got == {1: (["MIT"], []), 2: (["Apache-2.0"], []), 3: (["BSD-2-Clause"], []), 4: (["GPL-3.0-or-later"], []), 5: (["CC0-1.0", "all-rights-reserved"], []), 6: (["Apache-2.0"], [])}
+
+
 # Language ID
 
 
