@@ -37,17 +37,17 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(f"__h_{v}", f"__c_{v}").alias(v) for v in values))
 
 
-def rank_within(df: DataFrame, group: str, order: list[str], out: str, copies: str | None = None, spread: int = 512) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: list[str], out: str, copies: str | None = None, spread: int | Column = 512) -> DataFrame:
     """Number the rows of each group from 0 without gaps, without gathering a group in one task.
 
     Rows of a group are dealt to `spread` buckets by a hash of `order`; each bucket is
     numbered on its own and starts where the buckets before it end. The table of bucket
     counts has at most groups x spread rows, so `group` must have a bounded number of
-    values. copies: a column with the number of equal rows that a row stands for; the
+    values; spread may be a column, the buckets of the row's group. copies: a column with the number of equal rows that a row stands for; the
     number is then that of its first copy.
     """
     n = F.col(copies) if copies else F.lit(1)
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*(F.col(c) for c in order)), F.lit(spread)).cast("int"))
+    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*(F.col(c) for c in order)), spread if isinstance(spread, Column) else F.lit(spread)).cast("int"))
     counts = dealt.groupBy(group, "__b").agg(F.sum(n).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col(group).alias("__g"), F.col("__b").alias("__sb"), F.coalesce(before, F.lit(0)).alias("__start"))
