@@ -5,14 +5,15 @@ A document becomes its token ids and an end id; longer ones are cut into pieces
 on their length histogram alone, which has at most `capacity` entries however large the
 corpus is: minimise the number of sequences over configurations (multisets of lengths
 that fit), each length covered as often as it occurs. The covering program is solved by
-multiplicative weights: the weight of a length falls as it gets covered, and a knapsack
-dynamic program finds the configuration of most weight. The fractional counts are scaled
-and rounded down, what is left is placed best-fit decreasing, and plain best-fit is kept
-if that needs fewer sequences.
+multiplicative weights: the price of a length falls as it gets covered, and a knapsack
+dynamic program finds the dearest configurations. The fractional counts are rounded down,
+and what is left is solved once more; only what rounding leaves then is placed best-fit.
 
 The plan is a small table of runs, (length, first rank, copies a sequence, first sequence,
 offset). Pieces are ranked within their length in hash buckets, without gathering a
-length in one task, and find their run by a broadcast join.
+length in one task, and find their run by a broadcast join. A piece of full length is a
+sequence of its own: it takes a negative number from its place in the stored table, without
+any shuffle.
 
 Edge cases: a null text is empty and gives one piece, the end id. Repeated rows and ids
 are packed each on their own. Texts that hold the tokenizer's special strings are encoded
@@ -39,9 +40,12 @@ from tallyforge.plans.skew import explode_copies, rank_within
 
 CAPACITY = 1024
 END_ID = 2
-#: Rounds of multiplicative weights, and so the most configurations in a plan before the best-fit rest.
-ROUNDS = 600
-STEP = 0.25
+#: Multiplicative weights: most rounds, the share of a length's need that a round covers, and how far below the best price a configuration may be.
+ROUNDS, STEP, SLACK = 400, 0.1, 0.2
+#: Shares of a sequence that a rounded configuration may leave empty; how often the program is solved.
+EMPTY, NEAR, LEVELS = (0, 1 / 512, 1 / 64, 1), 1.0005, 2
+#: A bucket in which pieces of one length are ranked holds about this many rows at most, and no more than a 2,048th of all.
+RANKED_ROWS, RANKED_PARTS = 1_000_000, 2048
 #: White space in a row from which a text is left to tokenizers: tiktoken's matcher stacks a state a character and panics near a million.
 LONG_GAP = 100_000
 _LONG_GAP = re.compile(rf"(?<!\s)\s{{{LONG_GAP}}}")
@@ -75,7 +79,9 @@ def encoder(path: str):
 
     letters = _byte_letters()
     ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
-    if [i for w, i in sorted(model["vocab"].items(), key=lambda x: x[1]) if w not in added] != list(range(len(ranks))):
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    in_order = [i for w, i in sorted(model["vocab"].items(), key=lambda x: x[1]) if w not in added] == list(range(len(ranks)))
+    if not in_order or merged != sorted(set(merged)) or len(merged) + 256 != len(ranks):  # tiktoken merges in the order of the vocabulary
         return slow
     # Fixed value: the word pattern of byte-level BPE.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,59 +175,112 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[in
     return [(config, n) for configs in open_by_room.values() for config, n in configs.items()]
 
 
-def knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in a multiset that fits and has the most weight."""
+def knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(most weight of a multiset that fits, first length to take or -1 to leave a place empty) for every room up to capacity."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(int(lengths[0]), capacity + 1):
-        n = np.searchsorted(lengths, room, "right")
+        n = fitting[room]
         value = best[room - lengths[:n]] + weights[:n]
-        i = int(np.argmax(value))
+        i = int(value.argmax())
         if value[i] > best[room - 1]:
             best[room], choice[room] = value[i], i
         else:
             best[room] = best[room - 1]
-    copies, room = np.zeros(len(lengths), np.int64), capacity
+    return best, choice
+
+
+def filled(choice: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """Copies of each length (by number) in the multiset that the dynamic program chose for a room."""
+    copies: dict[int, int] = {}
     while room > 0:
-        if choice[room] < 0:
+        i = int(choice[room])
+        if i < 0:
             room -= 1
         else:
-            copies[choice[room]] += 1
-            room -= int(lengths[choice[room]])
+            copies[i] = copies.get(i, 0) + 1
+            room -= int(lengths[i])
     return copies
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations and how many sequences take each, covering a length histogram exactly."""
-    counts = {k: v for k, v in counts.items() if v > 0}
-    plain = best_fit(counts, capacity)
-    fewest = -(-sum(k * v for k, v in counts.items()) // capacity)
-    if not counts or sum(n for _, n in plain) <= fewest:
-        return plain
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[k] for k in lengths], float)
+def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, slack: float = SLACK) -> dict[tuple, float]:
+    """{configuration ((length number, copies), ...): sequences} of the covering program, by multiplicative weights.
+
+    A length's price is its volume times exp(-coverage / step). One dynamic program prices
+    all configurations of a round: for every length, the dearest one that contains it. Those
+    within `slack` of the dearest are taken, the least covered lengths first and each length
+    in one configuration a round, `step` of the need at a time.
+    """
     covered, used = np.zeros(len(lengths)), {}
     for _ in range(rounds):
         progress = covered / need
-        weights = np.exp(-(progress - progress.min()) / step) / need
-        copies = knapsack(lengths, weights, capacity)
-        has = copies > 0
-        amount = float((need[has] * step / copies[has]).min())
-        covered += amount * copies
-        key = tuple(copies)
-        used[key] = used.get(key, 0.0) + amount
-    scale = 1 / max(1e-12, float(np.average(covered / need, weights=lengths * need)))
-    left, chosen = need.astype(np.int64), []
+        if progress.min() >= 1 - 1e-9:
+            break
+        prices = lengths * np.exp(-(progress - progress.min()) / step)
+        best, choice = knapsack(lengths, prices, capacity)
+        value = prices + best[capacity - lengths]
+        taken = np.zeros(len(lengths), bool)
+        for i in np.argsort(progress, kind="stable"):
+            if taken[i] or value[i] < (1 - slack) * best[capacity]:
+                continue
+            copies = filled(choice, lengths, capacity - int(lengths[i]))
+            copies[int(i)] = copies.get(int(i), 0) + 1
+            if any(taken[j] for j in copies):
+                continue
+            amount = min(need[j] * step / k for j, k in copies.items())
+            for j, k in copies.items():
+                covered[j] += amount * k
+                taken[j] = True
+            key = tuple(sorted(copies.items()))
+            used[key] = used.get(key, 0.0) + amount
+    return used
+
+
+def rounded(used: dict[tuple, float], sizes: np.ndarray, left: np.ndarray, capacity: int, most_empty: int) -> list[tuple[tuple, int]]:
+    """The fractional configurations rounded down, those of most sequences first and none that leaves more than `most_empty` empty."""
+    left, out = left.copy(), []
     for key, amount in sorted(used.items(), key=lambda x: -x[1]):
-        copies = np.array(key)
-        has = copies > 0
-        n = min(int(amount * scale), int((left[has] // copies[has]).min()))
-        if n:
-            left -= n * copies
-            chosen.append((tuple((int(lengths[i]), int(copies[i])) for i in np.flatnonzero(has)[::-1]), n))
-    # whole sequences now; every configuration leaves less than one sequence of pieces behind
-    rest = best_fit({int(k): int(v) for k, v in zip(lengths, left, strict=True) if v}, capacity)
-    rounded = chosen + rest
-    return min(plain, rounded, key=lambda plan: sum(n for _, n in plan))
+        if capacity - sum(int(sizes[j]) * k for j, k in key) <= most_empty:
+            n = min(int(amount), *(int(left[j]) // k for j, k in key))
+            if n:
+                for j, k in key:
+                    left[j] -= n * k
+                out.append((tuple((int(sizes[j]), k) for j, k in reversed(key)), n))
+    return out
+
+
+def without(counts: dict[int, int], plan: list[tuple[tuple, int]]) -> dict[int, int]:
+    """A histogram less the pieces of a plan."""
+    left = dict(counts)
+    for config, n in plan:
+        for length, k in config:
+            left[length] -= n * k
+    return {length: n for length, n in left.items() if n}
+
+
+def solve(counts: dict[int, int], capacity: int, levels: int = LEVELS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Configurations and how many sequences take each, covering a length histogram exactly.
+
+    Configurations that leave room empty can be used or left out in rounding. Of a few such
+    limits (EMPTY) those are near the best whose plan, with the rest best-fit, has at most NEAR
+    times the fewest sequences; of these the one that leaves least to best-fit is taken.
+    What rounding left is solved once more (`levels` times in all), and what no whole
+    sequence was found for then is placed best-fit decreasing.
+    """
+    left, plan = {k: v for k, v in counts.items() if v > 0}, []
+    for _ in range(levels):
+        if not left:
+            break
+        sizes = np.array(sorted(left), np.int64)
+        need = np.array([left[int(k)] for k in sizes], np.int64)
+        used = fractional(sizes, need.astype(float), capacity)
+        tried = [p for share in EMPTY if (p := rounded(used, sizes, need, capacity, int(capacity * share)))]
+        if not tried:
+            break
+        totals = [sum(n for _, n in p + best_fit(without(left, p), capacity)) for p in tried]
+        best = max((p for p, n in zip(tried, totals, strict=True) if n <= NEAR * min(totals)), key=lambda p: sum(n for _, n in p))
+        plan, left = plan + best, without(left, best)
+    return plan + best_fit(left, capacity)
 
 
 def runs_of(plan: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -242,16 +301,20 @@ def pack(slim: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """slim (doc_id, row_hash, piece, start, length, ids_crc32; stored) with sequence_id and offset."""
     spark = slim.sparkSession
     counts = {r["length"]: r["n"] for r in slim.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    full = counts.pop(capacity, 0)
-    plan = ([(((capacity, 1),), full)] if full else []) + solve(counts, capacity)
-    runs = spark.createDataFrame(runs_of(plan) or [(-1, 0, 0, 1, 0, 0)], "r_length int, first long, last long, each long, sequence long, at long")
+    counts.pop(capacity, 0)
+    total = sum(counts.values())
+    runs = spark.createDataFrame(runs_of(solve(counts, capacity)) or [(-1, 0, 0, 1, 0, 0)], "r_length int, first long, last long, each long, sequence long, at long")
     columns = ["doc_id", "row_hash", "piece", "start", "length", "ids_crc32"]
-    grouped = slim.groupBy(*columns).agg(F.count("*").alias("copies"))
-    ranked = rank_within(grouped, "length", ["doc_id", "row_hash", "piece", "start", "ids_crc32"], "rank", copies="copies", spread=64)
+    whole = slim.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    buckets = spark.createDataFrame([(k, max(-(-n // RANKED_ROWS), -(-n * RANKED_PARTS // total))) for k, n in counts.items()] or [(-1, 1)], "b_length int, buckets long")
+    grouped = slim.where(F.col("length") < capacity).groupBy(*columns).agg(F.count("*").alias("copies"))
+    grouped = grouped.join(F.broadcast(buckets), F.col("length") == F.col("b_length")).drop("b_length")
+    ranked = rank_within(grouped, "length", ["doc_id", "row_hash", "piece", "start", "ids_crc32"], "rank", copies="copies", spread=F.col("buckets")).drop("buckets")
     each = explode_copies(ranked, "copies", "copy").withColumn("rank", F.col("rank") + F.col("copy")).drop("copy")
     placed = each.join(F.broadcast(runs), (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     nth = F.col("rank") - F.col("first")
-    return placed.select(*columns, (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + (nth % F.col("each")) * F.col("length")).cast("long").alias("offset"))
+    shorter = placed.select(*columns, (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + (nth % F.col("each")) * F.col("length")).cast("long").alias("offset"))
+    return shorter.unionByName(whole)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -259,21 +259,39 @@ def test_very_long_white_space_is_encoded():
         assert encode(text) == own.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("lengths", [[600, 400, 24] * 50, [341, 342, 512, 171] * 40, list(range(300, 700, 3)) * 3])
+@pytest.mark.parametrize("lengths", [[600, 400, 24] * 50, [341, 342, 512, 171] * 40, list(range(300, 700, 3)) * 3, [5], []])
 def test_plans_cover_the_histogram(lengths):
     counts = Counter(lengths)
-    plan, got = packing.solve(dict(counts), 1024, rounds=150), Counter()
+    plan, got = packing.solve(dict(counts), 1024), Counter()
     for config, n in plan:
         assert sum(a * b for a, b in config) <= 1024
         for length, k in config:
             got[length] += k * n
-    assert got == counts and sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(dict(counts), 1024))
+    assert got == counts and sum(n for _, n in plan) <= 2 + 1.005 * sum(n for _, n in packing.best_fit(dict(counts), 1024))
 
 
-def test_knapsack_is_optimal():
+def test_the_linear_program_beats_best_fit_where_that_loses():
+    counts = {520: 6000, 272: 6000, 264: 6000, 240: 12000}  # 9,000 full sequences; best-fit needs 11,000
+    plan = packing.solve(counts, 1024)
+    assert sum(n for _, n in packing.best_fit(counts, 1024)) == 11000
+    assert sum(n for _, n in plan) <= 9100
+
+
+def test_the_plan_comes_from_the_linear_program(monkeypatch):
+    rng = np.random.default_rng(6)
+    counts = {int(k): int(v) for k, v in zip(*np.unique(np.clip(rng.gamma(2, 160, 200_000).astype(int) + 1, 1, 1023), return_counts=True), strict=True)}
+    rest, whole = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda c, capacity: rest.append(sum(k * n for k, n in c.items())) or whole(c, capacity))
+    plan = packing.solve(counts, 1024)
+    assert sum(n for _, n in plan) <= 1.005 * -(-sum(k * n for k, n in counts.items()) // 1024)
+    assert rest[-1] < 0.5 * sum(k * n for k, n in counts.items())  # what best-fit placed in the end
+
+
+def test_dynamic_program_is_optimal():
     lengths, weights = np.array([3, 5, 7]), np.array([2.0, 3.9, 5.0])
-    best = max(3 * 0 + 2 * a + 3.9 * b + 5 * c for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22)
-    assert (packing.knapsack(lengths, weights, 22) * weights).sum() == pytest.approx(best)
+    best, choice = packing.knapsack(lengths, weights, 22)
+    assert best[22] == pytest.approx(max(2 * a + 3.9 * b + 5 * c for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22))
+    assert sum(weights[i] * k for i, k in packing.filled(choice, lengths, 22).items()) == pytest.approx(best[22])
 
 
 # Personal data
