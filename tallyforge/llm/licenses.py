@@ -3,8 +3,8 @@
 A text is cut into sentences; each is normalised and looked up among known licence
 sentences. What is left of a document is the sequence of identifiers of the sentences
 that are known. Ordered licence rules, each a sequence of identifiers, are then matched
-against that sequence: a rule takes the identifiers that it matches out of the sequence,
-so a longer rule (a full licence text) comes before the rules for its parts. Identifiers
+against that sequence: a rule takes the identifiers that it matches out of the sequence
+(those around them stay apart), so a longer rule (a full licence text) comes before the rules for its parts. Identifiers
 that no rule takes are reported as unmatched.
 
 Sentences end at a blank line, or at one of . ! ? before white space. Runs of two or more of
@@ -14,8 +14,8 @@ without a mark are both found, the longest first. Normalising turns A-Z to lower
 to single spaces.
 
 All of it is one projection over each row: no shuffle, no Python, whole texts. The SQL twin is
-narrower: it ends sentences at every line break and at . ! ? only, and does not know PUBLISHED,
-so it agrees on texts that are not wrapped.
+narrower: it ends sentences at every line break and at . ! ? only, so it agrees on texts that
+are not wrapped.
 
 Edge cases: null, empty, and licence-free texts give no licences and n_sentences of known
 sentences 0. Repeated sentences give repeated identifiers, and a rule that matches twice
@@ -24,62 +24,18 @@ is listed once. Repeated rows give repeated results; other columns are not read.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
 
-# Normalised sentences of public licence texts and notices, by identifier.
-SENTENCES = {
-    "apache2-notice": ["licensed under the apache license version 2.0"],
-    "apache2-you-may-not": ["you may not use this file except in compliance with the license"],
-    "apache2-copy-at": ["you may obtain a copy of the license at"],
-    "apache2-url": ["http www.apache.org licenses license-2.0", "https www.apache.org licenses license-2.0"],
-    "mit-notice": ["released under the mit license", "licensed under the mit license", "this software is released under the mit license"],
-    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
-    "mit-keep": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "gpl3-notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "licensed under the gplv3"],
-    "gpl2-notice": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
-    "gpl-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl-no-warranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "bsd-redistribute": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
-    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "cc-by-nc4": ["licensed under cc by-nc 4.0", "this work is licensed under cc by-nc 4.0"],
-    "cc-by4": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0"],
-    "cc-by-sa4": ["licensed under cc by-sa 4.0", "this work is licensed under cc by-sa 4.0"],
-    "cc0": ["this work is dedicated to the public domain", "licensed under cc0 1.0"],
-    "all-rights": ["all rights reserved"],
-    "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
-}
-
-# Further forms of these sentences in licence texts as they are published; the SQL twin does not have them.
-PUBLISHED = {
-    "apache2-notice": ["licensed under the apache license version 2.0 the license"],
-}
-
-# Licence rules in the order in which they are tried.
-RULES = [
-    ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-no-warranty"]),
-    ("GPL-3.0-or-later", ["gpl-redistribute"]),
-    ("GPL-3.0-only", ["gpl3-notice"]),
-    ("GPL-2.0-only", ["gpl2-notice"]),
-    ("Apache-2.0", ["apache2-notice", "apache2-you-may-not", "apache2-copy-at", "apache2-url"]),
-    ("Apache-2.0", ["apache2-notice"]),
-    ("MIT", ["mit-grant", "mit-keep", "as-is"]),
-    ("MIT", ["mit-grant", "mit-keep"]),
-    ("MIT", ["mit-notice"]),
-    ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
-    ("MPL-2.0", ["mpl2-notice"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc4"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa4"]),
-    ("CC-BY-4.0", ["cc-by4"]),
-    ("CC0-1.0", ["cc0"]),
-    ("all-rights-reserved", ["all-rights"]),
-]
+# The rule base is the data file beside this module; tag lines follow one rule.
+_BASE = json.loads((Path(__file__).parent / "licence_rules.json").read_text())
+SENTENCES: dict[str, list[str]] = _BASE["sentences"] | {f"tag-{name}": [f"spdx-license-identifier {name.lower()}"] for name in _BASE["tags"]}
+RULES: list[tuple[str, list[str]]] = [(name, ids) for name, ids in _BASE["rules"]] + [(name, [f"tag-{name}"]) for name in _BASE["tags"]]
 
 
 def marked(text: Column) -> Column:
@@ -92,9 +48,9 @@ def marked(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r" *([\n\x01]) *", "$1"))
 
 
-def identifiers(text: Column, known: tuple[dict[str, list[str]], ...] = (SENTENCES, PUBLISHED)) -> Column:
+def identifiers(text: Column, known: dict[str, list[str]] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    by_sentence = {s: k for forms_of in known for k, forms in forms_of.items() for s in forms}
+    by_sentence = {s: k for k, forms in known.items() for s in forms}
     any_of = "|".join(s.replace(".", r"\.").replace(" ", r"[ \n]") for s in sorted(by_sentence, key=len, reverse=True))
     hits = F.regexp_extract_all(marked(text), F.lit(rf"(?<![^\n\x01])({any_of})(?![^\n\x01])"), F.lit(1))
     table_of = F.create_map(*(F.lit(x) for pair in by_sentence.items() for x in pair))
@@ -102,16 +58,21 @@ def identifiers(text: Column, known: tuple[dict[str, list[str]], ...] = (SENTENC
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:
-    """struct(licences, unmatched): the ordered rules applied to a sequence of identifiers."""
-    tried = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(seq) + "|").alias("seq")) for name, seq in rules))
-    start = F.struct(F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|")).alias("rest"), F.array().cast("array<string>").alias("found"))
+    """struct(licences, unmatched): the ordered rules applied to a sequence of identifiers.
+
+    Every identifier stands between bars of its own, and what a rule takes leaves a mark
+    behind, so that identifiers on both sides of it do not become neighbours.
+    """
+    barred = lambda seq: "".join(f"|{x}|" for x in seq)
+    tried = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(barred(seq)).alias("seq")) for name, seq in rules))
+    start = F.struct(F.array_join(F.transform(ids, lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def apply(done: Column, rule: Column) -> Column:
-        taken = F.struct(F.replace(done["rest"], rule["seq"], F.lit("|")).alias("rest"), F.concat(done["found"], F.array(rule["name"])).alias("found"))
+        taken = F.struct(F.replace(done["rest"], rule["seq"], F.lit("#")).alias("rest"), F.concat(done["found"], F.array(rule["name"])).alias("found"))
         return F.when(F.contains(done["rest"], rule["seq"]), taken).otherwise(done)
 
     end = F.aggregate(tried, start, apply)
-    left = F.filter(F.split(end["rest"], r"\|"), lambda x: x != "")
+    left = F.filter(F.split(end["rest"], r"[|#]+"), lambda x: x != "")
     return F.struct(F.array_distinct(end["found"]).alias("licences"), left.alias("unmatched"))
 
 
@@ -130,22 +91,24 @@ def op2_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Sentences by lines and marks; rules by positions: a rule of k identifiers matches at p if the slice from p on is the rule."""
     known = ", ".join(f"('{s}', '{k}')" for k, forms in SENTENCES.items() for s in forms)
-    rest, steps = "'|' || array_to_string(ids, '|') || '|'", []
+    steps = []
     for i, (name, seq) in enumerate(RULES):
-        want = "|" + "|".join(seq) + "|"
-        steps.append(f"s{i} AS (SELECT doc_id, ids, replace(rest, '{want}', '|') AS rest, CASE WHEN contains(rest, '{want}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {f's{i - 1}' if i else 'start'})")
+        k, want = len(seq), "[" + ", ".join(f"'{x}'" for x in seq) + "]"
+        at = f"SELECT *, list_filter(range(1, len(ids) - {k} + 2), lambda p: ids[p:p + {k - 1}] = {want}) AS spots FROM s{i}"
+        taken = f"list_transform(range(1, len(ids) + 1), lambda j: CASE WHEN list_has_any(range(j - {k} + 1, j + 1), spots) THEN '' ELSE ids[j] END)"
+        steps.append(f"s{i + 1} AS (SELECT doc_id, told, {taken} AS ids, CASE WHEN len(spots) > 0 AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM ({at}))")
     return rf"""
 WITH known(s, k) AS (VALUES {known}),
 d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[.!?]{{2,}}', ' ', 'g'), '[.!?](\s+|$)', chr(10), 'g'), '[^a-z0-9.\n-]+', ' ', 'g') AS t FROM documents),
 u AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
-hit AS (SELECT u.doc_id, list(k ORDER BY pos) AS ids FROM u JOIN known ON trim(u.s, ' ') = known.s GROUP BY u.doc_id),
-start AS (SELECT doc_id, ids, {rest} AS rest, CAST([] AS VARCHAR[]) AS found FROM hit),
+s0 AS (SELECT u.doc_id, list(k ORDER BY pos) AS told, list(k ORDER BY pos) AS ids, CAST([] AS VARCHAR[]) AS found FROM u JOIN known ON trim(u.s, ' ') = known.s GROUP BY u.doc_id),
 {", ".join(steps)}
-SELECT documents.doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences,
-  CAST(coalesce(len(list_filter(string_split(rest, '|'), lambda x: x <> '')), 0) AS BIGINT) AS n_unmatched
-FROM documents LEFT JOIN s{len(RULES) - 1} USING (doc_id)
+SELECT documents.doc_id, coalesce(array_to_string(told, ','), '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences,
+  CAST(coalesce(len(list_filter(ids, lambda x: x <> '')), 0) AS BIGINT) AS n_unmatched
+FROM documents LEFT JOIN s{len(RULES)} USING (doc_id)
 """
 
 
