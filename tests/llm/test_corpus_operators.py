@@ -109,6 +109,27 @@ modification, are permitted provided that the following conditions are met:
     assert got == {1: (["MIT"], []), 2: (["Apache-2.0"], []), 3: (["BSD-2-Clause"], []), 4: (["GPL-3.0-or-later"], []), 5: (["CC0-1.0", "all-rights-reserved"], []), 6: (["Apache-2.0"], [])}
 
 
+def test_rules_take_whole_sequences_and_leave_gaps(spark):
+    one = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    text = lambda *ids: "\n".join(f"{one[i]}." for i in ids)
+    texts = [text("mit-notice", "mit-notice"), text("mit-grant", "gpl3-notice", "mit-keep"), text("mit-grant", "mit-keep", "mit-grant", "mit-keep", "as-is"), text("isc-grant", "isc-as-is"), text("lgpl21-redistribute", "lgpl-no-warranty", "all-rights"),
+             "SPDX-License-Identifier: AGPL-3.0-or-later\nint main;", text("apache2-notice", "apache2-you-may-not", "apache2-copy-at", "apache2-url", "apache2-unless", "apache2-see"), text("bsd-source", "as-is", "as-is"), text("cc-by-nc-nd4", "cc-by4", "cc-by4")]
+    got = {r.doc_id: (r.licences, r.unmatched) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == {1: (["MIT"], []), 2: (["GPL-3.0-only"], ["mit-grant", "mit-keep"]), 3: (["MIT"], []), 4: (["ISC"], []), 5: (["LGPL-2.1-or-later", "all-rights-reserved"], []), 6: (["AGPL-3.0-or-later"], []), 7: (["Apache-2.0"], []), 8: ([], ["bsd-source", "as-is", "as-is"]), 9: (["CC-BY-NC-ND-4.0", "CC-BY-4.0"], [])}
+
+
+def test_rules_equal_the_sql_by_positions(spark, make_dir):
+    import duckdb
+
+    rng, ids = random.Random(7), ["mit-grant", "mit-keep", "as-is", "mit-notice", "gpl3-notice", "apache2-notice", "apache2-you-may-not", "bsd-source", "tag-MIT"]
+    texts = ["\n".join(rng.choice(licenses.SENTENCES[i]).upper() + "." for i in rng.choices(ids, k=rng.randrange(9))) for _ in range(200)]
+    d = make_dir([(i, t, None, None, None) for i, t in enumerate(texts)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    rows = licenses.op2_license_sentences(spark, d).collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(licenses.SQL).fetchall())
+
+
 # Language ID
 
 
@@ -157,12 +178,36 @@ def test_exact_groups(spark, make_dir):
 
 
 def test_index_is_persistent(spark):
-    index = exact_dedup.DigestIndex.scratch(spark, buckets=4)
+    index = exact_dedup.DigestIndex.scratch(spark)
     first = exact_dedup.stay(docs_of(spark, ["a", "b", "A"]), index)
     assert sorted(r.doc_id for r in first.collect()) == [2, 3]
-    second = exact_dedup.stay(docs_of(spark, ["B", "c", "c"], first=10), index)
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]:
+        spark.sql(f"DROP TABLE {name}")  # as a new session would find it
+    again = exact_dedup.DigestIndex(spark, index.path)
+    second = exact_dedup.stay(docs_of(spark, ["B", "c", "c"], first=10), again)
     assert [r.doc_id for r in second.collect()] == [12]
-    assert index.read().count() == 3
+    assert {(r.digest, r.keep_id, r.group_size) for r in again.read().collect()} == {(hashlib.sha256(t.encode()).hexdigest(), k, n) for t, k, n in (("a", 3, 2), ("b", 2, 2), ("c", 12, 2))}
+
+
+def test_later_deliveries_are_joined_with_the_index(spark, monkeypatch):
+    seen, whole = [], exact_dedup.DigestIndex.parted
+    monkeypatch.setattr(exact_dedup.DigestIndex, "parted", lambda self, groups: seen.append(whole(self, groups)) or seen[-1])
+    rows = exact_dedup.digest_rows(docs_of(spark, ["a", "b", "c", "a", "b", "d"]))
+    index = exact_dedup.DigestIndex.scratch(spark)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.decide(exact_dedup.deliveries(rows), index).collect()}
+    assert got == {1: (4, 2), 2: (5, 2), 3: (3, 1), 4: (4, 2), 5: (5, 2), 6: (6, 1)}
+    plan = seen[1][0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    assert sorted(r.group_size for r in index.log().collect()) == [1, 1, 1, 1, 1, 1]
+
+
+def test_index_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RUNS", 2)
+    index = exact_dedup.DigestIndex.scratch(spark)
+    for k in range(5):
+        exact_dedup.decide([exact_dedup.digest_rows(docs_of(spark, ["x", f"y{k}"], first=10 * k))], index)
+    assert {(r.keep_id, r.group_size) for r in index.read().collect()} == {(0, 5), (1, 1), (11, 1), (21, 1), (31, 1), (41, 1)}
+    assert max(r["generation"] for r in index._added()) >= 1 and index.log().count() < 10
 
 
 # Decontamination
