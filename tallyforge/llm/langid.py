@@ -2,22 +2,24 @@
 
 Learning. Every training text is lower-cased, cut to letters and single spaces, and its
 n-grams of ORDER characters are counted per language: per batch in numpy, then added up
-by Spark over the whole corpus. Each language keeps its most frequent n-grams, at most
-MODEL_NGRAMS of them (the cutoff is a count read from a histogram of the counts). From
-these, one task a language makes the interpolated Kneser-Ney model: discounted counts at
-the highest order, continuation counts below, the uniform distribution at the end. A
-discount is n1 / (n1 + 2 n2) of its order.
+by Spark over the whole corpus. From these counts joins and aggregates make the interpolated
+Kneser-Ney model of each language: discounted counts at the highest order, continuation
+counts below, the uniform distribution at the end. Discounts, n1 / (n1 + 2 n2) of an order,
+and continuation counts come from all n-grams.
 
 Storage. An n-gram's characters are packed in 64 bits and multiplied by an odd constant,
-with the order mixed in; a language's model is a sorted array of these hashes with the log
-probabilities and the log back-off weights beside it. All languages share one sorted array
-with a column each, so a character costs one binary search however many languages there
-are. The model is bounded by languages x MODEL_NGRAMS x (ORDER + 1) entries.
+with the order mixed in; the model is, for each order, one sorted array of these hashes, and
+under each hash the languages that have the n-gram with its log probability and its log
+back-off weight. All languages together store at most MODEL_ENTRIES n-grams and their contexts: beyond
+that, each language stores the most frequent ones of each order from 2 on (the cutoff is a
+count read from a histogram), and the probability of those left out goes to the back-off
+weight of their context, so that a context's probabilities still sum to one.
 
 Prediction. The language of least cross-entropy per character. A document is rejected if
-its cross-entropy is far above what its language's training texts have: standardised by
-the square root of its length and compared with a high quantile of the same figure over
-all correctly predicted training texts. `score` is the softmax of the negative
+its cross-entropy is far above what its language's texts have: standardised by the square
+root of its length and compared with MARGIN times a high quantile of the same figure over all
+correctly predicted calibration texts, an eighth of the labelled ones that the models have not
+seen. (On texts the models have seen the figure is too low, and too many others are rejected.) `score` is the softmax of the negative
 cross-entropies, sharpened by the length up to SHARP characters.
 
 Edge cases: null text and text without letters give `und`, score 0, and are rejected.
@@ -32,7 +34,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,10 @@ from tallyforge.plans.rows import drop_rows
 from tallyforge.plans.scratch import materialise
 
 ORDER = 4
-MODEL_NGRAMS = 250_000
+#: Most stored n-grams of all languages and orders together: about 20 bytes each in the broadcast model.
+MODEL_ENTRIES = 8_000_000
 SHARP = 60
-#: Rejection: the quantile of the training texts' standardised excess, and how far beyond it a text must be.
+#: Rejection: the quantile of the calibration texts' standardised excess, and how far beyond it a text must be.
 QUANTILE, MARGIN = 0.999, 3.0
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -115,118 +117,118 @@ def ngram_counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kept_ngrams(counts: DataFrame, most: int = MODEL_NGRAMS) -> DataFrame:
-    """Each language's n-grams that are at least as frequent as the least power of two that leaves at most `most`."""
+def cutoffs(counts: DataFrame, most: int) -> dict[str, int]:
+    """Each language's least power of two that leaves at most `most` of its rows (lang, gram, n)."""
     level = F.floor(F.log2("n")).cast("int")
     sizes = counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("grams")).collect()  # at most 63 rows a language
     cutoff = {}
     for lang in {r["lang"] for r in sizes}:
-        total = 0
-        cutoff[lang] = 63
+        total, cutoff[lang] = 0, 2**62
         for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["level"]):
             total += r["grams"]
             if total > most:
                 break
-            cutoff[lang] = r["level"]
-    if not cutoff:
-        return counts
-    least = F.create_map(*(F.lit(x) for lang, c in cutoff.items() for x in (lang, 2**c)))
-    return counts.where(F.col("n") >= F.element_at(least, F.col("lang")))
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """[(n-grams, log probability, log back-off weight of the n-gram as a context)] for the orders 1 to `order`."""
-    tables = [(grams, counts.astype(float))]
-    for n in range(order - 1, 0, -1):
-        shorter = tables[0][0] & np.uint64((1 << (16 * n)) - 1)
-        kinds, follow = np.unique(shorter, return_counts=True)
-        tables.insert(0, (kinds, follow.astype(float)))
-    lower_grams, lower = None, None
-    out, weights = [], []
-    for n, (g, c) in enumerate(tables, 1):
-        ones, twos = (c == 1).sum(), (c == 2).sum()
-        discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
-        contexts, at = np.unique(g >> np.uint64(16), return_inverse=True)
-        total, kinds = np.bincount(at, weights=c), np.bincount(at)
-        gamma = discount * kinds / total
+            cutoff[lang] = 2 ** r["level"]
+    return cutoff
+
+
+def _of_lang(values: dict[str, float], kind: str) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("lang")).cast(kind)
+
+
+def kneser_ney(counts: DataFrame, entries: int = MODEL_ENTRIES) -> list[DataFrame]:
+    """For the orders 1 to ORDER (lang, gram, p, back) of the stored n-grams; back: the weight of the n-gram as a context.
+
+    counts: (lang, gram, n) of all n-grams of the highest order, stored.
+    """
+    levels = [counts]
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer n-grams one is the end
+        shorter = levels[0].groupBy("lang", F.col("gram").bitwiseAND(F.lit(_mask(n))).alias("gram")).agg(F.count("*").alias("n"))
+        levels.insert(0, materialise(shorter, "ngrams"))
+    figures = [{r["lang"]: r for r in c.groupBy("lang").agg(F.count("*").alias("grams"), F.sum((F.col("n") == 1).cast("long")).alias("ones"), F.sum((F.col("n") == 2).cast("long")).alias("twos")).collect()} for c in levels]  # one row a language
+    langs = sorted(figures[0])
+    if not langs:
+        return []
+    stored: list[DataFrame] = []
+    pruned = [False]
+    for n, (c, of) in enumerate(zip(levels, figures, strict=True), 1):
+        most = max(1, entries // (ORDER * len(langs)))
+        least = cutoffs(c, most) if n > 1 and max(of[x]["grams"] for x in langs) > most else dict.fromkeys(langs, 1)
+        pruned.append(max(least.values()) > 1)
+        discount = {x: float(np.clip(of[x]["ones"] / (of[x]["ones"] + 2 * of[x]["twos"]), 0.1, 0.9)) if of[x]["ones"] else 0.5 for x in langs}
+        own = c.withColumn("context", F.shiftrightunsigned("gram", 16)).withColumn("less", F.greatest(F.col("n") - _of_lang(discount, "double"), F.lit(0.0))).withColumn("kept", F.col("n") >= _of_lang(least, "long"))
+        context = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("kept"), F.col("less")).otherwise(0.0)).alias("mass"))
+        context = materialise(context.withColumn("gamma", 1 - F.col("mass") / F.col("total")).drop("mass"), "contexts")
+        rows = own.where("kept").join(context, ["lang", "context"])
         if n == 1:
-            below = np.full(len(g), 1.0 / (len(g) + 1))
+            rows = rows.withColumn("below", 1.0 / (_of_lang({x: float(of[x]["grams"]) for x in langs}, "double") + 1))
         else:
-            tail = g & np.uint64((1 << (16 * (n - 1))) - 1)
-            below = lower[np.searchsorted(lower_grams, tail)]
-        p = np.maximum(c - discount, 0) / total[at] + gamma[at] * below
-        out.append((g, np.log(p)))
-        weights.append((contexts, np.log(gamma)))
-        lower_grams, lower = g, p
-    backoff = [np.zeros(len(g)) for g, _ in out]
-    for n in range(1, order):  # an n-gram is the context of (n + 1)-grams
-        contexts, w = weights[n]
-        i = np.searchsorted(out[n - 1][0], contexts)
-        i = np.minimum(i, len(out[n - 1][0]) - 1)
-        same = out[n - 1][0][i] == contexts
-        backoff[n - 1][i[same]] = w[same]
-    return [(g, lp, b) for (g, lp), b in zip(out, backoff, strict=True)]
-
-
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(gram=pdf["gram"].to_numpy().view(np.uint64)).sort_values("gram")
-    parts = []
-    for n, (g, lp, back) in enumerate(kneser_ney(pdf["gram"].to_numpy(), pdf["n"].to_numpy()), 1):
-        parts.append(pd.DataFrame({"lang": pdf["lang"].iloc[0], "size": n, "key": hashed(g, n).view(np.int64), "logp": lp.astype(np.float32), "back": back.astype(np.float32), "grams": len(g)}))
-    return pd.concat(parts)
+            # a context that stored n-grams have is kept for its weight, even if its own count is too low; its p is then null
+            weight = context.where("gamma < 1").select(F.col("lang"), F.col("context").alias("gram"), F.col("gamma").alias("back"))
+            stored[-1] = materialise(stored[-1].join(weight, ["lang", "gram"], "full").withColumn("back", F.coalesce("back", F.lit(1.0))), "model")
+            rows = _below(rows, n - 1, stored, pruned)
+        stored.append(materialise(rows.select("lang", "gram", (F.col("less") / F.col("total") + F.col("gamma") * F.col("below")).alias("p")), "model"))
+    stored[-1] = stored[-1].withColumn("back", F.lit(1.0))
+    return stored
+
+
+def _mask(n: int) -> int:
+    return (1 << (16 * n)) - 1
+
+
+def _below(rows: DataFrame, n: int, stored: list[DataFrame], pruned: list[bool]) -> DataFrame:
+    """rows with below: the probability of the last n characters of gram, by the stored n-grams of order n or less."""
+    tail = F.col("gram").bitwiseAND(F.lit(_mask(n)))
+    found = rows.withColumn("tail", tail).join(stored[n - 1].select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"], "left").drop("tail")
+    if not pruned[n] or n == 1:
+        return found
+    own, weight, context = f"own{n}", f"weight{n}", f"context{n}"
+    weights = stored[n - 2].select("lang", F.col("gram").alias(context), F.col("back").alias(weight))
+    backed = _below(found.withColumnRenamed("below", own), n - 1, stored, pruned).withColumn(context, F.shiftrightunsigned(tail, 16)).join(weights, ["lang", context], "left")
+    return backed.withColumn("below", F.coalesce(own, F.coalesce(weight, F.lit(1.0)) * F.col("below"))).drop(own, weight, context)
 
 
 class Models:
-    """Models of all languages: sorted hash arrays with a column a language."""
+    """Models of all languages: per order a sorted array of hashes, and under each the languages' entries."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.langs = sorted(rows["lang"].unique())
-        column = rows["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(np.int64)
-        key = rows["key"].to_numpy().view(np.uint64)
+    def __init__(self, orders: list[pa.Table]):
+        """orders: (lang, gram, p, back) for each order from 1 on."""
+        self.langs = sorted(set(orders[0]["lang"].to_pylist())) if orders else []
         self.tables = []
-        for n in range(1, ORDER + 1):
-            own = (rows["size"] == n).to_numpy()
-            keys, at = np.unique(key[own], return_inverse=True)
-            logp = np.full((len(keys), len(self.langs)), np.nan, np.float32)
-            back = np.zeros((len(keys), len(self.langs)), np.float32)
-            logp[at, column[own]] = rows["logp"].to_numpy()[own]
-            back[at, column[own]] = rows["back"].to_numpy()[own]
-            self.tables.append((keys, logp, back))
-        sizes = rows[rows["size"] == 1].groupby("lang")["grams"].first() if len(rows) else {}
-        self.unseen = np.array([-np.log(sizes[x] + 1) for x in self.langs], np.float32)
-        self.full = self._filled()
-
-    def _filled(self) -> list[np.ndarray]:
-        """Log probability of every stored n-gram in every language, backing off where a language lacks it."""
-        full = []
-        for n, (keys, logp, _) in enumerate(self.tables, 1):
-            if n == 1:
-                full.append(np.where(np.isnan(logp), self.unseen[None, :] - 1, logp).astype(np.float32))
-                continue
-            grams = self._grams(keys, n)
-            full.append(np.where(np.isnan(logp), self._backed(grams, n, full), logp).astype(np.float32))
-        return full
-
-    @staticmethod
-    def _grams(keys: np.ndarray, n: int) -> np.ndarray:
-        inverse = np.uint64(pow(int(_ODD), -1, 2**64))
-        return (keys * inverse) ^ (np.uint64(n) << np.uint64(61)) if n < ORDER else (keys - np.uint64(1)) * inverse
-
-    def _backed(self, grams: np.ndarray, n: int, full: list[np.ndarray]) -> np.ndarray:
-        """Log probability by the (n - 1)-gram within each n-gram, weighted by what its context leaves."""
-        keys, _, back = self.tables[n - 2]
-        context = hashed(grams >> np.uint64(16), n - 1)
-        i, known = _find(keys, context)
-        weight = np.where(known[:, None], back[i], 0) if len(keys) else np.zeros((len(grams), len(self.langs)), np.float32)
-        return weight + self._look(grams & np.uint64((1 << (16 * (n - 1))) - 1), n - 1, full)
-
-    def _look(self, grams: np.ndarray, n: int, full: list[np.ndarray]) -> np.ndarray:
-        keys = self.tables[n - 1][0]
+        number = {x: i for i, x in enumerate(self.langs)}
+        for n, rows in enumerate(orders, 1):
+            lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.int32)
+            key = hashed(rows["gram"].to_numpy().view(np.uint64), n)
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            logp, back = (np.log(rows[c].to_numpy(zero_copy_only=False)[order].astype(float)).astype(np.float32) for c in ("p", "back"))
+            self.tables.append((keys, np.append(first, len(order)).astype(np.int64), lang[order], logp, back))
+        counts = np.bincount(self.tables[0][2], minlength=len(self.langs)) if orders else np.empty(0)
+        self.unseen = (-np.log(counts + 1) - 1).astype(np.float32)
+
+    def _spread(self, n: int, grams: np.ndarray, out: np.ndarray, back: bool) -> None:
+        """Write into out (an n-gram a row, a language a column) what the model stores of the n-grams."""
+        keys, first, lang, logp, weights = self.tables[n - 1]
         i, known = _find(keys, hashed(grams, n))
-        out = full[n - 1][i] if len(keys) else np.zeros((len(grams), len(self.langs)), np.float32)
-        if not known.all():
-            rest = ~known
-            out[rest] = self._backed(grams[rest], n, full) if n > 1 else self.unseen - 1
+        rows = np.flatnonzero(known)
+        size = first[i[rows] + 1] - first[i[rows]]
+        entry = np.repeat(first[i[rows]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        row, value = np.repeat(rows, size), (weights if back else logp)[entry]
+        own = ~np.isnan(value)  # entries without a probability are there for their weight
+        out[row[own], lang[entry[own]]] = value[own]
+
+    def look(self, grams: np.ndarray, n: int) -> np.ndarray:
+        """Log probabilities of distinct n-grams, a column a language: as stored, else backed off."""
+        if n == 1:
+            out = np.repeat(self.unseen[None, :], len(grams), axis=0)
+        else:
+            tails, at = np.unique(grams & np.uint64(_mask(n - 1)), return_inverse=True)
+            out = self.look(tails, n - 1)[at]
+            contexts, at = np.unique(grams >> np.uint64(16), return_inverse=True)
+            weight = np.zeros((len(contexts), len(self.langs)), np.float32)
+            self._spread(n - 1, contexts, weight, back=True)
+            out += weight[at]
+        self._spread(n, grams, out, back=False)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +239,12 @@ class Models:
             own = np.flatnonzero(size == n)
             if not len(own):
                 continue
-            logp = self._look(gram[own], n, self.full)
-            for k in range(len(self.langs)):
-                total[:, k] -= np.bincount(owner[own], weights=logp[:, k], minlength=len(texts))
+            grams, at = np.unique(gram[own], return_inverse=True)
+            logp = self.look(grams, n)
+            heads = np.flatnonzero(np.concatenate(([True], owner[own][1:] != owner[own][:-1])))
+            for start in range(0, len(self.langs), 16):  # a few languages at once, so the gathered rows stay small
+                part = np.ascontiguousarray(logp[:, start : start + 16])
+                total[owner[own][heads], start : start + 16] -= np.add.reduceat(part[at], heads, axis=0, dtype=np.float64)
         count = np.maximum(np.array([len(t) for t in texts]) - 1, 0)
         return total / np.maximum(count, 1)[:, None], count
 
@@ -251,11 +256,10 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, keys[i] == wanted
 
 
-def train(labelled: DataFrame, most: int = MODEL_NGRAMS) -> Models:
-    """Models from all rows (lang, text). What reaches the driver is bounded by languages x most x (ORDER + 1) entries."""
+def train(labelled: DataFrame, entries: int = MODEL_ENTRIES) -> Models:
+    """Models from all rows (lang, text). What reaches the driver is bounded by `entries`."""
     counts = materialise(ngram_counts(labelled), "ngrams")
-    rows = kept_ngrams(counts, most).groupBy("lang").applyInPandas(_fit, "lang string, size int, key long, logp float, back float, grams long")
-    return Models(rows.toPandas())
+    return Models([rows.select("lang", "gram", "p", "back").toArrow() for rows in kneser_ney(counts, entries)])
 
 
 #: Characters of one text that are scored at once.
@@ -322,17 +326,26 @@ def _per_lang(values: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, float(v)))), F.col("lang_pred"))
 
 
+def _crc(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that are never learned from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(_crc(doc_id) % 4 == 2, F.lit(False))
+
+
+def calibrates(doc_id: Column) -> Column:
+    """Of the others, the eighth that only the rejection is calibrated on."""
+    return F.coalesce((_crc(doc_id) % 4 != 2) & (F.floor(_crc(doc_id) / 4) % 8 == 5), F.lit(False))
 
 
-def identify(docs: DataFrame, most: int = MODEL_NGRAMS) -> DataFrame:
+def identify(docs: DataFrame, entries: int = MODEL_ENTRIES) -> DataFrame:
     """doc_id, row_hash, lang, held_out, n_letters, lang_pred, score, entropy, rejected of every row of docs (doc_id, text, lang)."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("row_hash"))
-    models = train(own.where(~F.col("held_out")), most)
+    models = train(own.where(~F.col("held_out") & ~calibrates(F.col("doc_id"))), entries)
     scored = materialise(score(own, models, ["doc_id", "row_hash", "lang", "held_out"]), "langid")
-    return calibrated(scored, ~F.col("held_out"))
+    return calibrated(scored, calibrates(F.col("doc_id")))
 
 
 def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
