@@ -1,15 +1,17 @@
 """Surrogates for personal data.
 
-Entities are found by patterns: e-mail addresses, IPv4 addresses, phone numbers, payment
-cards, social security numbers, bank accounts, secrets, and names behind a form of
-address. Each has a kind and a canonical form (an e-mail in lower case, a number's
+Entities are found by patterns: e-mail addresses, IPv4 and IPv6 addresses, phone numbers,
+payment cards (an issuer's first digits and a valid check digit), social security numbers (in
+the ranges that are given out), bank accounts (valid check digits), secrets, and names behind
+a form of address. Each has a kind and a canonical form (an e-mail in lower case, a number's
 digits, one name part), and each canonical form gets one surrogate of its kind for the
-whole corpus: a keyed hash (HMAC-SHA-256) draws it, so mentions of the same entity agree
+whole corpus: a keyed hash (HMAC-SHA-256, with the caller's key) draws it, so mentions of the same entity agree
 wherever they stand (coreference), and nothing can be drawn back without the key. A
 surrogate keeps the length, layout and character classes of what it replaces: digits for
 digits, the country code and the punctuation of a phone number, a card's issuer digit and
-valid or invalid check digit, private addresses private; a name is replaced by one of the same
-gender, script and capitals.
+check digit, an account's country and check digits, private addresses private; a name is
+replaced by one word of the same gender, script and capitals, built of syllables, of which
+there are millions a script and more with each further draw.
 
 Distinctness is checked over the corpus, on canonical forms (names without regard to case and
 gender). All distinct entities are gathered as a table; where two of a kind drew the same
@@ -27,7 +29,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,26 +43,29 @@ from tallyforge.llm.common import slices, table
 from tallyforge.plans.rows import small
 from tallyforge.plans.scratch import materialise
 
-KEY = b"surrogates, version 1"
 ROUNDS = 40
+#: The Spark setting that names the key; without it a run draws one of its own, and its surrogates are its own.
+KEY_SETTING = "spark.tallyforge.surrogateKey"
 
 # Forms of address by the gender that they tell.
 TITLES = {
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "г-жа", "госпожа"],
-    "m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "г-жа", "госпожа", "κα", "κυρία", "السيدة", "श्रीमती"],
+    "m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин", "κ", "κύριος", "السيد", "श्री"],
     "x": ["Dr", "Prof", "Mx"],
 }
-# Given names by script and gender, and family names by script.
-GIVEN = {
-    "latin": {"f": ["Anna", "Clara", "Elena", "Marta", "Nora", "Julia", "Laura", "Sofia", "Emma", "Lucia"], "m": ["Adam", "Bruno", "Daniel", "Felix", "Hugo", "Jonas", "Martin", "Oscar", "Paul", "Victor"], "x": ["Alex", "Robin", "Sascha", "Kim", "Noa", "Charlie", "Dominique", "Jo", "Sam", "Toni"]},
-    "cyrillic": {"f": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга"], "m": ["Антон", "Борис", "Иван", "Олег", "Павел", "Юрий"], "x": ["Саша", "Женя", "Валя"]},
-}
-FAMILY = {
-    "latin": ["Adler", "Becker", "Castell", "Dorval", "Ferrer", "Garnier", "Hansen", "Iborra", "Keller", "Lambert", "Moreno", "Navarro", "Olsen", "Perrin", "Reuter", "Sorel", "Thorne", "Ulrich", "Vidal", "Weller"],
-    "cyrillic": ["Белов", "Громов", "Зимин", "Лапин", "Орлов", "Рощин", "Серов", "Фомин"],
+# By script its letters' ranges, first parts and vowels of syllables, and name endings by gender (x also for family names).
+SCRIPTS = {
+    "latin": ("A-Za-zÀ-ɏ", "b d f g h k l m n p r s t v".split(), "a e i o u".split(), {"f": ["na", "ra", "lia", "ta"], "m": ["no", "ras", "len", "tor"], "x": ["man", "ler", "vin", "ser", "dal", "rin"]}),
+    "cyrillic": ("Ѐ-ӿ", "б в г д з к л м н п р с т".split(), "а е и о у".split(), {"f": ["на", "ра", "лия", "та"], "m": ["тон", "рис", "лан", "мир"], "x": ["ков", "лин", "нов", "рин", "вич", "мов"]}),
+    "greek": ("Ͱ-Ͽἀ-῿", "β γ δ θ κ λ μ ν π ρ σ τ".split(), "α ε ι ο".split(), {"f": ["να", "ρα", "λία"], "m": ["νος", "ρας", "λης"], "x": ["άκης", "ίδης", "πουλος"]}),
+    "arabic": ("؀-ۿ", "ب د ر س ف ك ل م ن".split(), "ا و ي".split(), {"f": ["نة", "رة", "لة"], "m": ["ن", "ر", "ل"], "x": ["ني", "ري", "لي"]}),
+    "devanagari": ("ऀ-ॿ", "क ग त द न प म र ल स".split(), "ा ि ी ु ो".split(), {"f": ["ना", "रा", "ली"], "m": ["न", "र", "ल"], "x": ["वाल", "कर", "दास"]}),
+    "han": ("一-鿿", "安 文 明 林 雨 海 山 春 秋 月 星 云".split(), [""], {"f": ["芳", "丽", "娟"], "m": ["伟", "强", "军"], "x": ["平", "华", "宁"]}),
 }
+_SCRIPT = [(name, re.compile(f"[{letters}]")) for name, (letters, *_) in SCRIPTS.items()]
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
-_WORD = r"[^\W\d_][\w'’-]*"
+_WORD = r"[^\W\d_](?:[\w'’-]|[\u0900-\u0903\u093a-\u094f])*"
+_HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = {
     "email": r"[\w.%+-]*[\w%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"\b(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,})\b",
@@ -66,7 +73,8 @@ KINDS = {
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+    + rf"|(?<![\w:.])(?:{_HEX}:){{2,7}}(?::?{_HEX}(?::{_HEX}){{0,6}}|:)(?![\w:])|(?<![\w:.])(?:{_HEX}:)?:{_HEX}(?::{_HEX}){{1,6}}(?![\w:])",
     "name": rf"(?<!\w)(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? {_WORD}(?: {_WORD})?",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
@@ -93,6 +101,41 @@ def luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def issued(digits: str) -> bool:
+    """Whether a card number has an issuer's first digits and a valid check digit."""
+    return (digits[0] in "3456" or 2221 <= int(digits[:4]) <= 2720) and luhn(digits)
+
+
+def _account_rest(account: str) -> int:
+    """A bank account's number modulo 97, letters as numbers; 1 if the check digits are right."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def _address(text: str) -> str | None:
+    """The canonical form of an IP address; null if it is none, or has fewer than three groups or no digit."""
+    try:
+        found = ipaddress.ip_address(text)
+    except ValueError:
+        return None
+    if found.version == 4:
+        return text
+    return found.exploded if len([g for g in text.split(":") if g]) >= 3 and re.search(r"\d", text) else None
+
+
+def script_of(word: str) -> str:
+    return next((name for name, letters in _SCRIPT if letters.match(word)), "latin")
+
+
+def new_name(key: bytes, canon: str, attempt: int) -> str:
+    """A made-up name of the gender and script of a canonical form; each fourth further draw has a syllable more."""
+    part, gender, script, _ = canon.split("|")
+    _, first, vowels, endings = SCRIPTS[script]
+    n = draw(key, "name", canon, attempt, 12)
+    syllables = (3 if script == "han" else 2) + (part == "family") + attempt // 4
+    stem = "".join(first[n[2 * i % 10] % len(first)] + vowels[n[(2 * i + 1) % 10] % len(vowels)] for i in range(min(syllables, 5)))
+    return (stem + endings[gender][n[10] % len(endings[gender])]).capitalize()
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The surrogate of a canonical form, itself canonical."""
     n = draw(key, kind, canon, attempt, len(canon) + 8)
@@ -101,26 +144,27 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         labels = domain.rsplit(".", 1)
         of_domain = draw(key, "domain", domain, attempt, len(labels[0]))
         return f"{_shape(local, n[: len(local)])}@{_shape(labels[0], of_domain)}.{labels[1]}"
+    if kind == "ip" and ":" in canon:
+        local = canon[:2] in ("fc", "fd") or canon[:3] in ("fe8", "fe9", "fea", "feb")
+        return ":".join([canon[:4] if local else f"{0x2000 | n[0] & 0x1FFF:04x}", *(f"{x:04x}" for x in n[1:8])])
     if kind == "ip":
         first = canon.split(".")[0]
         private = canon.startswith(("10.", "192.168.", "127.")) or (first == "172" and 16 <= int(canon.split(".")[1]) < 32)
         return ".".join(["10" if private else str(11 + n[0] % 115), str(n[1] % 256), str(n[2] % 256), str(1 + n[3] % 254)])
     if kind == "card":
-        body = canon[0] + "".join(str(x % 10) for x in n[1 : len(canon) - 1])
-        check = next(d for d in "0123456789" if luhn(body + d))
-        return body + (check if luhn(canon) else str((int(check) + 1 + n[0] % 9) % 10))
+        body = (canon[:4] if canon[0] == "2" else canon[0]) + "".join(str(x % 10) for x in n)
+        body = body[: len(canon) - 1]
+        return body + next(d for d in "0123456789" if luhn(body + d))
     if kind == "phone":
         head, _, rest = canon.partition("|")
         return f"{head}|" + "".join(str(2 + x % 8) if i == 0 else str(x % 10) for i, x in enumerate(n[: len(rest)]))
     if kind == "ssn":
         return "9" + "".join(str(x % 10) for x in n[: len(canon) - 1])
     if kind == "iban":
-        return canon[:2] + _shape(canon[2:], n[: len(canon) - 2])
+        body = _shape(canon[4:], n[: len(canon) - 4])
+        return f"{canon[:2]}{98 - _account_rest(f'{canon[:2]}00{body}'):02d}{body}"
     if kind == "name":
-        part, gender, script, _ = canon.split("|")
-        pool = FAMILY[script] if part == "family" else GIVEN[script][gender]
-        picks = [pool[x % len(pool)] for x in draw(key, kind, canon, attempt, 1 + attempt // 2)]  # longer names once short ones are taken
-        return f"{part}|{gender}|{script}|{'-'.join(picks)}"
+        return f"{canon.rsplit('|', 1)[0]}|{new_name(key, canon, attempt)}"
     return _shape(canon, n[: len(canon)])
 
 
@@ -129,19 +173,25 @@ def _entities(kind: str, found: str) -> list[tuple[str, str]]:
     if kind == "email":
         return [(found, found.lower())]
     if kind in ("card", "ssn"):
-        return [(found, re.sub(r"\D", "", found))]
+        digits = re.sub(r"\D", "", found)
+        real = issued(digits) if kind == "card" else digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+        return [(found, digits)] if real else []
+    if kind == "ip":
+        canon = _address(found)
+        return [(found, canon)] if canon else []
     if kind == "phone":
         country = re.match(r"\+\d{1,3}(?=\D)|\+1", found)
         head = country[0] if country else ""
         return [(found, f"{head}|{re.sub(r'\D', '', found[len(head) :])}")]
     if kind == "iban":
-        return [(found, found.replace(" ", ""))]
+        account = found.replace(" ", "")
+        return [(found, account)] if _account_rest(account) == 1 else []
     if kind == "name":
         title, *words = found.split(" ")
         gender, parts = _GENDER[title.rstrip(".")], []
-        words = [w for w in words if w[0].isupper()] if words and words[0][0].isupper() else []
+        words = words[: next((i for i, w in enumerate(words) if w[0].islower()), len(words))]  # scripts without capitals count as capital
         for i, w in enumerate(words):
-            script = "cyrillic" if re.match(r"[Ѐ-ӿ]", w) else "latin"
+            script = script_of(w)
             part = "given" if len(words) == 2 and i == 0 else "family"
             parts.append((w, f"{part}|{gender if part == 'given' else 'x'}|{script}|{w.casefold()}"))
         return parts
@@ -159,7 +209,9 @@ def _dress(kind: str, surface: str, new: str) -> str:
             head, new = new.split("|")
         rest = iter(new)
         return head + "".join(next(rest) if c.isalnum() else c for c in surface[len(head) :])
-    if kind == "email" and surface.isupper():
+    if kind == "ip" and ":" in new:
+        new = ipaddress.ip_address(new).compressed
+    if kind in ("email", "ip") and surface.isupper():
         return new.upper()
     return new
 
@@ -208,7 +260,7 @@ def identity(kind: Column, canon: Column) -> Column:
     return F.when(kind == "name", F.concat_ws("|", fields[0], F.lower(fields[3]))).otherwise(canon)
 
 
-def assigned(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def assigned(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, attempt, surrogate) for every entity: no two of a kind share a surrogate, and none is a real entity."""
 
     @F.pandas_udf("string")
@@ -234,8 +286,10 @@ def assigned(found: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds; the pools of names are too small")
 
 
-def rewrite(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rewrite(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text, and pii_kinds: the kinds of the entities replaced, in order."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     chosen = assigned(materialise(entities(docs, text_col), "entities"), key)
     again = materialise(chosen.where("attempt > 0").select(F.col("kind").alias("a_kind"), F.col("canon").alias("a_canon"), "attempt"), "again")
     tagged = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
@@ -268,5 +322,6 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced: doc_id, text, pii_kinds, n_entities."""
-    done = rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    done = rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"), key.encode())
     return done.select("doc_id", "text", "pii_kinds", F.size("pii_kinds").alias("n_entities"))
