@@ -143,14 +143,18 @@ def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of each set once a task, so a text with many copies brings as many rows a part as there are tasks at most."""
+    seen: set[int] = set()
     for batch in slices(batches, limit=1_000_000):
         key, node, band, slack, size, tokens = [], [], [], [], [], []
         for s in _sets(batch):
-            if len(s):
+            own = _node(s) if len(s) else None
+            if own is not None and own not in seen:
+                seen.add(own)
                 for b, k, words, held in part_words(s):
                     key.append(words)
                     tokens.append(held)
-                    node.append(_node(s))
+                    node.append(own)
                     band.append(b)
                     slack.append(k)
                     size.append(len(words))
@@ -213,14 +217,15 @@ class ParityJoin:
     def _pivot_pairs(self, shared: DataFrame) -> DataFrame:
         """(a, b, common): each node with up to PIVOTS central nodes of its key groups, by common tokens."""
         weight = shared.groupBy("node").agg(F.sum(F.log("members")).alias("weight")).select(F.col("node").alias("w_node"), "weight")
-        weighed = shared.select("key", "node", "band", "tokens").join(small(materialise(weight, "weights")), F.col("node") == F.col("w_node"))
-        group = Window.partitionBy("key")
+        weighed = materialise(shared.select("key", "node", "band", "tokens").join(small(materialise(weight, "weights")), F.col("node") == F.col("w_node")).drop("w_node"), "weighed")
 
         def central(i: int) -> Column:
             luck = 1 + F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1000)) / 4000 if i else F.lit(1.0)
-            return F.max(F.struct((F.col("weight") * luck).alias("w"), F.col("node").alias("n"))).over(group)["n"]
+            return F.max_by("node", F.col("weight") * luck)
 
-        told = weighed.select("node", "band", "tokens", F.array_distinct(F.array(*(central(i) for i in range(PIVOTS)))).alias("pivots"))
+        groups = weighed.groupBy("key").agg(F.count("*").alias("group_size"), *(central(i).alias(f"p{i}") for i in range(PIVOTS)))
+        groups = materialise(groups.select("key", "group_size", F.array_distinct(F.array(*(F.col(f"p{i}") for i in range(PIVOTS)))).alias("pivots")), "pivots")
+        told = lookup(weighed.drop("weight"), groups, ["key"], "group_size", max(1, weighed.count()))
         each = told.select("node", "band", "tokens", F.explode("pivots").alias("pivot")).where("node <> pivot")
         common = each.groupBy("node", "pivot", "band").agg(F.sum("tokens").alias("common")).groupBy("node", "pivot").agg(F.max("common").alias("common"))
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "pivot"))
