@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.plans.prefix import running_sums
+from tallyforge.operators.labels import lookahead_gate
+from tallyforge.plans.prefix import exact_quantiles, running_sums
+from tallyforge.plans.scratch import materialise
 
 
 def base_rate_weights(df: DataFrame, *, target: float) -> DataFrame:
@@ -79,10 +84,42 @@ def slice_metrics(df: DataFrame) -> DataFrame:
     return counts.join(ranking(each, ["slice"]), "slice")
 
 
-def run_backtest(rows: DataFrame, *, target: float = 0.0909, cutoff: int = 578) -> dict[str, DataFrame]:
-    """All metrics of scored, gated rows; each a small DataFrame."""
-    weighted = base_rate_weights(rows, target=target)
-    return {"ranking": ranking(weighted), "brier": brier(weighted), "reliability": reliability(weighted), "ece": ece(weighted), "operating_point": operating_point(weighted, cutoff=cutoff), "slices": slice_metrics(weighted)}
+def run_backtest(rows: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None, *, target: float | None = 0.0909, cutoff: int = 578, model_version: str = "unknown") -> dict[str, DataFrame]:
+    """A whole backtest: the look-ahead gate, scoring, and all metrics, each a small DataFrame.
+
+    rows: as_of_ts, features_valid_at_ts, outcome_start_ts (any of which may be absent), label,
+    chain, age, borrows, and what `score` needs to add p and score; without `score` they are
+    there. target: the share of positives to weigh for, or none. Raises on an empty table and
+    on rows that look ahead. The scored rows are stored once and every metric reads them.
+    """
+    if {"as_of_ts", "features_valid_at_ts", "outcome_start_ts"} <= set(rows.columns):
+        lookahead_gate(rows, mode="raise")
+    scored = score(rows) if score else rows
+    scored = materialise(scored.select("p", "score", "label", "chain", "age", "borrows"), "backtest")
+    count = scored.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("positives"))
+    if not count.first()["n_rows"]:
+        raise ValueError("a backtest needs at least one row")
+    weighted = scored.withColumn("weight", F.lit(1.0)) if target is None else base_rate_weights(scored, target=target)
+    head = count.withColumns({"sample_base_rate": F.col("positives") / F.col("n_rows"), "target_base_rate": F.lit(target).cast("double"), "model_version": F.lit(model_version), "score_cutoff": F.lit(cutoff)})
+    return {
+        "head": head, "ranking": ranking(weighted), "brier": brier(weighted), "reliability": reliability(weighted), "ece": ece(weighted),
+        "operating_point": operating_point(weighted, cutoff=cutoff), "slices": slice_metrics(weighted),
+    }
+
+
+def report(found: dict[str, DataFrame]) -> dict:
+    """A backtest as one document; every part is a few rows."""
+    part = {name: [r.asDict() for r in df.collect()] for name, df in found.items()}
+    metrics = part["ranking"][0] | part["brier"][0] | part["ece"][0]
+    return part["head"][0] | {
+        "metrics": metrics, "reliability": sorted(part["reliability"], key=lambda r: r["bin"]), "operating_point": part["operating_point"][0],
+        "slices": {r.pop("slice"): r for r in sorted(part["slices"], key=lambda r: r["slice"])},
+    }
+
+
+def write_report(spark: SparkSession, document: dict, path: str) -> None:
+    """Write a report as a JSON file, by Spark, so the path may be on any store it knows."""
+    spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def weakest_slice(slices: DataFrame) -> DataFrame:
@@ -104,5 +141,6 @@ def classification_report(df: DataFrame, *, at: float = 0.5) -> DataFrame:
 
 
 def score_anchors(df: DataFrame) -> DataFrame:
-    """p10, p50 and p90 of the predicted probability, and the score deciles."""
-    return df.agg(F.percentile("p", F.array(*(F.lit(q) for q in (0.1, 0.5, 0.9)))).alias("a"), F.percentile("score", F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("deciles")).select(F.col("a")[0].alias("p10"), F.col("a")[1].alias("p50"), F.col("a")[2].alias("p90"), "deciles")
+    """p10, p50 and p90 of the predicted probability, and the score deciles: one row."""
+    anchors, deciles = exact_quantiles(df, "p", [0.1, 0.5, 0.9]), exact_quantiles(df, "score", [i / 10 for i in range(1, 10)])
+    return df.sparkSession.createDataFrame([(*anchors, deciles)], "p10 double, p50 double, p90 double, deciles array<double>")

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import utc_date
+from tallyforge.plans.prefix import running_sums
 
 # Posts a UTC day per channel, the e-mail token, and names that are covered in fact.
 CADENCE = {"x": 12, "farcaster": 16, "email": 1, "seo": 4, "video": 4}
 UNSUBSCRIBE = "{{unsubscribe_url}}"
 COVERED = ["aave", "compound", "ethereum", "arbitrum", "optimism", "polygon", "base", "avalanche", "scroll", "solana"]
 
-# the look-ahead keeps the look-behind group from being set where no number starts
+# Fixed value: the number pattern. The look-ahead keeps the look-behind group from being set where no number starts
 _NUMBER = r"(?=\d)(?:(?<=([A-Za-z0-9_#@/-])))?(\d[\d,]*(?:\.\d+)?)\s*([kKmMbB])?\s*(\+)?\s*(%|percent)?"
-_ENTITY = r"([\w.$-]+(?:\s+(?-i:[A-Z])[\w.$-]*)*)"
+# Fixed value: the name after a phrase. Its patterns ignore case, so words of small letters go on with the name too.
+_ENTITY = r"([\w.$-]+(?:\s+[A-Z][\w.$-]*)*)"
 # Phrases that claim a relationship; the name that follows must look like a proper noun.
 _RELATIONS = [
     ("partnership", r"\b(?:partner(?:ed|ship|ing)?\s+with|official\s+partner\s+of)\s+"), ("endorsement", r"\b(?:backed|endorsed|approved|audited|vetted)\s+by\s+"), ("endorsement", r"\btrusted\s+by\s+"),
     ("partnership", r"\b(?:integrated|integration)\s+with\s+"), ("partnership", r"\b(?:now\s+live|launching)\s+on\s+"), ("endorsement", r"\bused\s+by\s+(?:teams\s+at\s+)?"),
 ]
+# A person's name, and how a quote is attributed to one.
 _PERSON = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
 _TESTIMONIALS = [rf'["“][^"”]{{10,}}["”]\s*[-,]{{1,2}}\s*{_PERSON}', rf"\b(?:says|said)\s+{_PERSON}\s*[,:]"]
 
@@ -60,6 +63,7 @@ def proof_violations(docs: DataFrame, *, allowed: list[str] = (), own_name: str
     """(id, kind, entity) of claimed relationships, testimonials and impersonations that the allow-list does not cover."""
     listed = [n.lower() for n in (*allowed, *COVERED, own_name)]
     patterns = [(k, f"(?i){p}{_ENTITY}", True) for k, p in _RELATIONS] + [("testimonial", p, False) for p in _TESTIMONIALS]
+    # Phrases that speak as or for somebody else
     patterns += [("impersonation", rf"(?i)\bwe\s+are\s+(?:the\s+)?(?:team\s+behind|official)\s+(?!{own_name}\b)([A-Z][\w.$-]*)", False), ("impersonation", rf"(?i)\bon\s+behalf\s+of\s+(?!{own_name}\b)([A-Z][\w.$-]*)", False)]
 
     def found(kind: str, pattern: str, proper: bool):
@@ -77,12 +81,13 @@ def publish_decision(content: DataFrame, claim_faults: DataFrame, proof_faults:
     met = content.join(bad, id_col, "left")
     blocked = F.coalesce("faulty", F.lit(False)) | ((F.col("channel") == "email") & ~F.contains(F.col("text"), F.lit(UNSUBSCRIBE)))
     cap = F.element_at(F.create_map(*(F.lit(x) for kv in CADENCE.items() for x in kv)), F.col("channel"))
-    turn = F.row_number().over(Window.partitionBy("channel", utc_date(F.col("posted")), "blocked").orderBy("posted", id_col))
-    return met.withColumn("blocked", blocked).withColumn("turn", turn).withColumn("decision", F.when(F.col("blocked"), "BLOCKED").when(F.col("turn") > cap, "deferred").otherwise("ready")).drop("faulty", "turn")
+    ordered = met.withColumns({"blocked": blocked, "day": utc_date(F.col("posted")), "one": F.lit(1)})
+    turns = running_sums(ordered, ["channel", "day", "blocked"], ["posted", id_col], ["one"])  # a channel's day is spread over tasks
+    return turns.withColumn("decision", F.when(F.col("blocked"), "BLOCKED").when(F.col("before_one") >= cap, "deferred").otherwise("ready")).drop("faulty", "one", "before_one", "day")
 
 
 def tag_links(content: DataFrame, *, site: str, text_col: str = "text") -> DataFrame:
-    """Own-site links with utm tags of the row's channel; & where the link has a query already."""
+    """Own-site links with utm tags of the row's channel. A query is not part of the link that is matched, so the tags always follow a question mark."""
     escaped = site.replace(".", r"\.")
     tags = F.concat(F.lit("utm_source="), F.col("channel"), F.lit("&utm_medium=autopilot"))
     tagged = F.regexp_replace(F.col(text_col), F.lit(rf"(https://{escaped}(?:/[\w/#-]*)?)"), F.concat(F.lit("$1?"), tags))

@@ -16,13 +16,13 @@ MERGE, SURFACE = 0.85, 0.5
 
 
 def build_nodes(transfers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, times): first and second sender per address; directed counts; activity times."""
+    """(nodes, edges, times): first and second sender per address; directed counts; activity times. Nodes and edges are stored: every signal reads them."""
     inbound = transfers.where((F.col("to_addr") == F.col("address")) & (F.col("from_addr") != "") & F.col("ts").isNotNull())
     early = Window.partitionBy("address").orderBy("ts", "hash")
     first = inbound.withColumn("rn", F.row_number().over(early)).where("rn <= 2").groupBy("address").agg(F.max(F.when(F.col("rn") == 1, F.col("from_addr"))).alias("funder"), F.max(F.when(F.col("rn") == 2, F.col("from_addr"))).alias("gas_funder"))
-    nodes = transfers.select("address").distinct().join(first, "address", "left")
+    nodes = materialise(transfers.select("address").distinct().join(first, "address", "left"), "nodes")
     edges = _directed(transfers).groupBy("address", "other").agg(F.sum("out").alias("sent"))
-    return nodes, edges.where("sent > 0"), transfers.where("ts is not null").select("address", "ts")
+    return nodes, materialise(edges.where("sent > 0"), "edges"), transfers.where("ts is not null").select("address", "ts")
 
 
 def shared_funder_pairs(nodes: DataFrame, *, degree_cap: int | None = None) -> DataFrame:
@@ -60,14 +60,31 @@ def direct_transfer_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", conf.alias("conf")).where("conf > 0")
 
 
-def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3) -> DataFrame:
-    """Share of a's times with a time of b within the tolerance, over the shorter list: an interval join on time buckets."""
+def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3, among: DataFrame | None = None) -> DataFrame:
+    """Share of a's times with a time of b within the tolerance, over the shorter list: an interval join on time buckets.
+
+    Equal times of an address are one tick with a count. A tick meets others in the bucket of
+    `tolerance` seconds that it is in, and in the next one: each pair of neighbouring ticks in
+    just one bucket. among: pairs (a, b); with it only these are looked at, which joins on the
+    pair's address and the bucket in place of the bucket alone (the others are lost, so it is off
+    by default).
+    """
     busy = times.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    own = times.join(busy, "address").withColumn("bucket", F.floor(F.col("ts") / tolerance)).withColumn("row", F.row_number().over(Window.partitionBy("address").orderBy("ts")))
-    x = own.select(F.col("address").alias("a"), F.col("ts").alias("ta"), "row", F.col("n").alias("na"), F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))).alias("k"))
-    y = own.select(F.col("address").alias("b"), F.col("ts").alias("tb"), F.col("n").alias("nb"), F.col("bucket").alias("kb"))
-    met = x.join(y, (F.col("k") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= tolerance))
-    return met.groupBy("a", "b").agg(F.least(F.lit(1.0), F.count_distinct("row") / F.least(F.max("na"), F.max("nb"))).alias("conf"))
+    ticks = times.groupBy("address", "ts").agg(F.count("*").alias("k")).join(busy, "address")
+    own = materialise(ticks.withColumn("bucket", F.floor(F.col("ts") / tolerance)), "ticks")
+    x = own.select(F.col("address").alias("xa"), F.col("ts").alias("xt"), F.col("k").alias("xk"), F.col("n").alias("xn"), "bucket")
+    y = own.select(F.col("address").alias("ya"), F.col("ts").alias("yt"), F.col("k").alias("yk"), F.col("n").alias("yn"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("met"))
+    close = (F.col("bucket") == F.col("met")) & (F.col("xt") - F.col("yt") <= tolerance) & (F.col("xt") >= F.col("yt")) & (F.col("xa") != F.col("ya"))
+    if among is None:
+        met = x.join(y, close)
+    else:
+        pair = among.select(F.col("a").alias("xa"), F.col("b").alias("other")).unionByName(among.select(F.col("b").alias("xa"), F.col("a").alias("other"))).distinct()
+        met = x.join(pair, "xa").join(y, close & (F.col("other") == F.col("ya")))
+    first = F.col("xa") < F.col("ya")
+    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    # b may be before or after a, so a tick of a can meet b from either side and counts once
+    hit = met.select(pick("xa", "ya").alias("a"), pick("ya", "xa").alias("b"), pick("xt", "yt").alias("t"), pick("xk", "yk").alias("k"), F.least("xn", "yn").alias("shorter")).groupBy("a", "b", "t").agg(F.first("k").alias("k"), F.first("shorter").alias("shorter"))
+    return hit.groupBy("a", "b").agg(F.least(F.lit(1.0), F.sum("k") / F.first("shorter")).alias("conf"))
 
 
 def score_pairs(**signals: DataFrame) -> DataFrame:
@@ -82,7 +99,8 @@ def score_pairs(**signals: DataFrame) -> DataFrame:
 
 
 def merge_and_surface(links: DataFrame, *, min_signals: int = 1) -> DataFrame:
-    """links with decision: merge, surface or none."""
+    """links with decision: merge, surface or none. Confidences are compared at nine decimals, so a product that should reach a threshold does."""
+    links = links.withColumn("confidence", F.round("confidence", 9))
     merge = (F.col("confidence") >= MERGE) & (F.col("n_signals") >= min_signals)
     return links.withColumn("decision", F.when(merge, "merge").when(F.col("confidence") >= SURFACE, "surface").otherwise("none"))
 
@@ -91,16 +109,16 @@ def cluster(links: DataFrame) -> DataFrame:
     """(entity_id, address, size, cohesion) of components of at least two over the merge links; id is the smallest address."""
     merged = materialise(links.where("decision = 'merge'").select("a", "b", "confidence"), "merge-links")
     members = materialise(connected_components(merged), "members").select(F.col("node").alias("address"), F.col("component").alias("entity_id"))
-    tight = merged.join(members, F.col("a") == F.col("address")).groupBy("entity_id").agg(F.min("confidence").alias("cohesion"))
-    sizes = members.groupBy("entity_id").agg(F.count("*").alias("size"))
-    return members.join(sizes, "entity_id").join(tight, "entity_id").select("entity_id", "address", "size", "cohesion")
+    tight = merged.join(members, F.col("a") == F.col("address")).select("entity_id", "confidence", F.lit(0).alias("member"))
+    sums = tight.unionByName(members.select("entity_id", F.lit(None).cast("double").alias("confidence"), F.lit(1).alias("member"))).groupBy("entity_id").agg(F.sum("member").alias("size"), F.min("confidence").alias("cohesion"))
+    return members.join(sums, "entity_id").select("entity_id", "address", "size", "cohesion")
 
 
 def entity_scores(members: DataFrame, *, now: int, half_life_days: int = 180) -> DataFrame:
     """Rounded mean score per entity, weighted by activity and recency; a single member keeps its score. members: entity_id, score, activity, last_active_ts."""
-    weight = F.greatest("activity", F.lit(1)) * F.pow(F.lit(0.5), (now - F.col("last_active_ts")) / (half_life_days * DAY))
-    sums = members.withColumn("w", weight).groupBy("entity_id").agg(F.count("*").alias("n"), F.max("score").alias("one"), F.sum(F.col("w") * F.col("score")).alias("ws"), F.sum("w").alias("w"))
-    return sums.select("entity_id", F.col("n").alias("members"), F.when(F.col("n") == 1, F.col("one")).otherwise(round_half_up(F.col("ws") / F.col("w"))).cast("long").alias("score"))
+    weight = F.greatest("activity", F.lit(1)) * F.pow(F.lit(0.5), F.greatest(F.lit(0), now - F.col("last_active_ts")) / (half_life_days * DAY))
+    sums = members.withColumn("w", weight).groupBy("entity_id").agg(F.count("*").alias("n"), F.max("score").alias("one"), F.sum(F.col("w") * F.col("score")).alias("ws"), F.sum("w").alias("w"), F.avg("score").alias("plain"))
+    return sums.select("entity_id", F.col("n").alias("members"), F.when(F.col("n") == 1, F.col("one")).otherwise(round_half_up(F.when(F.col("w") > 0, F.col("ws") / F.col("w")).otherwise(F.col("plain")))).cast("long").alias("score"))
 
 
 def merge_audit(log: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def normalize_transfers(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ts", F.coalesce(number, F.unix_seconds(iso))).withColumn("from_addr", F.lower("from_addr")).withColumn("to_addr", F.lower("to_addr")).withColumn("address", F.lower("address"))
 
 
-def merge_transfers(sent: DataFrame, received: DataFrame, *, limit: int | None = 10_000) -> DataFrame:
-    """Both directions as one history: known times only, one row per hash (sent first), newest `limit` per wallet."""
+def merge_transfers(sent: DataFrame, received: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Both directions as one history: known times only, one row per hash (sent first); the newest `limit` per wallet if one is given."""
     both = sent.withColumn("__side", F.lit(0)).unionByName(received.withColumn("__side", F.lit(1))).where("ts is not null")
     once = both.withColumn("__rn", F.row_number().over(Window.partitionBy(*KEY, "hash").orderBy("__side", "ts"))).where("__rn = 1").drop("__rn", "__side")
     if limit is None:
@@ -125,24 +125,41 @@ def borrower_stats(events: DataFrame) -> DataFrame:
 
 
 def hex_to_double(c: Column | str) -> Column:
-    """Up to 256 bits of hexadecimal to double, eight digits at a time; '0x' is 0, null and unreadable give null."""
-    digits = F.regexp_replace(F.lower(c), "^0x", "")
-    padded = F.lpad(digits, 64, "0")
-    parts = [F.conv(F.substring(padded, 8 * i + 1, 8), 16, 10).cast("double") * float(2 ** (32 * (7 - i))) for i in range(8)]
-    return F.when(digits.rlike("^[0-9a-f]{0,64}$"), sum(parts[1:], parts[0]))
+    """Up to 256 bits of hexadecimal to double; '0x' is 0, null and unreadable give null.
+
+    Nearly all balances have at most 15 digits once leading zeros are gone, and take one
+    conversion; longer ones are put together from eight parts.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    digits = F.regexp_extract(c, r"^(?:0[xX])?0*([0-9a-fA-F]{0,64})$", 1)
+    ok = c.rlike(r"^(?:0[xX])?[0-9a-fA-F]{0,64}$")
+
+    def long_form(d: Column) -> Column:
+        padded = F.lpad(d, 64, "0")
+        parts = [F.conv(F.substring(padded, 8 * i + 1, 8), 16, 10).cast("double") * float(2 ** (32 * (7 - i))) for i in range(8)]
+        return sum(parts[1:], parts[0])
+
+    # the digits are cleaned once: a lambda's variable is computed once a row, however often it stands in the body
+    decoded = F.transform(F.array(digits), lambda d: F.when(d == "", 0.0).when(F.length(d) <= 15, F.conv(d, 16, 10).cast("double")).otherwise(long_form(d)))
+    return F.when(ok, decoded[0])
 
 
 def portfolio_features(balances: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Token diversity, stablecoin dollars and share, and role flags. tokens: contract, role, decimals, price (a small dimension)."""
-    met = balances.withColumn("raw", hex_to_double("balance_hex")).where("raw > 0").join(F.broadcast(tokens), "contract", "left")
-    usd = F.col("raw") / F.pow(F.lit(10.0), F.col("decimals")) * F.coalesce("price", F.lit(0.0))
-    stable = F.col("role") == "stable"
-    flag = lambda cond: F.coalesce(F.max(cond), F.lit(False))
-    out = met.groupBy(*KEY).agg(
-        F.count_distinct("contract").alias("token_diversity"), F.sum(F.when(stable, usd).otherwise(0.0)).alias("stablecoin_usd"), F.sum(F.coalesce(usd, F.lit(0.0))).alias("total_portfolio_usd"),
-        flag(F.col("role") == "lido").alias("has_staked_eth"), flag((F.col("role") == "aave_v3") | ((F.col("role") == "aave_v2") & (F.col("chain") == "ethereum"))).alias("has_aave"),
-        flag((F.col("role") == "compound") & (F.col("chain") == "ethereum")).alias("has_compound"),
+    """Token diversity, stablecoin dollars and share, and role flags. tokens: contract, role, decimals, price (a small dimension).
+
+    Equal balances of a wallet in a contract are counted first, so each is decoded once.
+    """
+    held = balances.groupBy(*KEY, "contract", "balance_hex").agg(F.count("*").alias("copies"))
+    met = held.withColumn("raw", hex_to_double("balance_hex")).join(F.broadcast(tokens), "contract", "left")
+    usd = F.col("raw") / F.pow(F.lit(10.0), F.col("decimals")) * F.coalesce("price", F.lit(0.0)) * F.col("copies")
+    some, stable = F.col("raw") > 0, F.col("role") == "stable"
+    flag = lambda cond: F.coalesce(F.max(some & cond), F.lit(False))
+    by_contract = met.groupBy(*KEY, "contract").agg(
+        flag(F.lit(True)).alias("held"), F.sum(F.when(some & stable, usd).otherwise(0.0)).alias("stable_usd"), F.sum(F.when(some, F.coalesce(usd, F.lit(0.0))).otherwise(0.0)).alias("usd"),
+        flag(F.col("role") == "lido").alias("lido"), flag((F.col("role") == "aave_v3") | ((F.col("role") == "aave_v2") & (F.col("chain") == "ethereum"))).alias("aave"),
+        flag((F.col("role") == "compound") & (F.col("chain") == "ethereum")).alias("compound"),
     )
+    out = by_contract.where("held").groupBy(*KEY).agg(F.count("*").alias("token_diversity"), F.sum("stable_usd").alias("stablecoin_usd"), F.sum("usd").alias("total_portfolio_usd"), F.max("lido").alias("has_staked_eth"), F.max("aave").alias("has_aave"), F.max("compound").alias("has_compound"))
     return out.withColumn("stablecoin_pct", F.when(F.col("total_portfolio_usd") > 0, F.col("stablecoin_usd") / F.col("total_portfolio_usd") * 100).otherwise(0.0))
 
 
@@ -153,12 +170,17 @@ def identity_flags(accounts: DataFrame) -> DataFrame:
 
 
 def protocols_used(df: DataFrame) -> DataFrame:
-    """df with protocols_used in fixed order, and their count."""
+    """df with protocols_used in fixed order, and protocols_used_count, which is a feature of its own.
+
+    The list names a lending protocol from a borrow or a repay on; the count from a borrow on.
+    """
+    used = lambda f, *kinds: sum((F.col(f"{f}_{k}") for k in kinds[1:]), F.col(f"{f}_{kinds[0]}")) > 0
     names = F.array_compact(F.array(
-        F.when(F.col("has_aave") | (F.col("aave_borrows") > 0), "Aave"), F.when(F.col("has_compound") | (F.col("compound_borrows") > 0), "Compound"),
-        F.when(F.col("has_uniswap_lp"), "Uniswap"), F.when(F.col("has_staked_eth"), F.when(F.col("chain") == "ethereum", "Lido").otherwise("Lido (bridged)")),
+        F.when(F.col("has_aave") | used("aave", "borrows", "repays"), "Aave"), F.when(F.col("has_compound") | used("compound", "borrows", "repays"), "Compound"),
+        F.when(F.col("has_uniswap_lp"), "Uniswap"), F.when(F.col("has_staked_eth"), F.when(F.col("chain") == "ethereum", "Lido").otherwise("Lido (wstETH)")),
     ))
-    return df.withColumn("protocols_used", names).withColumn("protocols_used_count", F.size(names))
+    counted = [F.col("has_aave") | used("aave", "borrows"), F.col("has_compound") | used("compound", "borrows"), F.col("has_uniswap_lp"), F.col("has_staked_eth")]
+    return df.withColumn("protocols_used", names).withColumn("protocols_used_count", sum((c.cast("int") for c in counted[1:]), counted[0].cast("int")))
 
 
 def derived_ratios(df: DataFrame) -> DataFrame:
@@ -199,13 +221,29 @@ def days_since_first_defi(events: DataFrame, first_tx: DataFrame, *, as_of: int,
     return first_tx.join(borrowed, KEY).select(*KEY, F.floor((as_of - F.col("first_ts")) / DAY).alias("days_since_first_defi"))
 
 
-def point_in_time_features(transfers: DataFrame, events: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Activity and lending counts strictly before each row's own cutoff. as_of: address, chain, cutoff."""
+def point_in_time_features(transfers: DataFrame, events: DataFrame, as_of: DataFrame, *, balances: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """Activity, lending, ratios and (from dated balances) portfolio strictly before each row's own cutoff. as_of: address, chain, cutoff.
+
+    balances: address, chain, contract, balance_hex, ts; the last balance of a contract before
+    the cutoff counts.
+    """
     keys = [*KEY, "cutoff"]
     back = lambda d: F.col("ts") >= F.col("cutoff") - d * DAY
-    tx = as_of.join(transfers, KEY).where("ts < cutoff").groupBy(*keys).agg(F.count("*").alias("tx_count"), count_if(back(30)).alias("tx_count_30d"), count_if(back(90)).alias("tx_count_90d"), F.floor((F.col("cutoff") - F.min("ts")) / DAY).alias("wallet_age_days"))
-    lend = as_of.join(events, KEY).where("ts < cutoff").groupBy(*keys).agg(count_if(F.col("kind") == "borrow").alias("total_borrows"), count_if(F.col("kind") == "repay").alias("total_repays"), count_if(F.col("kind") == "liquidation").alias("prior_liquidation_count"))
-    return as_of.join(tx, keys, "left").join(lend, keys, "left").fillna(0)
+    tx = as_of.join(transfers, KEY).where("ts < cutoff").groupBy(*keys).agg(
+        F.count("*").alias("tx_count"), *(count_if(back(d)).alias(f"tx_count_{d}d") for d in (30, 90, 180)), F.count_distinct(utc_date(F.col("ts"))).alias("active_days_count"),
+        F.count_distinct(F.when(back(365), utc_month(F.col("ts")))).alias("active_months_12"), F.floor((F.col("cutoff") - F.min("ts")) / DAY).alias("wallet_age_days"),
+    )
+    of = lambda f, k: count_if((F.col("family") == f) & (F.col("kind") == k))
+    lend = as_of.join(events, KEY).where("ts < cutoff").groupBy(*keys).agg(
+        *(of(f, k).alias(f"{f}_{n}") for f in ("aave", "compound") for k, n in (("borrow", "borrows"), ("repay", "repays"), ("liquidation", "liquidations"))), F.floor((F.col("cutoff") - F.min("ts")) / DAY).alias("days_since_first_defi"),
+    )
+    out = as_of.join(tx, keys, "left").join(lend, keys, "left")
+    if balances is not None:
+        last = as_of.join(balances, KEY).where("ts < cutoff").groupBy(*keys, "contract").agg(F.max_by("balance_hex", "ts").alias("balance_hex"))
+        held = last.withColumns({"address": F.to_json(F.struct("address", "cutoff"))})  # a wallet at a cutoff is a holder of its own
+        own = portfolio_features(held, tokens).withColumn("k", F.from_json("address", "address string, cutoff long")).withColumns({"address": F.col("k.address"), "cutoff": F.col("k.cutoff")}).drop("k")
+        out = out.join(own, keys, "left").fillna(False)
+    return derived_ratios(out.fillna(0))
 
 
 def training_features(df: DataFrame) -> DataFrame:

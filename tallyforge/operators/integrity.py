@@ -92,10 +92,9 @@ def detect(transfers: DataFrame, events: DataFrame, related: DataFrame | None =
     parts = {"wash_trading": wash_trading(transfers, related), "burst_timing": burst_timing(transfers)}
     if not live_parity:
         parts |= {"sybil_funding": sybil_funding(transfers), "instant_repay": instant_repay(events)}
-    out = None
+    each = None
     for name, part in parts.items():
-        own = part.select(*KEY, F.col("severity").alias(name))
-        out = own if out is None else out.join(own, KEY, "full")
-    for name in WEIGHTS:
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)) if name in parts else F.lit(0.0))
-    return combine_signals(out)
+        own = part.select(*KEY, F.lit(name).alias("detector"), F.col("severity").cast("double").alias("severity"))
+        each = own if each is None else each.unionByName(own)
+    severity = lambda name: F.coalesce(F.max(F.when(F.col("detector") == name, F.col("severity"))), F.lit(0.0)).alias(name)
+    return combine_signals(each.groupBy(*KEY).agg(*(severity(name) for name in WEIGHTS)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.plans.prefix import exact_quantiles
+
 KEY = ["address", "chain"]
 SNAPSHOT_KEY = ["address", "chain", "valid_at_ts", "feature_set_version"]
 
@@ -80,10 +82,18 @@ def stratified_split(df: DataFrame, *, share: float = 0.2, seed: int = 42, label
 
 def clip_quantile(df: DataFrame, cols: list[str], *, q: float = 0.99) -> DataFrame:
     """Values above each column's q-quantile (linear interpolation) become it."""
-    caps = df.agg(*(F.percentile(c, q).alias(c) for c in cols)).first()  # one row
+    caps = {c: exact_quantiles(df, c, [q])[0] for c in cols}
     return df.withColumns({c: F.when(F.col(c) > caps[c], F.lit(caps[c])).otherwise(F.col(c)) for c in cols if caps[c] is not None})
 
 
+def drop_missing(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df without the rows in which one of cols is null or not a number."""
+    kinds = dict(df.dtypes)
+    for c in cols:
+        df = df.where(F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("float", "double") else F.lit(True)))
+    return df
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum((F.col("label") == 1).cast("long")).alias("good"), F.sum((F.col("label") == 0).cast("long")).alias("bad"), F.sum((F.col("label") == -1).cast("long")).alias("excluded"))
 

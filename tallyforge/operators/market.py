@@ -17,16 +17,28 @@ def offered_apr(score: Column, min_score: Column, min_apr: Column, max_apr: Colu
     return F.when(score <= min_score, max_apr).when(score >= 850, min_apr).otherwise(round_half_up(max_apr - ratio * (max_apr - min_apr), 2))
 
 
-def search_listings(listings: DataFrame, lenders: DataFrame, *, now: int, min_amount: float | None = None, max_amount: float | None = None, max_apr: float | None = None, sort: str = "newest", page: int = 1) -> DataFrame:
-    """One page of open, unexpired listings in range, with total, pages and the lender's score; ties go by listing id."""
+def search_listings(
+    listings: DataFrame, lenders: DataFrame, *, now: int, currency: str | None = None, chain: str | None = None, min_amount: float | None = None, max_amount: float | None = None,
+    min_apr: float | None = None, max_apr: float | None = None, min_duration: int | None = None, max_duration: int | None = None, min_lender_score: int | None = None, sort: str = "newest", page: int = 1,
+) -> DataFrame:
+    """One page of open, unexpired listings in range, with total, pages and the lender's score of today; ties go by listing id.
+
+    min_apr bounds a listing's own lowest rate, max_apr its own highest; min_lender_score the
+    lender's score when the listing was made. An unknown sort is newest.
+    """
+    limits = [
+        ("currency", "=", currency), ("listing_chain", "=", chain), ("amount", ">=", min_amount), ("amount", "<=", max_amount), ("min_apr", ">=", min_apr), ("max_apr", "<=", max_apr),
+        ("duration_days", ">=", min_duration), ("duration_days", "<=", max_duration), ("lender_score", ">=", min_lender_score),
+    ]
     df = listings.where((F.col("status") == "OPEN") & (F.col("expires") > now))
-    for limit, cond in ((min_amount, F.col("amount") >= F.lit(min_amount)), (max_amount, F.col("amount") <= F.lit(max_amount)), (max_apr, F.col("min_apr") <= F.lit(max_apr))):
+    for column, how, limit in limits:
         if limit is not None:
-            df = df.where(cond)
-    order = {"newest": [F.desc("created")], "apr_asc": [F.asc("min_apr")], "amount_desc": [F.desc("amount")], "expiring": [F.asc("expires")]}[sort]
+            c = F.col(column)
+            df = df.where(c == F.lit(limit) if how == "=" else c >= F.lit(limit) if how == ">=" else c <= F.lit(limit))
+    order = {"lowest_apr": F.asc("min_apr"), "highest_lender_score": F.desc("lender_score"), "amount": F.desc("amount")}.get(sort, F.desc("created"))
     total = df.agg(F.count("*").alias("total"))
-    top = df.orderBy(*order, "listing_id").limit(page * PAGE).withColumn("pos", F.row_number().over(Window.orderBy(*order, "listing_id"))).where(F.col("pos") > (page - 1) * PAGE)
-    met = top.join(lenders.select(F.col("address").alias("lender"), F.col("score").alias("lender_score")), "lender", "left")
+    top = df.orderBy(order, "listing_id").limit(page * PAGE).withColumn("pos", F.row_number().over(Window.orderBy(order, "listing_id"))).where(F.col("pos") > (page - 1) * PAGE)
+    met = top.join(lenders.select(F.col("address").alias("lender"), F.col("score").alias("lender_score_now")), "lender", "left")
     return met.crossJoin(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / PAGE))  # total is one row
 
 
@@ -47,12 +59,15 @@ def application_eligibility(applications: DataFrame, listings: DataFrame, wallet
     return met.withColumn("reason", reason.when(F.col("score") < F.col("min_score"), "score too low").when(F.col("has_live"), "already applied").otherwise("ok"))
 
 
-def originate_loans(applications: DataFrame, listings: DataFrame, wallets: DataFrame) -> DataFrame:
-    """One loan per listing from its earliest accepted application: APR, fee, net amount, due time."""
-    won = applications.where("status = 'ACCEPTED'").groupBy("listing_id").agg(F.min(F.struct("created", "application_id", "borrower", "amount")).alias("x")).select("listing_id", "x.*").withColumnRenamed("created", "originated")
-    met = won.join(listings.select("listing_id", "lender", "min_apr", "max_apr", "min_score", "duration_days"), "listing_id").join(wallets.select(F.col("address").alias("borrower"), "score"), "borrower")
+def originate_loans(applications: DataFrame, listings: DataFrame) -> DataFrame:
+    """One loan per listing from its earliest accepted application: rate by the borrower's score when applying, collateral, fee, net amount, due time."""
+    won = applications.where("status = 'ACCEPTED'").groupBy("listing_id").agg(F.min(F.struct("created", "application_id", "borrower", "amount", "borrower_score")).alias("x")).select("listing_id", "x.*").withColumnRenamed("created", "originated")
+    met = won.join(listings.select("listing_id", "lender", "currency", "min_apr", "max_apr", "min_score", "duration_days", "collateral_pct"), "listing_id")
     fee = F.col("amount") * FEE
-    return met.withColumns({"apr": offered_apr(F.col("score"), F.col("min_score"), F.col("min_apr"), F.col("max_apr")), "fee": fee, "net_amount": F.col("amount") - fee, "due": F.col("originated") + F.col("duration_days") * DAY})
+    return met.withColumns({
+        "apr": offered_apr(F.col("borrower_score"), F.col("min_score"), F.col("min_apr"), F.col("max_apr")), "collateral": F.col("amount") * (F.col("collateral_pct") / 100),
+        "fee": fee, "net_amount": F.col("amount") - fee, "due": F.col("originated") + F.col("duration_days") * DAY,
+    })
 
 
 def _sides(loans: DataFrame) -> DataFrame:
@@ -98,9 +113,14 @@ def review_eligibility(reviews: DataFrame, loans: DataFrame) -> DataFrame:
     return met.withColumn("rn", rn).withColumn("reason", F.when(F.col("status").isNull() | (F.col("status") != "REPAID"), "loan not repaid").when(~party, "not a party").when(~F.col("rating").between(1, 5), "bad rating").when(F.col("rn") > 1, "already reviewed").otherwise("ok"))
 
 
-def lender_eligibility(listings: DataFrame, wallets: DataFrame, *, least: int = 500) -> DataFrame:
-    met = listings.join(wallets.select(F.col("address").alias("lender"), "score"), "lender", "left")
-    return met.withColumn("reason", F.when(F.col("score").isNull(), "wallet not scored").when(F.col("score") < least, "score too low").when(F.col("min_apr") > F.col("max_apr"), "apr bounds").when(F.col("amount") <= 0, "amount").when(F.col("expires") <= F.col("created"), "expiry").otherwise("ok"))
+def lender_eligibility(listings: DataFrame, wallets: DataFrame, *, now: int, least: int = 500) -> DataFrame:
+    """Each proposed listing's first failing rule, or ok: its terms are checked before its lender."""
+    met = listings.join(wallets.select(F.col("address").alias("lender"), F.col("score").alias("wallet_score")), "lender", "left")
+    fits = lambda c, low, high: F.coalesce(F.col(c).between(low, high), F.lit(False))
+    reason = F.when(~(F.coalesce(F.col("amount") > 0, F.lit(False)) & fits("amount", 0, 1_000_000_000)), "amount").when(~F.coalesce(F.col("currency").rlike("^[A-Za-z0-9]{2,10}$"), F.lit(False)), "currency")
+    reason = reason.when(~(fits("min_apr", 0, 1000) & fits("max_apr", 0, 1000)), "apr range").when(~fits("duration_days", 1, 3650), "duration").when(~fits("min_score", 300, 850), "borrower score").when(~fits("collateral_pct", 0, 1000), "collateral")
+    reason = reason.when(F.col("max_apr") < F.col("min_apr"), "apr bounds").when(~F.coalesce(F.col("expires") > now, F.lit(False)), "expiry").when(F.col("wallet_score").isNull(), "wallet not scored").when(F.col("wallet_score") < least, "score too low")
+    return met.withColumn("reason", reason.otherwise("ok"))
 
 
 def notification_feed(notifications: DataFrame, *, n: int = 50) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.plans.prefix import exact_quantiles
+
 KEY = ["address", "chain"]
 
 
@@ -61,10 +63,15 @@ def score_history(history: DataFrame, *, n: int = 30, newest: bool = False) -> D
     return history.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
 
 
-def request_summary(log: DataFrame) -> DataFrame:
-    """Exact latency percentiles, maximum, throughput per second, and counts by status and cache use."""
-    span = F.greatest(F.max("ts") - F.min("ts"), F.lit(1))
-    by = lambda s: F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}")
-    q = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = log.agg(F.count("*").alias("n"), q.alias("q"), F.max("latency_ms").alias("max_ms"), (F.count("*") / span).alias("per_second"), by(200), by(429), by(500), F.sum(F.col("cached").cast("long")).alias("n_cached"))
-    return out.select("n", F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p95_ms"), F.col("q")[2].alias("p99_ms"), "max_ms", "per_second", "n_200", "n_429", "n_500", "n_cached")
+def request_summary(log: DataFrame, *, wall_seconds: float | None = None) -> DataFrame:
+    """One row: exact latency percentiles, maximum, requests per second, requests by status (a map, whatever the statuses are) and by cache use.
+
+    wall_seconds: the wall clock of the run; without it the time from the first to the last request. cached: true, false, or null where unknown.
+    """
+    p50, p95, p99 = exact_quantiles(log, "latency_ms", [0.5, 0.95, 0.99])
+    span = F.lit(float(wall_seconds)) if wall_seconds is not None else F.greatest(F.max("ts") - F.min("ts"), F.lit(1)).cast("double")
+    n = F.count("*")
+    one = log.agg(n.alias("n"), F.max("latency_ms").alias("max_ms"), F.when(span > 0, n / span).otherwise(0.0).alias("per_second"), F.count_if(F.col("cached")).alias("n_cached"), F.count_if(~F.col("cached")).alias("n_uncached"), F.count_if(F.col("cached").isNull()).alias("n_unknown"))
+    by = log.groupBy("status").agg(n.alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))  # one entry a status
+    fixed = {k: F.lit(v).cast("double") for k, v in (("p50_ms", p50), ("p95_ms", p95), ("p99_ms", p99))}
+    return one.crossJoin(F.broadcast(by)).withColumns(fixed)  # one row each

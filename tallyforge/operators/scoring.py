@@ -89,9 +89,11 @@ def score_trees(df: DataFrame, model: Ensemble, *, features: str = "features") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([[np.nan if v is None else v for v in row] for row in batch.column(features).to_pylist()], float).reshape(batch.num_rows, -1)
+            flat = batch.column(features).flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)  # null becomes NaN
             margin, parts = model.score(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin), pa.array(list(parts), pa.list_(pa.float64()))], [*names, "margin", "contributions"])
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * parts.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin), pa.ListArray.from_arrays(ends, pa.array(parts.ravel()))], [*names, "margin", "contributions"])
 
     return df.mapInArrow(run, f"{fields}, margin double, contributions array<double>")
 
@@ -190,6 +192,7 @@ def weakest_factors(df: DataFrame, *, k: int = 3) -> DataFrame:
 
 def score_solana(df: DataFrame, *, as_of: int) -> DataFrame:
     """Four capped factors with weights .30 .25 .25 .20 on 300..850, own cutoffs, step percentiles, the same gates."""
+    # The factors' caps, points and weights
     b = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
     age = F.coalesce((as_of - F.col("first_ts")) / DAY, F.lit(0.0))
     history = round_half_up(clamp(age / 730 * 50, 0, 50) + clamp(F.col("tx_count") / 500 * 30, 0, 30) + clamp(F.col("active_months_12") / 10 * 20, 0, 20))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, round_half_up, utc_date, utc_month
+from tallyforge.plans.prefix import running_sums
 
 # Plans (id, monthly price, scores a month, overage per score), default cap, blended cost per score.
 PLANS = [("free", 0.0, 1000, None), ("starter", 99.0, 10000, 0.012), ("growth", 499.0, 75000, 0.008), ("enterprise", None, 0, None)]
@@ -17,8 +18,13 @@ def plan_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PLANS, "plan string, price double, quota long, overage double")
 
 
+def money(c: Column) -> Column:
+    """Dollars as decimals of six places, so that sums and caps compare exactly."""
+    return c.cast("decimal(18,6)")
+
+
 def _overage(used: Column) -> Column:
-    return F.when(F.col("overage").isNull() | (used <= F.col("quota")), 0.0).otherwise((used - F.col("quota")) * F.col("overage"))
+    return money(F.when(F.col("overage").isNull() | (used <= F.col("quota")), 0).otherwise((used - F.col("quota")).cast("decimal(12,0)") * F.col("overage").cast("decimal(12,6)")))
 
 
 def _with_plan(df: DataFrame, subs: DataFrame, plans: DataFrame) -> DataFrame:
@@ -29,12 +35,15 @@ def _with_plan(df: DataFrame, subs: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def meter_usage(calls: DataFrame, subs: DataFrame, plans: DataFrame, *, cap: float = OVERAGE_CAP) -> DataFrame:
-    """Each call with used (its running number in the key's UTC month, refused calls included), allowed and reason."""
-    month = calls.withColumn("month", utc_month(F.col("ts")))
-    used = F.row_number().over(Window.partitionBy("api_key", "month").orderBy("ts", "event_id"))
-    met = _with_plan(month.withColumn("used", used), subs, plans).withColumn("overage_usd", _overage(F.col("used")))
+    """Each call with used (its running number in the key's UTC month, refused calls included), allowed and reason.
+
+    Calls are numbered by range partitions, so a key's month is spread over tasks.
+    """
+    month = calls.withColumns({"month": utc_month(F.col("ts")), "one": F.lit(1)})
+    numbered = running_sums(month, ["api_key", "month"], ["ts", "event_id"], ["one"])
+    met = _with_plan(numbered.withColumn("used", F.col("before_one") + 1).drop("one", "before_one"), subs, plans).withColumn("overage_usd", _overage(F.col("used")))
     over = F.col("used") > F.col("quota")
-    reason = F.when(over & F.col("overage").isNull(), "QUOTA_EXCEEDED").when(over & (F.col("overage_usd") > cap), "OVERAGE_CAP_REACHED")
+    reason = F.when(over & F.col("overage").isNull(), "QUOTA_EXCEEDED").when(over & (F.col("overage_usd") > money(F.lit(cap))), "OVERAGE_CAP_REACHED")
     return met.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
 
@@ -60,18 +69,18 @@ def subscription_state(events: DataFrame) -> DataFrame:
 
 
 def ops_digest(runs: DataFrame, outbox: DataFrame, *, now: int) -> DataFrame:
-    """Runs of the last day by agent and status with their cost, and pending items and executed spend of the last day."""
-    recent = runs.where((F.col("ts") > now - DAY) & (F.col("ts") <= now)).groupBy("agent", "status").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
-    own = outbox.agg(F.sum((F.col("status") == "PENDING").cast("long")).alias("pending"), F.sum(F.when((F.col("status") == "EXECUTED") & (F.col("ts") > now - DAY), F.col("amount")).otherwise(0.0)).alias("spend"))
+    """Runs of the last day by agent and status with their cost, all pending items, and the last day's executed spend: what items of kind SPEND cost."""
+    recent = runs.where((F.col("ts") >= now - DAY) & (F.col("ts") <= now)).groupBy("agent", "status").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    own = outbox.agg(F.sum((F.col("status") == "PENDING").cast("long")).alias("pending"), F.sum(F.when((F.col("kind") == "SPEND") & (F.col("status") == "EXECUTED") & F.col("ts").between(now - DAY, now), F.col("amount")).otherwise(0.0)).alias("spend"))
     return recent.crossJoin(F.broadcast(own))  # one row
 
 
 def spend_cap_audit(outbox: DataFrame, *, day_cap: float, channel_cap: float) -> DataFrame:
-    """Executed items with running spend of the UTC day, and of the day and channel, flagged beyond either cap."""
-    done = outbox.where("status = 'EXECUTED'").withColumn("day", utc_date(F.col("ts")))
-    upto = lambda *k: Window.partitionBy(*k).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = done.withColumn("day_spend", F.sum("amount").over(upto("day"))).withColumn("channel_spend", F.sum("amount").over(upto("day", "channel")))
-    return run.withColumn("over_cap", (F.col("day_spend") > day_cap) | (F.col("channel_spend") > channel_cap))
+    """Executed items with running spend of the UTC day, and of the day and channel, flagged beyond either cap. Sums go by range partitions."""
+    done = outbox.where("status = 'EXECUTED'").withColumns({"day": utc_date(F.col("ts")), "cost": money(F.col("amount"))})
+    by_day = running_sums(done, ["day"], ["ts", "event_id"], ["cost"]).withColumn("day_spend", F.col("before_cost") + F.col("cost")).drop("before_cost")
+    run = running_sums(by_day, ["day", "channel"], ["ts", "event_id"], ["cost"]).withColumn("channel_spend", F.col("before_cost") + F.col("cost")).drop("before_cost", "cost")
+    return run.withColumn("over_cap", (F.col("day_spend") > money(F.lit(day_cap))) | (F.col("channel_spend") > money(F.lit(channel_cap))))
 
 
 _REPORT = "struct<`effective-directive`:string,effectiveDirective:string,`violated-directive`:string,`blocked-uri`:string,blockedURL:string,`document-uri`:string,documentURL:string,disposition:string,`source-file`:string,sourceFile:string>"

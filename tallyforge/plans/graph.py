@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyforge.plans.scratch import materialise
@@ -14,15 +14,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Alternates large-star and small-star rewiring (Kiveris et al., 2014): every round
     replaces the edges by links to the smallest neighbour, until the edges are a star
     around each component's smallest node. Rounds grow with the logarithm of the longest
-    chain; each is cut by a table in the shared scratch folder. A node's neighbours are
+    chain; each is cut by a table in the shared scratch folder, whose write also tells
+    whether the round changed anything. A node's neighbours are
     never gathered: only their minimum is, with map-side combine, and joined back.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    pairs = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    state = _fingerprint(pairs)
+    pairs, state = _stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        pairs = materialise(_small_star(_large_star(pairs)), "cc")
-        now = _fingerprint(pairs)
+        pairs, now = _stored(_small_star(_large_star(pairs)))
         if now == state:
             break
         state = now
@@ -32,9 +31,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    r = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _stored(pairs: DataFrame) -> tuple[DataFrame, dict]:
+    """The pairs, stored, and a fingerprint of them that the write itself gathers."""
+    seen = Observation()
+    watched = pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"))
+    return materialise(watched, "cc"), seen.get
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.plans.scratch import materialise
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], *, partitions: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: str | list[str], values: list[str], *, partitions: int | None = None) -> DataFrame:
     """df with before_<v> for each v: the sum of v over the rows of the same keys with a smaller `order`.
 
     (keys, order) must be unique. Rows are dealt to range partitions and summed within
@@ -16,12 +16,32 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
     keys x partitions rows. The dealt rows are stored once, so both passes see the same
     partitions.
     """
+    order = [order] if isinstance(order, str) else order
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(df.repartitionByRange(n, *keys, order).withColumn("__part", F.spark_partition_id()), "running")
+    dealt = materialise(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "running")
     totals = dealt.groupBy(*keys, "__part").agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__part", *(F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__o_{v}") for v in values))
-    own = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = dealt.select("*", *(F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"__w_{v}") for v in values))
     met = summed.join(offsets, [*keys, "__part"])
     return met.select(*df.columns, *((F.col(f"__w_{v}") + F.col(f"__o_{v}")).alias(f"before_{v}") for v in values))
+
+
+def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation, as exact as a full sort, without one task holding all values.
+
+    Equal values are counted first; the running sums of the counts say which values stand at
+    the two ranks around each quantile. At most two rows a quantile reach the driver.
+    """
+    ticks = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    placed = materialise(running_sums(ticks, ["all"], "v", ["n"]), "ranks")
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return [None] * len(qs)
+    ranks = [q * (total - 1) for q in qs]
+    wanted = sorted({int(x) for r in ranks for x in (r // 1, -(-r // 1))})
+    last = F.col("before_n") + F.col("n")
+    hit = placed.where(F.exists(F.array(*(F.lit(w) for w in wanted)), lambda w: (w >= F.col("before_n")) & (w < last))).select("v", "before_n", last.alias("last")).collect()
+    at = {w: next(r["v"] for r in hit if r["before_n"] <= w < r["last"]) for w in wanted}
+    return [at[int(r // 1)] * (1 - r % 1) + at[int(-(-r // 1))] * (r % 1) for r in ranks]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, round_half_up
-from tallyforge.operators import backtest, entity, features, integrity, labels, market, monitoring, scoring, usage
+from tallyforge.operators import backtest, entity, features, integrity, labels, monitoring, scoring, wallets
 from tallyforge.sources import fixtures as v
 from tallyforge.sources.fixtures import AS_OF, with_views
 
@@ -197,8 +197,9 @@ wide AS (SELECT a.*, CAST(floor(({AS_OF} - first_ts) / 86400) AS BIGINT) AS wall
  coalesce(compound_liquidations, 0) AS compound_liquidations, coalesce(days_since_first_defi, 0) AS days_since_first_defi, CAST(substr(a.address, 2) AS INT) AS n FROM act a LEFT JOIN lc USING (address, chain))"""
 
 
-@query("b7_protocols_used", f"""WITH {_WIDE}, p AS (SELECT address, chain, concat_ws(',', CASE WHEN n % 5 = 0 OR aave_borrows > 0 THEN 'Aave' END, CASE WHEN n % 7 = 0 OR compound_borrows > 0 THEN 'Compound' END, CASE WHEN n % 3 = 0 THEN 'Uniswap' END, CASE WHEN n % 2 = 0 THEN CASE WHEN chain = 'ethereum' THEN 'Lido' ELSE 'Lido (bridged)' END END) AS protocols_used FROM wide)
-SELECT address, chain, protocols_used, CAST(CASE WHEN protocols_used = '' THEN 0 ELSE len(string_split(protocols_used, ',')) END AS INT) AS protocols_used_count FROM p""")
+@query("b7_protocols_used", f"""WITH {_WIDE}, p AS (SELECT address, chain, concat_ws(',', CASE WHEN n % 5 = 0 OR aave_borrows > 0 OR aave_repays > 0 THEN 'Aave' END, CASE WHEN n % 7 = 0 OR compound_borrows > 0 OR compound_repays > 0 THEN 'Compound' END, CASE WHEN n % 3 = 0 THEN 'Uniswap' END, CASE WHEN n % 2 = 0 THEN CASE WHEN chain = 'ethereum' THEN 'Lido' ELSE 'Lido (wstETH)' END END) AS protocols_used,
+ (n % 5 = 0 OR aave_borrows > 0)::INT + (n % 7 = 0 OR compound_borrows > 0)::INT + (n % 3 = 0)::INT + (n % 2 = 0)::INT AS protocols_used_count FROM wide)
+SELECT * FROM p""")
 def _(s, d) -> DataFrame:
     return features.protocols_used(_wide(s, d)).select("address", "chain", F.array_join("protocols_used", ",").alias("protocols_used"), "protocols_used_count")
 
@@ -237,15 +238,34 @@ def _(s, d) -> DataFrame:
     return features.days_since_first_defi(e, f, as_of=AS_OF).withColumn("mode", F.lit("exact")).unionByName(features.days_since_first_defi(e, f, as_of=AS_OF, mode="serving").withColumn("mode", F.lit("serving")))
 
 
-@query("b12_point_in_time_features", f"""WITH {with_views('transfers', 'lending')}, c AS (SELECT DISTINCT address, chain, {CUTOFF} + (CAST(substr(address, 2) AS BIGINT) % 5) * 86400 AS cutoff FROM transfers),
-t AS (SELECT c.address, c.chain, c.cutoff, count(*) AS tx_count, count(*) FILTER (ts >= cutoff - 30 * 86400) AS tx_count_30d, count(*) FILTER (ts >= cutoff - 90 * 86400) AS tx_count_90d, CAST(floor((cutoff - min(ts)) / 86400) AS BIGINT) AS wallet_age_days FROM c JOIN transfers x ON x.address = c.address AND x.chain = c.chain AND x.ts < cutoff GROUP BY c.address, c.chain, c.cutoff),
-l AS (SELECT c.address, c.chain, c.cutoff, count(*) FILTER (kind = 'borrow') AS total_borrows, count(*) FILTER (kind = 'repay') AS total_repays, count(*) FILTER (kind = 'liquidation') AS prior_liquidation_count FROM c JOIN lending x ON x.address = c.address AND x.chain = c.chain AND x.ts < cutoff GROUP BY c.address, c.chain, c.cutoff)
-SELECT c.address, c.chain, c.cutoff, coalesce(tx_count, 0) AS tx_count, coalesce(tx_count_30d, 0) AS tx_count_30d, coalesce(tx_count_90d, 0) AS tx_count_90d, coalesce(wallet_age_days, 0) AS wallet_age_days, coalesce(total_borrows, 0) AS total_borrows, coalesce(total_repays, 0) AS total_repays, coalesce(prior_liquidation_count, 0) AS prior_liquidation_count
-FROM c LEFT JOIN t USING (address, chain, cutoff) LEFT JOIN l USING (address, chain, cutoff)""")
+_AT = f"""c AS (SELECT DISTINCT address, chain, {CUTOFF} + (CAST(substr(address, 2) AS BIGINT) % 5) * 86400 AS cutoff FROM transfers),
+t AS (SELECT c.address, c.chain, c.cutoff, count(*) AS tx_count, count(*) FILTER (ts >= cutoff - 30 * 86400) AS tx_count_30d, count(*) FILTER (ts >= cutoff - 90 * 86400) AS tx_count_90d, count(*) FILTER (ts >= cutoff - 180 * 86400) AS tx_count_180d, count(DISTINCT ts // 86400) AS active_days_count,
+ count(DISTINCT CASE WHEN ts >= cutoff - 365 * 86400 THEN strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m') END) AS active_months_12, CAST(floor((cutoff - min(ts)) / 86400) AS BIGINT) AS wallet_age_days FROM c JOIN transfers x ON x.address = c.address AND x.chain = c.chain AND x.ts < cutoff GROUP BY c.address, c.chain, c.cutoff),
+l AS (SELECT c.address, c.chain, c.cutoff, {_COUNTS}, CAST(floor((cutoff - min(ts)) / 86400) AS BIGINT) AS days_since_first_defi FROM c JOIN lending x ON x.address = c.address AND x.chain = c.chain AND x.ts < cutoff GROUP BY c.address, c.chain, c.cutoff),
+bal AS (SELECT 'w' || l_suppkey AS address, {v._c('l_suppkey')} AS chain, 'c' || (l_partkey % 12) AS contract, CAST(trunc(l_extendedprice) AS DOUBLE) * 1000000 AS raw, {CUTOFF} + (l_orderkey % 1000 - 500) * 1000 + l_linenumber AS ts, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
+lb AS (SELECT c.address, c.chain, c.cutoff, contract, arg_max(raw, ts * 1000 + k % 7) AS raw FROM c JOIN bal USING (address, chain) WHERE bal.ts < cutoff GROUP BY ALL), tok(contract, role, decimals, price) AS (VALUES {', '.join(str(t) for t in _TOKENS)}),
+p AS (SELECT address, chain, cutoff, count(*) FILTER (raw > 0) AS token_diversity, sum(CASE WHEN role = 'stable' THEN raw / power(10, decimals) * price ELSE 0 END) AS usd FROM lb LEFT JOIN tok USING (contract) GROUP BY ALL),
+b AS (SELECT c.address, c.chain, c.cutoff, coalesce(tx_count, 0) AS tx_count, coalesce(tx_count_30d, 0) AS tx_count_30d, coalesce(tx_count_90d, 0) AS tx_count_90d, coalesce(tx_count_180d, 0) AS tx_count_180d, coalesce(active_days_count, 0) AS active_days_count, coalesce(active_months_12, 0) AS active_months_12, coalesce(wallet_age_days, 0) AS wallet_age_days,
+ coalesce(days_since_first_defi, 0) AS days_since_first_defi, coalesce(aave_borrows, 0) AS aave_borrows, coalesce(compound_repays, 0) AS compound_repays, coalesce(aave_borrows, 0) + coalesce(compound_borrows, 0) AS total_borrows, coalesce(aave_repays, 0) + coalesce(compound_repays, 0) AS total_repays, coalesce(aave_liquidations, 0) + coalesce(compound_liquidations, 0) AS prior_liquidation_count,
+ coalesce(token_diversity, 0) AS token_diversity, round(coalesce(usd, 0), 3) AS stablecoin_usd FROM c LEFT JOIN t USING (address, chain, cutoff) LEFT JOIN l USING (address, chain, cutoff) LEFT JOIN p USING (address, chain, cutoff))"""
+
+
+@query("b12_point_in_time_features", f"WITH {with_views('transfers', 'lending')}, {_AT} SELECT *, round(total_repays / greatest(total_borrows, 1), 6) AS repayment_ratio, round(least(total_borrows / greatest(wallet_age_days, 1), 50), 6) AS borrow_velocity, round(least(days_since_first_defi / greatest(wallet_age_days, 1), 1.5), 6) AS defi_tenure_ratio FROM b")
 def _(s, d) -> DataFrame:
     t = v.transfers(s, d)
     cut = t.select("address", "chain").distinct().withColumn("cutoff", CUTOFF + (F.substring("address", 2, 9).cast("long") % 5) * DAY)
-    return features.point_in_time_features(t, v.lending_events(s, d), cut)
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    dated = v.table(s, d, "lineitem").select(
+        F.concat(F.lit("w"), F.col("l_suppkey").cast("string")).alias("address"), v._chain(F.col("l_suppkey")).alias("chain"), F.concat(F.lit("c"), (F.col("l_partkey") % 12).cast("string")).alias("contract"),
+        F.concat(F.lit("0x"), F.lower(F.hex(F.col("l_extendedprice").cast("long") * 1000000))).alias("balance_hex"), ((CUTOFF + (order % 1000 - 500) * 1000 + line) * 1000 + (order * 10 + line) % 7).alias("ts"),
+    )
+    tokens = s.createDataFrame(_TOKENS, "contract string, role string, decimals int, price double")
+    fine = features.point_in_time_features(t, v.lending_events(s, d), cut)  # seconds
+    held = features.point_in_time_features(t.limit(0), v.lending_events(s, d).limit(0), cut.withColumn("cutoff", F.col("cutoff") * 1000), balances=dated, tokens=tokens)  # the sample's balances are dated in milliseconds
+    held = held.select("address", "chain", (F.col("cutoff") / 1000).cast("long").alias("cutoff"), F.col("token_diversity"), r("stablecoin_usd", 3).alias("stablecoin_usd"))
+    names = "tx_count tx_count_30d tx_count_90d tx_count_180d active_days_count active_months_12 wallet_age_days days_since_first_defi aave_borrows compound_repays total_borrows total_repays prior_liquidation_count".split()
+    out = fine.join(held, ["address", "chain", "cutoff"])
+    return out.select("address", "chain", "cutoff", *(F.col(c).cast("long").alias(c) for c in names), F.col("token_diversity").cast("long").alias("token_diversity"), "stablecoin_usd", *(r(c).alias(c) for c in ("repayment_ratio", "borrow_velocity", "defi_tenure_ratio")))
 
 
 @query("b13_training_features", f"""WITH {_WIDE} SELECT address, chain, CAST(floor(wallet_age_days / 30) AS BIGINT) AS wallet_age_months, CASE WHEN aave_borrows + compound_borrows > 0 THEN round_even((aave_repays + compound_repays) / (aave_borrows + compound_borrows), 4) ELSE -1 END AS repay_rate,
@@ -283,11 +303,13 @@ def _(s, d) -> DataFrame:
     return labels.window_labels(v.lending_events(s, d), cutoff=CUTOFF, end=WINDOW_END)
 
 
-_STATS = "stats AS (SELECT address, count(*) FILTER (kind = 'borrow') AS borrows, count(*) FILTER (kind = 'repay') AS repays, count(*) FILTER (kind = 'liquidation' AND event_id % 10 = 0) AS liquidations FROM lending GROUP BY address)"
+_STATS = "stats AS (SELECT address || '-' || event_id % 40 AS address, count(*) FILTER (kind = 'borrow') AS borrows, count(*) FILTER (kind = 'repay') AS repays, count(*) FILTER (kind = 'liquidation') AS liquidations FROM lending GROUP BY 1)"
 
 
 def _stats(s, d):
-    return features.borrower_stats(v.lending_events(s, d).where("kind <> 'liquidation' OR event_id % 10 = 0"))
+    """Every lending event, by accounts small enough that all labels occur."""
+    account = F.concat(F.col("address"), F.lit("-"), (F.col("event_id") % 40).cast("string"))
+    return features.borrower_stats(v.lending_events(s, d).withColumn("address", account))
 
 
 @query("c2_repay_labels", f"WITH {with_views('lending')}, {_STATS} SELECT address, borrows, repays, liquidations, CASE WHEN liquidations > 0 THEN 0 WHEN repays >= 0.9 * borrows THEN 1 WHEN repays < 0.5 * borrows THEN 0 ELSE -1 END AS label FROM stats WHERE borrows > 0")
@@ -332,12 +354,13 @@ def _(s, d) -> DataFrame:
     return labels.lookahead_gate(rows).select("event_id", "violation")
 
 
-@query("c7_temporal_holdout", """WITH d AS (SELECT 'u' || o_custkey AS address, CASE o_orderkey % 4 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'arbitrum' WHEN 2 THEN 'polygon' ELSE 'base' END AS chain, max(CAST(epoch(o_orderdate) AS BIGINT)) AS split_ts FROM orders WHERE o_orderkey % 9 = 0 GROUP BY ALL),
-one AS (SELECT address FROM d GROUP BY address HAVING count(*) = 1), t AS (SELECT 'u' || o_custkey AS address, CASE o_orderkey % 4 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'arbitrum' WHEN 2 THEN 'polygon' ELSE 'base' END AS chain, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS label FROM orders GROUP BY ALL)
+@query("c7_temporal_holdout", """WITH d AS (SELECT 'u' || o_custkey || '-' || o_orderkey % 9 AS address, CASE o_orderkey % 4 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'arbitrum' WHEN 2 THEN 'polygon' ELSE 'base' END AS chain, max(CAST(epoch(o_orderdate) AS BIGINT)) AS split_ts FROM orders GROUP BY ALL),
+one AS (SELECT address FROM d GROUP BY address HAVING count(*) = 1), t AS (SELECT 'u' || o_custkey || '-' || o_orderkey % 9 AS address, CASE o_orderkey % 4 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'arbitrum' WHEN 2 THEN 'polygon' ELSE 'base' END AS chain, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS label FROM orders GROUP BY ALL)
 SELECT d.address, d.chain, d.split_ts, t.label FROM d JOIN one USING (address) JOIN t USING (address, chain) WHERE split_ts >= 850000000 AND split_ts < 940000000""")
 def _(s, d) -> DataFrame:
-    o = v.loans(s, d).select(F.col("borrower").alias("address"), v._chain(F.col("loan_id")).alias("chain"), "loan_id", "started", (F.col("status") == "REPAID").cast("int").alias("y"))
-    data = o.where("loan_id % 9 = 0").groupBy("address", "chain").agg(F.max("started").alias("split_ts"))
+    account = F.concat(F.col("borrower"), F.lit("-"), (F.col("loan_id") % 9).cast("string"))
+    o = v.loans(s, d).select(account.alias("address"), v._chain(F.col("loan_id")).alias("chain"), "loan_id", "started", (F.col("status") == "REPAID").cast("int").alias("y"))
+    data = o.groupBy("address", "chain").agg(F.max("started").alias("split_ts"))
     return labels.temporal_holdout(data, o.groupBy("address", "chain").agg(F.max("y").alias("label")), start=850000000, cutoff=940000000)
 
 
@@ -477,16 +500,58 @@ def _(s, d) -> DataFrame:
     return scoring.score_solana(x, as_of=AS_OF).select("address", "score", "grade", "percentile")
 
 
-@query("d12_score_wallets")
+#: An ensemble over the wallets' own features: portfolio, ETH, protocols and age, liquidations, borrow velocity.
+WALLET_MODEL = scoring.Ensemble((
+    scoring.Tree((1, -1, -1), (2, -1, -1), (24, 0, 0), (1000.0, 0, 0), (True, True, True), (0.0, 0.4, -0.3)),
+    scoring.Tree((1, -1, -1), (2, -1, -1), (27, 0, 0), (0.5, 0, 0), (True, True, True), (0.05, 0.3, -0.2)),
+    scoring.Tree((1, 3, -1, -1, -1), (2, 4, -1, -1, -1), (20, 0, 0, 0, 0), (2.0, 20.0, 0, 0, 0), (True, True, True, True, True), (-0.1, 0.2, -0.4, 0.5, 0.1)),
+    scoring.Tree((1, -1, -1), (2, -1, -1), (19, 0, 0), (0.5, 0, 0), (True, True, True), (0.0, -0.5, 0.6)),
+    scoring.Tree((1, -1, -1), (2, -1, -1), (30, 0, 0), (0.2, 0, 0), (True, True, True), (0.02, -0.1, 0.25)),
+))
+_LINE = [0.01 + 0.8 * x for x in _GRID]
+
+
+def scored_wallets(s, d) -> DataFrame:
+    """Every wallet of the sample tables end to end, each source from a table of its own."""
+    t = v.transfers(s, d)
+    w = t.select("address", "chain").distinct()
+    n = F.substring("address", 2, 9).cast("int")
+    failed = lambda cond, *names: F.when(cond, F.map_from_arrays(F.array(*(F.lit(x) for x in names)), F.array(*(F.lit("down") for _ in names))))
+    errors = w.select("address", "chain", F.coalesce(failed(n % 17 == 0, "etherscan", "alchemy", "aave", "compound"), failed(n % 11 == 0, "etherscan")).alias("errors")).where("errors is not null")
+    good = w.where(n % 34 == 0).select("address", "chain", (600 + n % 50).cast("long").alias("score"), F.lit("C").alias("grade"), F.lit(40).cast("long").alias("percentile"))
+    k = F.col("s_suppkey")
+    accounts = v.table(s, d, "supplier").select(F.concat(F.lit("w"), k.cast("string")).alias("address"), v._chain(k).alias("chain"), F.when(k % 3 == 0, "0x0").otherwise("0xde0b6b3a7640000").alias("balance_hex"), F.lit("0x").alias("code"), F.lit("0x0").alias("resolver"))
+    held = v.balances(s, d).withColumn("address", F.concat(F.lit("w"), F.substring("address", 2, 9)))
+    tokens = s.createDataFrame(_TOKENS, "contract string, role string, decimals int, price double")
+    return wallets.score_wallets(w, t, v.lending_events(s, d), WALLET_MODEL, as_of=AS_OF, calibration=(_GRID, _LINE), errors=errors, known_good=good, balances=held, tokens=tokens, accounts=accounts, liquidity=w.where(n % 3 == 0))
+
+
+_D12 = f"""{_WIDE}, tok(contract, role, decimals, price) AS (VALUES {', '.join(str(t) for t in _TOKENS)}),
+bal AS (SELECT 'w' || substr(address, 2) AS address, chain, contract, raw FROM ({v.SQL['balances'].removeprefix('balances AS (').removesuffix(')')}) WHERE raw > 0),
+port AS (SELECT address, chain, sum(coalesce(raw / power(10, decimals) * price, 0)) AS usd, coalesce(bool_or(role = 'lido'), false) AS staked, coalesce(bool_or(role = 'aave_v3' OR role = 'aave_v2' AND chain = 'ethereum'), false) AS aave, coalesce(bool_or(role = 'compound' AND chain = 'ethereum'), false) AS comp FROM bal LEFT JOIN tok USING (contract) GROUP BY address, chain),
+acc AS (SELECT 'w' || s_suppkey AS address, {v._c('s_suppkey')} AS chain, s_suppkey % 3 <> 0 AS eth FROM supplier),
+x AS (SELECT w.*, coalesce(usd, 0) AS usd, coalesce(staked, false) AS staked, coalesce(aave, false) AS aave, coalesce(comp, false) AS comp, coalesce(eth, false) AS eth, aave_borrows + compound_borrows AS bo, aave_liquidations + compound_liquidations AS li FROM wide w LEFT JOIN port USING (address, chain) LEFT JOIN acc USING (address, chain)),
+y AS (SELECT *, (aave OR aave_borrows > 0)::INT + (comp OR compound_borrows > 0)::INT + (n % 3 = 0)::INT + staked::INT AS protocols FROM x),
+m AS (SELECT *, CAST(CASE WHEN usd < 1000 THEN 0.4 ELSE -0.3 END + CASE WHEN eth THEN -0.2 ELSE 0.3 END + CASE WHEN protocols < 2 THEN CASE WHEN wallet_age_days < 20 THEN 0.5 ELSE 0.1 END ELSE -0.4 END + CASE WHEN li > 0 THEN 0.6 ELSE -0.5 END + CASE WHEN least(bo / greatest(wallet_age_days, 1), 50) < 0.2 THEN -0.1 ELSE 0.25 END AS DOUBLE) AS margin FROM y),
+pd AS (SELECT *, 0.01 + 0.8 / (1 + exp(-margin)) AS pd FROM m), ms AS (SELECT *, CAST(floor(least(greatest(196.57757217918277 - 104.16637676749855 * ln(pd / (1 - pd)), 300), 850) + 0.5) AS BIGINT) AS score FROM pd),
+gr AS (SELECT *, {_GRADE} AS g, {_PCT} AS pct FROM ms),
+dir AS (SELECT address, chain, CASE WHEN from_addr = address THEN to_addr ELSE from_addr END AS other, CASE WHEN from_addr = address THEN 1 ELSE 0 END AS o FROM transfers WHERE from_addr = address AND to_addr <> '' OR to_addr = address AND from_addr <> ''),
+wp AS (SELECT address, chain, other, sum(o) AS sent, count(*) AS n FROM dir GROUP BY ALL), ws AS (SELECT address, chain, CASE WHEN count(*) FILTER (sent > 0 AND sent < n) >= 1 AND coalesce(sum(n * 0.6e0) FILTER (sent > 0 AND sent < n), 0) >= 4 THEN least(1, coalesce(sum(n * 0.6e0) FILTER (sent > 0 AND sent < n), 0) / sum(n)) ELSE 0 END AS wash FROM wp GROUP BY address, chain),
+fu AS (SELECT address, chain, from_addr AS funder FROM (SELECT *, row_number() OVER (PARTITION BY address, chain ORDER BY ts, hash) AS rn FROM transfers WHERE to_addr = address AND from_addr <> '') WHERE rn = 1), sy AS (SELECT address, chain, least(1.0, (count(*) OVER (PARTITION BY funder) - 1) / 10) AS sybil FROM fu),
+bc AS (SELECT address, chain, ts, count(*) OVER (PARTITION BY address, chain ORDER BY ts RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS k FROM transfers),
+bu AS (SELECT address, chain, CASE WHEN count(*) < 4 THEN 0 WHEN max(ts) - min(ts) <= 604800 THEN 1 ELSE least(greatest((max(k) - count(*) * 604800 / (max(ts) - min(ts))) / count(*), 0), 1) END AS burst FROM bc GROUP BY address, chain),
+ir AS (SELECT address, chain, count(*) FILTER (hit) / count(*) AS fast FROM (SELECT b.address, b.chain, EXISTS (SELECT 1 FROM lending r WHERE r.kind = 'repay' AND r.address = b.address AND r.chain = b.chain AND r.ts >= b.ts AND (r.ts - b.ts <= 60 OR r.block - b.block <= 1)) AS hit FROM lending b WHERE b.kind = 'borrow') GROUP BY address, chain),
+z AS (SELECT gr.*, bo = 0 AS bare, CASE WHEN bo = 0 THEN 0 ELSE 1 - (1 - coalesce(wash, 0)) * (1 - coalesce(sybil, 0) * 0.8) * (1 - coalesce(burst, 0) * 0.7) * (1 - coalesce(fast, 0) * 0.5) END AS penalty FROM gr LEFT JOIN ws USING (address, chain) LEFT JOIN sy USING (address, chain) LEFT JOIN bu USING (address, chain) LEFT JOIN ir USING (address, chain)),
+e AS (SELECT *, CASE WHEN bare THEN 0 ELSE score END AS model_score, CASE WHEN bare THEN 0 ELSE greatest(300, score - floor(250 * penalty + 0.5)) END AS own, n % 34 = 0 AS kept FROM z)"""
+
+
+@query("d12_score_wallets", f"""WITH {_D12} SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(model_score AS BIGINT) AS model_score, CASE WHEN kept THEN 'C' WHEN bare THEN 'F' ELSE g END AS grade, CAST(CASE WHEN kept THEN 40 WHEN bare THEN 0 ELSE pct END AS BIGINT) AS percentile,
+ round(pd, 6) AS calibrated_pd, round(CAST(penalty AS DOUBLE), 6) AS penalty, penalty >= 0.5 AS flagged, CASE WHEN n % 17 = 0 THEN 0.1 WHEN n % 11 = 0 THEN 0.6 ELSE 1.0 END::DOUBLE AS completeness, CASE WHEN n % 17 = 0 THEN 'etherscan,alchemy,aave,compound' WHEN n % 11 = 0 THEN 'etherscan' ELSE '' END AS degraded_sources, kept AS last_known_good,
+ concat_ws(',', CASE WHEN aave OR aave_borrows > 0 OR aave_repays > 0 THEN 'Aave' END, CASE WHEN comp OR compound_borrows > 0 OR compound_repays > 0 THEN 'Compound' END, CASE WHEN n % 3 = 0 THEN 'Uniswap' END, CASE WHEN staked THEN CASE WHEN chain = 'ethereum' THEN 'Lido' ELSE 'Lido (wstETH)' END END) AS protocols_used FROM e""")
 def _(s, d) -> DataFrame:
-    """Every wallet end to end: features, model, gates, detectors, penalty; grade and percentile stay the model's."""
-    x = scoring.score_trees(_vectors(s, d).select("address", "chain", "tx_count", "first_ts", "total_borrows", "features"), DEMO_MODEL)
-    x = x.withColumn("score", scoring.pd_to_score(1 / (1 + F.exp(-F.col("margin")))))
-    x = scoring.score_gates(x.withColumns({"grade": scoring.grade(F.col("score")), "percentile": scoring.score_percentile(F.col("score"))}))
-    x = scoring.top_contributions(scoring.factor_bars(x))
-    signals = integrity.detect(v.transfers(s, d), v.lending_events(s, d))
-    out = integrity.apply_penalty(x.join(signals, ["address", "chain"], "left"))
-    return out.select("address", "chain", "score", "penalised_score", "grade", "percentile", r("penalty").alias("penalty"), "flagged", F.array_join(F.transform("factors", lambda f: f["bar"].cast("string")), ",").alias("bars"), F.array_join(F.transform("top_contributions", lambda t: t["label"]), "|").alias("top"))
+    """Every wallet end to end: features, model, calibration, gates, detectors, penalty; grade and percentile stay the model's."""
+    out = scored_wallets(s, d)
+    return out.select("address", "chain", "score", "model_score", "grade", "percentile", r("calibrated_pd").alias("calibrated_pd"), r("penalty").alias("penalty"), "flagged", "completeness", F.array_join("degraded_sources", ",").alias("degraded_sources"), "last_known_good", F.array_join("protocols_used", ",").alias("protocols_used"))
 
 
 # Backtest
@@ -527,17 +592,18 @@ def _(s, d) -> DataFrame:
     return backtest.brier(_weighted(s, d)).select(r("brier").alias("brier"))
 
 
-_REL = "rel AS (SELECT b.range AS bin, count(w.p) AS n, coalesce(sum(weight), 0) AS w, coalesce(sum(weight * p) / sum(weight), 0) AS mean_p, coalesce(sum(weight * label) / sum(weight), 0) AS observed FROM range(10) b LEFT JOIN w ON least(9, floor(p * 10)) = b.range AND p < 0.8 GROUP BY b.range)"
+_LOW = "lw AS (SELECT * REPLACE (p * 0.8 AS p) FROM w)"  # no prediction above 0.8, so the last bins are empty
+_REL = "rel AS (SELECT b.range AS bin, count(w.p) AS n, coalesce(sum(weight), 0) AS w, coalesce(sum(weight * p) / sum(weight), 0) AS mean_p, coalesce(sum(weight * label) / sum(weight), 0) AS observed FROM range(10) b LEFT JOIN lw w ON least(9, floor(w.p * 10)) = b.range GROUP BY b.range)"
 
 
-@query("e5_reliability", f"WITH {_W}, {_REL} SELECT bin, n, round(w, 4) AS w, round(mean_p, 6) AS mean_p, round(observed, 6) AS observed FROM rel")
+@query("e5_reliability", f"WITH {_W}, {_LOW}, {_REL} SELECT bin, n, round(w, 4) AS w, round(mean_p, 6) AS mean_p, round(observed, 6) AS observed FROM rel")
 def _(s, d) -> DataFrame:
-    return backtest.reliability(_weighted(s, d).where("p < 0.8")).select("bin", "n", r("w", 4).alias("w"), r("mean_p").alias("mean_p"), r("observed").alias("observed"))
+    return backtest.reliability(_weighted(s, d).withColumn("p", F.col("p") * 0.8)).select("bin", "n", r("w", 4).alias("w"), r("mean_p").alias("mean_p"), r("observed").alias("observed"))
 
 
-@query("e6_ece", f"WITH {_W}, {_REL} SELECT round(sum(w * abs(mean_p - observed)) / sum(w), 6) AS ece FROM rel")
+@query("e6_ece", f"WITH {_W}, {_LOW}, {_REL} SELECT round(sum(w * abs(mean_p - observed)) / sum(w), 6) AS ece FROM rel")
 def _(s, d) -> DataFrame:
-    return backtest.ece(_weighted(s, d).where("p < 0.8")).select(r("ece").alias("ece"))
+    return backtest.ece(_weighted(s, d).withColumn("p", F.col("p") * 0.8)).select(r("ece").alias("ece"))
 
 
 @query("e7_operating_point", f"""WITH {_W}, c AS (SELECT sum(weight) FILTER (score < 578 AND label = 1) AS tp, sum(weight) FILTER (score < 578 AND label = 0) AS fp, sum(weight) FILTER (label = 1) AS pos, sum(weight) FILTER (label = 0) AS neg FROM w)
@@ -554,14 +620,23 @@ def _(s, d) -> DataFrame:
     return backtest.slice_metrics(_weighted(s, d)).select("slice", "n", "positives", r("roc_auc").alias("roc_auc"), r("pr_auc").alias("pr_auc"))
 
 
-@query("e9_run_backtest")
+_SLICED = _rank_sql("s", "slice", "p").replace("t AS (SELECT", "st AS (SELECT").replace("c AS (SELECT", "sc AS (SELECT").replace("FROM t)", "FROM st)").replace("m AS (SELECT", "sm AS (SELECT").replace("FROM c ", "FROM sc ")
+_E9 = f"""{_W}, {_REL.replace("lw w ON", "w ON")}, {_rank_sql('w', '', 'p')}, s AS (SELECT *, unnest(['chain:' || chain, CASE WHEN age < 180 THEN 'age<180d' ELSE 'age>=180d' END, CASE WHEN borrows <= 3 THEN 'borrows<=3' ELSE 'borrows>3' END]) AS slice FROM w), {_SLICED},
+op AS (SELECT sum(weight) FILTER (score < 578 AND label = 1) AS tp, sum(weight) FILTER (score < 578 AND label = 0) AS fp, sum(weight) FILTER (label = 1) AS pos, sum(weight) FILTER (label = 0) AS neg FROM w)"""
+
+
+@query("e9_run_backtest", f"""WITH {_E9} SELECT 'n_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM w UNION ALL SELECT 'positives', CAST(sum(label) AS DOUBLE) FROM w UNION ALL SELECT 'roc_auc', round(roc_auc, 6) FROM m UNION ALL SELECT 'pr_auc', round(pr_auc, 6) FROM m
+UNION ALL SELECT 'brier', round(sum(weight * (p - label) * (p - label)) / sum(weight), 6) FROM w UNION ALL SELECT 'ece', round(sum(w * abs(mean_p - observed)) / sum(w), 6) FROM rel
+UNION ALL SELECT 'recall', round(tp / pos, 6) FROM op UNION ALL SELECT 'fpr', round(fp / neg, 6) FROM op UNION ALL SELECT 'precision', round(tp / (tp + fp), 6) FROM op UNION ALL SELECT 'flagged', round((tp + fp) / (pos + neg), 6) FROM op UNION ALL SELECT 'pr_auc ' || slice, round(pr_auc, 6) FROM sm""")
 def _(s, d) -> DataFrame:
     """The whole report as (metric, value)."""
-    got = backtest.run_backtest(v.predictions(s, d))
-    one = [("ranking", "roc_auc"), ("ranking", "pr_auc"), ("brier", "brier"), ("ece", "ece"), ("operating_point", "recall"), ("operating_point", "fpr"), ("operating_point", "precision"), ("operating_point", "flagged")]
+    rows = v.predictions(s, d).withColumns({"as_of_ts": F.lit(CUTOFF), "features_valid_at_ts": F.lit(CUTOFF), "outcome_start_ts": F.lit(CUTOFF)})
+    scored = rows.drop("score")  # the report scores its rows itself
+    got = backtest.run_backtest(scored, lambda x: x.withColumn("score", 850 - round_half_up(F.col("p") * 550)), model_version="sample")
+    one = [("head", "n_rows"), ("head", "positives"), ("ranking", "roc_auc"), ("ranking", "pr_auc"), ("brier", "brier"), ("ece", "ece"), ("operating_point", "recall"), ("operating_point", "fpr"), ("operating_point", "precision"), ("operating_point", "flagged")]
     out = got["slices"].select(F.concat(F.lit("pr_auc "), F.col("slice")).alias("metric"), r("pr_auc").alias("value"))
     for table, metric in one:
-        out = out.unionByName(got[table].select(F.lit(metric).alias("metric"), r(metric).alias("value")))
+        out = out.unionByName(got[table].select(F.lit(metric).alias("metric"), r(F.col(metric).cast("double")).alias("value")))
     return out
 
 
@@ -610,9 +685,9 @@ def _(s, d) -> DataFrame:
 
 
 @query("f4_instant_repay", f"""WITH {with_views('lending')} SELECT address, chain, count(*) AS borrows, count(*) FILTER (hit) AS instant, round(count(*) FILTER (hit) / count(*), 6) AS severity
-FROM (SELECT b.address, b.chain, EXISTS (SELECT 1 FROM lending r WHERE r.kind = 'repay' AND r.address = b.address AND r.chain = b.chain AND r.ts >= b.ts AND r.ts - b.ts <= 21600) AS hit FROM lending b WHERE b.kind = 'borrow') GROUP BY address, chain""")
+FROM (SELECT b.address, b.chain, EXISTS (SELECT 1 FROM lending r WHERE r.kind = 'repay' AND r.address = b.address AND r.chain = b.chain AND r.ts >= b.ts AND (r.ts - b.ts <= 21600 OR r.block - b.block <= 2400)) AS hit FROM lending b WHERE b.kind = 'borrow') GROUP BY address, chain""")
 def _(s, d) -> DataFrame:
-    return integrity.instant_repay(v.lending_events(s, d), seconds=21600, blocks=None).withColumn("severity", r("severity"))
+    return integrity.instant_repay(v.lending_events(s, d), seconds=21600, blocks=2400).withColumn("severity", r("severity"))
 
 
 _SIG = "sig AS (SELECT event_id, (event_id % 11) / 10e0 AS wash_trading, (event_id % 7) / 10e0 AS sybil_funding, (event_id % 5) / 10e0 AS burst_timing, (event_id % 13) / 10e0 AS instant_repay FROM events), pen AS (SELECT event_id, 1 - (1 - least(wash_trading, 1)) * (1 - sybil_funding * 0.8) * (1 - burst_timing * 0.7) * (1 - least(instant_repay, 1) * 0.5) AS penalty FROM sig)"
@@ -640,7 +715,7 @@ _NODES = "inb AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY ts,
 _EDGES = f"{_DIR}, edges AS (SELECT address, other, sum(o) AS sent FROM dir GROUP BY ALL HAVING sum(o) > 0)"
 _PAIRS = """p1 AS (SELECT a.address AS a, b.address AS b, 0.6e0 AS conf FROM nodes a JOIN nodes b ON a.funder = b.funder AND a.address < b.address),
 p2 AS (SELECT DISTINCT least(address, gas_funder) AS a, greatest(address, gas_funder) AS b, 0.7e0 AS conf FROM nodes WHERE gas_funder IN (SELECT address FROM nodes) AND gas_funder <> address),
-p3 AS (SELECT DISTINCT least(address, o) AS a, greatest(address, o) AS b, 0.75e0 AS conf FROM (SELECT 'w' || user_id AS address, 'w' || json_extract_string(props, '$.k') AS o FROM events WHERE event_type = 'signup' AND event_id % 10 = 0) WHERE o <> address),
+p3 AS (SELECT DISTINCT least(address, o) AS a, greatest(address, o) AS b, 0.75e0 AS conf FROM (SELECT 'w' || user_id AS address, 'w' || json_extract_string(props, '$.k') AS o FROM events WHERE event_type = 'signup') WHERE o <> address),
 d0 AS (SELECT least(address, other) AS a, greatest(address, other) AS b, sum(CASE WHEN address < other THEN sent ELSE 0 END) AS x, sum(CASE WHEN address < other THEN 0 ELSE sent END) AS y FROM edges WHERE address <> other AND other IN (SELECT address FROM nodes) GROUP BY ALL),
 p4 AS (SELECT * FROM (SELECT a, b, CASE WHEN x > 0 AND y > 0 THEN least(1, (x + y) / 10) WHEN x + y >= 3 THEN least(0.4, (x + y) / 20) ELSE 0 END AS conf FROM d0) WHERE conf > 0),
 tm AS (SELECT address, ts, row_number() OVER (PARTITION BY address ORDER BY ts) AS rn, count(*) OVER (PARTITION BY address) AS n FROM transfers),
@@ -651,7 +726,7 @@ _GRAPH = f"{with_views('transfers')}, {_NODES}, {_EDGES}, {_PAIRS}, {_LINKS}"
 
 def _graph(s, d):
     nodes, edges, times = entity.build_nodes(v.transfers(s, d))
-    e = v._events(s, d).where("event_type = 'signup' AND event_id % 10 = 0")
+    e = v._events(s, d).where("event_type = 'signup'")
     bridges = e.select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("address"), F.concat(F.lit("w"), F.col("k")).alias("bridged_to"))
     return nodes, edges, {"shared_funder": entity.shared_funder_pairs(nodes), "gas_funding": entity.gas_funding_pairs(nodes), "bridge": entity.bridge_pairs(bridges), "direct_transfer": entity.direct_transfer_pairs(edges, nodes), "temporal_cospend": entity.temporal_cospend_pairs(times)}
 
@@ -674,23 +749,21 @@ def _(s, d) -> DataFrame:
 
 @query("g7_merge_and_surface", f"WITH {_GRAPH} SELECT a, b, CASE WHEN round(confidence, 9) >= 0.85 THEN 'merge' WHEN round(confidence, 9) >= 0.5 THEN 'surface' ELSE 'none' END AS decision FROM links")
 def _(s, d) -> DataFrame:
-    links = entity.score_pairs(**_graph(s, d)[2]).withColumn("confidence", F.round("confidence", 9))
-    return entity.merge_and_surface(links).select("a", "b", "decision")
+    return entity.merge_and_surface(entity.score_pairs(**_graph(s, d)[2])).select("a", "b", "decision")
 
 
 @query("g8_cluster", f"""WITH RECURSIVE {_GRAPH}, mg AS (SELECT a, b, confidence FROM links WHERE round(confidence, 9) >= 0.85), un AS (SELECT a AS u, b AS v FROM mg UNION SELECT b, a FROM mg), reach(u, v) AS (SELECT u, v FROM un UNION SELECT r.u, un.v FROM reach r JOIN un ON r.v = un.u),
 comp AS (SELECT u AS address, least(u, min(v)) AS entity_id FROM reach GROUP BY u), sz AS (SELECT entity_id, count(*) AS size FROM comp GROUP BY entity_id), co AS (SELECT entity_id, min(confidence) AS cohesion FROM mg JOIN comp ON a = address GROUP BY entity_id)
 SELECT comp.entity_id, address, size, round(cohesion, 6) AS cohesion FROM comp JOIN sz USING (entity_id) JOIN co USING (entity_id)""")
 def _(s, d) -> DataFrame:
-    links = entity.score_pairs(**_graph(s, d)[2]).withColumn("confidence", F.round("confidence", 9))
-    return entity.cluster(entity.merge_and_surface(links)).withColumn("cohesion", r("cohesion"))
+    return entity.cluster(entity.merge_and_surface(entity.score_pairs(**_graph(s, d)[2]))).withColumn("cohesion", r("cohesion"))
 
 
 @query("g9_entity_scores", f"""WITH {with_views('history')}, mem AS (SELECT 'e' || (CAST(substr(address, 2) AS INT) % 37) AS entity_id, address, arg_max(score, ts * 1000000 + event_id) AS score, count(*) AS activity, max(ts) AS t FROM history GROUP BY address),
-w AS (SELECT *, greatest(activity, 1) * power(0.5, ({AS_OF} - t) / (180 * 86400)) AS w FROM mem) SELECT entity_id, count(*) AS members, CAST(CASE WHEN count(*) = 1 THEN max(score) ELSE floor(sum(w * score) / sum(w) + 0.5) END AS BIGINT) AS score FROM w GROUP BY entity_id""")
+w AS (SELECT *, greatest(activity, 1) * power(0.5, greatest(0, {CUTOFF} - t) / (180 * 86400)) AS w FROM mem) SELECT entity_id, count(*) AS members, CAST(CASE WHEN count(*) = 1 THEN max(score) ELSE floor(sum(w * score) / sum(w) + 0.5) END AS BIGINT) AS score FROM w GROUP BY entity_id""")
 def _(s, d) -> DataFrame:
     h = v.score_history(s, d).groupBy("address").agg(F.max(F.struct("ts", "event_id", "score"))["score"].alias("score"), F.count("*").alias("activity"), F.max("ts").alias("last_active_ts"))
-    return entity.entity_scores(h.withColumn("entity_id", F.concat(F.lit("e"), (F.substring("address", 2, 9).cast("int") % 37).cast("string"))), now=AS_OF)
+    return entity.entity_scores(h.withColumn("entity_id", F.concat(F.lit("e"), (F.substring("address", 2, 9).cast("int") % 37).cast("string"))), now=CUTOFF)
 
 
 @query("g10_merge_audit", f"""WITH {with_views('history')}, l AS (SELECT 'e' || (CAST(substr(address, 2) AS INT) % 37) AS entity_id, address, CASE event_id % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'reversed' ELSE 'merged' END AS action, ts AS t, event_id AS seq FROM history)
@@ -756,6 +829,7 @@ def _(s, d) -> DataFrame:
     return monitoring.score_history(v.score_history(s, d)).select("address", "ts", "score", "event_id")
 
 
-@query("h7_request_summary", f"WITH {with_views('requests')} SELECT count(*) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms, max(latency_ms) AS max_ms, round(count(*) / greatest(max(ts) - min(ts), 1), 6) AS per_second, count(*) FILTER (status = 200) AS n_200, count(*) FILTER (status = 429) AS n_429, count(*) FILTER (status = 500) AS n_500, count(*) FILTER (cached) AS n_cached FROM requests")
+@query("h7_request_summary", f"WITH {with_views('requests')} SELECT count(*) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms, max(latency_ms) AS max_ms, round(count(*) / greatest(max(ts) - min(ts), 1), 6) AS per_second, (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM requests GROUP BY status)) AS statuses, count(*) FILTER (cached) AS n_cached, count(*) FILTER (NOT cached) AS n_uncached, count(*) FILTER (cached IS NULL) AS n_unknown FROM requests")
 def _(s, d) -> DataFrame:
-    return monitoring.request_summary(v.request_log(s, d)).withColumns({c: r(c) for c in ("p50_ms", "p95_ms", "p99_ms", "per_second")})
+    told = F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return monitoring.request_summary(v.request_log(s, d)).withColumns({c: r(c) for c in ("p50_ms", "p95_ms", "p99_ms", "per_second")}).withColumn("statuses", told)

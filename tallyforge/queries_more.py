@@ -17,11 +17,18 @@ __all__ = ["QUERIES", "SQL"]
 # Marketplace
 
 
-@query("i1_search_listings", f"""WITH {with_views('listings', 'wallets')}, f AS (SELECT * FROM listings WHERE status = 'OPEN' AND expires > {MARKET_NOW} AND amount >= 50000 AND min_apr <= 9)
-SELECT f.listing_id, f.lender, amount, min_apr, w.score AS lender_score, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 20) AS BIGINT) AS pages FROM (SELECT * FROM f ORDER BY min_apr, listing_id LIMIT 20 OFFSET 20) f LEFT JOIN wallets w ON w.address = f.lender""")
+@query("i1_search_listings", f"""WITH {with_views('listings', 'wallets')}, f AS (SELECT * FROM listings WHERE status = 'OPEN' AND expires > {MARKET_NOW} AND amount >= 50000 AND max_apr <= 18 AND min_apr >= 6)
+SELECT f.listing_id, f.lender, amount, min_apr, w.score AS lender_score_now, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 20) AS BIGINT) AS pages FROM (SELECT * FROM f ORDER BY min_apr, listing_id LIMIT 20 OFFSET 20) f LEFT JOIN wallets w ON w.address = f.lender""")
 def _(s, d) -> DataFrame:
-    x = market.search_listings(v.listings(s, d), v.wallets(s, d), now=MARKET_NOW, min_amount=50000, max_apr=9, sort="apr_asc", page=2)
-    return x.select("listing_id", "lender", "amount", "min_apr", "lender_score", "total", "pages")
+    x = market.search_listings(v.listings(s, d), v.wallets(s, d), now=MARKET_NOW, min_amount=50000, max_apr=18, min_apr=6, sort="lowest_apr", page=2)
+    return x.select("listing_id", "lender", "amount", "min_apr", "lender_score_now", "total", "pages")
+
+
+@query("i1_search_listings_by_lender", f"""WITH {with_views('listings')}, f AS (SELECT * FROM listings WHERE status = 'OPEN' AND expires > {MARKET_NOW} AND currency = 'ETH' AND listing_chain = 'EVM' AND amount <= 300000 AND duration_days BETWEEN 40 AND 160 AND lender_score >= 500)
+SELECT listing_id, currency, lender_score, duration_days, (SELECT count(*) FROM f) AS total FROM f ORDER BY lender_score DESC, listing_id LIMIT 20""")
+def _(s, d) -> DataFrame:
+    x = market.search_listings(v.listings(s, d), v.wallets(s, d), now=MARKET_NOW, currency="ETH", chain="EVM", max_amount=300000, min_duration=40, max_duration=160, min_lender_score=500, sort="highest_lender_score")
+    return x.select("listing_id", "currency", "lender_score", "duration_days", "total")
 
 
 @query("i2_marketplace_stats", f"WITH {with_views('listings', 'loans', 'wallets')} SELECT (SELECT count(*) FROM listings WHERE status = 'OPEN') AS open_listings, (SELECT count(*) FROM loans WHERE status = 'REPAID') AS repaid_loans, round((SELECT sum(amount) FROM loans WHERE status IN ('REPAID', 'ACTIVE')), 2) AS volume, CAST((SELECT floor(avg(score) + 0.5) FROM wallets) AS BIGINT) AS mean_score")
@@ -46,12 +53,12 @@ def _(s, d) -> DataFrame:
     return v.wallets(s, d).select("address", market.offered_apr(F.col("score"), 400 + k % 300, (5 + k % 6).cast("double"), (12 + k % 9).cast("double")).alias("apr"))
 
 
-@query("i5_originate_loans", f"""WITH {with_views('applications', 'listings', 'wallets')}, won AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY created, application_id) AS rn FROM applications WHERE status = 'ACCEPTED'),
-x AS (SELECT won.listing_id, won.application_id, won.borrower, won.amount, won.created, l.min_apr, l.max_apr, l.min_score, l.duration_days, w.score FROM won JOIN listings l USING (listing_id) JOIN wallets w ON w.address = won.borrower WHERE rn = 1)
-SELECT listing_id, application_id, borrower, {_APR} AS apr, round(amount * 0.0075, 6) AS fee, round(amount - amount * 0.0075, 6) AS net_amount, created + duration_days * 86400 AS due FROM x""")
+@query("i5_originate_loans", f"""WITH {with_views('applications', 'listings')}, won AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY created, application_id) AS rn FROM applications WHERE status = 'ACCEPTED'),
+x AS (SELECT won.listing_id, won.application_id, won.borrower, won.amount, won.created, l.min_apr, l.max_apr, l.min_score, l.duration_days, l.currency, l.collateral_pct, won.borrower_score AS score FROM won JOIN listings l USING (listing_id) WHERE rn = 1)
+SELECT listing_id, application_id, borrower, {_APR} AS apr, currency, round(amount * (collateral_pct / 100), 6) AS collateral, round(amount * 0.0075, 6) AS fee, round(amount - amount * 0.0075, 6) AS net_amount, created + duration_days * 86400 AS due FROM x""")
 def _(s, d) -> DataFrame:
-    x = market.originate_loans(v.applications(s, d), v.listings(s, d), v.wallets(s, d))
-    return x.select("listing_id", "application_id", "borrower", "apr", r("fee").alias("fee"), r("net_amount").alias("net_amount"), "due")
+    x = market.originate_loans(v.applications(s, d), v.listings(s, d))
+    return x.select("listing_id", "application_id", "borrower", "apr", "currency", r("collateral").alias("collateral"), r("fee").alias("fee"), r("net_amount").alias("net_amount"), "due")
 
 
 _RATED = "rated AS (SELECT reviewee AS address, avg(rating) AS mean_rating FROM (SELECT *, row_number() OVER (PARTITION BY reviewee ORDER BY created DESC, review_id DESC) AS rn FROM reviews) WHERE rn <= 10 GROUP BY reviewee)"
@@ -83,9 +90,10 @@ def _(s, d) -> DataFrame:
     return market.review_eligibility(v.reviews(s, d), v.loans(s, d)).select("review_id", "reason")
 
 
-@query("i10_lender_eligibility", f"WITH {with_views('listings', 'wallets')} SELECT listing_id, CASE WHEN score IS NULL THEN 'wallet not scored' WHEN score < 500 THEN 'score too low' WHEN min_apr > max_apr THEN 'apr bounds' WHEN amount <= 0 THEN 'amount' WHEN expires <= created THEN 'expiry' ELSE 'ok' END AS reason FROM listings LEFT JOIN wallets ON wallets.address = listings.lender")
+@query("i10_lender_eligibility", f"WITH {with_views('listings', 'wallets')} SELECT listing_id, CASE WHEN amount - 900 <= 0 OR amount > 1e9 THEN 'amount' WHEN max_apr > 1000 THEN 'apr range' WHEN duration_days - 31 NOT BETWEEN 1 AND 3650 THEN 'duration' WHEN min_score NOT BETWEEN 300 AND 850 THEN 'borrower score' WHEN max_apr - 7 < min_apr THEN 'apr bounds' WHEN expires <= {MARKET_NOW} THEN 'expiry' WHEN score IS NULL THEN 'wallet not scored' WHEN score < 500 THEN 'score too low' ELSE 'ok' END AS reason FROM listings LEFT JOIN wallets ON wallets.address = listings.lender")
 def _(s, d) -> DataFrame:
-    return market.lender_eligibility(v.listings(s, d), v.wallets(s, d)).select("listing_id", "reason")
+    x = v.listings(s, d).withColumns({"amount": F.col("amount") - 900, "duration_days": F.col("duration_days") - 31, "max_apr": F.col("max_apr") - 7})
+    return market.lender_eligibility(x, v.wallets(s, d), now=MARKET_NOW).select("listing_id", "reason")
 
 
 @query("i11_notification_feed", f"WITH {with_views('notes')} SELECT address, count(*) AS shown, count(*) FILTER (NOT read) AS unread, max(created) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY created DESC, event_id DESC) AS rn FROM notes) WHERE rn <= 50 GROUP BY address")
@@ -106,18 +114,18 @@ def _usage(s):
     return plans, subs
 
 
-@query("j1_meter_usage", f"""WITH {with_views('usage')}, {_PLANS}, {_SUBS}, n AS (SELECT *, row_number() OVER (PARTITION BY api_key, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m') ORDER BY ts, event_id) AS used FROM usage), o AS (SELECT n.event_id, n.api_key, used, quota, overage, CASE WHEN overage IS NULL OR used <= quota THEN 0 ELSE (used - quota) * overage END AS usd FROM n JOIN terms USING (api_key))
-SELECT event_id, api_key, used, CASE WHEN used > quota AND overage IS NULL THEN 'QUOTA_EXCEEDED' WHEN used > quota AND round(usd, 9) > 5 THEN 'OVERAGE_CAP_REACHED' END AS reason, NOT (used > quota AND (overage IS NULL OR round(usd, 9) > 5)) AS allowed FROM o""")
+@query("j1_meter_usage", f"""WITH {with_views('usage')}, {_PLANS}, {_SUBS}, n AS (SELECT *, row_number() OVER (PARTITION BY api_key, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m') ORDER BY ts, event_id) AS used FROM usage), o AS (SELECT n.event_id, n.api_key, used, quota, overage, CASE WHEN overage IS NULL OR used <= quota THEN 0 ELSE (used - quota) * CAST(overage AS DECIMAL(12,6)) END AS usd FROM n JOIN terms USING (api_key))
+SELECT event_id, api_key, used, CASE WHEN used > quota AND overage IS NULL THEN 'QUOTA_EXCEEDED' WHEN used > quota AND usd > 5 THEN 'OVERAGE_CAP_REACHED' END AS reason, NOT (used > quota AND (overage IS NULL OR usd > 5)) AS allowed FROM o""")
 def _(s, d) -> DataFrame:
     plans, subs = _usage(s)
-    return usage.meter_usage(v.usage_calls(s, d), subs, plans, cap=5.000000001).select("event_id", "api_key", F.col("used").cast("long").alias("used"), "reason", "allowed")
+    return usage.meter_usage(v.usage_calls(s, d), subs, plans, cap=5).select("event_id", "api_key", F.col("used").cast("long").alias("used"), "reason", "allowed")
 
 
 @query("j2_usage_rollup", f"""WITH {with_views('usage')}, {_PLANS}, {_SUBS}, n AS (SELECT api_key, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS used FROM usage GROUP BY ALL)
 SELECT api_key, month, plan, used, CAST(greatest(0, quota - used) AS BIGINT) AS remaining, round(CASE WHEN overage IS NULL OR used <= quota THEN 0 ELSE (used - quota) * overage END, 6) AS overage_usd FROM n JOIN terms USING (api_key)""")
 def _(s, d) -> DataFrame:
     plans, subs = _usage(s)
-    return usage.usage_rollup(v.usage_calls(s, d), subs, plans).withColumn("overage_usd", r("overage_usd"))
+    return usage.usage_rollup(v.usage_calls(s, d), subs, plans).withColumn("overage_usd", r(F.col("overage_usd").cast("double")))
 
 
 @query("j3_tier_economics", f"""WITH {with_views('usage')}, n AS (SELECT api_key, count(*) AS quota, CAST(substr(api_key, 2) AS INT) * 10e0 AS price FROM usage GROUP BY api_key)
@@ -142,23 +150,23 @@ _OPS_NOW = 1705708800
 
 def _outbox(s, d):
     e, k = v._events(s, d), F.col("k").cast("int")
-    return e.select("event_id", F.col("sec").alias("ts"), F.col("value").alias("amount"), F.when(k % 3 == 0, "x").when(k % 3 == 1, "email").otherwise("seo").alias("channel"), F.when(F.col("event_type").isin("purchase", "click"), "EXECUTED").otherwise("PENDING").alias("status"))
+    return e.select("event_id", F.col("sec").alias("ts"), F.col("value").alias("amount"), F.when(k % 3 == 0, "x").when(k % 3 == 1, "email").otherwise("seo").alias("channel"), F.when(F.col("event_type").isin("purchase", "click"), "EXECUTED").otherwise("PENDING").alias("status"), F.when(k % 4 == 0, "POST").otherwise("SPEND").alias("kind"))
 
 
-_OUT = "outbox AS (SELECT event_id, sec AS ts, value AS amount, CASE CAST(k AS INT) % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'email' ELSE 'seo' END AS channel, CASE WHEN event_type IN ('purchase', 'click') THEN 'EXECUTED' ELSE 'PENDING' END AS status FROM ev)"
+_OUT = "outbox AS (SELECT event_id, sec AS ts, value AS amount, CASE CAST(k AS INT) % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'email' ELSE 'seo' END AS channel, CASE WHEN event_type IN ('purchase', 'click') THEN 'EXECUTED' ELSE 'PENDING' END AS status, CASE CAST(k AS INT) % 4 WHEN 0 THEN 'POST' ELSE 'SPEND' END AS kind FROM ev)"
 
 
-@query("j5_ops_digest", f"""WITH {with_views('usage')}, {_OUT}, o AS (SELECT count(*) FILTER (status = 'PENDING') AS pending, round(coalesce(sum(amount) FILTER (status = 'EXECUTED' AND ts > {_OPS_NOW} - 86400), 0), 4) AS spend FROM outbox)
-SELECT 'agent' || (user_id % 3) AS agent, event_type AS status, count(*) AS n, round(sum(value / 100), 4) AS cost, any_value(pending) AS pending, any_value(spend) AS spend FROM ev, o WHERE sec > {_OPS_NOW} - 86400 AND sec <= {_OPS_NOW} GROUP BY 1, 2""")
+@query("j5_ops_digest", f"""WITH {with_views('usage')}, {_OUT}, o AS (SELECT count(*) FILTER (status = 'PENDING') AS pending, round(coalesce(sum(amount) FILTER (kind = 'SPEND' AND status = 'EXECUTED' AND ts BETWEEN {_OPS_NOW} - 86400 AND {_OPS_NOW}), 0), 4) AS spend FROM outbox)
+SELECT 'agent' || (user_id % 3) AS agent, event_type AS status, count(*) AS n, round(sum(value / 100), 4) AS cost, any_value(pending) AS pending, any_value(spend) AS spend FROM ev, o WHERE sec >= {_OPS_NOW} - 86400 AND sec <= {_OPS_NOW} GROUP BY 1, 2""")
 def _(s, d) -> DataFrame:
     runs = v._events(s, d).select(F.concat(F.lit("agent"), (F.col("user_id") % 3).cast("string")).alias("agent"), F.col("event_type").alias("status"), F.col("sec").alias("ts"), (F.col("value") / 100).alias("cost"))
     return usage.ops_digest(runs, _outbox(s, d), now=_OPS_NOW).withColumns({"cost": r("cost", 4), "spend": r("spend", 4)})
 
 
-@query("j6_spend_cap_audit", f"""WITH {with_views('usage')}, {_OUT}, x AS (SELECT *, sum(amount) OVER (PARTITION BY ts // 86400 ORDER BY ts, event_id) AS ds, sum(amount) OVER (PARTITION BY ts // 86400, channel ORDER BY ts, event_id) AS cs FROM outbox WHERE status = 'EXECUTED') SELECT event_id, round(ds, 3) AS day_spend, round(cs, 3) AS channel_spend, round(ds, 6) > 500 OR round(cs, 6) > 200 AS over_cap FROM x""")
+@query("j6_spend_cap_audit", f"""WITH {with_views('usage')}, {_OUT}, x AS (SELECT *, sum(CAST(amount AS DECIMAL(18,6))) OVER (PARTITION BY ts // 86400 ORDER BY ts, event_id) AS ds, sum(CAST(amount AS DECIMAL(18,6))) OVER (PARTITION BY ts // 86400, channel ORDER BY ts, event_id) AS cs FROM outbox WHERE status = 'EXECUTED') SELECT event_id, round(CAST(ds AS DOUBLE), 3) AS day_spend, round(CAST(cs AS DOUBLE), 3) AS channel_spend, ds > 500 OR cs > 200 AS over_cap FROM x""")
 def _(s, d) -> DataFrame:
-    x = usage.spend_cap_audit(_outbox(s, d), day_cap=500.0000005, channel_cap=200.0000005)
-    return x.select("event_id", r("day_spend", 3).alias("day_spend"), r("channel_spend", 3).alias("channel_spend"), "over_cap")
+    x = usage.spend_cap_audit(_outbox(s, d), day_cap=500, channel_cap=200)
+    return x.select("event_id", r(F.col("day_spend").cast("double"), 3).alias("day_spend"), r(F.col("channel_spend").cast("double"), 3).alias("channel_spend"), "over_cap")
 
 
 @query("j7_csp_summary", f"""WITH {with_views('usage')}, x AS (SELECT 'd' || (CAST(k AS INT) % 5) AS directive, 'https://b' || (CAST(k AS INT) % 7) AS blocked, CASE WHEN event_type = 'click' THEN 'report' ELSE 'enforce' END AS disposition FROM ev WHERE event_type IN ('click', 'purchase'))
@@ -175,14 +183,21 @@ def _(s, d) -> DataFrame:
 # Content
 
 
+_SAY = ["We partnered with Globex Finance today.", 'He said it plainly: "the best tool we ever used" - Jane Roe', "Our model flags 88% of cases. Trusted by Aave, and by everyone.", "Over 25K+ wallets scored since 2024. Now live on base and launching on Initech.", "Run `scan --top 999` on v5,000 builds, see https://site.example/x?n=42",
+        "Bye {{unsubscribe_url}} we are the team behind Hooli and we are official us", "see https://own.example/a-b now, https://own.example and https://other.example/a; on behalf of us all, ON BEHALF OF Acme"]
+
+
 def _content(s, d):
+    """Every document's own text with a line that a claims check has something to say on."""
     k = F.col("doc_id")
-    say = (F.when(k % 7 == 0, "We partnered with Globex Finance today.").when(k % 7 == 1, 'He said it plainly: "the best tool we ever used" - Jane Roe').when(k % 7 == 2, "Our model flags 88% of cases.").when(k % 7 == 3, "Over 25K+ wallets scored since 2024.")
-           .when(k % 7 == 4, "Run `scan --top 999` on v5,000 builds, see https://site.example/x?n=42").when(k % 7 == 5, "Bye {{unsubscribe_url}}").otherwise(""))
+    say = F.element_at(F.array(*(F.lit(x) for x in _SAY)), (k % 7 + 1).cast("int"))
     channel = F.element_at(F.array(*(F.lit(c) for c in content.CADENCE)), (k % 5 + 1).cast("int"))
     return v.table(s, d, "documents").select("doc_id", channel.alias("channel"), (1706745600 + k * 311).alias("posted"), F.concat_ws("\n", "text", say).alias("text"))
 
 
+_CONTENT = "content AS (SELECT doc_id, [" + ", ".join(f"'{c}'" for c in content.CADENCE) + "][doc_id % 5 + 1] AS channel, concat_ws(chr(10), text, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAY) + "][doc_id % 7 + 1]) AS text FROM documents)"
+
+
 def _facts(s):
     return s.createDataFrame([(0.8815, "ratio", True), (254729.0, "count", True), (20717.0, "count", True), (25000.0, "count", False)], "value double, unit string, verified boolean")
 
@@ -197,7 +212,19 @@ def _(s, d) -> DataFrame:
     return content.claim_violations(content.numeric_claims(_content(s, d)), _facts(s))
 
 
-@query("k3_proof_violations", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'partnership' ELSE 'testimonial' END AS kind, CASE doc_id % 7 WHEN 0 THEN 'Globex Finance' ELSE 'Jane Roe' END AS entity FROM documents WHERE doc_id % 7 IN (0, 1)""")
+_NAME = r"([\w.$-]+(?:\s+[A-Z][\w.$-]*)*)"
+# The phrases of the check, written for the other engine; a name that begins with the own one is left out afterwards, as it has no look-ahead.
+_PHRASES = [
+    ("partnership", rf"(?i)\b(?:partner(?:ed|ship|ing)?\s+with|official\s+partner\s+of)\s+{_NAME}", 1), ("endorsement", rf"(?i)\b(?:backed|endorsed|approved|audited|vetted)\s+by\s+{_NAME}", 1), ("endorsement", rf"(?i)\btrusted\s+by\s+{_NAME}", 1),
+    ("partnership", rf"(?i)\b(?:integrated|integration)\s+with\s+{_NAME}", 1), ("partnership", rf"(?i)\b(?:now\s+live|launching)\s+on\s+{_NAME}", 1), ("endorsement", rf"(?i)\bused\s+by\s+(?:teams\s+at\s+)?{_NAME}", 1),
+    ("testimonial", r'["“][^"”]{10,}["”]\s*[-,]{1,2}\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)', 0), ("testimonial", r"\b(?:says|said)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*[,:]", 0),
+    ("impersonation", r"(?i)\bwe\s+are\s+(?:the\s+)?(?:team\s+behind|official)\s+([A-Z][\w.$-]*)", 0), ("impersonation", r"(?i)\bon\s+behalf\s+of\s+([A-Z][\w.$-]*)", 0),
+]
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {proper} AS proper, unnest(regexp_extract_all(text, '{p}', 1)) AS entity FROM content" for kind, p, proper in _PHRASES)
+
+
+@query("k3_proof_violations", rf"""WITH {_CONTENT}, f AS ({_FOUND}) SELECT doc_id, kind, entity FROM f WHERE (proper = 0 OR regexp_matches(entity, '^[A-Z0-9$]'))
+AND CASE WHEN kind = 'impersonation' THEN NOT regexp_matches(entity, '(?i)^us\b') ELSE regexp_replace(lower(trim(entity)), '[.,;:!?]+$', '') NOT IN ({', '.join(f"'{n}'" for n in (*content.COVERED, 'us'))}) END""")
 def _(s, d) -> DataFrame:
     return content.proof_violations(_content(s, d))
 
@@ -209,11 +236,9 @@ def _(s, d) -> DataFrame:
     return content.publish_decision(x, faults, content.proof_violations(x)).select("doc_id", "channel", "decision")
 
 
-@query("k5_tag_links", """SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'see https://own.example/a-b?utm_source=x' || doc_id || '&utm_medium=autopilot now' ELSE 'see https://other.example/a now' END AS text FROM documents""")
+@query("k5_tag_links", rf"WITH {_CONTENT} SELECT doc_id, regexp_replace(text, '(https://own\.example(?:/[\w/#-]*)?)', '\1?utm_source=' || channel || '&utm_medium=autopilot', 'g') AS text FROM content")
 def _(s, d) -> DataFrame:
-    k = F.col("doc_id")
-    x = v.table(s, d, "documents").select("doc_id", F.concat(F.lit("x"), k.cast("string")).alias("channel"), F.when(k % 2 == 0, "see https://own.example/a-b now").otherwise("see https://other.example/a now").alias("text"))
-    return content.tag_links(x, site="own.example").select("doc_id", "text")
+    return content.tag_links(_content(s, d), site="own.example").select("doc_id", "text")
 
 
 # Streaming
@@ -272,7 +297,7 @@ def _(s, d) -> DataFrame:
 def _(s, d) -> DataFrame:
     """Boosted trees and the baseline, fitted and applied: p of each per vector."""
     x = v.feature_rows(s, d).select("vec_id", "features", "label")
-    gbt, base = training.train(x, trees=5, depth=3)
+    gbt, base = training.train(x)
     a, b = training.predictions(gbt, x).select("vec_id", r("p").alias("p_trees")), training.predictions(base, x).select("vec_id", r("p").alias("p_linear"))
     return a.join(b, "vec_id")
 

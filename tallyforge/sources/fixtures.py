@@ -95,13 +95,15 @@ def listings(spark, sf_dir) -> DataFrame:
         F.col("o_orderkey").alias("listing_id"), F.concat(F.lit("u"), (F.col("o_orderkey") % 100).cast("string")).alias("lender"), F.col("o_totalprice").alias("amount"),
         (5 + F.col("o_orderkey") % 6).cast("double").alias("min_apr"), (12 + F.col("o_orderkey") % 9).cast("double").alias("max_apr"), (400 + F.col("o_orderkey") % 300).alias("min_score"),
         (30 + F.col("o_orderkey") % 150).alias("duration_days"), F.when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("OPEN").alias("status"), day.alias("created"), (day + 86400 * 700).alias("expires"),
+        F.element_at(F.array(F.lit("USDC"), F.lit("ETH"), F.lit("DAI")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("currency"), F.when(F.col("o_orderkey") % 5 == 0, "SOLANA").otherwise("EVM").alias("listing_chain"),
+        (450 + F.col("o_orderkey") % 370).alias("lender_score"), (F.col("o_orderkey") % 160).cast("double").alias("collateral_pct"),
     )
 
 
 def applications(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("application_id"), F.col("l_orderkey").alias("listing_id"), F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("borrower"),
-        F.col("l_extendedprice").alias("amount"), epoch_seconds(F.col("l_shipdate")).alias("created"), F.when(F.col("l_returnflag") == "A", "ACCEPTED").when(F.col("l_returnflag") == "R", "REJECTED").otherwise("PENDING").alias("status"),
+        (300 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 551).alias("borrower_score"), F.col("l_extendedprice").alias("amount"), epoch_seconds(F.col("l_shipdate")).alias("created"), F.when(F.col("l_returnflag") == "A", "ACCEPTED").when(F.col("l_returnflag") == "R", "REJECTED").otherwise("PENDING").alias("status"),
     )
 
 
@@ -121,8 +123,8 @@ def usage_calls(spark, sf_dir) -> DataFrame:
 
 
 def request_log(spark, sf_dir) -> DataFrame:
-    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 429).otherwise(200)
-    return _events(spark, sf_dir).select(F.col("sec").alias("ts"), F.col("value").alias("latency_ms"), status.alias("status"), (F.col("event_id") % 2 == 0).alias("cached"))
+    status = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, 500).otherwise(503)).when(F.col("event_type") == "signup", 429).otherwise(200)
+    return _events(spark, sf_dir).select(F.col("sec").alias("ts"), F.col("value").alias("latency_ms"), status.alias("status"), F.when(status == 200, F.col("event_id") % 2 == 0).alias("cached"))
 
 
 # The same views as SQL.
@@ -147,13 +149,14 @@ SQL = {
     "loans": """loans AS (SELECT o_orderkey AS loan_id, 'u' || (o_orderkey % 100) AS lender, 'u' || o_custkey AS borrower, o_totalprice AS amount,
   CASE o_orderstatus WHEN 'F' THEN 'REPAID' WHEN 'O' THEN 'ACTIVE' ELSE 'DEFAULTED' END AS status, CAST(epoch(o_orderdate) AS BIGINT) AS started FROM orders)""",
     "listings": """listings AS (SELECT o_orderkey AS listing_id, 'u' || (o_orderkey % 100) AS lender, o_totalprice AS amount, CAST(5 + o_orderkey % 6 AS DOUBLE) AS min_apr, CAST(12 + o_orderkey % 9 AS DOUBLE) AS max_apr,
+  CASE o_orderkey % 3 WHEN 0 THEN 'USDC' WHEN 1 THEN 'ETH' ELSE 'DAI' END AS currency, CASE WHEN o_orderkey % 5 = 0 THEN 'SOLANA' ELSE 'EVM' END AS listing_chain, 450 + o_orderkey % 370 AS lender_score, CAST(o_orderkey % 160 AS DOUBLE) AS collateral_pct,
   400 + o_orderkey % 300 AS min_score, 30 + o_orderkey % 150 AS duration_days, CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'OPEN' END AS status, CAST(epoch(o_orderdate) AS BIGINT) AS created, CAST(epoch(o_orderdate) AS BIGINT) + 86400 * 700 AS expires FROM orders)""",
-    "applications": """applications AS (SELECT l_orderkey * 10 + l_linenumber AS application_id, l_orderkey AS listing_id, 'u' || l_suppkey AS borrower, l_extendedprice AS amount, CAST(epoch(l_shipdate) AS BIGINT) AS created,
+    "applications": """applications AS (SELECT l_orderkey * 10 + l_linenumber AS application_id, l_orderkey AS listing_id, 'u' || l_suppkey AS borrower, 300 + (l_orderkey * 7 + l_linenumber * 131) % 551 AS borrower_score, l_extendedprice AS amount, CAST(epoch(l_shipdate) AS BIGINT) AS created,
   CASE l_returnflag WHEN 'A' THEN 'ACCEPTED' WHEN 'R' THEN 'REJECTED' ELSE 'PENDING' END AS status FROM lineitem)""",
     "reviews": """reviews AS (SELECT l_orderkey * 10 + l_linenumber AS review_id, l_orderkey AS loan_id, 'u' || CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey % 100 ELSE l_suppkey END AS reviewer, 'u' || (l_suppkey % 100) AS reviewee,
   1 + l_linenumber % 5 AS rating, CAST(epoch(l_shipdate) AS BIGINT) AS created FROM lineitem)""",
     "usage": "usage AS (SELECT event_id, 'k' || (user_id % 20) AS api_key, sec AS ts FROM ev)",
-    "requests": "requests AS (SELECT sec AS ts, value AS latency_ms, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 429 ELSE 200 END AS status, event_id % 2 = 0 AS cached FROM ev)",
+    "requests": "requests AS (SELECT sec AS ts, value AS latency_ms, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 500 ELSE 503 END WHEN 'signup' THEN 429 ELSE 200 END AS status, CASE WHEN event_type NOT IN ('error', 'signup') THEN event_id % 2 = 0 END AS cached FROM ev)",
     "notes": "notes AS (SELECT event_id, 'w' || user_id AS address, sec AS created, event_id % 2 = 0 AS read FROM ev)",
 }
 _NEEDS_EV = {"transfers", "lending", "history", "usage", "requests", "notes"}
