@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import clamp
+from tallyforge.operators.backtest import classification_report, ranking
 
 
 def weighted_vectors(df: DataFrame) -> DataFrame:
@@ -21,14 +22,33 @@ def weighted_vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("x", array_to_vector("features")).withColumn("label", F.col("label").cast("double")).withColumn("w", F.when(F.col("label") == 1, ratio).otherwise(1.0))
 
 
-def train(df: DataFrame, *, trees: int = 20, depth: int = 4, seed: int = 7):
-    """(boosted trees, logistic baseline) fitted on class-weighted rows."""
+def train(df: DataFrame, *, trees: int = 20, depth: int = 4, seed: int = 7, held: str | None = None):
+    """(boosted trees, logistic baseline) fitted on class-weighted rows.
+
+    held: a boolean column of rows that are not fitted on; boosting then stops where their
+    error no longer falls.
+    """
     rows = weighted_vectors(df)
     gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=trees, maxDepth=depth, seed=seed)
+    if held:
+        gbt = gbt.setValidationIndicatorCol(held)
+        base = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", standardization=True, regParam=0.01)
+        return gbt.fit(rows), base.fit(rows.where(~F.col(held)))
     base = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", standardization=True, regParam=0.01)
     return gbt.fit(rows), base.fit(rows)
 
 
+def importances(model, names: list[str]) -> list[tuple[str, float]]:
+    """(feature, share of the gain) of boosted trees, largest first."""
+    return sorted(zip(names, (float(x) for x in model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def training_report(model, held: DataFrame) -> DataFrame:
+    """The confusion counts, accuracy, precision, recall, F1 and ROC AUC of a model on held-out rows: one row."""
+    p = predictions(model, held).select("p", F.col("label").cast("int").alias("label"), F.lit(1.0).alias("weight"))
+    return classification_report(p).crossJoin(F.broadcast(ranking(p).select("roc_auc")))  # one row each
+
+
 def fold_auc(df: DataFrame, *, folds: int = 5, trees: int = 10, key: str = "vec_id") -> list[float]:
     """Held-out ROC AUC of each fold; a row's fold is a hash of its key within its class."""
     fold = F.pmod(F.xxhash64(F.col(key), F.col("label")), F.lit(folds))

@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir, or else the session's own checkpoint folder.
+
+    Where neither is set, only a local session, whose executor is the driver, gets a temporary
+    one; on a cluster that is an error, as other executors would not see the files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyforge-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = f"file://{root}"
-    return root
+    if root:
+        return root
+    if not spark.conf.get("spark.master", "local").startswith(("local[", "local")) or spark.conf.get("spark.master", "").startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="tallyforge-")
+    spark.sparkContext.setCheckpointDir(root)
+    return f"file://{root}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, round_half_up
 from tallyforge.operators import backtest, entity, features, integrity, labels, monitoring, scoring, wallets
+from tallyforge import sources
+from tallyforge.plans.scratch import scratch_path
 from tallyforge.sources import fixtures as v
 from tallyforge.sources.fixtures import AS_OF, with_views
 
@@ -34,6 +36,18 @@ def r(c, n: int = 6):
 # Ingest
 
 
+@query("a1_read_tables", f"""WITH {with_views('transfers')} SELECT fmt, address, chain, hash, ts, from_addr, to_addr FROM transfers, (SELECT unnest(['parquet', 'json', 'csv']) AS fmt)""")
+def _(s, d) -> DataFrame:
+    """All transfers written in each format, by chain where the format keeps it, and read back under the declared schema."""
+    path, out = scratch_path(s, "interchange"), None
+    t = v.transfers(s, d).withColumn("value_wei", F.lit(None).cast("decimal(38,0)"))
+    for fmt in ("parquet", "json", "csv"):
+        sources.write_table(t, f"{path}/{fmt}", fmt)
+        got = sources.read_table(s, f"{path}/{fmt}", "transfers", fmt).select(F.lit(fmt).alias("fmt"), "address", "chain", "hash", "ts", "from_addr", "to_addr")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("a2_normalize_transfers", f"WITH {with_views('transfers')} SELECT hash, ts + (CASE WHEN ts % 2 = 0 THEN 0 ELSE 0 END) AS ts, lower(from_addr) AS from_addr, CASE WHEN ts % 7 = 0 THEN '' WHEN ts % 11 = 0 THEN NULL ELSE lower(to_addr) END AS to_addr FROM transfers")
 def _(s, d) -> DataFrame:
     raw = v.transfers(s, d)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyforge import streaming
 from tallyforge.functions import DAY, epoch_seconds
 from tallyforge.operators import content, market, training, usage
-from tallyforge.queries import _W, DEMO_MODEL, MARKET_NOW, QUERIES, SQL, _weighted, query, r
+from tallyforge.plans.scratch import scratch_path
+from tallyforge.queries import _D12, MARKET_NOW, QUERIES, SQL, _weighted, query, r, scored_wallets
 from tallyforge.sources import fixtures as v
 from tallyforge.sources.fixtures import with_views
 
@@ -278,16 +279,22 @@ def _(s, d) -> DataFrame:
     return got.groupBy("address").agg(F.max("in_window").alias("peak"))
 
 
-@query("s5_stream_rescore", "SELECT 'w' || user_id AS address, count(*) AS tx_count FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id")
+@query("s2_stream_activity_sliding", f"WITH {with_views('transfers')}, g AS (SELECT address, (ts // 86400 - i) * 86400 AS start FROM transfers, (SELECT unnest(range(30)) AS i)) SELECT address, start, count(*) AS tx_count FROM g GROUP BY ALL")
 def _(s, d) -> DataFrame:
-    from tallyforge.plans.scratch import scratch_path
+    """The 30-day form: a window a day, of 30 days each."""
+    t = _stream(s, d).select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("address"), F.concat(F.lit("0x"), F.col("event_id").cast("string")).alias("hash"), "at")
+    got = streaming.latest(streaming.run_available(streaming.stream_activity(t, width="30 days", slide="1 day"), "activity30", mode="update"), ["address", "start"])
+    return got.select("address", F.unix_seconds("start").alias("start"), "tx_count")
+
 
+@query("s5_stream_rescore", f"""WITH {_D12}, touched AS (SELECT DISTINCT address, chain FROM lending WHERE kind = 'borrow') SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(model_score AS BIGINT) AS model_score FROM e JOIN touched USING (address, chain)""")
+def _(s, d) -> DataFrame:
+    """Wallets that a borrow touched are scored anew by the whole scorer."""
     path = scratch_path(s, "rescore")
     act = _stream(s, d).where("event_type = 'purchase'").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("address"), v._chain(F.col("user_id")).alias("chain"))
-    whole = v.transfers(s, d)
-    rescore = lambda keys: whole.join(keys, ["address", "chain"], "left_semi").groupBy("address").agg(F.count("*").alias("tx_count"))
+    rescore = lambda keys: scored_wallets(s, d).join(keys, ["address", "chain"], "left_semi").select("address", "chain", "score", "model_score")
     streaming.stream_rescore(act, rescore, lambda df, b: df.write.mode("overwrite").parquet(f"{path}/out/b={b}"), f"{path}/state").awaitTermination()
-    return s.read.parquet(f"{path}/out/*").groupBy("address").agg(F.max("tx_count").alias("tx_count"))
+    return s.read.parquet(f"{path}/out/*").dropDuplicates(["address", "chain"]).select("address", "chain", "score", "model_score")
 
 
 # Training
@@ -295,13 +302,27 @@ def _(s, d) -> DataFrame:
 
 @query("d13_train")
 def _(s, d) -> DataFrame:
-    """Boosted trees and the baseline, fitted and applied: p of each per vector."""
+    """Boosted trees (stopped early on held-out rows) and the baseline, applied: p of each per vector."""
     x = v.feature_rows(s, d).select("vec_id", "features", "label")
-    gbt, base = training.train(x)
+    gbt, base = training.train(x.withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0), held="held")
     a, b = training.predictions(gbt, x).select("vec_id", r("p").alias("p_trees")), training.predictions(base, x).select("vec_id", r("p").alias("p_linear"))
     return a.join(b, "vec_id")
 
 
+@query("d13_importances")
+def _(s, d) -> DataFrame:
+    """(feature, gain) of the boosted trees."""
+    gbt, _ = training.train(v.feature_rows(s, d).select("vec_id", "features", "label"))
+    return s.createDataFrame(training.importances(gbt, [f"f{i}" for i in range(34)]), "feature string, gain double")
+
+
+@query("d13_fold_auc")
+def _(s, d) -> DataFrame:
+    """Held-out ROC AUC of five stratified folds."""
+    auc = training.fold_auc(v.feature_rows(s, d).select("vec_id", "features", "label"))
+    return s.createDataFrame(list(enumerate(auc)), "fold int, roc_auc double")
+
+
 @query("d14_fit_calibration")
 def _(s, d) -> DataFrame:
     """The fitted monotone grid over the predictions."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Schemas of the interchange files.
 SCHEMAS = {
@@ -37,6 +38,30 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: str | None =
     writer.save(path)
 
 
+def write_holdout(rows: DataFrame, path: str, *, feature_names: list[str], exported_at: str) -> None:
+    """Write backtest cases (address, chain, as_of_ts, features_valid_at_ts, outcome_start_ts, features, label, wallet_age_days, total_borrows) as the JSON document that holdout_rows() reads.
+
+    The cases go out as JSON lines, in parallel, under the folder `path`, with the feature
+    names and the time of export on each line of a header file beside them.
+    """
+    names = [f.split(":")[0] for f in SCHEMAS["holdout"].split("struct<")[1].rstrip(">").split(",")]
+    each = rows.select(F.array(F.struct(*names)).alias("rows"))
+    each.select(F.lit(exported_at).alias("exportedAt"), F.array(*(F.lit(n) for n in feature_names)).alias("featureNames"), "rows").write.mode("overwrite").json(path)
+
+
+def write_features_csv(df: DataFrame, path: str, *, names: list[str], features: str = "features") -> None:
+    """Write vectors as CSV with one column per feature, and any other flat columns before them."""
+    flat = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct"))]
+    write_table(df.select(*flat, *(F.col(features)[i].alias(n) for i, n in enumerate(names))), path, "csv", by=None, mode="overwrite")
+
+
+def read_features_csv(spark: SparkSession, path: str, *, names: list[str], others: str = "address string, chain string, label int") -> DataFrame:
+    """Vectors of a CSV file that write_features_csv() or the older collector wrote: the other columns and `features`."""
+    df = spark.read.schema(f"{others}, " + ", ".join(f"`{n}` double" for n in names)).option("header", True).csv(path)
+    return df.select(*(c for c in df.columns if c not in names), F.array(*names).alias("features"))
+
+
 def holdout_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One row per backtest case of a holdout JSON document."""
-    return spark.read.schema(SCHEMAS["holdout"]).option("multiLine", True).json(path).selectExpr("inline(rows)")
+    """One row per backtest case of a holdout, as one JSON document or as the lines of write_holdout()."""
+    lines = spark.read.schema(SCHEMAS["holdout"]).option("multiLine", not path.rstrip("/").endswith(".jsonl")).json(path)
+    return lines.selectExpr("inline(rows)")

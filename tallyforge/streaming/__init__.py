@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,12 +28,10 @@ def run_available(stream: DataFrame, name: str, *, mode: str = "append") -> Data
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields), "batch long"])
-    return spark.read.schema(schema).parquet(f"{path}/out/*") if _any(spark, f"{path}/out") else spark.createDataFrame([], schema)
-
-
-def _any(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/out/*")
+    except AnalysisException:  # no batch was emitted
+        return spark.createDataFrame([], schema)
 
 
 def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:

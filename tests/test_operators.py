@@ -346,6 +346,6 @@ def test_claims_are_backed_at_their_precision(spark):
 
 
 def test_proof_violations(spark):
-    texts = ["Partnered with Globex", "partnered with everyone here", "integrated with Aave", '"this is the best thing ever" - Jane Roe', "On behalf of Acme we say", "Used by teams at Initech and more", None]
+    texts = ["Partnered with Globex", "partnered with everyone here", "integrated with Aave", '"this is the best thing ever" - Jane Roe', "On behalf of Acme we say", "Used by teams at Initech.", "integrated with Aave today", None]
     got = [(r.doc_id, r.kind, r.entity) for r in content.proof_violations(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), allowed=["Initech"]).orderBy("doc_id").collect()]
-    assert got == [(0, "partnership", "Globex"), (3, "testimonial", "Jane Roe"), (4, "impersonation", "Acme")]
+    assert got == [(0, "partnership", "Globex"), (3, "testimonial", "Jane Roe"), (4, "impersonation", "Acme"), (6, "partnership", "Aave today")]
