@@ -47,6 +47,18 @@ def test_a_cluster_needs_a_shared_folder():
         scratch.scratch_root(Session)
 
 
+def test_scratch_tables_of_a_scope_are_dropped(spark):
+    import os
+
+    with scratch.scratch_scope() as made:
+        first = scratch.materialise(spark.range(5), "one")
+        second = scratch.materialise(first.where("id > 2"), "two")
+    assert len(made) == 2 and all(os.path.isdir(p.removeprefix("file:")) for p in made)
+    scratch.drop_scratch(spark, made[:1])
+    assert not os.path.exists(made[0].removeprefix("file:")) and second.count() == 2
+    assert scratch.scratch_path(spark, "x") not in made
+
+
 # Features
 
 
