@@ -15,6 +15,17 @@ def test_odd_rows(spark, odd_dir, name):
         assert len(rows) == 16
     if name.startswith("op9"):
         assert len(rows) == 9
+    if name.startswith("op5"):  # the passage of the repeated item stands in one document, once per item
+        assert sorted((r.doc_id, r.item_id) for r in rows) == [(7, 1), (7, 1)]
+    if name.startswith("op6"):
+        placed = {}
+        for r in rows:
+            placed.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len([r for r in rows if r.piece == 0]) == 16
+        for p in placed.values():
+            assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 1024
+    if name.startswith("op10"):  # copies of the long text and of the first one; the null id owns nothing
+        assert {r.doc_id for r in rows} == {5, 6} and all(r.owner_ids for r in rows)
 
 
 @pytest.mark.parametrize("name", NAMES)
