@@ -63,28 +63,27 @@ def direct_transfer_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3, among: DataFrame | None = None) -> DataFrame:
     """Share of a's times with a time of b within the tolerance, over the shorter list: an interval join on time buckets.
 
-    Equal times of an address are one tick with a count. A tick meets others in the bucket of
-    `tolerance` seconds that it is in, and in the next one: each pair of neighbouring ticks in
-    just one bucket. among: pairs (a, b); with it only these are looked at, which joins on the
-    pair's address and the bucket in place of the bucket alone (the others are lost, so it is off
-    by default).
+    Equal times of an address are one tick with a count. Buckets are `tolerance` seconds wide,
+    so a time of b in the tick's own bucket is close enough, and of the neighbouring buckets
+    only b's last and first time matter. That is one row of b a bucket: a tick meets each b
+    once, and the pairs are counted with map-side combine. among: pairs (a, b), a < b; with it
+    only these are looked at, which joins on the pair's address and the bucket in place of the
+    bucket alone (the others are lost, so it is off by default).
     """
     busy = times.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ticks = times.groupBy("address", "ts").agg(F.count("*").alias("k")).join(busy, "address")
-    own = materialise(ticks.withColumn("bucket", F.floor(F.col("ts") / tolerance)), "ticks")
-    x = own.select(F.col("address").alias("xa"), F.col("ts").alias("xt"), F.col("k").alias("xk"), F.col("n").alias("xn"), "bucket")
-    y = own.select(F.col("address").alias("ya"), F.col("ts").alias("yt"), F.col("k").alias("yk"), F.col("n").alias("yn"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("met"))
-    close = (F.col("bucket") == F.col("met")) & (F.col("xt") - F.col("yt") <= tolerance) & (F.col("xt") >= F.col("yt")) & (F.col("xa") != F.col("ya"))
+    own = materialise(times.groupBy("address", "ts").agg(F.count("*").alias("k")).join(busy, "address").withColumn("bucket", F.floor(F.col("ts") / tolerance)), "ticks")
+    held = own.groupBy("address", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.first("n").alias("bn"))
+    null = F.lit(None).cast("long")
+    seen = lambda step, before, here, after: F.struct((F.col("bucket") + step).alias("at"), before.alias("before"), F.lit(here).alias("here"), after.alias("after"))
+    near = held.select("address", "bn", F.explode(F.array(seen(-1, null, False, F.col("lo")), seen(0, null, True, null), seen(1, F.col("hi"), False, null))).alias("x")).select(F.col("address").alias("b"), "bn", "x.*")
+    near = near.groupBy("b", "at").agg(F.max("before").alias("before"), F.max("here").alias("here"), F.min("after").alias("after"), F.first("bn").alias("bn"))
+    ticks = own.select(F.col("address").alias("a"), F.col("ts").alias("t"), "k", F.col("n").alias("an"), "bucket")
+    close = F.col("here") | F.coalesce(F.col("before") >= F.col("t") - tolerance, F.lit(False)) | F.coalesce(F.col("after") <= F.col("t") + tolerance, F.lit(False))
     if among is None:
-        met = x.join(y, close)
+        met = ticks.join(near, (F.col("bucket") == F.col("at")) & (F.col("a") < F.col("b")) & close)
     else:
-        pair = among.select(F.col("a").alias("xa"), F.col("b").alias("other")).unionByName(among.select(F.col("b").alias("xa"), F.col("a").alias("other"))).distinct()
-        met = x.join(pair, "xa").join(y, close & (F.col("other") == F.col("ya")))
-    first = F.col("xa") < F.col("ya")
-    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-    # b may be before or after a, so a tick of a can meet b from either side and counts once
-    hit = met.select(pick("xa", "ya").alias("a"), pick("ya", "xa").alias("b"), pick("xt", "yt").alias("t"), pick("xk", "yk").alias("k"), F.least("xn", "yn").alias("shorter")).groupBy("a", "b", "t").agg(F.first("k").alias("k"), F.first("shorter").alias("shorter"))
-    return hit.groupBy("a", "b").agg(F.least(F.lit(1.0), F.sum("k") / F.first("shorter")).alias("conf"))
+        met = ticks.join(among.select("a", F.col("b").alias("other")).distinct(), "a").join(near, (F.col("other") == F.col("b")) & (F.col("bucket") == F.col("at")) & close)
+    return met.groupBy("a", "b").agg(F.least(F.lit(1.0), F.sum("k") / F.least(F.first("an"), F.first("bn"))).alias("conf"))
 
 
 def score_pairs(**signals: DataFrame) -> DataFrame:
