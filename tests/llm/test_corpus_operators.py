@@ -150,7 +150,7 @@ def brute_kneser_ney(text, order=4):
     return p
 
 
-@pytest.mark.parametrize("entries", [10**6, 1200, 300])
+@pytest.mark.parametrize("entries", [10**6, 300])
 def test_kneser_ney_equals_brute_force_and_sums_to_one(spark, entries):
     text = prose(3, 400)
     labelled = spark.createDataFrame([("a", text), ("b", prose(4, 300)), (None, "x")], "lang string, text string")
