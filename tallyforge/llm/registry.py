@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontam, exact_dedup, jaccard, langid, licenses, packing, pii, sharding, substring, url_rules
+from tallyforge.llm import decontam, exact_dedup, jaccard, langid, licenses, packing, phrases, pii, sharding, substring, url_rules
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_parity_join": jaccard.op8_parity_join,
         "op9_url_rules": url_rules.op9_url_rules,
         "op10_gear_chunks": substring.op10_gear_chunks,
+        "op11_phrases": phrases.op11_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_sentences": licenses.SQL, "op4_digest_dedup": exact_dedup.SQL, "op9_url_rules": url_rules.SQL}
+    return {"op2_license_sentences": licenses.SQL, "op4_digest_dedup": exact_dedup.SQL, "op9_url_rules": url_rules.SQL, "op11_phrases": phrases.SQL}
