@@ -58,9 +58,10 @@ def default_tokenizer() -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, specials: bool = True):
     """A function from text to ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
+    specials: whether the strings of special tokens in a text are those tokens, or plain text.
     Byte-level BPE with the usual word pattern and no normaliser is run by tiktoken on the
     same vocabulary, which is several times faster; anything else, and any text with one of
     the tokenizer's added tokens or a run of LONG_GAP white space in it, is left to tokenizers.
@@ -68,8 +69,10 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
+    own.encode_special_tokens = not specials
     spec = json.load(open(path, encoding="utf-8"))
     added = [t["content"] for t in spec.get("added_tokens", [])]
+    apart = [t["content"] for t in spec.get("added_tokens", []) if specials or not t["special"]]
     slow = lambda text: own.encode(text, add_special_tokens=False).ids
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and not model.get("continuing_subword_prefix")
@@ -77,7 +80,7 @@ def encoder(path: str):
         return slow
     import tiktoken
 
-    letters = _byte_letters()
+    letters = byte_letters()
     ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
     merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
     in_order = [i for w, i in sorted(model["vocab"].items(), key=lambda x: x[1]) if w not in added] == list(range(len(ranks)))
@@ -86,10 +89,10 @@ def encoder(path: str):
     # Fixed value: the word pattern of byte-level BPE.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: slow(text) if any(a in text for a in added) or (len(text) >= LONG_GAP and _LONG_GAP.search(text)) else fast(text)
+    return lambda text: slow(text) if any(a in text for a in apart) or (len(text) >= LONG_GAP and _LONG_GAP.search(text)) else fast(text)
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter that byte-level BPE writes for each byte, as a map back to the byte."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontam, exact_dedup, jaccard, langid, licenses, packing, phrases, pii, sharding, substring, url_rules
+from tallyforge.llm import align, decontam, exact_dedup, jaccard, langid, licenses, minhash, packing, phrases, pii, sharding, substring, url_rules
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_url_rules": url_rules.op9_url_rules,
         "op10_gear_chunks": substring.op10_gear_chunks,
         "op11_phrases": phrases.op11_phrases,
+        "op12_minhash": minhash.op12_minhash,
+        "op13_token_alignment": align.op13_token_alignment,
     }
 
 

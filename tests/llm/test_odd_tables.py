@@ -5,7 +5,7 @@ import pytest
 from tallyforge.llm import registry
 
 NAMES = sorted(registry.queries())
-PER_DOCUMENT = {"op1", "op2", "op3", "op4", "op7", "op8"}
+PER_DOCUMENT = {"op1", "op2", "op3", "op4", "op7", "op8", "op12", "op13"}
 
 
 @pytest.mark.parametrize("name", NAMES)
