@@ -75,8 +75,8 @@ def new_addresses(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def classify_address(c: Column) -> Column:
-    """evm, ens, solana or invalid."""
-    return F.when(F.trim(c).rlike(r"^0x[0-9a-fA-F]{40}$"), "evm").when(F.lower(F.trim(c)).rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)*\.eth$"), "ens").when(F.trim(c).rlike(r"^[1-9A-HJ-NP-Za-km-z]{32,44}$"), "solana").otherwise("invalid")
+    """evm, solana, ens (one label before .eth, 64 characters at most) or invalid."""
+    return F.when(F.trim(c).rlike(r"^0x[0-9a-fA-F]{40}$"), "evm").when(F.trim(c).rlike(r"^[1-9A-HJ-NP-Za-km-z]{32,44}$"), "solana").when(F.trim(c).rlike(r"(?i)^(?=.{1,64}$)[a-z0-9-]+\.eth$"), "ens").otherwise("invalid")
 
 
 def valid_addresses(df: DataFrame, col: str = "address") -> DataFrame:

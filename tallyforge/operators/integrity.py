@@ -87,11 +87,14 @@ def apply_penalty(df: DataFrame) -> DataFrame:
     return df.withColumn("penalised_score", F.when(F.col("new_wallet") | F.col("no_borrow_history"), F.col("score")).otherwise(off).cast("long"))
 
 
-def detect(transfers: DataFrame, events: DataFrame, related: DataFrame | None = None, *, live_parity: bool = False) -> DataFrame:
-    """One row per wallet with all severities, penalty and flag; live_parity keeps the two detectors that serving runs."""
+def detect(transfers: DataFrame, events: DataFrame, related: DataFrame | None = None, cohort: DataFrame | None = None, *, live_parity: bool = False) -> DataFrame:
+    """One row per wallet with all severities, penalty and flag; live_parity keeps the two detectors that serving runs.
+
+    related, cohort: what wash_trading() and sybil_funding() take of the resolved entities.
+    """
     parts = {"wash_trading": wash_trading(transfers, related), "burst_timing": burst_timing(transfers)}
     if not live_parity:
-        parts |= {"sybil_funding": sybil_funding(transfers), "instant_repay": instant_repay(events)}
+        parts |= {"sybil_funding": sybil_funding(transfers, cohort), "instant_repay": instant_repay(events)}
     each = None
     for name, part in parts.items():
         own = part.select(*KEY, F.lit(name).alias("detector"), F.col("severity").cast("double").alias("severity"))

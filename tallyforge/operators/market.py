@@ -51,7 +51,7 @@ def marketplace_stats(listings: DataFrame, loans: DataFrame, wallets: DataFrame)
 
 
 def application_eligibility(applications: DataFrame, listings: DataFrame, wallets: DataFrame, live: DataFrame) -> DataFrame:
-    """Each application's first failing rule, or ok. live: (listing_id, borrower) with an application that is still open."""
+    """Each application's first failing rule, or ok. live: (listing_id, borrower) with an application that is pending or accepted."""
     met = applications.join(listings.select("listing_id", F.col("status").alias("listing_status"), F.col("amount").alias("listed"), "min_score"), "listing_id", "left")
     met = met.join(wallets.select(F.col("address").alias("borrower"), "score"), "borrower", "left")
     met = met.join(live.select("listing_id", "borrower", F.lit(True).alias("has_live")).distinct(), ["listing_id", "borrower"], "left")
@@ -78,7 +78,7 @@ def _sides(loans: DataFrame) -> DataFrame:
 def _mean_rating(reviews: DataFrame, n: int = 10) -> DataFrame:
     last = Window.partitionBy("reviewee").orderBy(F.desc("created"), F.desc("review_id"))
     top = reviews.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= n)
-    return top.groupBy(F.col("reviewee").alias("address")).agg(F.avg("rating").alias("mean_rating"))
+    return top.groupBy(F.col("reviewee").alias("address")).agg(F.avg("rating").alias("mean_rating"), F.count("rating").alias("review_count"))
 
 
 def wallet_dashboard(wallets: DataFrame, loans: DataFrame, reviews: DataFrame, listings: DataFrame, *, latest: int = 20) -> DataFrame:
@@ -88,14 +88,14 @@ def wallet_dashboard(wallets: DataFrame, loans: DataFrame, reviews: DataFrame, l
     top = closed.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= latest)
     sums = top.groupBy("address").agg(F.sum(F.when(F.col("side") == "lender", F.col("amount")).otherwise(0.0)).alias("total_lent"), F.sum(F.when(F.col("side") == "borrower", F.col("amount")).otherwise(0.0)).alias("total_borrowed"), F.sum((F.col("status") == "REPAID").cast("long")).alias("repaid"))
     count = listings.groupBy(F.col("lender").alias("address")).agg(F.count("*").alias("listings"))
-    return wallets.select("address", "score").join(sums, "address", "left").join(_mean_rating(reviews), "address", "left").join(count, "address", "left").fillna(0, ["total_lent", "total_borrowed", "repaid", "listings"])
+    return wallets.select("address", "score").join(sums, "address", "left").join(_mean_rating(reviews).drop("review_count"), "address", "left").join(count, "address", "left").fillna(0, ["total_lent", "total_borrowed", "repaid", "listings"])
 
 
 def wallet_profile(wallets: DataFrame, loans: DataFrame, reviews: DataFrame, listings: DataFrame) -> DataFrame:
-    """Repaid loans per role over all of them, mean of the latest ten ratings, open listings."""
+    """Repaid loans per role over all of them, mean and number of the latest ten ratings, open listings."""
     repaid = _sides(loans).where("status = 'REPAID'").groupBy("address").agg(F.sum((F.col("side") == "lender").cast("long")).alias("repaid_as_lender"), F.sum((F.col("side") == "borrower").cast("long")).alias("repaid_as_borrower"))
     count = listings.where("status = 'OPEN'").groupBy(F.col("lender").alias("address")).agg(F.count("*").alias("open_listings"))
-    return wallets.select("address", "score").join(repaid, "address", "left").join(_mean_rating(reviews), "address", "left").join(count, "address", "left").fillna(0, ["repaid_as_lender", "repaid_as_borrower", "open_listings"])
+    return wallets.select("address", "score").join(repaid, "address", "left").join(_mean_rating(reviews), "address", "left").join(count, "address", "left").fillna(0, ["repaid_as_lender", "repaid_as_borrower", "review_count", "open_listings"])
 
 
 def listing_detail(listings: DataFrame, applications: DataFrame) -> DataFrame:
@@ -106,11 +106,14 @@ def listing_detail(listings: DataFrame, applications: DataFrame) -> DataFrame:
 
 
 def review_eligibility(reviews: DataFrame, loans: DataFrame) -> DataFrame:
-    """reviews with reason: ok, or the first failing rule."""
-    met = reviews.join(loans.select("loan_id", "status", "lender", "borrower"), "loan_id", "left")
-    rn = F.row_number().over(Window.partitionBy("loan_id", "reviewer").orderBy("created", "review_id"))
-    party = (F.col("reviewer") == F.col("lender")) | (F.col("reviewer") == F.col("borrower"))
-    return met.withColumn("rn", rn).withColumn("reason", F.when(F.col("status").isNull() | (F.col("status") != "REPAID"), "loan not repaid").when(~party, "not a party").when(~F.col("rating").between(1, 5), "bad rating").when(F.col("rn") > 1, "already reviewed").otherwise("ok"))
+    """reviews with reason: ok, or the first failing rule. A refused review is never stored, so it takes nobody's turn."""
+    met = reviews.join(loans.select("loan_id", "status", "lender", "borrower"), "loan_id", "left").withColumn("__by", F.lower("reviewer"))
+    party = (F.col("__by") == F.col("lender")) | (F.col("__by") == F.col("borrower"))
+    rated = F.coalesce(F.col("rating").between(1, 5), F.lit(False))
+    refused = F.when(~rated, "bad rating").when(F.col("status").isNull() | (F.col("status") != "REPAID"), "loan not repaid").when(~F.coalesce(party, F.lit(False)), "not a party")
+    rn = F.row_number().over(Window.partitionBy("loan_id", "__by", "reason").orderBy("created", "review_id"))
+    met = met.withColumn("reason", refused).withColumn("rn", rn)
+    return met.withColumn("reason", F.coalesce("reason", F.when(F.col("rn") > 1, "already reviewed").otherwise("ok"))).drop("__by")
 
 
 def lender_eligibility(listings: DataFrame, wallets: DataFrame, *, now: int, least: int = 500) -> DataFrame:

@@ -28,22 +28,26 @@ def psi(expected: DataFrame, observed: DataFrame, *, floor: float = 1e-4) -> Dat
     """Population stability index of two share tables and its verdict (0.1 and 0.25)."""
     met = expected.select("bucket", F.greatest("share", F.lit(floor)).alias("e")).join(observed.select("bucket", F.greatest("share", F.lit(floor)).alias("o")), "bucket")
     one = met.agg(F.sum((F.col("o") - F.col("e")) * F.log(F.col("o") / F.col("e"))).alias("psi"))
-    return one.withColumn("verdict", F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "moderate").otherwise("significant"))
+    return one.withColumn("verdict", F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "moderate").otherwise("severe"))
 
 
 def high_score_convergence(df: DataFrame, *, days: int = 90, least: int = 700) -> DataFrame:
-    """Of the wallets at most `days` old: how many, and the share that scores at least `least`."""
-    young = df.where(F.col("age") <= days)
-    return young.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("score") >= least).cast("double")), F.lit(0.0)).alias("share"))
+    """The share of all wallets that are at most `days` old and score at least `least`, and how many wallets there are."""
+    matches = F.count_if((F.col("age") <= days) & (F.col("score") >= least))
+    return df.agg(F.count("*").alias("n"), F.when(F.count("*") > 0, matches / F.count("*")).otherwise(0.0).alias("share"))
 
 
 def score_changes(history: DataFrame, subscriptions: DataFrame | None = None, *, min_delta: int = 10) -> DataFrame:
-    """First scores and changes of at least min_delta, one row per active subscription if these are given."""
+    """First scores and changes of at least min_delta, one row per active subscription of the wallet on that chain if these are given.
+
+    subscriptions: subscription_id, address (lower case), chain, revoked_at.
+    """
     before = F.lag("score").over(Window.partitionBy(*KEY).orderBy("ts", "event_id"))
     moved = history.withColumn("previous", before).withColumn("delta", F.col("score") - F.col("previous")).where(F.col("previous").isNull() | (F.abs("delta") >= min_delta))
     if subscriptions is None:
         return moved
-    return moved.join(subscriptions.where("revoked_at is null").select("subscription_id", "address"), "address")
+    active = subscriptions.where("revoked_at is null").select("subscription_id", F.col("address").alias("__of"), F.col("chain").alias("__on"))
+    return moved.join(active, (F.lower("address") == F.col("__of")) & (F.col("chain") == F.col("__on"))).drop("__of", "__on")
 
 
 def cache_state(entries: DataFrame, *, now: int) -> DataFrame:

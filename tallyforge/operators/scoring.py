@@ -106,7 +106,12 @@ def score_linear(df: DataFrame, *, mean: list[float], scale: list[float], coef:
 
 
 def calibrate(p: Column, x: list[float], y: list[float]) -> Column:
-    """Piecewise-linear lookup on an even grid x, flat beyond its ends."""
+    """Piecewise-linear lookup on an ascending grid x, flat beyond its ends. On an even grid the place is computed, else searched for."""
+    if any(abs((x[i + 1] - x[i]) - (x[1] - x[0])) > 1e-9 for i in range(len(x) - 1)):
+        out = F.when(p <= x[0], float(y[0]))
+        for x0, x1, y0, y1 in zip(x, x[1:], y, y[1:], strict=False):
+            out = out.when(p < x1, y0 + (p - x0) / ((x1 - x0) or 1) * (y1 - y0))
+        return out.otherwise(float(y[-1]))
     xs, ys = F.array(*(F.lit(float(v)) for v in x)), F.array(*(F.lit(float(v)) for v in y))
     step, last = x[1] - x[0], len(x) - 1
     i = F.least(F.greatest(F.floor((p - x[0]) / step).cast("int"), F.lit(0)), F.lit(last - 1))
@@ -148,15 +153,15 @@ def score_gates(df: DataFrame) -> DataFrame:
     return df.withColumns({"new_wallet": new, "no_borrow_history": bare, "score": pick(300, 0, "score"), "grade": pick("F", "F", "grade"), "percentile": pick(1, 0, "percentile")})
 
 
-def factor_bars(df: DataFrame) -> DataFrame:
+def factor_bars(df: DataFrame, *, families: dict = FAMILIES) -> DataFrame:
     """df with factors: per family its bar (0..100, higher is safer), weight, weighted bar, and whether its sources failed."""
     bars = []
-    for name, (scale, weight, members) in FAMILIES.items():
+    for name, (scale, weight, members) in families.items():
         total = sum((F.col("contributions")[i] for i in members[1:]), F.col("contributions")[members[0]])
         bar = clamp(round_half_up(100 * sigmoid(-total / scale)), 0, 100)
         failed = F.lit(False)
         if "errors" in df.columns:
-            for e in FAMILY_ERRORS[name]:
+            for e in FAMILY_ERRORS.get(name, ()):
                 failed = failed | F.coalesce(F.col("errors")[e].isNotNull(), F.lit(False))
         bars.append(F.struct(F.lit(name).alias("name"), bar.cast("long").alias("bar"), F.lit(weight).alias("weight"), (bar * weight).alias("weighted"), failed.alias("limited_data")))
     return df.withColumn("factors", F.array(*bars))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions import clamp
+from tallyforge.functions import clamp, sigmoid
 from tallyforge.operators.backtest import classification_report, ranking
 
 
@@ -22,20 +22,26 @@ def weighted_vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("x", array_to_vector("features")).withColumn("label", F.col("label").cast("double")).withColumn("w", F.when(F.col("label") == 1, ratio).otherwise(1.0))
 
 
-def train(df: DataFrame, *, trees: int = 20, depth: int = 4, seed: int = 7, held: str | None = None):
-    """(boosted trees, logistic baseline) fitted on class-weighted rows.
+def boosted(df: DataFrame, *, trees: int = 20, depth: int = 4, seed: int = 7, held: str | None = None):
+    """Boosted trees fitted on class-weighted rows.
 
     held: a boolean column of rows that are not fitted on; boosting then stops where their
     error no longer falls.
     """
-    rows = weighted_vectors(df)
     gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=trees, maxDepth=depth, seed=seed)
-    if held:
-        gbt = gbt.setValidationIndicatorCol(held)
-        base = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", standardization=True, regParam=0.01)
-        return gbt.fit(rows), base.fit(rows.where(~F.col(held)))
+    return (gbt.setValidationIndicatorCol(held) if held else gbt).fit(weighted_vectors(df))
+
+
+def baseline(df: DataFrame, *, held: str | None = None):
+    """The logistic baseline, fitted on class-weighted rows that are not held out."""
     base = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", standardization=True, regParam=0.01)
-    return gbt.fit(rows), base.fit(rows)
+    rows = weighted_vectors(df)
+    return base.fit(rows.where(~F.col(held)) if held else rows)
+
+
+def train(df: DataFrame, *, trees: int = 20, depth: int = 4, seed: int = 7, held: str | None = None):
+    """(boosted trees, logistic baseline)."""
+    return boosted(df, trees=trees, depth=depth, seed=seed, held=held), baseline(df, held=held)
 
 
 def importances(model, names: list[str]) -> list[tuple[str, float]]:
@@ -54,14 +60,22 @@ def fold_auc(df: DataFrame, *, folds: int = 5, trees: int = 10, key: str = "vec_
     fold = F.pmod(F.xxhash64(F.col(key), F.col("label")), F.lit(folds))
     rows, out = df.withColumn("fold", fold), []
     for k in range(folds):
-        model, _ = train(rows.where(F.col("fold") != k), trees=trees)
+        model = boosted(rows.where(F.col("fold") != k), trees=trees)
         held = model.transform(weighted_vectors(rows.where(F.col("fold") == k)))
         out.append(BinaryClassificationEvaluator(labelCol="label").evaluate(held))
     return out
 
 
 def predictions(model, df: DataFrame) -> DataFrame:
-    """df with p, the probability of class 1."""
+    """df with p, the probability of class 1.
+
+    A fitted logistic model keeps its training summary and through it the session, which cannot
+    be sent to executors once the session has watched a query by an Observation. So its
+    probability is computed by column arithmetic from the coefficients alone.
+    """
+    if isinstance(model, LogisticRegressionModel):
+        terms = F.zip_with("features", F.array(*(F.lit(float(c)) for c in model.coefficients)), lambda x, c: x * c)
+        return df.withColumn("p", sigmoid(F.aggregate(terms, F.lit(float(model.intercept)), lambda a, t: a + t)))
     return model.transform(weighted_vectors(df)).withColumn("p", vector_to_array("probability")[1]).drop("x", "w", "rawPrediction", "probability", "prediction")
 
 
@@ -78,7 +92,7 @@ def fit_platt(df: DataFrame) -> tuple[float, float]:
     """(slope, intercept) of a logistic map on the logit of p."""
     q = clamp(F.col("p"), 1e-6, 1 - 1e-6)
     rows = df.select(array_to_vector(F.array(F.log(q / (1 - q)))).alias("x"), F.col("label").cast("double").alias("label"), F.col("weight").alias("w"))
-    m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w").fit(rows)
+    m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w").fit(rows)  # only its two numbers are used
     return float(m.coefficients[0]), float(m.intercept)
 
 

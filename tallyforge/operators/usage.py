@@ -61,10 +61,20 @@ def tier_economics(plans: DataFrame, *, cost: float = BLENDED_COST) -> DataFrame
 
 
 def subscription_state(events: DataFrame) -> DataFrame:
-    """Latest plan and status per API key from billing events (type, body JSON, at, event_id)."""
-    meta = lambda k: F.get_json_object("body", f"$.metadata.{k}")
-    status = F.when(F.col("type") == "checkout.session.completed", "active").when(F.col("type") == "customer.subscription.updated", F.coalesce(F.get_json_object("body", "$.status"), F.lit("active"))).when(F.col("type") == "customer.subscription.deleted", "canceled")
-    own = events.select(meta("apiKeyId").alias("api_key"), meta("planId").alias("plan"), status.alias("status"), "at", "event_id").where("api_key is not null and plan is not null and status is not null")
+    """Latest plan and status per API key from billing events (type, body JSON, at, event_id).
+
+    Events whose key or plan is missing, empty or no string are skipped, as are junk bodies and other types.
+    """
+    doc = F.try_parse_json("body")
+
+    def text(path: str):
+        """The value at a path if it is a JSON string."""
+        part = F.try_variant_get(doc, path, "variant")
+        return F.when(F.schema_of_variant(part) == "STRING", F.try_variant_get(doc, path, "string"))
+
+    updated = F.coalesce(text("$.status"), F.lit("active"))
+    status = F.when(F.col("type") == "checkout.session.completed", "active").when(F.col("type") == "customer.subscription.updated", updated).when(F.col("type") == "customer.subscription.deleted", "canceled")
+    own = events.select(text("$.metadata.apiKeyId").alias("api_key"), text("$.metadata.planId").alias("plan"), status.alias("status"), "at", "event_id").where("api_key <> '' and plan <> '' and status is not null")
     return own.groupBy("api_key").agg(F.max(F.struct("at", "event_id", "plan", "status")).alias("x")).select("api_key", "x.plan", "x.status")
 
 

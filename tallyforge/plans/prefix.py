@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from tallyforge.plans.scratch import materialise
 def running_sums(df: DataFrame, keys: list[str], order: str | list[str], values: list[str], *, partitions: int | None = None) -> DataFrame:
     """df with before_<v> for each v: the sum of v over the rows of the same keys with a smaller `order`.
 
-    (keys, order) must be unique. Rows are dealt to range partitions and summed within
-    each; what the partitions of a key before it hold is added from a table of at most
-    keys x partitions rows. The dealt rows are stored once, so both passes see the same
-    partitions.
+    (keys, order) must be unique; null keys are a key of their own and null orders come first.
+    Rows are dealt to range partitions and summed within each; what the partitions of a key
+    before it hold is added from a table of at most keys x partitions rows. The dealt rows are
+    stored once, so both passes see the same partitions.
     """
     order = [order] if isinstance(order, str) else order
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -24,7 +26,9 @@ def running_sums(df: DataFrame, keys: list[str], order: str | list[str], values:
     offsets = totals.select(*keys, "__part", *(F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__o_{v}") for v in values))
     own = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = dealt.select("*", *(F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"__w_{v}") for v in values))
-    met = summed.join(offsets, [*keys, "__part"])
+    offsets = offsets.withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__part": "__at"})
+    same = (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)
+    met = summed.join(offsets, reduce(lambda a, b: a & b, same, F.col("__part") == F.col("__at")))
     return met.select(*df.columns, *((F.col(f"__w_{v}") + F.col(f"__o_{v}")).alias(f"before_{v}") for v in values))
 
 

@@ -111,12 +111,13 @@ def _(s, d) -> DataFrame:
     return features.new_addresses(v.loans(s, d).select(F.col("borrower").alias("address")), v.wallets(s, d).where("c_custkey % 3 = 0"))
 
 
-@query("a8_valid_addresses", r"""WITH a AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0x' || upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 32)) || '00aaBB11' WHEN 1 THEN 'Name' || o_orderkey || '.ETH' WHEN 2 THEN translate(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 32), '0', '1') || 'XyZ9' ELSE 'x0' || o_orderkey END AS address FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'evm' WHEN 1 THEN 'ens' WHEN 2 THEN 'solana' ELSE 'invalid' END AS address_kind, CASE o_orderkey % 4 WHEN 2 THEN address WHEN 3 THEN NULL ELSE lower(address) END AS normalised FROM a""")
+@query("a8_valid_addresses", r"""WITH a AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0x' || upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 32)) || '00aaBB11' WHEN 1 THEN CASE o_orderkey % 7 WHEN 0 THEN 'sub.' WHEN 1 THEN repeat('x', 60) ELSE '' END || 'Name' || o_orderkey || '.ETH' WHEN 2 THEN translate(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 32), '0', '1') || 'XyZ9' ELSE 'x0' || o_orderkey END AS address FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'evm' WHEN o_orderkey % 4 = 1 AND o_orderkey % 7 > 1 THEN 'ens' WHEN o_orderkey % 4 = 2 THEN 'solana' ELSE 'invalid' END AS address_kind, CASE WHEN o_orderkey % 4 = 2 THEN address WHEN o_orderkey % 4 = 3 OR o_orderkey % 4 = 1 AND o_orderkey % 7 < 2 THEN NULL ELSE lower(address) END AS normalised FROM a""")
 def _(s, d) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     h = F.substring(F.md5(k.cast("binary")), 1, 32)
-    form = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("0x"), F.upper(h), F.lit("00aaBB11"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Name"), k, F.lit(".ETH"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.translate(h, "0", "1"), F.lit("XyZ9"))).otherwise(F.concat(F.lit("x0"), k))
+    odd = F.when(F.col("o_orderkey") % 7 == 0, "sub.").when(F.col("o_orderkey") % 7 == 1, "x" * 60).otherwise("")  # two labels, or too long
+    form = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("0x"), F.upper(h), F.lit("00aaBB11"))).when(F.col("o_orderkey") % 4 == 1, F.concat(odd, F.lit("Name"), k, F.lit(".ETH"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.translate(h, "0", "1"), F.lit("XyZ9"))).otherwise(F.concat(F.lit("x0"), k))
     return features.valid_addresses(v.table(s, d, "orders").select("o_orderkey", form.alias("address"))).select("o_orderkey", "address_kind", "normalised")
 
 
@@ -412,10 +413,14 @@ _TREES = """trees AS (SELECT vec_id, CASE WHEN x0 IS NULL OR x0 < 0 THEN CASE WH
  CASE WHEN x0 IS NULL OR x0 < 0 THEN -0.25 ELSE 0.25 END AS c0, CASE WHEN x0 IS NULL OR x0 < 0 THEN CASE WHEN x5 < 0.1 THEN -0.3 ELSE 0.3 END ELSE 0 END AS c5, CASE WHEN x10 < 0.05 THEN 0.25 ELSE -0.35 END AS c10, CASE WHEN x20 < -0.02 THEN 0.41 ELSE -0.09 END AS c20, CASE WHEN x20 < -0.02 THEN 0 WHEN x30 < 0 THEN 0.3 ELSE -0.2 END AS c30 FROM feat)"""
 
 
-def _scored(s, d):
-    f = v.feature_rows(s, d)
+def _gapped(s, d):
+    """Feature rows, every tenth without its first number."""
     gap = F.when(F.col("vec_id") % 10 == 0, F.concat(F.array(F.lit(None).cast("double")), F.slice("features", 2, 33))).otherwise(F.col("features"))
-    return scoring.score_trees(f.withColumn("features", gap), DEMO_MODEL)
+    return v.feature_rows(s, d).withColumn("features", gap)
+
+
+def _scored(s, d):
+    return scoring.score_trees(_gapped(s, d), DEMO_MODEL)
 
 
 @query("d1_score_trees", f"WITH {_X}, {_TREES} SELECT vec_id, round(CAST(m1 + m2 + m3 AS DOUBLE), 6) AS margin, round(CAST(c0 AS DOUBLE), 6) AS c0, round(CAST(c5 AS DOUBLE), 6) AS c5, round(CAST(c10 AS DOUBLE), 6) AS c10, round(CAST(c20 AS DOUBLE), 6) AS c20, round(CAST(c30 AS DOUBLE), 6) AS c30 FROM trees")
@@ -532,12 +537,15 @@ def scored_wallets(s, d) -> DataFrame:
     n = F.substring("address", 2, 9).cast("int")
     failed = lambda cond, *names: F.when(cond, F.map_from_arrays(F.array(*(F.lit(x) for x in names)), F.array(*(F.lit("down") for _ in names))))
     errors = w.select("address", "chain", F.coalesce(failed(n % 17 == 0, "etherscan", "alchemy", "aave", "compound"), failed(n % 11 == 0, "etherscan")).alias("errors")).where("errors is not null")
-    good = w.where(n % 34 == 0).select("address", "chain", (600 + n % 50).cast("long").alias("score"), F.lit("C").alias("grade"), F.lit(40).cast("long").alias("percentile"))
+    good = w.where(n % 34 == 0).select(
+        "address", "chain", (600 + n % 50).cast("long").alias("score"), (610 + n % 50).cast("long").alias("model_score"), F.lit("C").alias("grade"), F.lit(40).cast("long").alias("percentile"), F.lit(0.25).alias("calibrated_pd"),
+        F.lit(0.04).alias("penalty"), F.lit(False).alias("flagged"), F.lit(1.0).alias("completeness"), F.array().cast("array<string>").alias("degraded_sources"), F.array(F.lit("Aave")).alias("protocols_used"), F.lit("old").alias("model_version"),
+    )
     k = F.col("s_suppkey")
     accounts = v.table(s, d, "supplier").select(F.concat(F.lit("w"), k.cast("string")).alias("address"), v._chain(k).alias("chain"), F.when(k % 3 == 0, "0x0").otherwise("0xde0b6b3a7640000").alias("balance_hex"), F.lit("0x").alias("code"), F.lit("0x0").alias("resolver"))
     held = v.balances(s, d).withColumn("address", F.concat(F.lit("w"), F.substring("address", 2, 9)))
     tokens = s.createDataFrame(_TOKENS, "contract string, role string, decimals int, price double")
-    return wallets.score_wallets(w, t, v.lending_events(s, d), WALLET_MODEL, as_of=AS_OF, calibration=(_GRID, _LINE), errors=errors, known_good=good, balances=held, tokens=tokens, accounts=accounts, liquidity=w.where(n % 3 == 0))
+    return wallets.score_wallets(w, t, v.lending_events(s, d), WALLET_MODEL, as_of=AS_OF, calibration=(_GRID, _LINE), errors=errors, known_good=good, model_version="own", balances=held, tokens=tokens, accounts=accounts, liquidity=w.where(n % 3 == 0))
 
 
 _D12 = f"""{_WIDE}, tok(contract, role, decimals, price) AS (VALUES {', '.join(str(t) for t in _TOKENS)}),
@@ -559,13 +567,13 @@ z AS (SELECT gr.*, bo = 0 AS bare, CASE WHEN bo = 0 THEN 0 ELSE 1 - (1 - coalesc
 e AS (SELECT *, CASE WHEN bare THEN 0 ELSE score END AS model_score, CASE WHEN bare THEN 0 ELSE greatest(300, score - floor(250 * penalty + 0.5)) END AS own, n % 34 = 0 AS kept FROM z)"""
 
 
-@query("d12_score_wallets", f"""WITH {_D12} SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(model_score AS BIGINT) AS model_score, CASE WHEN kept THEN 'C' WHEN bare THEN 'F' ELSE g END AS grade, CAST(CASE WHEN kept THEN 40 WHEN bare THEN 0 ELSE pct END AS BIGINT) AS percentile,
- round(pd, 6) AS calibrated_pd, round(CAST(penalty AS DOUBLE), 6) AS penalty, penalty >= 0.5 AS flagged, CASE WHEN n % 17 = 0 THEN 0.1 WHEN n % 11 = 0 THEN 0.6 ELSE 1.0 END::DOUBLE AS completeness, CASE WHEN n % 17 = 0 THEN 'etherscan,alchemy,aave,compound' WHEN n % 11 = 0 THEN 'etherscan' ELSE '' END AS degraded_sources, kept AS last_known_good,
- concat_ws(',', CASE WHEN aave OR aave_borrows > 0 OR aave_repays > 0 THEN 'Aave' END, CASE WHEN comp OR compound_borrows > 0 OR compound_repays > 0 THEN 'Compound' END, CASE WHEN n % 3 = 0 THEN 'Uniswap' END, CASE WHEN staked THEN CASE WHEN chain = 'ethereum' THEN 'Lido' ELSE 'Lido (wstETH)' END END) AS protocols_used FROM e""")
+@query("d12_score_wallets", f"""WITH {_D12} SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(CASE WHEN kept THEN 610 + n % 50 ELSE model_score END AS BIGINT) AS model_score, CASE WHEN kept THEN 'C' WHEN bare THEN 'F' ELSE g END AS grade, CAST(CASE WHEN kept THEN 40 WHEN bare THEN 0 ELSE pct END AS BIGINT) AS percentile,
+ CASE WHEN kept THEN 0.25e0 WHEN NOT bare THEN round(pd, 6) END AS calibrated_pd, CASE WHEN kept THEN 0.04e0 ELSE round(CAST(penalty AS DOUBLE), 6) END AS penalty, penalty >= 0.5 AND NOT kept AS flagged, CASE WHEN kept THEN 1.0 WHEN n % 17 = 0 THEN 0.1 WHEN n % 11 = 0 THEN 0.6 ELSE 1.0 END::DOUBLE AS completeness, CASE WHEN kept THEN '' WHEN n % 17 = 0 THEN 'etherscan,alchemy,aave,compound' WHEN n % 11 = 0 THEN 'etherscan' ELSE '' END AS degraded_sources, kept AS last_known_good,
+ CAST(CASE WHEN kept THEN NULL WHEN bare THEN 0 ELSE 4 END AS INT) AS n_factors, CASE WHEN kept THEN 'old' WHEN bare THEN 'unknown' ELSE 'own' END AS model_version, CASE WHEN kept THEN 'Aave' ELSE concat_ws(',', CASE WHEN aave OR aave_borrows > 0 OR aave_repays > 0 THEN 'Aave' END, CASE WHEN comp OR compound_borrows > 0 OR compound_repays > 0 THEN 'Compound' END, CASE WHEN n % 3 = 0 THEN 'Uniswap' END, CASE WHEN staked THEN CASE WHEN chain = 'ethereum' THEN 'Lido' ELSE 'Lido (wstETH)' END END) END AS protocols_used FROM e""")
 def _(s, d) -> DataFrame:
     """Every wallet end to end: features, model, calibration, gates, detectors, penalty; grade and percentile stay the model's."""
     out = scored_wallets(s, d)
-    return out.select("address", "chain", "score", "model_score", "grade", "percentile", r("calibrated_pd").alias("calibrated_pd"), r("penalty").alias("penalty"), "flagged", "completeness", F.array_join("degraded_sources", ",").alias("degraded_sources"), "last_known_good", F.array_join("protocols_used", ",").alias("protocols_used"))
+    return out.select("address", "chain", "score", "model_score", "grade", "percentile", r("calibrated_pd").alias("calibrated_pd"), r("penalty").alias("penalty"), "flagged", "completeness", F.array_join("degraded_sources", ",").alias("degraded_sources"), "last_known_good", F.size("factors").alias("n_factors"), "model_version", F.array_join("protocols_used", ",").alias("protocols_used"))
 
 
 # Backtest
@@ -804,12 +812,12 @@ def _(s, d) -> DataFrame:
 
 
 @query("h2_psi", f"""WITH {with_views('wallets', 'history')}, {_share_sql('e', 'wallets')}, {_share_sql('o', 'history')}, p AS (SELECT sum((greatest(o.share, 1e-4) - greatest(e.share, 1e-4)) * ln(greatest(o.share, 1e-4) / greatest(e.share, 1e-4))) AS psi FROM e JOIN o USING (bucket))
-SELECT round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS verdict FROM p""")
+SELECT round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'severe' END AS verdict FROM p""")
 def _(s, d) -> DataFrame:
     return monitoring.psi(monitoring.bucket_shares(v.wallets(s, d), _EDGE_LIST), monitoring.bucket_shares(v.score_history(s, d), _EDGE_LIST)).withColumn("psi", r("psi"))
 
 
-@query("h3_high_score_convergence", f"WITH {with_views('predictions')} SELECT count(*) AS n, round(avg(CASE WHEN score >= 700 THEN 1.0 ELSE 0.0 END), 6) AS share FROM predictions WHERE age <= 90")
+@query("h3_high_score_convergence", f"WITH {with_views('predictions')} SELECT count(*) AS n, round(count(*) FILTER (age <= 90 AND score >= 700) / count(*), 6) AS share FROM predictions")
 def _(s, d) -> DataFrame:
     return monitoring.high_score_convergence(v.predictions(s, d)).withColumn("share", r("share"))
 
@@ -817,12 +825,14 @@ def _(s, d) -> DataFrame:
 _MOVED = "moved AS (SELECT * FROM (SELECT *, lag(score) OVER (PARTITION BY address, chain ORDER BY ts, event_id) AS previous FROM history) WHERE previous IS NULL OR abs(score - previous) >= 10)"
 
 
-@query("h4_score_changes", f"WITH {with_views('history')}, {_MOVED} SELECT m.address, chain, event_id, score, coalesce(previous, -1) AS previous, 'sub' || i AS subscription_id FROM moved m, (VALUES (1), (2)) s(i) WHERE CAST(substr(m.address, 2) AS INT) % 5 = i")
+@query("h4_score_changes", f"WITH {with_views('history')}, {_MOVED} SELECT m.address, chain, event_id, score, coalesce(previous, -1) AS previous, CASE WHEN i = 4 THEN 'both' ELSE 'sub' || i END AS subscription_id FROM moved m, (VALUES (1), (2), (4)) s(i) WHERE CAST(substr(m.address, 2) AS INT) % 5 = i")
 def _(s, d) -> DataFrame:
     h = v.score_history(s, d)
     n = F.substring("address", 2, 9).cast("int") % 5
-    subs = h.select("address").distinct().where(n.isin(1, 2, 3)).select("address", F.concat(F.lit("sub"), n.cast("string")).alias("subscription_id"), F.when(n == 3, 1).alias("revoked_at"))
-    return monitoring.score_changes(h, subs).select("address", "chain", "event_id", "score", F.coalesce("previous", F.lit(-1)).alias("previous"), "subscription_id")
+    own = h.select("address", "chain").distinct()
+    subs = own.where(n.isin(1, 2, 3)).select("address", "chain", F.concat(F.lit("sub"), n.cast("string")).alias("subscription_id"), F.when(n == 3, 1).alias("revoked_at"))
+    both = own.where(n == 4).select("address", F.explode(F.array(F.col("chain"), F.lit("elsewhere"))).alias("chain"), F.lit("both").alias("subscription_id"), F.lit(None).cast("int").alias("revoked_at"))  # two chains, one of them the wallet's
+    return monitoring.score_changes(h.withColumn("address", F.initcap("address")), subs.unionByName(both)).withColumn("address", F.lower("address")).select("address", "chain", "event_id", "score", F.coalesce("previous", F.lit(-1)).alias("previous"), "subscription_id")
 
 
 _NOW = 1706659200

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyforge import streaming
 from tallyforge.functions import DAY, epoch_seconds
-from tallyforge.operators import content, market, training, usage
+from tallyforge.operators import artifact, content, market, training, usage
 from tallyforge.plans.scratch import scratch_path
-from tallyforge.queries import _D12, MARKET_NOW, QUERIES, SQL, _weighted, query, r, scored_wallets
+from tallyforge.queries import _D12, _GRADE, _PCT, _TREES, _X, DEMO_MODEL, MARKET_NOW, QUERIES, SQL, _gapped, _weighted, query, r, scored_wallets
 from tallyforge.sources import fixtures as v
 from tallyforge.sources.fixtures import with_views
 
@@ -37,12 +37,12 @@ def _(s, d) -> DataFrame:
     return market.marketplace_stats(v.listings(s, d), v.loans(s, d), v.wallets(s, d)).withColumn("volume", r("volume", 2))
 
 
-@query("i3_application_eligibility", f"""WITH {with_views('applications', 'listings', 'wallets')}, live AS (SELECT DISTINCT listing_id, borrower FROM applications WHERE status = 'ACCEPTED')
+@query("i3_application_eligibility", f"""WITH {with_views('applications', 'listings', 'wallets')}, live AS (SELECT DISTINCT listing_id, borrower FROM applications WHERE status IN ('PENDING', 'ACCEPTED'))
 SELECT a.application_id, CASE WHEN l.status IS NULL OR l.status <> 'OPEN' THEN 'listing not open' WHEN a.amount > l.amount THEN 'amount above listing' WHEN w.score IS NULL THEN 'wallet not scored' WHEN w.score < l.min_score THEN 'score too low' WHEN v.listing_id IS NOT NULL THEN 'already applied' ELSE 'ok' END AS reason
-FROM applications a LEFT JOIN listings l USING (listing_id) LEFT JOIN wallets w ON w.address = a.borrower LEFT JOIN live v ON v.listing_id = a.listing_id AND v.borrower = a.borrower WHERE a.status = 'PENDING'""")
+FROM applications a LEFT JOIN listings l USING (listing_id) LEFT JOIN wallets w ON w.address = a.borrower LEFT JOIN live v ON v.listing_id = a.listing_id AND v.borrower = a.borrower WHERE a.status = 'REJECTED'""")
 def _(s, d) -> DataFrame:
     a = v.applications(s, d)
-    return market.application_eligibility(a.where("status = 'PENDING'"), v.listings(s, d), v.wallets(s, d), a.where("status = 'ACCEPTED'")).select("application_id", "reason")
+    return market.application_eligibility(a.where("status = 'REJECTED'"), v.listings(s, d), v.wallets(s, d), a.where("status in ('PENDING', 'ACCEPTED')")).select("application_id", "reason")
 
 
 _APR = "CASE WHEN score <= min_score THEN max_apr WHEN score >= 850 THEN min_apr ELSE floor((max_apr - (score - min_score) / (850 - min_score) * (max_apr - min_apr)) * 100 + 0.5) / 100 END"
@@ -62,7 +62,7 @@ def _(s, d) -> DataFrame:
     return x.select("listing_id", "application_id", "borrower", "apr", "currency", r("collateral").alias("collateral"), r("fee").alias("fee"), r("net_amount").alias("net_amount"), "due")
 
 
-_RATED = "rated AS (SELECT reviewee AS address, avg(rating) AS mean_rating FROM (SELECT *, row_number() OVER (PARTITION BY reviewee ORDER BY created DESC, review_id DESC) AS rn FROM reviews) WHERE rn <= 10 GROUP BY reviewee)"
+_RATED = "rated AS (SELECT reviewee AS address, avg(rating) AS mean_rating, count(*) AS reviews FROM (SELECT *, row_number() OVER (PARTITION BY reviewee ORDER BY created DESC, review_id DESC) AS rn FROM reviews) WHERE rn <= 10 GROUP BY reviewee)"
 _SIDES = "sides AS (SELECT lender AS address, 'lender' AS side, loan_id, amount, status, started FROM loans UNION ALL SELECT borrower, 'borrower', loan_id, amount, status, started FROM loans)"
 
 
@@ -75,7 +75,7 @@ def _(s, d) -> DataFrame:
 
 
 @query("i7_wallet_profile", f"""WITH {with_views('wallets', 'loans', 'reviews', 'listings')}, {_SIDES}, {_RATED}, sm AS (SELECT address, count(*) FILTER (side = 'lender') AS l, count(*) FILTER (side = 'borrower') AS b FROM sides WHERE status = 'REPAID' GROUP BY address), ct AS (SELECT lender AS address, count(*) AS n FROM listings WHERE status = 'OPEN' GROUP BY lender)
-SELECT w.address, score, coalesce(l, 0) AS repaid_as_lender, coalesce(b, 0) AS repaid_as_borrower, round(mean_rating, 6) AS mean_rating, coalesce(n, 0) AS open_listings FROM wallets w LEFT JOIN sm USING (address) LEFT JOIN rated USING (address) LEFT JOIN ct USING (address)""")
+SELECT w.address, score, coalesce(l, 0) AS repaid_as_lender, coalesce(b, 0) AS repaid_as_borrower, round(mean_rating, 6) AS mean_rating, coalesce(reviews, 0) AS review_count, coalesce(n, 0) AS open_listings FROM wallets w LEFT JOIN sm USING (address) LEFT JOIN rated USING (address) LEFT JOIN ct USING (address)""")
 def _(s, d) -> DataFrame:
     return market.wallet_profile(v.wallets(s, d), v.loans(s, d), v.reviews(s, d), v.listings(s, d)).withColumn("mean_rating", r("mean_rating"))
 
@@ -86,9 +86,11 @@ def _(s, d) -> DataFrame:
     return x.select("listing_id", "lender", F.size("applications").cast("long").alias("n_applications"), F.array_join(F.transform("applications", lambda a: a["application_id"].cast("string")), ",").alias("applications"))
 
 
-@query("i9_review_eligibility", f"""WITH {with_views('reviews', 'loans')} SELECT review_id, CASE WHEN status IS NULL OR status <> 'REPAID' THEN 'loan not repaid' WHEN NOT (reviewer = lender OR reviewer = borrower) THEN 'not a party' WHEN NOT rating BETWEEN 1 AND 5 THEN 'bad rating' WHEN row_number() OVER (PARTITION BY loan_id, reviewer ORDER BY created, review_id) > 1 THEN 'already reviewed' ELSE 'ok' END AS reason FROM reviews LEFT JOIN loans USING (loan_id)""")
+@query("i9_review_eligibility", f"""WITH {with_views('reviews', 'loans')}, j AS (SELECT review_id, loan_id, reviewer, created, CASE WHEN review_id % 7 = 0 THEN 6 ELSE rating END AS rating, status, lender, borrower FROM reviews LEFT JOIN loans USING (loan_id)), f AS (SELECT *, rating BETWEEN 1 AND 5 AND status = 'REPAID' AND reviewer IN (lender, borrower) AS stored FROM j)
+SELECT review_id, CASE WHEN rating NOT BETWEEN 1 AND 5 THEN 'bad rating' WHEN status IS NULL OR status <> 'REPAID' THEN 'loan not repaid' WHEN NOT stored THEN 'not a party' WHEN EXISTS (SELECT 1 FROM f e WHERE e.stored AND e.loan_id = f.loan_id AND e.reviewer = f.reviewer AND (e.created < f.created OR e.created = f.created AND e.review_id < f.review_id)) THEN 'already reviewed' ELSE 'ok' END AS reason FROM f""")
 def _(s, d) -> DataFrame:
-    return market.review_eligibility(v.reviews(s, d), v.loans(s, d)).select("review_id", "reason")
+    x = v.reviews(s, d).withColumn("rating", F.when(F.col("review_id") % 7 == 0, 6).otherwise(F.col("rating")))
+    return market.review_eligibility(x, v.loans(s, d)).select("review_id", "reason")
 
 
 @query("i10_lender_eligibility", f"WITH {with_views('listings', 'wallets')} SELECT listing_id, CASE WHEN amount - 900 <= 0 OR amount > 1e9 THEN 'amount' WHEN max_apr > 1000 THEN 'apr range' WHEN duration_days - 31 NOT BETWEEN 1 AND 3650 THEN 'duration' WHEN min_score NOT BETWEEN 300 AND 850 THEN 'borrower score' WHEN max_apr - 7 < min_apr THEN 'apr bounds' WHEN expires <= {MARKET_NOW} THEN 'expiry' WHEN score IS NULL THEN 'wallet not scored' WHEN score < 500 THEN 'score too low' ELSE 'ok' END AS reason FROM listings LEFT JOIN wallets ON wallets.address = listings.lender")
@@ -136,13 +138,17 @@ def _(s, d) -> DataFrame:
     return usage.tier_economics(own).withColumn("revenue_per_score", r("revenue_per_score"))
 
 
-@query("j4_subscription_state", f"""WITH {with_views('usage')}, b AS (SELECT 'k' || (user_id % 20) AS api_key, CASE k % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' ELSE 'free' END AS plan, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'past_due' ELSE 'active' END WHEN 'error' THEN 'canceled' END AS status, sec, event_id FROM (SELECT * REPLACE (CAST(k AS INT) AS k) FROM ev) WHERE event_id % 3 <> 0)
+@query("j4_subscription_state", f"""WITH {with_views('usage')}, b AS (SELECT 'k' || (user_id % 20) AS api_key, CASE k % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' ELSE 'free' END AS plan, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'past_due' ELSE 'active' END WHEN 'error' THEN 'canceled' END AS status, sec, event_id FROM (SELECT * REPLACE (CAST(k AS INT) AS k) FROM ev) WHERE event_id % 3 <> 0 AND event_id % 7 NOT IN (0, 1, 2))
 SELECT api_key, arg_max(plan, sec * 1000000 + event_id) AS plan, arg_max(status, sec * 1000000 + event_id) AS status FROM b WHERE status IS NOT NULL GROUP BY api_key""")
 def _(s, d) -> DataFrame:
     e, k = v._events(s, d), F.col("k").cast("int")
     kind = F.when(F.col("event_type") == "purchase", "checkout.session.completed").when(F.col("event_type") == "click", "customer.subscription.updated").when(F.col("event_type") == "error", "customer.subscription.deleted").otherwise("invoice.paid")
-    meta = F.when(F.col("event_id") % 3 != 0, F.struct(F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("apiKeyId"), F.when(k % 3 == 0, "starter").when(k % 3 == 1, "growth").otherwise("free").alias("planId")))
+    seven = F.col("event_id") % 7  # empty keys, empty plans, and keys that are numbers
+    key = F.when(seven == 0, "").otherwise(F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")))
+    plan = F.when(seven == 1, "").when(k % 3 == 0, "starter").when(k % 3 == 1, "growth").otherwise("free")
+    meta = F.when(F.col("event_id") % 3 != 0, F.struct(key.alias("apiKeyId"), plan.alias("planId")))
     body = F.to_json(F.struct(meta.alias("metadata"), F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0), "past_due").alias("status")))
+    body = F.when(seven == 2, F.regexp_replace(body, '"k([0-9]+)"', "$1")).otherwise(body)
     return usage.subscription_state(e.select(kind.alias("type"), body.alias("body"), F.col("sec").alias("at"), "event_id"))
 
 
@@ -287,7 +293,7 @@ def _(s, d) -> DataFrame:
     return got.select("address", F.unix_seconds("start").alias("start"), "tx_count")
 
 
-@query("s5_stream_rescore", f"""WITH {_D12}, touched AS (SELECT DISTINCT address, chain FROM lending WHERE kind = 'borrow') SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(model_score AS BIGINT) AS model_score FROM e JOIN touched USING (address, chain)""")
+@query("s5_stream_rescore", f"""WITH {_D12}, touched AS (SELECT DISTINCT address, chain FROM lending WHERE kind = 'borrow') SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(CASE WHEN kept THEN 610 + n % 50 ELSE model_score END AS BIGINT) AS model_score FROM e JOIN touched USING (address, chain)""")
 def _(s, d) -> DataFrame:
     """Wallets that a borrow touched are scored anew by the whole scorer."""
     path = scratch_path(s, "rescore")
@@ -309,10 +315,37 @@ def _(s, d) -> DataFrame:
     return a.join(b, "vec_id")
 
 
+_NAMES = [f"f{i}" for i in range(34)]
+
+
+@query("d1_artifact", f"""WITH {_X}, {_TREES}, p AS (SELECT vec_id, c0, c10, CAST(m1 + m2 + m3 AS DOUBLE) AS margin FROM trees), q AS (SELECT *, 1 / (1 + exp(-margin)) AS pd FROM p),
+x AS (SELECT *, CAST(floor(least(greatest(196.57757217918277 - 104.16637676749855 * ln(pd / (1 - pd)), 300), 850) + 0.5) AS BIGINT) AS score FROM q)
+SELECT vec_id, round(margin, 6) AS margin, round(CAST(c0 AS DOUBLE), 6) AS c0, round(CAST(c10 AS DOUBLE), 6) AS c10, score, {_GRADE} AS grade, {_PCT} AS percentile, 'demo' AS model_version FROM x""")
+def _(s, d) -> DataFrame:
+    """The small ensemble as the two published files, read and applied from end to end."""
+    path = scratch_path(s, "artifact")
+    artifact.write_artifact(s, DEMO_MODEL, artifact.Meta("demo", tuple(_NAMES)), f"{path}/model", f"{path}/meta")
+    x = artifact.score(_gapped(s, d), *artifact.read_artifact(s, f"{path}/model", f"{path}/meta", order=_NAMES))
+    c = F.col("contributions")
+    return x.select("vec_id", r("margin").alias("margin"), r(c[0]).alias("c0"), r(c[10]).alias("c10"), "score", "grade", "percentile", "model_version")
+
+
+@query("d13_artifact", "SELECT vec_id, true AS same_margin, true AS adds_up, CAST(3 AS BIGINT) AS n_trees FROM embeddings")
+def _(s, d) -> DataFrame:
+    """Trained trees, written as the published files, read again and applied: the margins are the fitted model's, and the contributions add up to them."""
+    x = v.feature_rows(s, d).select("vec_id", "features", "label")
+    gbt, path = training.boosted(x, trees=3, depth=3), scratch_path(s, "artifact")
+    artifact.write_artifact(s, artifact.from_boosted(gbt), artifact.Meta("trained", tuple(_NAMES)), f"{path}/model", f"{path}/meta")
+    model, meta = artifact.read_artifact(s, f"{path}/model", f"{path}/meta", order=_NAMES)
+    own = artifact.score(training.predictions(gbt, x), model, meta)
+    whole = F.aggregate("contributions", F.lit(artifact.bias(model)), lambda a, c: a + c)
+    return own.select("vec_id", (F.abs(1 / (1 + F.exp(-F.col("margin"))) - F.col("p")) < 1e-9).alias("same_margin"), (F.abs(whole - F.col("margin")) < 1e-9).alias("adds_up"), F.lit(len(model.trees)).cast("long").alias("n_trees"))
+
+
 @query("d13_importances")
 def _(s, d) -> DataFrame:
     """(feature, gain) of the boosted trees."""
-    gbt, _ = training.train(v.feature_rows(s, d).select("vec_id", "features", "label"))
+    gbt = training.boosted(v.feature_rows(s, d).select("vec_id", "features", "label"))
     return s.createDataFrame(training.importances(gbt, [f"f{i}" for i in range(34)]), "feature string, gain double")
 
 
