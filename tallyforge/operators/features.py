@@ -7,10 +7,11 @@ gathered, except where an order within the wallet is the meaning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, clamp, count_if, round_half_up, utc_date, utc_month
+from tallyforge.sources.store import Store
 
 KEY = ["address", "chain"]
 
@@ -97,6 +98,30 @@ def upsert_scores(wallets: DataFrame, results: DataFrame) -> DataFrame:
     return both.groupBy("address").agg(F.max(F.struct("scored_at", "__new", "score")).alias("x")).select("address", "x.score", "x.scored_at")
 
 
+def score_stores(spark: SparkSession, path: str, *, partitions: int = 64) -> tuple[Store, Store]:
+    """(wallets, snapshots): the latest score of each wallet, and every score that was ever synchronised."""
+    wallets = Store(spark, f"{path}/wallets", "address string, score long, grade string, percentile long, ens string, scored_at long", ["address"], partitions=partitions)
+    return wallets, Store(spark, f"{path}/snapshots", "address string, score long, created long", ["address"], partitions=partitions)
+
+
+def sync_scores(stores: tuple[Store, Store], results: DataFrame, *, batch: tuple[str, int]) -> None:
+    """Take a batch of results (address, score, scored_at; grade, percentile and ens if known): each wallet's latest, and a snapshot row for each result.
+
+    The two stores are written one after the other. A job that is lost in between is run again
+    with the same batch, which each store takes once.
+    """
+    wallets, snapshots = stores
+    rows = results.withColumn("address", F.lower("address"))
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in (("grade", "string"), ("percentile", "long"), ("ens", "string")) if c not in rows.columns})
+    rest = ["score", "grade", "percentile", "ens"]
+
+    def latest(both: DataFrame) -> DataFrame:
+        return both.groupBy("address").agg(F.max(F.struct("scored_at", "new", *rest)).alias("x")).select("address", *(f"x.{c}" for c in (*rest, "scored_at")))
+
+    wallets.merge(rows.select("address", *rest, "scored_at"), latest, batch=batch)
+    snapshots.append(rows.select("address", "score", F.col("scored_at").alias("created")), batch=batch)
+
+
 def activity_features(transfers: DataFrame, *, as_of: int) -> DataFrame:
     """Counts over all records (unknown times too), over 30, 90 and 180 days, and distinct active days and months."""
     since = lambda d: F.col("ts") >= as_of - d * DAY

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.plans.prefix import exact_quantiles
+from tallyforge.sources.store import Store, Version
 
 KEY = ["address", "chain"]
 SNAPSHOT_KEY = ["address", "chain", "valid_at_ts", "feature_set_version"]
@@ -38,6 +39,21 @@ def put_snapshots(store: DataFrame, batch: DataFrame) -> DataFrame:
     return both.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__new")
 
 
+def feature_store(spark: SparkSession, path: str, *, partitions: int = 64) -> Store:
+    """The stored point-in-time features: one row a (address, chain, valid_at_ts, feature_set_version), a wallet's rows in one partition."""
+    return Store(spark, path, "address string, chain string, valid_at_ts long, feature_set_version string, features array<double>, completeness double", SNAPSHOT_KEY, partitions=partitions, within=KEY)
+
+
+def put(store: Store, snapshots: DataFrame, *, batch: tuple[str, int] | None = None) -> Version:
+    """Upsert snapshots (with `seq`, the later of two with one key wins); only the partitions they fall in are rewritten."""
+    return store.upsert(snapshots, order="seq", batch=batch)
+
+
+def stored_as_of(store: Store, requests: DataFrame, *, version: str, at: Version | int | None = None) -> DataFrame:
+    """as_of_join() against the store, reading the partitions of the requests' wallets alone. at: the store's version, for a repeatable read."""
+    return as_of_join(requests, store.read(at, store.parts_of(requests)), version=version)
+
+
 def as_of_join(requests: DataFrame, snapshots: DataFrame, *, version: str) -> DataFrame:
     """Each request (request_id, address, chain, as_of_ts) with the latest snapshot at or before it, or nulls.
 

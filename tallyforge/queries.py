@@ -138,6 +138,18 @@ def _(s, d) -> DataFrame:
 
 
 @query("a10_upsert_scores", f"""WITH {with_views('history')}, x AS (SELECT lower(address) AS address, score, ts, event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS side FROM history)
+SELECT address, arg_max(score, ts * 100000000 + side * 10000000 + score) AS score, max(ts) AS scored_at, count(*) AS snapshots, CAST(sum(score) AS BIGINT) AS snapshot_points FROM x GROUP BY address""")
+def _(s, d) -> DataFrame:
+    """Two deliveries into the stores, the second one twice: the latest score of each wallet, and the snapshot rows."""
+    h = v.score_history(s, d).withColumnRenamed("ts", "scored_at")
+    stores = features.score_stores(s, scratch_path(s, "scores"), partitions=8)
+    for number, side in ((1, 0), (2, 1), (2, 1)):
+        features.sync_scores(stores, h.where(F.col("event_id") % 2 == side), batch=("sync", number))
+    kept = stores[1].read().groupBy("address").agg(F.count("*").alias("snapshots"), F.sum("score").alias("snapshot_points"))
+    return stores[0].read().select("address", "score", "scored_at").join(kept, "address")
+
+
+@query("a10_upsert_scores_joined", f"""WITH {with_views('history')}, x AS (SELECT lower(address) AS address, score, ts, event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS side FROM history)
 SELECT address, arg_max(score, ts * 100000000 + side * 10000000 + score) AS score, max(ts) AS scored_at FROM x GROUP BY address""")
 def _(s, d) -> DataFrame:
     h = v.score_history(s, d).withColumnRenamed("ts", "scored_at")
@@ -353,6 +365,19 @@ def _(s, d) -> DataFrame:
     return labels.put_snapshots(old, x.where("seq >= 2000"))
 
 
+@query("c4_feature_store", f"""WITH {with_views('history')}, {_SNAP}, req AS (SELECT event_id AS request_id, address, chain, ts - 43200 AS as_of_ts FROM history WHERE event_id < 2000)
+SELECT r.request_id, coalesce(s.valid_at_ts, -1) AS valid_at_ts, s.completeness, CAST(3 AS BIGINT) AS versions FROM req r ASOF LEFT JOIN snap s ON r.address = s.address AND r.chain = s.chain AND r.as_of_ts >= s.valid_at_ts""")
+def _(s, d) -> DataFrame:
+    """Three upserts into the stored features, and the requests of the first of them answered from the store."""
+    x = _snapshots(s, d).withColumn("features", F.array(F.col("completeness")))
+    store = labels.feature_store(s, scratch_path(s, "snapshots"), partitions=16)
+    for i in range(3):
+        labels.put(store, x.where((F.col("seq") >= 300 * i) & ((F.col("seq") < 300 * (i + 1)) | F.lit(i == 2))))
+    req = v.score_history(s, d).where("event_id < 2000").select("address", "chain", F.col("event_id").alias("request_id"), (F.col("ts") - 43200).alias("as_of_ts"))
+    got = labels.stored_as_of(store, req, version="v5").fillna(-1, ["valid_at_ts"])
+    return got.select("request_id", "valid_at_ts", "completeness", F.lit(store.version().number).cast("long").alias("versions"))
+
+
 @query("c5_as_of_join", f"""WITH {with_views('history')}, {_SNAP}, req AS (SELECT event_id AS request_id, address, chain, ts - 43200 AS as_of_ts FROM history)
 SELECT r.address, r.chain, r.request_id, r.as_of_ts, coalesce(s.valid_at_ts, -1) AS valid_at_ts, s.completeness FROM req r ASOF LEFT JOIN snap s ON r.address = s.address AND r.chain = s.chain AND r.as_of_ts >= s.valid_at_ts""")
 def _(s, d) -> DataFrame:
