@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, clamp, count_if, round_half_up, utc_date, utc_month
+from tallyforge.plans.prefix import running_sums
 from tallyforge.sources.store import Store
 
 KEY = ["address", "chain"]
@@ -122,11 +123,16 @@ def sync_scores(stores: tuple[Store, Store], results: DataFrame, *, batch: tuple
     snapshots.append(rows.select("address", "score", F.col("scored_at").alias("created")), batch=batch)
 
 
-def activity_features(transfers: DataFrame, *, as_of: int) -> DataFrame:
-    """Counts over all records (unknown times too), over 30, 90 and 180 days, and distinct active days and months."""
+def activity_features(transfers: DataFrame, *, as_of: int, copies: str | None = None) -> DataFrame:
+    """Counts over all records (unknown times too), over 30, 90 and 180 days, and distinct active days and months.
+
+    copies: a column with the number of records of one time that a row stands for.
+    """
     since = lambda d: F.col("ts") >= as_of - d * DAY
+    times = F.col(copies) if copies else F.lit(1).cast("long")
+    counted = lambda d: F.sum(F.when(since(d), times).otherwise(0)).alias(f"tx_count_{d}d")
     return transfers.groupBy(*KEY).agg(
-        F.count("*").alias("tx_count"), count_if(since(30)).alias("tx_count_30d"), count_if(since(90)).alias("tx_count_90d"), count_if(since(180)).alias("tx_count_180d"),
+        F.sum(times).alias("tx_count"), counted(30), counted(90), counted(180),
         F.count_distinct(utc_date(F.col("ts"))).alias("active_days_count"), F.count_distinct(F.when(since(365), utc_month(F.col("ts")))).alias("active_months_12"),
         F.min("ts").alias("first_ts"),
     )
@@ -137,11 +143,15 @@ def first_activity(transfers: DataFrame, *, as_of: int) -> DataFrame:
     return first.withColumn("wallet_age_days", F.coalesce(F.floor((as_of - F.col("first_ts")) / DAY), F.lit(0)))
 
 
-def lending_counts(events: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """Borrows, repays and liquidations per family, over covered deployments (a small dimension); a missing family is 0."""
+def lending_counts(events: DataFrame, coverage: DataFrame | None = None, *, copies: str | None = None) -> DataFrame:
+    """Borrows, repays and liquidations per family, over covered deployments (a small dimension); a missing family is 0.
+
+    copies: a column with the number of equal events that a row stands for.
+    """
+    times = F.col(copies) if copies else F.lit(1)
     if coverage is not None:
         events = events.join(F.broadcast(coverage.select("family", "chain").distinct()), ["family", "chain"])
-    of = lambda f, k: count_if((F.col("family") == f) & (F.col("kind") == k))
+    of = lambda f, k: F.sum(F.when((F.col("family") == f) & (F.col("kind") == k), times).otherwise(0))
     return events.groupBy(*KEY).agg(*(of(f, k).alias(f"{f}_{n}") for f in ("aave", "compound") for k, n in (("borrow", "borrows"), ("repay", "repays"), ("liquidation", "liquidations"))))
 
 
@@ -246,29 +256,81 @@ def days_since_first_defi(events: DataFrame, first_tx: DataFrame, *, as_of: int,
     return first_tx.join(borrowed, KEY).select(*KEY, F.floor((as_of - F.col("first_ts")) / DAY).alias("days_since_first_defi"))
 
 
+def portfolio_changes(balances: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(address, chain, ts, and by how much each portfolio number changes then) of dated balances; the sums until a time are the portfolio at that time.
+
+    A contract's balance stands until its next one; of equal times the largest counts. Dollars
+    are taken at nine decimals, so that sums of changes are exact.
+    """
+    last = balances.where("ts is not null").groupBy(*KEY, "contract", "ts").agg(F.max(F.coalesce(hex_to_double("balance_hex"), F.lit(0.0))).alias("raw"))
+    met = last.join(F.broadcast(tokens), "contract", "left")
+    some, role = F.col("raw") > 0, F.coalesce("role", F.lit(""))
+    usd = F.when(some, F.coalesce(F.col("raw") / F.pow(F.lit(10.0), F.col("decimals")) * F.col("price"), F.lit(0.0))).otherwise(0.0)
+    state = {
+        "held": some, "lido": some & (role == "lido"), "aave": some & ((role == "aave_v3") | ((role == "aave_v2") & (F.col("chain") == "ethereum"))), "compound": some & (role == "compound") & (F.col("chain") == "ethereum"),
+    }
+    now = met.select(*KEY, "contract", "ts", *(c.cast("long").alias(n) for n, c in state.items()), usd.cast("decimal(28,9)").alias("usd"), F.when(role == "stable", usd).otherwise(0.0).cast("decimal(28,9)").alias("stable"))
+    before = Window.partitionBy(*KEY, "contract").orderBy("ts")
+    names = [*state, "usd", "stable"]
+    step = now.select(*KEY, "ts", *((F.col(n) - F.coalesce(F.lag(n).over(before), F.lit(0).cast(now.schema[n].dataType))).alias(n) for n in names))
+    return step.groupBy(*KEY, "ts").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _next_month(seconds: Column) -> Column:
+    """The first second of the month after that of a time."""
+    return F.datediff(F.add_months(F.trunc(utc_date(seconds), "month"), 1), F.lit("1970-01-01").cast("date")).cast("long") * DAY
+
+
 def point_in_time_features(transfers: DataFrame, events: DataFrame, as_of: DataFrame, *, balances: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
-    """Activity, lending, ratios and (from dated balances) portfolio strictly before each row's own cutoff. as_of: address, chain, cutoff.
+    """Activity, lending, ratios and (from dated balances) portfolio strictly before each (address, chain, cutoff) of as_of.
 
     balances: address, chain, contract, balance_hex, ts; the last balance of a contract before
-    the cutoff counts.
+    the cutoff counts. All histories become one table of what changes at a time: transfers,
+    first transfers of a day and of a month, lending events, portfolio changes. The cutoffs, and
+    the times before them from which windows run, enter it as marks, and running sums say what
+    had come before each mark; a window is the difference of two. So histories are shuffled as
+    often whether a wallet has one cutoff or thousands, and no wallet is held by one task.
     """
-    keys = [*KEY, "cutoff"]
-    back = lambda d: F.col("ts") >= F.col("cutoff") - d * DAY
-    tx = as_of.join(transfers, KEY).where("ts < cutoff").groupBy(*keys).agg(
-        F.count("*").alias("tx_count"), *(count_if(back(d)).alias(f"tx_count_{d}d") for d in (30, 90, 180)), F.count_distinct(utc_date(F.col("ts"))).alias("active_days_count"),
-        F.count_distinct(F.when(back(365), utc_month(F.col("ts")))).alias("active_months_12"), F.floor((F.col("cutoff") - F.min("ts")) / DAY).alias("wallet_age_days"),
-    )
-    of = lambda f, k: count_if((F.col("family") == f) & (F.col("kind") == k))
-    lend = as_of.join(events, KEY).where("ts < cutoff").groupBy(*keys).agg(
-        *(of(f, k).alias(f"{f}_{n}") for f in ("aave", "compound") for k, n in (("borrow", "borrows"), ("repay", "repays"), ("liquidation", "liquidations"))), F.floor((F.col("cutoff") - F.min("ts")) / DAY).alias("days_since_first_defi"),
+    cut = as_of.select(*KEY, "cutoff").where("cutoff is not null").distinct()
+    known = transfers.where("ts is not null").select(*KEY, "ts")
+    kinds = {f"{f}_{n}": (f, k) for f in ("aave", "compound") for k, n in (("borrow", "borrows"), ("repay", "repays"), ("liquidation", "liquidations"))}
+    parts = {
+        "t": known.withColumn("t", F.lit(1).cast("long")),
+        "d": known.groupBy(*KEY, utc_date(F.col("ts")).alias("__day")).agg(F.min("ts").alias("ts")).withColumn("d", F.lit(1).cast("long")).drop("__day"),
+        "m": known.groupBy(*KEY, utc_month(F.col("ts")).alias("__month")).agg(F.min("ts").alias("ts")).withColumn("m", F.lit(1).cast("long")).drop("__month"),
+        "lend": events.where("ts is not null").select(*KEY, "ts", *(((F.col("family") == f) & (F.col("kind") == k)).cast("long").alias(n) for n, (f, k) in kinds.items())),
+    }
+    names = ["t", "d", "m", *kinds]
+    if balances is not None:
+        parts["held"] = portfolio_changes(balances, tokens)
+        names += ["held", "lido", "aave", "compound", "usd", "stable"]
+    both = None
+    for part in parts.values():
+        both = part if both is None else both.unionByName(part, allowMissingColumns=True)
+    changes = both.groupBy(*KEY, "ts").agg(*(F.sum(n).alias(n) for n in names)).withColumn("side", F.lit(1))
+    year = F.col("cutoff") - 365 * DAY
+    times = {"now": F.col("cutoff"), "30d": F.col("cutoff") - 30 * DAY, "90d": F.col("cutoff") - 90 * DAY, "180d": F.col("cutoff") - 180 * DAY, "year": year, "month": _next_month(year)}
+    marks = cut.select(*KEY, "cutoff", F.explode(F.array(*(F.struct(F.lit(n).alias("mark"), c.cast("long").alias("ts")) for n, c in times.items()))).alias("x")).select(*KEY, "cutoff", "x.*", F.lit(0).alias("side"))
+    table = changes.unionByName(marks, allowMissingColumns=True).fillna(0, names)
+    summed = running_sums(table, KEY, ["ts", "side", "cutoff", "mark"], names).where("side = 0")  # a mark comes before what happens at its time
+    at = lambda n, mark: F.max(F.when(F.col("mark") == mark, F.col(f"before_{n}")))
+    rest = [n for n in names if n not in ("t", "d", "m", "usd", "stable", "held", "lido", "aave", "compound")]
+    own = summed.groupBy(*KEY, "cutoff").agg(
+        at("t", "now").alias("tx_count"), *((at("t", "now") - at("t", f"{d}d")).alias(f"tx_count_{d}d") for d in (30, 90, 180)), at("d", "now").alias("active_days_count"),
+        # the months after that in which the year began, and that one if something came in the rest of it
+        (at("m", "now") - at("m", "month") + (at("t", "month") > at("t", "year")).cast("long")).alias("active_months_12"),
+        *(at(n, "now").alias(n) for n in rest), *([at(n, "now").alias(f"p_{n}") for n in names[-6:]] if balances is not None else []),
     )
-    out = as_of.join(tx, keys, "left").join(lend, keys, "left")
+    first = known.groupBy(*KEY).agg(F.min("ts").alias("__tx")).join(events.groupBy(*KEY).agg(F.min("ts").alias("__lend")), KEY, "full")
+    age = lambda c: F.when(F.col(c) < F.col("cutoff"), F.floor((F.col("cutoff") - F.col(c)) / DAY)).otherwise(F.lit(0))
+    out = own.join(first, KEY, "left").withColumns({"wallet_age_days": age("__tx"), "days_since_first_defi": age("__lend")}).drop("__tx", "__lend")
     if balances is not None:
-        last = as_of.join(balances, KEY).where("ts < cutoff").groupBy(*keys, "contract").agg(F.max_by("balance_hex", "ts").alias("balance_hex"))
-        held = last.withColumns({"address": F.to_json(F.struct("address", "cutoff"))})  # a wallet at a cutoff is a holder of its own
-        own = portfolio_features(held, tokens).withColumn("k", F.from_json("address", "address string, cutoff long")).withColumns({"address": F.col("k.address"), "cutoff": F.col("k.cutoff")}).drop("k")
-        out = out.join(own, keys, "left").fillna(False)
-    return derived_ratios(out.fillna(0))
+        total, stable = F.col("p_usd").cast("double"), F.col("p_stable").cast("double")
+        out = out.withColumns({
+            "token_diversity": F.col("p_held"), "stablecoin_usd": stable, "total_portfolio_usd": total, "has_staked_eth": F.col("p_lido") > 0, "has_aave": F.col("p_aave") > 0, "has_compound": F.col("p_compound") > 0,
+            "stablecoin_pct": F.when(total > 0, stable / total * 100).otherwise(0.0),
+        }).drop(*(f"p_{n}" for n in names[-6:]))
+    return derived_ratios(out)
 
 
 def training_features(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ chain, other). Keys are wallets or (wallet, counterparty), sums combine on the m
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,34 @@ def _directed(transfers: DataFrame) -> DataFrame:
     return transfers.select(*KEY, F.when(sent, F.col("to_addr")).when(got, F.col("from_addr")).alias("other"), F.when(sent, 1).when(got, 0).alias("out")).where("out is not null")
 
 
+def directed_pairs(transfers: DataFrame) -> DataFrame:
+    """(address, chain, other, sent, n): transfers with each counterparty. Parts of a history are put together by sums."""
+    return _directed(transfers).groupBy(*KEY, "other").agg(F.sum("out").cast("long").alias("sent"), F.count("*").alias("n"))
+
+
+def ticks(transfers: DataFrame) -> DataFrame:
+    """(address, chain, ts, n): transfers at each time, null if unknown. Parts of a history are put together by sums."""
+    return transfers.groupBy(*KEY, "ts").agg(F.count("*").alias("n"))
+
+
+def first_funders(transfers: DataFrame) -> DataFrame:
+    """(address, chain, ts, hash, funder): the earliest known sender to each wallet. Parts of a history are put together by the least (ts, hash)."""
+    inbound = transfers.where((F.col("to_addr") == F.col("address")) & (F.col("from_addr") != "") & F.col("ts").isNotNull())
+    return inbound.groupBy(*KEY).agg(F.min(F.struct("ts", "hash", F.col("from_addr").alias("funder"))).alias("f")).select(*KEY, "f.*")
+
+
+def funder_sizes(funders: DataFrame) -> DataFrame:
+    """(funder, wallets): how many wallets each one funded first."""
+    return funders.groupBy("funder").agg(F.count("*").alias("wallets"))
+
+
 def wash_trading(transfers: DataFrame, related: DataFrame | None = None, *, least: float = 4) -> DataFrame:
     """Share of a wallet's directed transfers that run both ways with a partner (0.6 each, 1 if related)."""
-    pairs = _directed(transfers).groupBy(*KEY, "other").agg(F.sum("out").alias("sent"), F.count("*").alias("n"))
+    return wash_of_pairs(directed_pairs(transfers), related, least=least)
+
+
+def wash_of_pairs(pairs: DataFrame, related: DataFrame | None = None, *, least: float = 4) -> DataFrame:
+    """wash_trading() of directed_pairs()."""
     weight = F.lit(0.6)
     if related is not None:
         pairs = pairs.join(related.select(*KEY, "other", F.lit(True).alias("known")).distinct(), [*KEY, "other"], "left")
@@ -39,11 +66,15 @@ def wash_trading(transfers: DataFrame, related: DataFrame | None = None, *, leas
 
 def sybil_funding(transfers: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     """The earliest sender to a wallet, and cohort / 10 (at most 1). cohort: (address, chain, cohort); else the wallets with the same funder, less itself."""
-    inbound = transfers.where((F.col("to_addr") == F.col("address")) & (F.col("from_addr") != "") & F.col("ts").isNotNull())
-    funded = inbound.groupBy(*KEY).agg(F.min(F.struct("ts", "hash", F.col("from_addr").alias("funder"))).alias("f")).select(*KEY, F.col("f.funder").alias("funder"))
+    funders = first_funders(transfers)
+    return sybil_of_funders(funders, funder_sizes(funders), cohort)
+
+
+def sybil_of_funders(funders: DataFrame, sizes: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
+    """sybil_funding() of first_funders(), with the sizes of at least these funders."""
+    funded = funders.select(*KEY, "funder")
     if cohort is None:
-        sizes = funded.groupBy("funder").agg((F.count("*") - 1).alias("cohort"))
-        met = funded.join(sizes, "funder")
+        met = funded.join(sizes.select("funder", (F.col("wallets") - 1).alias("cohort")), "funder")
     else:
         met = funded.join(cohort, KEY, "left").fillna(0, ["cohort"])
     return met.withColumn("severity", F.least(F.lit(1.0), F.col("cohort") / 10)).select(*KEY, "funder", "cohort", "severity")
@@ -51,16 +82,25 @@ def sybil_funding(transfers: DataFrame, cohort: DataFrame | None = None) -> Data
 
 def burst_timing(transfers: DataFrame, *, days: int = 7) -> DataFrame:
     """How far the busiest `days` exceed an even spread; equal times are counted together before the window."""
+    return burst_of_ticks(ticks(transfers), days=days)
+
+
+def burst_of_ticks(ticks: DataFrame, *, days: int = 7) -> DataFrame:
+    """burst_timing() of ticks()."""
     width = days * DAY
-    ticks = transfers.where("ts is not null").groupBy(*KEY, "ts").agg(F.count("*").alias("k"))
+    known = ticks.where("ts is not null").select(*KEY, "ts", F.col("n").alias("k"))
     recent = Window.partitionBy(*KEY).orderBy("ts").rangeBetween(-width, 0)
-    peaks = ticks.withColumn("in_window", F.sum("k").over(recent)).groupBy(*KEY).agg(F.sum("k").alias("n"), F.max("in_window").alias("peak"), (F.max("ts") - F.min("ts")).alias("span"))
+    peaks = known.withColumn("in_window", F.sum("k").over(recent)).groupBy(*KEY).agg(F.sum("k").alias("n"), F.max("in_window").alias("peak"), (F.max("ts") - F.min("ts")).alias("span"))
     even = (F.col("peak") - F.col("n") * width / F.col("span")) / F.col("n")
     return peaks.withColumn("severity", F.when(F.col("n") < 4, 0.0).when(F.col("span") <= width, 1.0).otherwise(clamp(even, 0.0, 1.0)))
 
 
-def instant_repay(events: DataFrame, *, seconds: int = 60, blocks: int | None = 1) -> DataFrame:
-    """Share of borrows that a repay follows within `seconds`, or within `blocks` where both blocks are known. Two reverse windows, no join."""
+def instant_repay(events: DataFrame, *, seconds: int = 60, blocks: int | None = 1, copies: str | None = None) -> DataFrame:
+    """Share of borrows that a repay follows within `seconds`, or within `blocks` where both blocks are known. Two reverse windows, no join.
+
+    copies: a column with the number of equal events that a row stands for.
+    """
+    times = F.col(copies) if copies else F.lit(1).cast("long")
     repay = F.col("kind") == "repay"
     by_ts = Window.partitionBy(*KEY).orderBy("ts").rangeBetween(0, Window.unboundedFollowing)
     own = events.where(F.col("kind").isin("borrow", "repay")).withColumn("next_ts", F.min(F.when(repay, F.col("ts"))).over(by_ts))
@@ -69,7 +109,7 @@ def instant_repay(events: DataFrame, *, seconds: int = 60, blocks: int | None =
         by_block = Window.partitionBy(*KEY).orderBy("block").rangeBetween(0, blocks)
         own = own.withColumn("near", F.max(F.when(repay & F.col("block").isNotNull(), F.col("ts"))).over(by_block))
         fast = fast | (F.col("block").isNotNull() & (F.col("near") >= F.col("ts")))
-    sums = own.where("kind = 'borrow'").groupBy(*KEY).agg(F.count("*").alias("borrows"), count_if(F.coalesce(fast, F.lit(False))).alias("instant"))
+    sums = own.where("kind = 'borrow'").groupBy(*KEY).agg(F.sum(times).alias("borrows"), F.sum(F.when(F.coalesce(fast, F.lit(False)), times).otherwise(0)).alias("instant"))
     return sums.withColumn("severity", F.col("instant") / F.col("borrows"))
 
 
@@ -92,9 +132,44 @@ def detect(transfers: DataFrame, events: DataFrame, related: DataFrame | None =
 
     related, cohort: what wash_trading() and sybil_funding() take of the resolved entities.
     """
-    parts = {"wash_trading": wash_trading(transfers, related), "burst_timing": burst_timing(transfers)}
+    return detect_evidence(Evidence.of(transfers, events), related, cohort, live_parity=live_parity)
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What features and detectors need of histories, by wallet, in a form that parts of a history can be added to.
+
+    lending: address, chain, family, kind, ts, block, n (equal events). sizes: of the funders in
+    `funders` at least, over all wallets.
+    """
+
+    ticks: DataFrame
+    pairs: DataFrame
+    funders: DataFrame
+    sizes: DataFrame
+    lending: DataFrame
+
+    @staticmethod
+    def of(transfers: DataFrame, events: DataFrame) -> Evidence:
+        funders = first_funders(transfers)
+        return Evidence(ticks(transfers), directed_pairs(transfers), funders, funder_sizes(funders), lending_evidence(events))
+
+
+LENDING = [*KEY, "family", "kind", "ts", "block"]
+
+
+def lending_evidence(events: DataFrame) -> DataFrame:
+    """Lending events with equal ones counted."""
+    if "block" not in events.columns:
+        events = events.withColumn("block", F.lit(None).cast("long"))
+    return events.groupBy(*LENDING).agg(F.count("*").alias("n"))
+
+
+def detect_evidence(found: Evidence, related: DataFrame | None = None, cohort: DataFrame | None = None, *, live_parity: bool = False) -> DataFrame:
+    """detect() of evidence."""
+    parts = {"wash_trading": wash_of_pairs(found.pairs, related), "burst_timing": burst_of_ticks(found.ticks)}
     if not live_parity:
-        parts |= {"sybil_funding": sybil_funding(transfers, cohort), "instant_repay": instant_repay(events)}
+        parts |= {"sybil_funding": sybil_of_funders(found.funders, found.sizes, cohort), "instant_repay": instant_repay(found.lending, copies="n")}
     each = None
     for name, part in parts.items():
         own = part.select(*KEY, F.lit(name).alias("detector"), F.col("severity").cast("double").alias("severity"))

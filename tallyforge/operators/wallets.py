@@ -18,14 +18,16 @@ ENVELOPE = (
 ).split()
 
 
-def wallet_features(wallets: DataFrame, transfers: DataFrame, lending: DataFrame, *, as_of: int, balances: DataFrame | None = None, tokens: DataFrame | None = None, accounts: DataFrame | None = None, liquidity: DataFrame | None = None) -> DataFrame:
+def wallet_features(wallets: DataFrame, found: integrity.Evidence, *, as_of: int, balances: DataFrame | None = None, tokens: DataFrame | None = None, accounts: DataFrame | None = None, liquidity: DataFrame | None = None) -> DataFrame:
     """One row per wallet with every input of the model, 0 or false where a source has nothing.
 
+    found: evidence of the wallets' transfers and lending events.
+
     balances with tokens: portfolio; accounts: ETH, ENS and Safe flags; liquidity: (address,
     chain) of wallets with liquidity positions. All sources are aggregated by (address, chain)
     and joined on it.
     """
-    parts = [features.activity_features(transfers, as_of=as_of), features.lending_counts(lending)]
+    parts = [features.activity_features(found.ticks, as_of=as_of, copies="n"), features.lending_counts(found.lending, copies="n")]
     if balances is not None:
         parts.append(features.portfolio_features(balances, tokens))
     if accounts is not None:
@@ -62,7 +64,17 @@ def score_wallets(
     cohort) of the entities' sizes for sybil funding. sources: balances, tokens, accounts,
     liquidity of wallet_features().
     """
-    df = wallet_features(wallets, transfers, lending, as_of=as_of, **sources)
+    return score_evidence(
+        wallets, integrity.Evidence.of(transfers, lending), model, as_of=as_of, calibration=calibration, errors=errors, known_good=known_good, related=related, cohort=cohort, live_parity=live_parity, model_version=model_version, **sources,
+    )
+
+
+def score_evidence(
+    wallets: DataFrame, found: integrity.Evidence, model: scoring.Ensemble, *, as_of: int, calibration: tuple[list[float], list[float]] | None = None, errors: DataFrame | None = None, known_good: DataFrame | None = None,
+    related: DataFrame | None = None, cohort: DataFrame | None = None, live_parity: bool = False, model_version: str = "unknown", **sources: DataFrame,
+) -> DataFrame:
+    """score_wallets() from evidence, of all wallets or of those that `wallets` names."""
+    df = wallet_features(wallets, found, as_of=as_of, **sources)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     df = df.withColumn("errors", none) if errors is None else df.join(errors.select(*KEY, "errors"), KEY, "left").withColumn("errors", F.coalesce("errors", none))
     vector = features.feature_vector(df).select(*KEY, "tx_count", "first_ts", "total_borrows", "protocols_used", "errors", "features")
@@ -71,7 +83,7 @@ def score_wallets(
     df = df.withColumn("calibrated_pd", p if calibration is None else scoring.calibrate(p, *calibration)).withColumn("score", scoring.pd_to_score(F.col("calibrated_pd")))
     df = scoring.score_gates(df.withColumns({"grade": scoring.grade(F.col("score")), "percentile": scoring.score_percentile(F.col("score"))}))
     df = features.completeness(scoring.weakest_factors(scoring.top_contributions(scoring.factor_bars(df))))
-    df = df.join(integrity.detect(transfers, lending, related, cohort, live_parity=live_parity), KEY, "left")
+    df = df.join(integrity.detect_evidence(found, related, cohort, live_parity=live_parity), KEY, "left")
     scorable = ~(F.col("new_wallet") | F.col("no_borrow_history"))
     df = df.withColumns({"penalty": F.when(scorable, F.coalesce("penalty", F.lit(0.0))).otherwise(0.0), "flagged": scorable & F.coalesce("flagged", F.lit(False))})
     signals = F.filter(F.array(*(F.struct(F.lit(name).alias("id"), F.coalesce(name, F.lit(0.0)).alias("severity")) for name in integrity.WEIGHTS)), lambda s: scorable & (s["severity"] > 0))

@@ -269,8 +269,8 @@ _AT = f"""c AS (SELECT DISTINCT address, chain, {CUTOFF} + (CAST(substr(address,
 t AS (SELECT c.address, c.chain, c.cutoff, count(*) AS tx_count, count(*) FILTER (ts >= cutoff - 30 * 86400) AS tx_count_30d, count(*) FILTER (ts >= cutoff - 90 * 86400) AS tx_count_90d, count(*) FILTER (ts >= cutoff - 180 * 86400) AS tx_count_180d, count(DISTINCT ts // 86400) AS active_days_count,
  count(DISTINCT CASE WHEN ts >= cutoff - 365 * 86400 THEN strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m') END) AS active_months_12, CAST(floor((cutoff - min(ts)) / 86400) AS BIGINT) AS wallet_age_days FROM c JOIN transfers x ON x.address = c.address AND x.chain = c.chain AND x.ts < cutoff GROUP BY c.address, c.chain, c.cutoff),
 l AS (SELECT c.address, c.chain, c.cutoff, {_COUNTS}, CAST(floor((cutoff - min(ts)) / 86400) AS BIGINT) AS days_since_first_defi FROM c JOIN lending x ON x.address = c.address AND x.chain = c.chain AND x.ts < cutoff GROUP BY c.address, c.chain, c.cutoff),
-bal AS (SELECT 'w' || l_suppkey AS address, {v._c('l_suppkey')} AS chain, 'c' || (l_partkey % 12) AS contract, CAST(trunc(l_extendedprice) AS DOUBLE) * 1000000 AS raw, {CUTOFF} + (l_orderkey % 1000 - 500) * 1000 + l_linenumber AS ts, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
-lb AS (SELECT c.address, c.chain, c.cutoff, contract, arg_max(raw, ts * 1000 + k % 7) AS raw FROM c JOIN bal USING (address, chain) WHERE bal.ts < cutoff GROUP BY ALL), tok(contract, role, decimals, price) AS (VALUES {', '.join(str(t) for t in _TOKENS)}),
+bal AS (SELECT 'w' || l_suppkey AS address, {v._c('l_suppkey')} AS chain, 'c' || (l_partkey % 12) AS contract, CAST(trunc(l_extendedprice) AS DOUBLE) * 1000000 AS raw, {CUTOFF} + (l_orderkey % 1000 - 500) * 1000 + l_linenumber AS ts FROM lineitem),
+lb AS (SELECT c.address, c.chain, c.cutoff, contract, max_by(raw, (ts, raw)) AS raw FROM c JOIN bal USING (address, chain) WHERE bal.ts < cutoff GROUP BY ALL), tok(contract, role, decimals, price) AS (VALUES {', '.join(str(t) for t in _TOKENS)}),
 p AS (SELECT address, chain, cutoff, count(*) FILTER (raw > 0) AS token_diversity, sum(CASE WHEN role = 'stable' THEN raw / power(10, decimals) * price ELSE 0 END) AS usd FROM lb LEFT JOIN tok USING (contract) GROUP BY ALL),
 b AS (SELECT c.address, c.chain, c.cutoff, coalesce(tx_count, 0) AS tx_count, coalesce(tx_count_30d, 0) AS tx_count_30d, coalesce(tx_count_90d, 0) AS tx_count_90d, coalesce(tx_count_180d, 0) AS tx_count_180d, coalesce(active_days_count, 0) AS active_days_count, coalesce(active_months_12, 0) AS active_months_12, coalesce(wallet_age_days, 0) AS wallet_age_days,
  coalesce(days_since_first_defi, 0) AS days_since_first_defi, coalesce(aave_borrows, 0) AS aave_borrows, coalesce(compound_repays, 0) AS compound_repays, coalesce(aave_borrows, 0) + coalesce(compound_borrows, 0) AS total_borrows, coalesce(aave_repays, 0) + coalesce(compound_repays, 0) AS total_repays, coalesce(aave_liquidations, 0) + coalesce(compound_liquidations, 0) AS prior_liquidation_count,
@@ -282,17 +282,14 @@ def _(s, d) -> DataFrame:
     t = v.transfers(s, d)
     cut = t.select("address", "chain").distinct().withColumn("cutoff", CUTOFF + (F.substring("address", 2, 9).cast("long") % 5) * DAY)
     order, line = F.col("l_orderkey"), F.col("l_linenumber")
-    dated = v.table(s, d, "lineitem").select(
+    dated = v.table(s, d, "lineitem").select(  # of equal times the largest balance counts
         F.concat(F.lit("w"), F.col("l_suppkey").cast("string")).alias("address"), v._chain(F.col("l_suppkey")).alias("chain"), F.concat(F.lit("c"), (F.col("l_partkey") % 12).cast("string")).alias("contract"),
-        F.concat(F.lit("0x"), F.lower(F.hex(F.col("l_extendedprice").cast("long") * 1000000))).alias("balance_hex"), ((CUTOFF + (order % 1000 - 500) * 1000 + line) * 1000 + (order * 10 + line) % 7).alias("ts"),
+        F.concat(F.lit("0x"), F.lower(F.hex(F.col("l_extendedprice").cast("long") * 1000000))).alias("balance_hex"), (CUTOFF + (order % 1000 - 500) * 1000 + line).alias("ts"),
     )
     tokens = s.createDataFrame(_TOKENS, "contract string, role string, decimals int, price double")
-    fine = features.point_in_time_features(t, v.lending_events(s, d), cut)  # seconds
-    held = features.point_in_time_features(t.limit(0), v.lending_events(s, d).limit(0), cut.withColumn("cutoff", F.col("cutoff") * 1000), balances=dated, tokens=tokens)  # the sample's balances are dated in milliseconds
-    held = held.select("address", "chain", (F.col("cutoff") / 1000).cast("long").alias("cutoff"), F.col("token_diversity"), r("stablecoin_usd", 3).alias("stablecoin_usd"))
+    out = features.point_in_time_features(t, v.lending_events(s, d), cut, balances=dated, tokens=tokens)
     names = "tx_count tx_count_30d tx_count_90d tx_count_180d active_days_count active_months_12 wallet_age_days days_since_first_defi aave_borrows compound_repays total_borrows total_repays prior_liquidation_count".split()
-    out = fine.join(held, ["address", "chain", "cutoff"])
-    return out.select("address", "chain", "cutoff", *(F.col(c).cast("long").alias(c) for c in names), F.col("token_diversity").cast("long").alias("token_diversity"), "stablecoin_usd", *(r(c).alias(c) for c in ("repayment_ratio", "borrow_velocity", "defi_tenure_ratio")))
+    return out.select("address", "chain", "cutoff", *(F.col(c).cast("long").alias(c) for c in (*names, "token_diversity")), r("stablecoin_usd", 3).alias("stablecoin_usd"), *(r(c).alias(c) for c in ("repayment_ratio", "borrow_velocity", "defi_tenure_ratio")))
 
 
 @query("b13_training_features", f"""WITH {_WIDE} SELECT address, chain, CAST(floor(wallet_age_days / 30) AS BIGINT) AS wallet_age_months, CASE WHEN aave_borrows + compound_borrows > 0 THEN round_even((aave_repays + compound_repays) / (aave_borrows + compound_borrows), 4) ELSE -1 END AS repay_rate,
@@ -555,10 +552,8 @@ WALLET_MODEL = scoring.Ensemble((
 _LINE = [0.01 + 0.8 * x for x in _GRID]
 
 
-def scored_wallets(s, d) -> DataFrame:
-    """Every wallet of the sample tables end to end, each source from a table of its own."""
-    t = v.transfers(s, d)
-    w = t.select("address", "chain").distinct()
+def wallet_sources(s, d, w: DataFrame) -> dict:
+    """What the scorer takes of the wallets w besides their histories, each source from a table of its own."""
     n = F.substring("address", 2, 9).cast("int")
     failed = lambda cond, *names: F.when(cond, F.map_from_arrays(F.array(*(F.lit(x) for x in names)), F.array(*(F.lit("down") for _ in names))))
     errors = w.select("address", "chain", F.coalesce(failed(n % 17 == 0, "etherscan", "alchemy", "aave", "compound"), failed(n % 11 == 0, "etherscan")).alias("errors")).where("errors is not null")
@@ -570,7 +565,14 @@ def scored_wallets(s, d) -> DataFrame:
     accounts = v.table(s, d, "supplier").select(F.concat(F.lit("w"), k.cast("string")).alias("address"), v._chain(k).alias("chain"), F.when(k % 3 == 0, "0x0").otherwise("0xde0b6b3a7640000").alias("balance_hex"), F.lit("0x").alias("code"), F.lit("0x0").alias("resolver"))
     held = v.balances(s, d).withColumn("address", F.concat(F.lit("w"), F.substring("address", 2, 9)))
     tokens = s.createDataFrame(_TOKENS, "contract string, role string, decimals int, price double")
-    return wallets.score_wallets(w, t, v.lending_events(s, d), WALLET_MODEL, as_of=AS_OF, calibration=(_GRID, _LINE), errors=errors, known_good=good, model_version="own", balances=held, tokens=tokens, accounts=accounts, liquidity=w.where(n % 3 == 0))
+    return {"calibration": (_GRID, _LINE), "errors": errors, "known_good": good, "model_version": "own", "balances": held, "tokens": tokens, "accounts": accounts, "liquidity": w.where(n % 3 == 0)}
+
+
+def scored_wallets(s, d) -> DataFrame:
+    """Every wallet of the sample tables end to end."""
+    t = v.transfers(s, d)
+    w = t.select("address", "chain").distinct()
+    return wallets.score_wallets(w, t, v.lending_events(s, d), WALLET_MODEL, as_of=AS_OF, **wallet_sources(s, d, w))
 
 
 _D12 = f"""{_WIDE}, tok(contract, role, decimals, price) AS (VALUES {', '.join(str(t) for t in _TOKENS)}),

@@ -9,9 +9,10 @@ from tallyforge import streaming
 from tallyforge.functions import DAY, epoch_seconds
 from tallyforge.operators import artifact, content, market, training, usage
 from tallyforge.plans.scratch import scratch_path
-from tallyforge.queries import _D12, _GRADE, _PCT, _TREES, _X, DEMO_MODEL, MARKET_NOW, QUERIES, SQL, _gapped, _weighted, query, r, scored_wallets
+from tallyforge.queries import _D12, _GRADE, _PCT, _TREES, _X, DEMO_MODEL, MARKET_NOW, WALLET_MODEL, wallet_sources, QUERIES, SQL, _gapped, _weighted, query, r, scored_wallets
 from tallyforge.sources import fixtures as v
 from tallyforge.sources.fixtures import with_views
+from tallyforge.streaming.state import WalletState, rescore_stream
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -303,6 +304,21 @@ def _(s, d) -> DataFrame:
     return s.read.parquet(f"{path}/out/*").dropDuplicates(["address", "chain"]).select("address", "chain", "score", "model_score")
 
 
+@query("s5_rescore_by_state", f"""WITH {_D12}, touched AS (SELECT DISTINCT address, chain FROM transfers WHERE CAST(substr(hash, 3) AS BIGINT) % 4 = 3)
+SELECT address, chain, CAST(CASE WHEN kept THEN 600 + n % 50 ELSE own END AS BIGINT) AS score, CAST(CASE WHEN kept THEN 610 + n % 50 ELSE model_score END AS BIGINT) AS model_score FROM e JOIN touched USING (address, chain)""")
+def _(s, d) -> DataFrame:
+    """The events in four batches, each merged into the stored state; what the last batch touched is scored from the state, and equals scores from all history."""
+    path = scratch_path(s, "state")
+    for i in range(4):
+        v.table(s, d, "events").where(F.col("event_id") % 4 == i).coalesce(1).write.parquet(f"{path}/in/b={i}")
+    batches = s.readStream.schema(v.table(s, d, "events").schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/in/*")
+    state = WalletState(s, f"{path}/state", partitions=8)
+    rescore = lambda keys: state.rescore(keys, WALLET_MODEL, as_of=v.AS_OF, **wallet_sources(s, d, keys)).select("address", "chain", "score", "model_score")
+    split = lambda df: (v.transfers_of(v.events_of(df)), v.lending_of(v.events_of(df)))
+    rescore_stream(batches, split, state, rescore, lambda df, b: df.write.mode("overwrite").parquet(f"{path}/out/b={b}"), f"{path}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{path}/out/b=3").select("address", "chain", "score", "model_score")
+
+
 # Training
 
 

@@ -20,23 +20,35 @@ def _chain(n):
 
 
 def _events(spark, sf_dir):
+    return events_of(table(spark, sf_dir, "events"))
+
+
+def events_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", k.alias("k"), epoch_seconds(F.col("ts")).alias("sec"))
+    return events.select("event_id", "user_id", "event_type", "value", k.alias("k"), epoch_seconds(F.col("ts")).alias("sec"))
 
 
 def transfers(spark, sf_dir) -> DataFrame:
     """Per wallet: hash, ts, from_addr, to_addr, value_eth."""
+    return transfers_of(_events(spark, sf_dir))
+
+
+def transfers_of(events: DataFrame) -> DataFrame:
     me, other = F.concat(F.lit("w"), F.col("user_id").cast("string")), F.concat(F.lit("w"), F.col("k"))
     inbound = F.col("event_type") == "view"
-    return _events(spark, sf_dir).select(
+    return events.select(
         me.alias("address"), _chain(F.col("user_id")).alias("chain"), F.concat(F.lit("0x"), F.col("event_id").cast("string")).alias("hash"), F.col("sec").alias("ts"),
         F.when(inbound, other).otherwise(me).alias("from_addr"), F.when(inbound, me).otherwise(other).alias("to_addr"), F.col("value").alias("value_eth"),
     )
 
 
 def lending_events(spark, sf_dir) -> DataFrame:
+    return lending_of(_events(spark, sf_dir))
+
+
+def lending_of(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "borrow").when(F.col("event_type") == "click", "repay").when(F.col("event_type") == "error", "liquidation")
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("address"), _chain(F.col("user_id")).alias("chain"),
         F.when(F.col("event_id") % 3 == 0, "compound").otherwise("aave").alias("family"), kind.alias("kind"), F.col("sec").alias("ts"), F.floor(F.col("sec") / 12).alias("block"), F.col("event_id"),
     ).where("kind is not null")
