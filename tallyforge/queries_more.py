@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyforge import streaming
 from tallyforge.functions import DAY, epoch_seconds
 from tallyforge.operators import artifact, content, market, training, usage
-from tallyforge.plans.scratch import scratch_path
+from tallyforge.operators.register import EntityRegister
+from tallyforge.plans.scratch import materialise, scratch_path
 from tallyforge.queries import _D12, _GRADE, _PCT, _TREES, _X, DEMO_MODEL, MARKET_NOW, WALLET_MODEL, wallet_sources, QUERIES, SQL, _gapped, _weighted, query, r, scored_wallets
 from tallyforge.sources import fixtures as v
 from tallyforge.sources.fixtures import with_views
@@ -319,6 +320,26 @@ def _(s, d) -> DataFrame:
     return s.read.parquet(f"{path}/out/b=3").select("address", "chain", "score", "model_score")
 
 
+# The entity register
+
+_BRIDGES = """br AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT 'w' || user_id AS x, 'w' || json_extract_string(props, '$.k') AS y FROM events WHERE event_type = 'signup') WHERE x <> y),
+kept AS (SELECT a, b FROM br WHERE (CAST(substr(a, 2) AS INT) * 7 + CAST(substr(b, 2) AS INT)) % 5 <> 0), un AS (SELECT a AS u, b AS v FROM kept UNION SELECT b, a FROM kept)"""
+
+
+@query("g10_entity_register", f"""WITH RECURSIVE {_BRIDGES}, reach(u, v) AS (SELECT u, v FROM un UNION SELECT r.u, un.v FROM reach r JOIN un ON r.v = un.u), comp AS (SELECT u AS address, least(u, min(v)) AS entity_id FROM reach GROUP BY u)
+SELECT address, entity_id, (SELECT count(*) FROM br) AS merges, (SELECT count(*) FROM br) - (SELECT count(*) FROM kept) AS reversals FROM comp""")
+def _(s, d) -> DataFrame:
+    """The bridge links in three batches, each with reversals of earlier links; the members in force, and the audit's counts."""
+    e = v._events(s, d).where("event_type = 'signup'").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("x"), F.concat(F.lit("w"), F.col("k")).alias("y")).where("x <> y")
+    n = lambda c: F.substring(c, 2, 9).cast("int")
+    links = materialise(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumns({"confidence": F.lit(0.9), "signals": F.array(F.lit("bridge")), "turn": (n("a") + n("b")) % 3, "bad": (n("a") * 7 + n("b")) % 5 == 0}))
+    register = EntityRegister(s, scratch_path(s, "register"), partitions=8)
+    for batch in range(4):  # a bad link is reversed a batch after it came
+        register.take(links.where(F.col("turn") == batch), links.where(F.col("bad") & (F.col("turn") == batch - 1)), at=batch, batch=batch)
+    told = register.audit.read().agg(F.count_if(F.col("action") == "merge").alias("merges"), F.count_if(F.col("action") == "reverse").alias("reversals"))
+    return register.members.read().select("address", "entity_id").crossJoin(F.broadcast(told))  # one row
+
+
 # Training
 
 
