@@ -28,6 +28,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ from tallyforge.plans.scratch import materialise
 
 HOT_PAIRS = 1 << 20
 #: Words, and characters of words, that a task remembers before it starts afresh; pairs whose counts it holds; rows of an Arrow batch.
-KNOWN, KNOWN_CHARS, HELD, SENT = 200_000, 8_000_000, 2_000_000, 250_000
+KNOWN, KNOWN_CHARS, HELD, SENT = 400_000, 8_000_000, 2_000_000, 250_000
+#: Words that are encoded as one text, and characters from which a word is encoded by itself.
+TOGETHER, LONG = 200, 1000
 #: Before a space that follows what neither tokenizer takes for white space.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _SPACE = "▁"
@@ -80,9 +83,12 @@ class Pair:
         self.written_a = [f"{i}{end}".encode() for end in ",|" for i in range(len(self.bytes_a))]
         self.written_b = [f"{i}{end}".encode() for end in (",", ";", "") for i in range(len(self.bytes_b))]
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both sides' ids of a text that begins with a space, or None if one side's bytes are not the text's."""
-        a, b, own = self.encode_a(text), self.b.encode(text[1:]), text.encode()
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both sides' ids of words, each of which begins with a space, or None if one side's bytes are not the words'."""
+        texts = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        a = list(chain.from_iterable(map(self.encode_a, texts)))
+        b = list(chain.from_iterable(self.b.encode([t[1:] for t in texts], num_threads=1)))
+        own = "".join(texts).encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != own or b"".join(map(self.bytes_b.__getitem__, b)) != own:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)
@@ -98,8 +104,9 @@ class Lexicon:
 
     COUNTS = ("a", "b", "groups", "links")
 
-    def __init__(self, both: Pair) -> None:
-        self.both = both
+    def __init__(self, both: Pair, spelled: bool = True) -> None:
+        """spelled: whether the groups are written out."""
+        self.both, self.spelled = both, spelled
         self.clear()
 
     def clear(self) -> None:
@@ -117,14 +124,19 @@ class Lexicon:
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(words of all texts, where each text's begin); texts without tokens have none."""
         split = [self._split(" " + t) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws})
-        at = [list(map(self.place.__getitem__, ws)) for ws in split]
-        for i, own in enumerate(at):
-            if own and not self.good[own].all():  # the text as a whole tells
-                whole = " " + texts[i]
-                self.learn({whole})
-                at[i] = [self.place[whole]] if self.good[self.place[whole]] else []
-        return np.array([x for own in at for x in own], np.int64), np.cumsum([0, *map(len, at)])
+        begin = np.cumsum([0, *map(len, split)])
+        flat = list(chain.from_iterable(split))
+        self.learn(set(flat))
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        bad = np.unique(np.searchsorted(begin, np.flatnonzero(~self.good[at]), "right") - 1)
+        if not len(bad):
+            return at, begin
+        own = [at[i:j] for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        for i in bad.tolist():  # the text as a whole tells
+            whole = " " + texts[i]
+            self.learn({whole})
+            own[i] = np.array([self.place[whole]] if self.good[self.place[whole]] else [], np.int64)
+        return np.concatenate(own), np.cumsum([0, *map(len, own)])
 
     def _split(self, text: str) -> list[str]:
         words = _CUT.split(text) if self.both.cuts else [text]
@@ -133,17 +145,18 @@ class Lexicon:
         return words
 
     def learn(self, words: set[str]) -> None:
-        """Align the words that are new: those that end in no white space in one go, as their neighbours do not change them."""
-        new = [w for w in words if w not in self.place]
-        plain = [w for w in new if not w[-1].isspace() and _SPACE not in w and len(w) < 1000]
-        if plain and self.both.cuts and (ids := self.both.ids("".join(plain))):
-            self._add(plain, *ids)
-        else:
-            plain = []
-        done = set(plain)
-        for w in new:
-            if w not in done:
-                self._add([w], *(self.both.ids(w) or (None, None)))
+        """Align the words that are new: those that end in no white space together, as their neighbours do not change them."""
+        plain, alone = [], []
+        for w in words - self.place.keys():
+            (alone if w[-1].isspace() or len(w) > LONG or not self.both.cuts or _SPACE in w else plain).append(w)
+        if plain:
+            ids = self.both.ids(plain)
+            if ids:
+                self._add(plain, *ids)
+            else:
+                alone += plain
+        for w in alone:
+            self._add([w], *(self.both.ids([w]) or (None, None)))
 
     def _add(self, words: list[str], a: np.ndarray | None, b: np.ndarray | None) -> None:
         for w in words:
@@ -154,24 +167,28 @@ class Lexicon:
             return
         both = self.both
         end_a, end_b = np.cumsum(both.len_a[a]), np.cumsum(both.len_b[b])
-        group = np.intersect1d(end_a, end_b, assume_unique=True)
+        group = end_a[end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a]
         of_a, of_b = np.searchsorted(group, end_a), np.searchsorted(group, end_b)
         size_a, size_b = np.bincount(of_a, minlength=len(group)), np.bincount(of_b, minlength=len(group))
         last_a, last_b = np.cumsum(size_a) - 1, np.cumsum(size_b) - 1
         regular = (size_a == 1) & (size_b == 1) & (both.same[a[last_a]] == b[last_b])
-        stretch = np.union1d(end_a, end_b)
+        stretch = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+        stretch = stretch[np.diff(stretch, prepend=-1) > 0]
         keys = a[np.searchsorted(end_a, stretch)] << 32 | b[np.searchsorted(end_b, stretch)]
         word_end = np.cumsum([len(w.encode()) for w in words])
         each = lambda ends: np.diff(np.searchsorted(ends, word_end, "right"), prepend=0)
         n = {"a": each(end_a), "b": each(end_b), "groups": each(group), "links": each(stretch)}
-        closes = np.isin(group, word_end, assume_unique=True)
+        if not self.spelled:
+            self._append(n, True, keys, regular[np.searchsorted(group, stretch)], [b""] * len(words))
+            return
+        closes = word_end[np.minimum(np.searchsorted(word_end, group), len(words) - 1)] == group
         form_a = np.zeros(len(a), np.int64)
         form_a[last_a] = 1
         form_b = np.zeros(len(b), np.int64)
         form_b[last_b] = np.where(closes, 2, 1)
         order = np.argsort(np.concatenate((of_a * 2, of_b * 2 + 1)), kind="stable")
         shown = [*map(both.written_a.__getitem__, (a + form_a * len(both.bytes_a)).tolist()), *map(both.written_b.__getitem__, (b + form_b * len(both.bytes_b)).tolist())]
-        shown = [shown[i] for i in order.tolist()]
+        shown = list(map(shown.__getitem__, order.tolist()))
         cuts = np.cumsum(n["a"] + n["b"]).tolist()
         self._append(n, True, keys, regular[np.searchsorted(group, stretch)], [b"".join(shown[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)])
 
@@ -196,7 +213,7 @@ def _counted(a_path: str, b_path: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(a_path, b_path)
-        known, used = Lexicon(both), np.empty(0, np.int64)
+        known, used = Lexicon(both, spelled=False), np.empty(0, np.int64)
         vector = np.zeros(len(both.same), np.int64)
         keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
 
