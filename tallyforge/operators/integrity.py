@@ -86,30 +86,59 @@ def burst_timing(transfers: DataFrame, *, days: int = 7) -> DataFrame:
 
 
 def burst_of_ticks(ticks: DataFrame, *, days: int = 7) -> DataFrame:
-    """burst_timing() of ticks()."""
+    """burst_timing() of ticks().
+
+    Time is cut into buckets as wide as the window, so a window that ends at a tick lies in the
+    tick's bucket and the one before. Each bucket of a wallet gets its own ticks, those of the
+    bucket before, and for each own tick a mark where its window begins; one running sum then gives
+    every window as a difference. No task holds more of a wallet than two buckets, which
+    have one row a second at most.
+    """
     width = days * DAY
     known = ticks.where("ts is not null").select(*KEY, "ts", F.col("n").alias("k"))
-    recent = Window.partitionBy(*KEY).orderBy("ts").rangeBetween(-width, 0)
-    peaks = known.withColumn("in_window", F.sum("k").over(recent)).groupBy(*KEY).agg(F.sum("k").alias("n"), F.max("in_window").alias("peak"), (F.max("ts") - F.min("ts")).alias("span"))
+    bucket = F.floor(F.col("ts") / width)
+    row = lambda at, bucket, side, k, tick: F.struct(at.alias("at"), bucket.alias("bucket"), F.lit(side).alias("side"), k.alias("k"), tick.alias("tick"))
+    none = F.lit(None).cast("long")
+    rows = F.array(row(F.col("ts"), bucket, 1, F.col("k"), F.col("ts")), row(F.col("ts"), bucket + 1, 1, F.col("k"), none), row(F.col("ts") - width, bucket, 0, F.lit(0).cast("long"), F.col("ts")))
+    each = known.select(*KEY, F.explode(rows).alias("x")).select(*KEY, "x.*")
+    until = Window.partitionBy(*KEY, "bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = each.withColumn("sum", F.sum("k").over(until)).where("tick is not null")
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("sum")))
+    windows = summed.groupBy(*KEY, "bucket", "tick").agg(F.max("k").alias("k"), (at(1) - at(0)).alias("in_window"))
+    peaks = windows.groupBy(*KEY).agg(F.sum("k").alias("n"), F.max("in_window").alias("peak"), (F.max("tick") - F.min("tick")).alias("span"))
     even = (F.col("peak") - F.col("n") * width / F.col("span")) / F.col("n")
     return peaks.withColumn("severity", F.when(F.col("n") < 4, 0.0).when(F.col("span") <= width, 1.0).otherwise(clamp(even, 0.0, 1.0)))
 
 
 def instant_repay(events: DataFrame, *, seconds: int = 60, blocks: int | None = 1, copies: str | None = None) -> DataFrame:
-    """Share of borrows that a repay follows within `seconds`, or within `blocks` where both blocks are known. Two reverse windows, no join.
+    """Share of borrows that a repay follows within `seconds`, or within `blocks` where both blocks are known.
 
-    copies: a column with the number of equal events that a row stands for.
+    Of the repays in a bucket of `seconds` only the first and the last matter: a borrow is
+    followed in its own bucket if that one's last repay is not before it, and in the next if that
+    one's first repay is near enough. Of a block only the last repay matters, told to the blocks
+    that reach it. So borrows meet sums of repays, and no wallet is held by one task. copies: a
+    column with the number of equal events that a row stands for.
     """
     times = F.col(copies) if copies else F.lit(1).cast("long")
-    repay = F.col("kind") == "repay"
-    by_ts = Window.partitionBy(*KEY).orderBy("ts").rangeBetween(0, Window.unboundedFollowing)
-    own = events.where(F.col("kind").isin("borrow", "repay")).withColumn("next_ts", F.min(F.when(repay, F.col("ts"))).over(by_ts))
-    fast = F.col("next_ts") - F.col("ts") <= seconds
+    borrows = events.where("kind = 'borrow'").select(*KEY, "ts", *(["block"] if blocks is not None else []), times.alias("k"), F.floor(F.col("ts") / seconds).alias("bucket"))
+    repays = events.where("kind = 'repay' and ts is not null")
+    ends = repays.groupBy(*KEY, F.floor(F.col("ts") / seconds).alias("bucket")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+    def met(df: DataFrame, other: DataFrame, at: str) -> DataFrame:
+        """df with what the other table has for its wallet and place; null wallets are wallets too."""
+        named = other.withColumnsRenamed({c: f"__{c}" for c in (*KEY, at)})
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in KEY] + [F.col(at) == F.col(f"__{at}")]
+        return df.join(named, on, "left").drop(*(f"__{c}" for c in (*KEY, at)))
+
+    around = ends.select(*KEY, F.explode(F.array(F.struct("bucket", "last", F.lit(None).cast("long").alias("after")), F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(None).cast("long").alias("last"), F.col("first").alias("after")))).alias("x")).select(*KEY, "x.*")
+    around = around.groupBy(*KEY, "bucket").agg(F.max("last").alias("last"), F.min("after").alias("after"))
+    own = met(borrows, around, "bucket")
+    fast = F.coalesce(F.col("last") >= F.col("ts"), F.lit(False)) | F.coalesce(F.col("after") - F.col("ts") <= seconds, F.lit(False))
     if blocks is not None:
-        by_block = Window.partitionBy(*KEY).orderBy("block").rangeBetween(0, blocks)
-        own = own.withColumn("near", F.max(F.when(repay & F.col("block").isNotNull(), F.col("ts"))).over(by_block))
-        fast = fast | (F.col("block").isNotNull() & (F.col("near") >= F.col("ts")))
-    sums = own.where("kind = 'borrow'").groupBy(*KEY).agg(F.sum(times).alias("borrows"), F.sum(F.when(F.coalesce(fast, F.lit(False)), times).otherwise(0)).alias("instant"))
+        reach = repays.where("block is not null").select(*KEY, "ts", F.explode(F.sequence(F.col("block") - blocks, F.col("block"))).alias("block"))
+        own = met(own, reach.groupBy(*KEY, "block").agg(F.max("ts").alias("near")), "block")
+        fast = fast | F.coalesce(F.col("near") >= F.col("ts"), F.lit(False))
+    sums = own.groupBy(*KEY).agg(F.sum("k").alias("borrows"), F.sum(F.when(fast, F.col("k")).otherwise(0)).alias("instant"))
     return sums.withColumn("severity", F.col("instant") / F.col("borrows"))
 
 

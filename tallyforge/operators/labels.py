@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.plans.prefix import exact_quantiles
+from tallyforge.plans.prefix import carry_forward, exact_quantiles
 from tallyforge.sources.store import Store, Version
 
 KEY = ["address", "chain"]
@@ -57,15 +57,15 @@ def stored_as_of(store: Store, requests: DataFrame, *, version: str, at: Version
 def as_of_join(requests: DataFrame, snapshots: DataFrame, *, version: str) -> DataFrame:
     """Each request (request_id, address, chain, as_of_ts) with the latest snapshot at or before it, or nulls.
 
-    Requests and snapshots are sorted together per wallet and the last snapshot seen is
-    carried forward: one shuffle, and no pairing of requests with all earlier snapshots.
+    Requests and snapshots are dealt together by (wallet, time) to range partitions, the last
+    snapshot seen is carried forward within each, and from one to the next where a wallet reaches
+    over several: no pairing of requests with earlier snapshots, and no wallet in one task.
     """
     data = [c for c in snapshots.columns if c not in (*KEY, "feature_set_version")]
     snap = snapshots.where(F.col("feature_set_version") == version).select(*KEY, F.col("valid_at_ts").alias("__at"), F.lit(0).alias("__side"), F.struct(*data).alias("__snap"))
     ask = requests.select(*KEY, F.col("as_of_ts").alias("__at"), F.lit(1).alias("__side"), F.struct(*(c for c in requests.columns if c not in KEY)).alias("__ask"))
     both = snap.unionByName(ask, allowMissingColumns=True)
-    order = Window.partitionBy(*KEY).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__last", F.last("__snap", ignorenulls=True).over(order)).where("__side = 1")
+    carried = carry_forward(both, KEY, ["__at", "__side"], "__snap", "__last").where("__side = 1")
     return carried.select(*KEY, "__ask.*", "__last.*")
 
 

@@ -32,6 +32,29 @@ def running_sums(df: DataFrame, keys: list[str], order: str | list[str], values:
     return met.select(*df.columns, *((F.col(f"__w_{v}") + F.col(f"__o_{v}")).alias(f"before_{v}") for v in values))
 
 
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, *, partitions: int | None = None) -> DataFrame:
+    """df with `out`: the last value that is not null among the rows of the same keys up to each row, in order.
+
+    Rows are dealt to range partitions and carried within each. Only a key that reaches over the end of
+    a partition has earlier rows elsewhere, and there are fewer of those than partitions: what is
+    carried over is a table of at most two rows a partition. Null keys are a key of their own.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(n, *keys, *order).withColumn("__cf_part", F.spark_partition_id()), "carried")
+    same = lambda names: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{names}{k}")) for k in keys))
+    wide = dealt.groupBy(*keys).agg(F.min("__cf_part").alias("__cf_lo"), F.max("__cf_part").alias("__cf_hi")).where("__cf_lo < __cf_hi")
+    wide = F.broadcast(wide.select(*(F.col(k).alias(f"__cfw_{k}") for k in keys)))  # fewer than n rows
+    last = dealt.where(F.col(value).isNotNull()).join(wide, same("__cfw_"), "left_semi").groupBy(*keys, "__cf_part").agg(F.max_by(value, F.struct(*order)).alias("__cf_last"))
+    parts = dealt.join(wide, same("__cfw_"), "left_semi").select(*keys, "__cf_part").distinct().withColumn("__cf_last", F.lit(None).cast(df.schema[value].dataType))
+    ends = last.unionByName(parts).groupBy(*keys, "__cf_part").agg(F.first("__cf_last", ignorenulls=True).alias("__cf_last"))
+    earlier = Window.partitionBy(*keys).orderBy("__cf_part").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.select(*(F.col(k).alias(f"__cfb_{k}") for k in keys), F.col("__cf_part").alias("__cf_at"), F.last("__cf_last", ignorenulls=True).over(earlier).alias("__cf_brought"))
+    own = Window.partitionBy(*keys, "__cf_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = dealt.withColumn("__cf_own", F.last(value, ignorenulls=True).over(own))
+    met = held.join(F.broadcast(brought), same("__cfb_") & (F.col("__cf_part") == F.col("__cf_at")), "left")  # at most 2 n rows
+    return met.select(*df.columns, F.coalesce("__cf_own", "__cf_brought").alias(out))
+
+
 def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
     """Quantiles with linear interpolation, as exact as a full sort, without one task holding all values.
 

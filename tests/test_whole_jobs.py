@@ -247,14 +247,17 @@ def test_wallets_end_to_end(spark):
     e = spark.createDataFrame([("w1", "ethereum", "aave", "borrow", NOW - 200 * DAY, 1), ("w1", "ethereum", "aave", "repay", NOW - 200 * DAY + 30, 2), ("w4", "ethereum", "compound", "borrow", NOW - 8 * DAY, 5)], LEND)
     w = spark.createDataFrame([(f"w{i}", "ethereum") for i in (1, 2, 3, 4)], "address string, chain string")
     bad = spark.createDataFrame([("w4", "ethereum", {k: "down" for k in ("etherscan", "alchemy", "aave", "compound")}), ("w1", "ethereum", {"uniswap": "down"})], "address string, chain string, errors map<string,string>")
-    good = spark.createDataFrame([("w4", "ethereum", 701, "B", 66), ("w1", "ethereum", 1, "F", 1)], "address string, chain string, score long, grade string, percentile long")
+    good = spark.createDataFrame([("w4", "ethereum", 701, "B", 66, 0.9, 0.04), ("w1", "ethereum", 1, "F", 1, 1.0, 0.5)], "address string, chain string, score long, grade string, percentile long, completeness double, calibrated_pd double")
     model = scoring.Ensemble((scoring.Tree((1, -1, -1), (2, -1, -1), (10, 0, 0), (0.5, 0, 0), (True, True, True), (0.0, 1.0, -1.0)),))
     got = {r.address: r for r in wallets.score_wallets(w, t, e, model, as_of=NOW, calibration=([0.0, 0.5, 1.0], [0.0, 0.25, 1.0]), errors=bad, known_good=good, model_version="m").collect()}
     raw = 1 / (1 + np.exp(1.0))
     assert got["w1"].calibrated_pd == pytest.approx(raw / 2) and got["w1"].penalty == pytest.approx(0.5) and got["w1"].score == max(300, got["w1"].model_score - 125) and got["w1"].flagged and [s.id for s in got["w1"].signals] == ["instant_repay"]
     assert (got["w2"].score, got["w2"].grade, got["w2"].no_borrow_history, got["w2"].penalty) == (0, "F", True, 0.0)
     assert (got["w3"].score, got["w3"].new_wallet, got["w3"].completeness, got["w3"].protocols_used) == (300, True, 1.0, [])
-    assert (got["w4"].score, got["w4"].grade, got["w4"].percentile, got["w4"].last_known_good, got["w4"].completeness) == (701, "B", 66, True, pytest.approx(0.1))
+    assert (got["w4"].score, got["w4"].grade, got["w4"].percentile, got["w4"].last_known_good, got["w4"].completeness, got["w4"].calibrated_pd) == (701, "B", 66, True, 0.9, 0.04)
+    assert got["w4"].factors is None and got["w4"].model_version is None  # the earlier envelope stands whole, with what it has not
+    for w in ("w2", "w3"):  # no model has scored a gated wallet
+        assert (got[w].factors, got[w].top_contributions, got[w].weakest, got[w].calibrated_pd, got[w].model_version) == ([], [], [], None, "unknown")
     assert got["w1"].degraded_sources == ["uniswap"] and [f.limited_data for f in got["w1"].factors] == [False, False, True, False] and got["w1"].model_version == "m"
 
 
