@@ -211,12 +211,28 @@ def _facts(s):
     return s.createDataFrame([(0.8815, "ratio", True), (254729.0, "count", True), (20717.0, "count", True), (25000.0, "count", False)], "value double, unit string, verified boolean")
 
 
-@query("k1_numeric_claims")
+# Fixed value: the number pattern, for an engine without look-behind: digits that stand behind an identifier are marked by a control character first.
+_NUM = r"'(' || chr(1) || '?)(\d[\d,]*(?:\.\d+)?)\s*([kKmMbB])?\s*(\+)?\s*(%|percent)?'"
+
+
+def _claims(content: str) -> str:
+    parts = ", ".join(f"unnest(regexp_extract_all(t, {_NUM}, {i})) AS {n}" for i, n in enumerate(("raw", "glued", "digits", "suffix", "plus", "percent")))
+    return rf"""stripped AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+', ' ', 'g'), '`[^`]*`', ' ', 'g'), '([A-Za-z_#@/-])(\d)', '\1' || chr(1) || '\2', 'g') AS t FROM {content}),
+found AS (SELECT doc_id, {parts}, unnest(range(len(regexp_extract_all(t, {_NUM}, 0)))) AS pos FROM stripped),
+claims AS (SELECT doc_id, CAST(pos AS INT) AS pos, regexp_replace(raw, '\s+$', '') AS raw, CAST(replace(digits, ',', '') AS DOUBLE) * CASE lower(suffix) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END AS magnitude, coalesce(plus, '') <> '' AS is_bound, coalesce(percent, '') <> '' AS is_percent
+ FROM found WHERE glued = '' AND NOT (regexp_full_match(replace(digits, ',', ''), '(19|20)\d\d') AND suffix = '' AND plus = '' AND percent = '')),
+facts(value, ratio) AS (VALUES (0.8815e0, false), (88.15e0, true), (254729e0, false), (20717e0, false)), shape AS (SELECT *, length(regexp_replace(split_part(raw, '.', 2), '\D', '', 'g')) AS d FROM claims),
+faults AS (SELECT doc_id, pos, raw, magnitude, is_bound, is_percent FROM shape c WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE (NOT ratio OR is_percent) AND CASE WHEN is_bound THEN magnitude > 0 AND value >= magnitude
+ AND floor(value / power(10e0, floor(log10(magnitude)) - (length(regexp_replace(CAST(CAST(round(magnitude) AS HUGEINT) AS VARCHAR), '0+$', '')) - 1))) * power(10e0, floor(log10(magnitude)) - (length(regexp_replace(CAST(CAST(round(magnitude) AS HUGEINT) AS VARCHAR), '0+$', '')) - 1)) = magnitude
+ ELSE abs(value - magnitude) <= CASE WHEN d > 0 THEN power(10e0, -d) ELSE 0.5 END END))"""
+
+
+@query("k1_numeric_claims", f"WITH {_CONTENT}, {_claims('content')} SELECT * FROM claims")
 def _(s, d) -> DataFrame:
     return content.numeric_claims(_content(s, d))
 
 
-@query("k2_claim_violations")
+@query("k2_claim_violations", f"WITH {_CONTENT}, {_claims('content')} SELECT * FROM faults")
 def _(s, d) -> DataFrame:
     return content.claim_violations(content.numeric_claims(_content(s, d)), _facts(s))
 
@@ -232,17 +248,29 @@ _PHRASES = [
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {proper} AS proper, unnest(regexp_extract_all(text, '{p}', 1)) AS entity FROM content" for kind, p, proper in _PHRASES)
 
 
+_COVERED_SQL = rf"""CASE WHEN kind = 'impersonation' THEN NOT regexp_matches(entity, '(?i)^us\b') ELSE regexp_replace(lower(trim(entity)), '[.,;:!?]+$', '') NOT IN ({', '.join(f"'{n}'" for n in (*content.COVERED, 'us'))}) END"""
+
+
 @query("k3_proof_violations", rf"""WITH {_CONTENT}, f AS ({_FOUND}) SELECT doc_id, kind, entity FROM f WHERE (proper = 0 OR regexp_matches(entity, '^[A-Z0-9$]'))
-AND CASE WHEN kind = 'impersonation' THEN NOT regexp_matches(entity, '(?i)^us\b') ELSE regexp_replace(lower(trim(entity)), '[.,;:!?]+$', '') NOT IN ({', '.join(f"'{n}'" for n in (*content.COVERED, 'us'))}) END""")
+AND {_COVERED_SQL}""")
 def _(s, d) -> DataFrame:
     return content.proof_violations(_content(s, d))
 
 
-@query("k4_publish_decision")
+_SITE_LINK = r"(https://own\.example(?:/[\w/#-]*)?)"
+_POSTS = f"""body AS (SELECT doc_id, channel, doc_id * 311 + 1706745600 AS posted, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Over 777 rows' ELSE 'News' END AS title, regexp_replace(text, '{_SITE_LINK}', '\\1?utm_source=' || channel || '&utm_medium=autopilot', 'g') AS text FROM content),
+whole AS (SELECT doc_id, coalesce(title, '') || chr(10) || text AS text FROM body)"""
+
+
+@query("k4_publish_decision", rf"""WITH {_CONTENT}, {_POSTS}, {_claims('whole')}, f AS ({_FOUND.replace('FROM content', 'FROM whole')}), proofs AS (SELECT doc_id FROM f WHERE (proper = 0 OR regexp_matches(entity, '^[A-Z0-9$]')) AND {_COVERED_SQL}),
+j AS (SELECT *, doc_id IN (SELECT doc_id FROM faults) OR doc_id IN (SELECT doc_id FROM proofs) OR channel = 'email' AND NOT contains(text, '{{{{unsubscribe_url}}}}') AS blocked FROM body),
+n AS (SELECT *, row_number() OVER (PARTITION BY channel, posted // 86400, blocked ORDER BY posted, doc_id) AS turn FROM j)
+SELECT doc_id, channel, CASE WHEN blocked THEN 'BLOCKED' WHEN turn > CASE channel {' '.join(f"WHEN '{c}' THEN {n}" for c, n in content.CADENCE.items())} END THEN 'deferred' ELSE 'ready' END AS decision FROM n""")
 def _(s, d) -> DataFrame:
-    x = _content(s, d)
-    faults = content.claim_violations(content.numeric_claims(x), _facts(s))
-    return content.publish_decision(x, faults, content.proof_violations(x)).select("doc_id", "channel", "decision")
+    """Every document as a post, with a title on three of four."""
+    k = F.col("doc_id") % 4
+    x = _content(s, d).withColumn("title", F.when(k == 1, "Over 777 rows").when(k > 1, "News"))
+    return content.check_and_decide(x, _facts(s), site="own.example").select("doc_id", "channel", "decision")
 
 
 @query("k5_tag_links", rf"WITH {_CONTENT} SELECT doc_id, regexp_replace(text, '(https://own\.example(?:/[\w/#-]*)?)', '\1?utm_source=' || channel || '&utm_medium=autopilot', 'g') AS text FROM content")
