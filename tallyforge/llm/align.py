@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, table
-from tallyforge.llm.packing import byte_letters, encoder
+from tallyforge.llm.packing import _byte_letters as byte_letters
+from tallyforge.llm.packing import encoder
 from tallyforge.plans.scratch import materialise
 
 HOT_PAIRS = 1 << 20
@@ -55,6 +56,15 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _plain(path: str, added: list[str]) -> Callable:
+    """A function from text to ids that takes the strings of special tokens for plain text."""
+    from tokenizers import Tokenizer
+
+    own, usual = Tokenizer.from_file(path), encoder(path)
+    own.encode_special_tokens = True
+    return lambda text: own.encode(text, add_special_tokens=False).ids if any(a in text for a in added) else usual(text)
+
+
 class Pair:
     """Both tokenizers, the bytes of their tokens, and the identity array."""
 
@@ -62,7 +72,7 @@ class Pair:
         import sentencepiece
 
         spec = json.load(open(a_path, encoding="utf-8"))
-        self.encode_a = encoder(a_path, specials=False)
+        self.encode_a = _plain(a_path, [t["content"] for t in spec.get("added_tokens", [])])
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         added = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
         self.bytes_a = [b""] * (1 + max([*vocab.values(), *added]))
