@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, round_half_up
 from tallyforge.plans.graph import connected_components
+from tallyforge.plans.rows import small
 from tallyforge.plans.scratch import materialise
 from tallyforge.operators.integrity import _directed
 
 # Confidence of the categorical signals, and the two thresholds.
 SHARED_FUNDER, GAS_FUNDING, BRIDGE = 0.6, 0.7, 0.75
 MERGE, SURFACE = 0.85, 0.5
+#: Ticks, and addresses, of a crowded time bucket that meet in one task.
+CELL = 20_000
 
 
 def build_nodes(transfers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,6 +37,38 @@ def shared_funder_pairs(nodes: DataFrame, *, degree_cap: int | None = None) -> D
     return x.join(y, (F.col("f") == F.col("g")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(SHARED_FUNDER).alias("conf"))
 
 
+def shared_funder_among(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """shared_funder_pairs() of the pairs (a, b) in named alone: each end's funder is looked up, so a hub costs as many rows as it has named pairs."""
+    own = nodes.where("funder is not null").select("address", "funder")
+    side = lambda c, f: own.select(F.col("address").alias(c), F.col("funder").alias(f))
+    met = named.select("a", "b").distinct().join(side("a", "__fa"), "a").join(side("b", "__fb"), "b")
+    return met.where("__fa = __fb").select("a", "b", F.lit(SHARED_FUNDER).alias("conf"))
+
+
+def funder_cliques(nodes: DataFrame) -> DataFrame:
+    """(funder, members, pairs, confidence): the wallets of one funder are all linked to each other; said once a funder. Its members are the nodes with that funder."""
+    sizes = nodes.where("funder is not null").groupBy("funder").agg(F.count("*").alias("members")).where("members > 1")
+    pairs = (F.col("members").cast("decimal(20,0)") * (F.col("members") - 1) / 2).cast("decimal(38,0)")
+    return sizes.select("funder", "members", pairs.alias("pairs"), F.lit(SHARED_FUNDER).alias("confidence"))
+
+
+def resolve(nodes: DataFrame, **signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, cliques): the pairs that a signal other than the shared funder names, with all their signals, and the cliques of the funders.
+
+    A shared funder alone surfaces a pair and never merges it. So a pair that only a clique
+    holds is not written out: it has the clique's confidence and the decision `surface`. Every other pair has its row in links,
+    and components and confidences are those of all pairs. Output grows with wallets and with
+    named pairs, whatever the size of a hub.
+    """
+    if SHARED_FUNDER >= MERGE:
+        raise ValueError("a shared funder alone would merge")
+    named = None
+    for pairs in signals.values():
+        own = pairs.where("conf > 0").select("a", "b")
+        named = own if named is None else named.unionByName(own)
+    return merge_and_surface(score_pairs(shared_funder=shared_funder_among(nodes, named), **signals)), funder_cliques(nodes)
+
+
 def _ordered(df: DataFrame, x: str, y: str, conf: float) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit(conf).alias("conf")).distinct()
 
@@ -60,13 +95,32 @@ def direct_transfer_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", conf.alias("conf")).where("conf > 0")
 
 
-def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3, among: DataFrame | None = None) -> DataFrame:
+def _grid(ticks: DataFrame, near: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the co-spend join with their cell of the bucket's grid: ticks stand in one row of it and in all columns, addresses in one column and in all rows."""
+    sizes = ticks.groupBy("bucket").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).unionByName(near.groupBy(F.col("at").alias("bucket")).agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m")))
+    sizes = sizes.groupBy("bucket").agg(F.max("n").alias("n"), F.max("m").alias("m")).where((F.col("n") > cell) | (F.col("m") > cell))
+    blocks = lambda c: F.ceil(F.col(c) / cell).cast("int")
+    crowded = small(materialise(sizes.select(F.col("bucket").alias("c_bucket"), F.greatest(blocks("n"), F.lit(1)).alias("rows"), F.greatest(blocks("m"), F.lit(1)).alias("columns")), "crowded"))
+    one = F.lit(1)
+
+    def placed(df: DataFrame, bucket: str, own: str, other: str, named: tuple[str, str], *spread: str) -> DataFrame:
+        met = df.join(crowded, F.col(bucket) == F.col("c_bucket"), "left")
+        block = F.pmod(F.xxhash64(*spread), F.coalesce(own, one)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))
+        return met.select(*df.columns, block.alias(named[0]), every.alias(named[1]))
+
+    return placed(ticks, "bucket", "rows", "columns", ("row", "column"), "a", "t"), placed(near, "at", "columns", "rows", ("at_column", "at_row"), "b")
+
+
+def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3, among: DataFrame | None = None, cell: int = CELL) -> DataFrame:
     """Share of a's times with a time of b within the tolerance, over the shorter list: an interval join on time buckets.
 
     Equal times of an address are one tick with a count. Buckets are `tolerance` seconds wide,
     so a time of b in the tick's own bucket is close enough, and of the neighbouring buckets
     only b's last and first time matter. That is one row of b a bucket: a tick meets each b
-    once, and the pairs are counted with map-side combine. among: pairs (a, b), a < b; with it
+    once, and the pairs are counted with map-side combine. A bucket in which many ticks meet many
+    addresses is cut into a grid: ticks by blocks of ticks, addresses by blocks of addresses, so
+    that a task gets about CELL rows of each and every pair meets in one cell. among: pairs (a, b), a < b; with it
     only these are looked at, which joins on the pair's address and the bucket in place of the
     bucket alone (the others are lost, so it is off by default).
     """
@@ -80,7 +134,8 @@ def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int
     ticks = own.select(F.col("address").alias("a"), F.col("ts").alias("t"), "k", F.col("n").alias("an"), "bucket")
     close = F.col("here") | F.coalesce(F.col("before") >= F.col("t") - tolerance, F.lit(False)) | F.coalesce(F.col("after") <= F.col("t") + tolerance, F.lit(False))
     if among is None:
-        met = ticks.join(near, (F.col("bucket") == F.col("at")) & (F.col("a") < F.col("b")) & close)
+        ticks, near = _grid(ticks, near, cell)
+        met = ticks.join(near, (F.col("bucket") == F.col("at")) & (F.col("row") == F.col("at_row")) & (F.col("column") == F.col("at_column")) & (F.col("a") < F.col("b")) & close)
     else:
         met = ticks.join(among.select("a", F.col("b").alias("other")).distinct(), "a").join(near, (F.col("other") == F.col("b")) & (F.col("bucket") == F.col("at")) & close)
     return met.groupBy("a", "b").agg(F.least(F.lit(1.0), F.sum("k") / F.least(F.first("an"), F.first("bn"))).alias("conf"))

@@ -796,6 +796,20 @@ def _(s, d) -> DataFrame:
     return entity.score_pairs(**_graph(s, d)[2]).select("a", "b", r("confidence").alias("confidence"), "n_signals")
 
 
+@query("g2_funder_cliques", f"WITH {with_views('transfers')}, {_NODES} SELECT funder, count(*) AS members, count(*) * (count(*) - 1) // 2 AS pairs, 0.6e0 AS confidence FROM nodes WHERE funder IS NOT NULL GROUP BY funder HAVING count(*) > 1")
+def _(s, d) -> DataFrame:
+    nodes, _, _ = entity.build_nodes(v.transfers(s, d))
+    return entity.funder_cliques(nodes).withColumn("pairs", F.col("pairs").cast("long"))
+
+
+@query("g6_named_pairs", f"WITH {_GRAPH} SELECT a, b, round(confidence, 6) AS confidence, CAST(n_signals AS INT) AS n_signals, CASE WHEN round(confidence, 9) >= 0.85 THEN 'merge' WHEN round(confidence, 9) >= 0.5 THEN 'surface' ELSE 'none' END AS decision FROM links WHERE n_signals > 1 OR (a, b) NOT IN (SELECT (a, b) FROM p1)")
+def _(s, d) -> DataFrame:
+    """The pairs that other signals than the shared funder name, with all their signals: what is written out when cliques are not."""
+    nodes, _, signals = _graph(s, d)
+    signals.pop("shared_funder")
+    return entity.resolve(nodes, **signals)[0].select("a", "b", r("confidence").alias("confidence"), "n_signals", "decision")
+
+
 @query("g7_merge_and_surface", f"WITH {_GRAPH} SELECT a, b, CASE WHEN round(confidence, 9) >= 0.85 THEN 'merge' WHEN round(confidence, 9) >= 0.5 THEN 'surface' ELSE 'none' END AS decision FROM links")
 def _(s, d) -> DataFrame:
     return entity.merge_and_surface(entity.score_pairs(**_graph(s, d)[2])).select("a", "b", "decision")
@@ -805,7 +819,9 @@ def _(s, d) -> DataFrame:
 comp AS (SELECT u AS address, least(u, min(v)) AS entity_id FROM reach GROUP BY u), sz AS (SELECT entity_id, count(*) AS size FROM comp GROUP BY entity_id), co AS (SELECT entity_id, min(confidence) AS cohesion FROM mg JOIN comp ON a = address GROUP BY entity_id)
 SELECT comp.entity_id, address, size, round(cohesion, 6) AS cohesion FROM comp JOIN sz USING (entity_id) JOIN co USING (entity_id)""")
 def _(s, d) -> DataFrame:
-    return entity.cluster(entity.merge_and_surface(entity.score_pairs(**_graph(s, d)[2]))).withColumn("cohesion", r("cohesion"))
+    nodes, _, signals = _graph(s, d)
+    signals.pop("shared_funder")  # hubs stay cliques: alone they merge nothing
+    return entity.cluster(entity.resolve(nodes, **signals)[0]).withColumn("cohesion", r("cohesion"))
 
 
 @query("g9_entity_scores", f"""WITH {with_views('history')}, mem AS (SELECT 'e' || (CAST(substr(address, 2) AS INT) % 37) AS entity_id, address, arg_max(score, ts * 1000000 + event_id) AS score, count(*) AS activity, max(ts) AS t FROM history GROUP BY address),
