@@ -8,7 +8,8 @@ ones are is found without counting them all:
    held, the count just beyond the capacity is taken off all. What a slot has taken off is at
    most mass / (capacity + 1) < least, and a counter plus that is at least the true count, so
    every frequent n-gram is among those whose sum reaches `least`;
-3. the last walk counts the survivors exactly, by their words.
+3. the last walk counts the survivors exactly. What a task has counted goes to the survivors'
+   buckets, a row for each bucket and language, and is added up there for the survivors alone.
 The first two steps are taken for one and two words, then for three to five, of which only
 those made of surviving pairs are posted. Survivors are told to the next walk by a bit table
 of FILTER_BITS bits, whatever their number: what it lets through in error costs a little of
@@ -21,8 +22,7 @@ candidate is dropped if a longer one that contains it occurs as often. Counts do
 with length, so it is enough to look one word further. Ranks come from running sums over
 range partitions, as one language may hold most rows.
 
-A task combines its own counts by 64-bit hashes of (language, words); tasks are combined by
-the words themselves.
+Phrases are told apart by 64-bit hashes of (language, words).
 
 Edge cases: a null or empty text has no words; a null language is `und`, together with rows
 that say so. Only A-Z are lower-cased. Repeated rows and ids count each. Equal scores go by
@@ -52,7 +52,9 @@ ROOM = 2
 #: Bits of the table that tells survivors: 16 MB, the same for every size of corpus.
 FILTER_BITS = 1 << 27
 #: N-gram counts that a task holds before it sends them on, phrases that the last walk holds, and rows of an Arrow batch.
-HELD, SPELLED, SENT = 6_000_000, 300_000, 250_000
+HELD, SPELLED, SENT = 3_000_000, 300_000, 250_000
+#: Survivors that are counted together in the last walk.
+BUCKET = 20_000
 _ENDS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else LOWER[c] for c in range(256))
 
 
@@ -226,15 +228,26 @@ def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([b.column("key").to_numpy() for b in batches]).view(np.uint64), np.concatenate([b.column("n").to_numpy() for b in batches])
 
 
-def _spelled(passed: np.ndarray) -> Callable:
-    """(lang, words, phrase, n) of the survivors, counted within a task as far as SPELLED of them fit."""
+def _spelled(passed: np.ndarray, buckets: int) -> Callable:
+    """(bucket, lang, keys, phrases, n): what a task has counted of each bucket's phrases that may be survivors, as far as SPELLED of them fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list] = {}
 
         def sent() -> pa.RecordBatch:
-            langs, sizes, phrases, counts = zip(*seen.values(), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "words", "phrase", "n"])
+            keys = np.fromiter(seen, np.uint64, len(seen))
+            langs, phrases, counts = zip(*seen.values(), strict=True)
+            coded = pa.array(langs, pa.string()).dictionary_encode()
+            group = (keys >> np.uint64(32)) % np.uint64(buckets) * np.uint64(len(coded.dictionary)) + coded.indices.to_numpy().astype(np.uint64)
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.diff(group[order].astype(np.int64), prepend=-1))
+            ends = pa.array(np.append(first, len(order)).astype(np.int32))
+            group = group[order][first].astype(np.int64)
+            took = lambda x: pa.ListArray.from_arrays(ends, x.take(pa.array(order)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(group // len(coded.dictionary)), coded.dictionary.take(pa.array(group % len(coded.dictionary))), took(pa.array(keys.view(np.int64))), took(pa.array(phrases, pa.binary()).cast(pa.string())), took(pa.array(counts, pa.int64()))],
+                ["bucket", "lang", "keys", "phrases", "n"],
+            )
 
         for batch in slices(batches):
             found = Words(batch)
@@ -246,9 +259,9 @@ def _spelled(passed: np.ndarray) -> Callable:
                 for key, count, w, d in zip(keys.tolist(), counts.tolist(), where.tolist(), docs.tolist(), strict=True):
                     known = seen.get(key)
                     if known:
-                        known[3] += count
+                        known[2] += count
                     else:
-                        seen[key] = [found.langs[d], n, found.spelled(w, n), count]
+                        seen[key] = [found.langs[d], found.spelled(w, n), count]
             if len(seen) >= SPELLED:
                 yield sent()
                 seen = {}
@@ -258,6 +271,39 @@ def _spelled(passed: np.ndarray) -> Callable:
     return run
 
 
+def _exact(least: int) -> Callable:
+    """(lang, phrase, n) with n >= least: of each bucket its survivors come first (lang is null), and the tasks' counts are added to them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = counts = langs = phrases = None
+
+        def settled() -> pa.RecordBatch:
+            at = np.flatnonzero(counts >= least)
+            return pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array([phrases[i] for i in at], pa.string()), pa.array(counts[at])], ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                own = batch.column("keys")[i].values.to_numpy().view(np.uint64)
+                if lang is None:
+                    if keys is not None:
+                        yield settled()
+                    keys = np.sort(own)
+                    counts, langs, phrases = np.zeros(len(keys), np.int64), [None] * len(keys), [None] * len(keys)
+                    continue
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == own)
+                at = at[hit]
+                new = np.flatnonzero(counts[at] == 0)
+                counts[at] += batch.column("n")[i].values.to_numpy()[hit]
+                told_of = batch.column("phrases")[i].values.take(pa.array(hit[new])).to_pylist()
+                for k, phrase in zip(at[new].tolist(), told_of, strict=True):
+                    langs[k], phrases[k] = lang, phrase
+        if keys is not None:
+            yield settled()
+
+    return run
+
+
 def _filter(spark: SparkSession, survivors: DataFrame) -> np.ndarray:
     """The bit table of the survivors: at most FILTER_BITS / 64 words reach the driver, whatever their number."""
     key, m = F.col("key"), FILTER_BITS - 1
@@ -274,7 +320,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text"
     """((lang, words, phrase, n) of every phrase of 1 to 5 words with n >= least, (lang, n) words of each language); both stored."""
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    passed, totals = None, None
+    passed, totals, survivors = None, None, None
     for sizes in (range(1, 3), range(3, LONGEST + 1)):
         mass = materialise(text.mapInArrow(_mass(passed, sizes), "lang string, slot int, mass long").groupBy("lang", "slot").agg(F.sum("mass").alias("mass")), "mass")
         if totals is None:
@@ -286,8 +332,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text"
         found = materialise(posted.mapInArrow(_summarised(capacity, least), "key long"), "survivors")
         more = _filter(spark, found)
         passed = more if passed is None else passed | more
-    counted = text.mapInArrow(_spelled(passed), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return materialise(counted.where(F.col("n") >= least), "phrases"), totals
+        survivors = found if survivors is None else survivors.unionByName(found)
+    buckets = survivors.count() // BUCKET + 1
+    bucket = F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets))
+    first = survivors.groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list("key")).alias("keys"))  # about BUCKET keys, as they are hashes
+    counted = text.mapInArrow(_spelled(passed, buckets), "bucket long, lang string, keys array<long>, phrases array<string>, n array<long>")
+    dealt = counted.unionByName(first, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", F.col("lang").asc_nulls_first())
+    exact = dealt.mapInArrow(_exact(least), "lang string, phrase string, n long")
+    words = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
+    return materialise(exact.select("lang", words.alias("words"), "phrase", "n"), "phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

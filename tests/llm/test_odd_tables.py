@@ -24,6 +24,17 @@ def test_odd_rows(spark, odd_dir, name):
         assert len([r for r in rows if r.piece == 0]) == 16
         for p in placed.values():
             assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 1024
+    if name.startswith("op8") or name.startswith("op12"):  # copies in other case, the long pair, empty texts by themselves
+        got = {(r.doc_id, r.component_id) for r in rows}
+        assert {(1, 1), (6, 1), (11, 1), (4, 4), (5, 4), (2, 2), (3, 3), (9, 9), (10, 10)} <= got and {r.n_shingles for r in rows if r.doc_id in (2, 3, 9)} == {0}
+        assert {r.n_shingles for r in rows if r.doc_id in (8, 10, 12)} == {1}
+    if name.startswith("op13"):
+        none = [r for r in rows if r.doc_id in (2, 3)] + [r for r in rows if r.doc_id is None and not r.n_a]
+        assert len(none) == 3 and all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in none)
+        assert all(r.n_groups <= min(r.n_a, r.n_b) and r.n_links == r.n_a + r.n_b - r.n_groups and r.n_best <= r.n_links <= r.count_sum and len(r.groups_sha256) == 64 for r in rows if r.n_a)
+        assert len({tuple(r)[1:] for r in rows if r.doc_id in (4, 5)}) == 1
+    if name.startswith("op11"):  # only the long texts say anything often enough
+        assert {r.lang for r in rows} <= {"en", "fr", "und"} and all(r.a >= 100 and r.n >= r.l >= r.a and r.r >= r.a for r in rows)
     if name.startswith("op10"):  # copies of the long text and of the first one; the null id owns nothing
         assert {r.doc_id for r in rows} == {5, 6} and all(r.owner_ids for r in rows)
 
