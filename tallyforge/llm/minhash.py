@@ -15,10 +15,13 @@ Counting all collisions would merge every posting list. Instead
 Lists of one set are not joined at all; most sets have no others.
 
 The sets of a list are never all paired:
-1. a set is compared with central members of its lists, those with the longest lists
-   altogether; it keeps the PIVOTS it meets in most of them. Confirmed links give components;
-2. then only pairs of one list that lie in different components are compared, those that are
-   left after counting collisions in the join itself are confirmed, and the components joined.
+1. a set is compared with central members of all its lists, those with the longest lists
+   altogether; it keeps the PIVOTS it meets in most of them. A list is met by its few central
+   members alone, so here the long ones count too: a family of edited copies is found by the
+   text they come from. Confirmed links give components;
+2. then only pairs of one short list that lie in different components are compared. Collisions
+   are counted in the join itself, and a parity sketch, whose distance is at most the sets'
+   difference, drops most of the others; what is left is confirmed, and the components joined.
 Equal sets are one node throughout.
 
 Edge cases: a null or word-free text has an empty set and is linked with nothing. Fewer than
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, table, text_bytes
 from tallyforge.llm.jaccard import _node as set_id
-from tallyforge.llm.jaccard import row_hash
+from tallyforge.llm.jaccard import CARRIED, bits_apart, row_hash, sketch
 from tallyforge.llm.words import LOWER, mix, shingle_sets
 from tallyforge.plans.graph import connected_components
 from tallyforge.plans.rows import drop_rows, small
@@ -47,7 +50,7 @@ from tallyforge.plans.skew import explode_copies, lookup
 
 SHINGLE, PERCENT = 4, 80
 COORDINATES, MATCHES = 64, 36
-PIVOTS = 2
+PIVOTS = 3
 _RNG = np.random.default_rng(64)
 _TURN = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -71,6 +74,21 @@ def lanes(keys: np.ndarray) -> np.ndarray:
     return keys.astype("<u8").view("<u2")[::4].copy().view("<i8")
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A parity sketch of at most CARRIED longs."""
+    while len(bits) > CARRIED:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _near(x: str, y: str, n: str = "n", lanes: str = "lanes", sketch: str = "sketch") -> Column:
+    """Whether two sets (the columns n, lanes and sketch with the suffixes x and y) can be similar: by size, by the sketches' distance, by collisions."""
+    size = lambda f: f(f"{n}{x}", f"{n}{y}")
+    fits = 100 * size(F.least) >= PERCENT * size(F.greatest)
+    apart = (100 + PERCENT) * bits_apart(F.col(f"{sketch}{x}"), F.col(f"{sketch}{y}")) <= (100 - PERCENT) * (F.col(f"{n}{x}") + F.col(f"{n}{y}"))
+    return fits & apart & (collisions(F.col(f"{lanes}{x}"), F.col(f"{lanes}{y}")) >= MATCHES)
+
+
 def collisions(x: Column, y: Column) -> Column:
     """Coordinates in which two signatures (lanes) agree."""
     def apart(x: Column, y: Column) -> Column:
@@ -90,7 +108,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row's set by its size and id; the signature with the first row of a set in a task."""
     seen: set[int] = set()
     for batch in slices(batches, limit=1_000_000):
-        n, node, keys, packed = [], [], [], []
+        n, node, keys, packed, bits = [], [], [], [], []
         for s in _sets(text_bytes(batch.column("text"))):
             own = set_id(s) if len(s) else None
             new = own is not None and own not in seen
@@ -101,9 +119,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node.append(own)
             keys.append(sig.view(np.int64) if new else None)
             packed.append(lanes(sig) if new else None)
+            bits.append(folded(sketch(s)) if new else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
-            ["doc_id", "row_hash", "n", "node", "keys", "lanes"],
+            [batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+            ["doc_id", "row_hash", "n", "node", "keys", "lanes", "sketch"],
         )
 
 
@@ -127,10 +146,10 @@ class CoordinateJoin:
         text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.hashed = text.withColumn("row_hash", row_hash(F.col("doc_id"), F.col("text")))
         kind = docs.schema[id_col].dataType.simpleString()
-        signed = materialise(self.hashed.mapInArrow(_signed, f"doc_id {kind}, row_hash long, n long, node long, keys array<long>, lanes array<long>"), "signed")
+        signed = materialise(self.hashed.mapInArrow(_signed, f"doc_id {kind}, row_hash long, n long, node long, keys array<long>, lanes array<long>, sketch array<long>"), "signed")
         self.slim = signed.select("doc_id", "row_hash", "n", "node")
         groups = signed.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("group_size"), F.first("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"), F.first("lanes", ignorenulls=True).alias("lanes"),
+            F.min("doc_id").alias("rep"), F.count("*").alias("group_size"), F.first("n").alias("n"), *(F.first(c, ignorenulls=True).alias(c) for c in ("keys", "lanes", "sketch")),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first_row"),
         )
         self.nodes = materialise(groups, "nodes")
@@ -138,37 +157,38 @@ class CoordinateJoin:
 
     def _labels(self) -> DataFrame:
         """(node, label) of the nodes that have links to other nodes."""
-        short = self._short_lists()
-        first = self._links(self._pivot_pairs(short))
+        lists = self._lists()
+        first = self._links(self._pivot_pairs(lists))
         labels = materialise(connected_components(first), "labels")
-        second = self._links(self._across(short, labels))
+        second = self._links(self._across(lists.where("short"), labels))
         if second.isEmpty():
             return labels
         return materialise(connected_components(first.unionByName(second)), "labels")
 
-    def _short_lists(self) -> DataFrame:
-        """(key, node, weight): the lists that are merged, without those of one node and without each node's MATCHES - 1 longest.
+    def _lists(self) -> DataFrame:
+        """(key, node, weight, short): the lists of each node that hold others too; short: it is none of the node's MATCHES - 1 longest.
 
         weight tells how central a node is: the longer its lists, the more sets are like it.
+        Nodes with fewer than MATCHES such lists have no candidates and are left out.
         """
         posted = self.nodes.select(F.explode("keys").alias("key"), "node")
         sizes = materialise(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
         total = max(1, self.nodes.count() * COORDINATES)
         shared = lookup(posted, sizes, ["key"], "size", total).where("size is not null")
         own = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "key")), asc=False).alias("lists"), F.sum(F.log("size")).alias("weight"))  # COORDINATES lists a node at most
-        kept = own.where(F.size("lists") >= MATCHES).select("node", "weight", F.explode(F.slice("lists", MATCHES, COORDINATES)).alias("list"))
-        return materialise(kept.select(F.col("list.key").alias("key"), "node", "weight"), "short")
+        kept = own.where(F.size("lists") >= MATCHES).select("node", "weight", F.posexplode("lists").alias("place", "list"))
+        return materialise(kept.select(F.col("list.key").alias("key"), "node", "weight", (F.col("place") >= MATCHES - 1).alias("short")), "lists")
 
-    def _pivot_pairs(self, short: DataFrame) -> DataFrame:
+    def _pivot_pairs(self, lists: DataFrame) -> DataFrame:
         """(a, b): each node with up to PIVOTS central nodes of its lists, those that it meets in most of them."""
 
         def central(i: int) -> Column:
             luck = 1 + F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1000)) / 4000 if i else F.lit(1.0)
             return F.max_by("node", F.struct(F.col("weight") * luck, "node"))
 
-        groups = short.groupBy("key").agg(F.count("*").alias("size"), *(central(i).alias(f"p{i}") for i in range(PIVOTS)))
+        groups = lists.groupBy("key").agg(F.count("*").alias("size"), *(central(i).alias(f"p{i}") for i in range(PIVOTS)))
         groups = materialise(groups.select("key", "size", F.array_distinct(F.array(*(F.col(f"p{i}") for i in range(PIVOTS)))).alias("pivots")), "pivots")
-        told = lookup(short.select("key", "node"), groups, ["key"], "size", max(1, short.count()))
+        told = lookup(lists.select("key", "node"), groups, ["key"], "size", max(1, lists.count()))
         each = told.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("met"))
         best = each.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "pivot")), asc=False), 1, PIVOTS).alias("best"))  # PIVOTS a list at most
         pairs = best.select("node", F.explode("best.pivot").alias("pivot"))
@@ -180,19 +200,19 @@ class CoordinateJoin:
         told = short.select("key", "node").join(label, F.col("node") == F.col("l_node"), "left").drop("l_node").withColumn("label", F.coalesce("label", "node"))
         told = materialise(told, "labelled")
         mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("m_key"))
-        facts = self.nodes.select(F.col("node").alias("f_node"), "n", "lanes")
-        rows = told.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(facts, F.col("node") == F.col("f_node")).drop("f_node")
-        rows = materialise(rows, "open")
-        side = lambda i: rows.select(F.col("key").alias(f"k{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("node", "label", "n", "lanes")))
-        near = (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")) & (collisions(F.col("lanes1"), F.col("lanes2")) >= MATCHES)
-        met = side(1).join(side(2), (F.col("k1") == F.col("k2")) & (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & near)
-        return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+        facts = self.nodes.select(F.col("node").alias("f_node"), "n", "lanes", "sketch")
+        still = materialise(told.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), "open")
+        own = still.groupBy(F.col("node").alias("o_node")).agg(F.collect_list("key").alias("keys"))  # COORDINATES at most
+        rows = materialise(still.join(facts, F.col("node") == F.col("f_node")).join(own, F.col("node") == F.col("o_node")).drop("f_node", "o_node"), "sided")
+        side = lambda i: rows.select(F.col("key").alias(f"k{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("node", "label", "n", "lanes", "sketch", "keys")))
+        once = F.array_min(F.array_intersect("keys1", "keys2")) == F.col("k1")  # a pair is made in the first of its common lists
+        met = side(1).join(side(2), (F.col("k1") == F.col("k2")) & (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _near("1", "2") & once)
+        return met.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that collide often enough and whose full sets are similar; stored."""
-        facts = lambda i: self.nodes.select(F.col("node").alias(f"n{i}"), F.col("n").alias(f"size{i}"), F.col("lanes").alias(f"lanes{i}"), F.col("first_row").alias(f"row{i}"))
-        near = materialise(pairs, "pairs").join(facts(1), F.col("a") == F.col("n1")).join(facts(2), F.col("b") == F.col("n2"))
-        near = near.where((100 * F.least("size1", "size2") >= PERCENT * F.greatest("size1", "size2")) & (collisions(F.col("lanes1"), F.col("lanes2")) >= MATCHES))
+        facts = lambda i: self.nodes.select(F.col("node").alias(f"node{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("n", "lanes", "sketch")), F.col("first_row").alias(f"row{i}"))
+        near = materialise(pairs, "pairs").join(facts(1), F.col("a") == F.col("node1")).join(facts(2), F.col("b") == F.col("node2")).where(_near("1", "2"))
         near = materialise(near.select("a", "b", "row1", "row2"), "near")
         here = lambda r: (F.col("row_hash") == F.col(f"{r}.row_hash")) & F.col("doc_id").eqNullSafe(F.col(f"{r}.doc_id"))
         once = materialise(near.select(F.col("b").alias("b2"), "row2").distinct(), "seconds")
