@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tallyforge.plans.scratch import scratch_path
 
@@ -51,25 +51,54 @@ def stream_activity(transfers: DataFrame, *, width: str = "1 day", slide: str |
     return once.groupBy("address", F.window("at", width, slide or width)).agg(F.count("*").alias("tx_count")).select("address", F.col("window.start").alias("start"), "tx_count")
 
 
-def stream_score_changes(scores: DataFrame, *, min_delta: int = 10) -> DataFrame:
-    """First scores and changes of at least min_delta; the state of a (address, chain) is its last score.
+class _ScoreChanges(StatefulProcessor):
+    """The last score of a (address, chain), until nothing has come for `keep` seconds of event time."""
+
+    def __init__(self, min_delta: int, keep: int) -> None:
+        self.min_delta, self.keep = min_delta, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long, event_id long, score long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        taken = self.last.get() if self.last.exists() else None
+        before, out = taken, []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            if taken is not None and (r.ts, r.event_id) <= (taken[0], taken[1]):
+                continue  # late or repeated
+            known = taken if taken is not None and r.ts - taken[0] <= self.keep else None  # its timer may not have come yet
+            if known is None or abs(r.score - known[2]) >= self.min_delta:
+                out.append((*key, r.ts, r.event_id, r.score, known[2] if known else None))
+            taken = (int(r.ts), int(r.event_id), int(r.score))
+        if taken is not None and taken != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((taken[0] + self.keep) * 1000)
+            self.last.update(taken)
+        yield pd.DataFrame(out, columns=["address", "chain", "ts", "event_id", "score", "previous"]).astype({"previous": "Int64"})
 
-    scores: address, chain, ts, event_id, score. Rows of a batch are taken in time order.
-    """
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            if last is None or abs(r.score - last) >= min_delta:
-                out.append((*key, r.ts, r.event_id, r.score, last))
-            last = r.score
-        state.update((int(last),))
-        yield pd.DataFrame(out, columns=["address", "chain", "ts", "event_id", "score", "previous"]).astype({"previous": "Int64"})
+    def close(self) -> None:
+        pass
 
+
+def stream_score_changes(scores: DataFrame, *, min_delta: int = 10, late: str = "2 days", keep_days: int = 400) -> DataFrame:
+    """First scores and changes of at least min_delta; the state of a (address, chain) is its last score.
+
+    scores: address, chain, ts (seconds), event_id, score. Rows of a batch are taken in the order
+    of (ts, event_id). A row that is not after the last one taken of its wallet changes nothing and is not
+    told: it is late or a repeat; one that is beyond the watermark is dropped. A score that comes more than
+    keep_days after its wallet's last is a first one again, and a wallet's state goes when the watermark
+    has passed that time. The state needs the RocksDB store, which is set for the session.
+    """
+    scores.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = scores.select("address", "chain", "ts", "event_id", "score", F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
     schema = "address string, chain string, ts long, event_id long, score long, previous long"
-    return scores.groupBy("address", "chain").applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("address", "chain").transformWithStateInPandas(_ScoreChanges(min_delta, keep_days * 86400), schema, "append", "EventTime")
 
 
 def stream_burst(transfers: DataFrame, *, width: str = "7 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
