@@ -302,7 +302,7 @@ def test_drift_buckets_keep_out_of_range_in_the_denominator(spark):
 def test_psi_of_equal_shares_is_zero(spark):
     s = spark.createDataFrame([(0, 0.5), (1, 0.5)], "bucket int, share double")
     assert one(monitoring.psi(s, s)) == (0.0, "stable")
-    assert one(monitoring.psi(s, spark.createDataFrame([(0, 1.0), (1, 0.0)], "bucket int, share double")), "verdict") == "significant"
+    assert one(monitoring.psi(s, spark.createDataFrame([(0, 1.0), (1, 0.0)], "bucket int, share double")), "verdict") == "severe"
 
 
 def test_metering_counts_refused_calls(spark):
