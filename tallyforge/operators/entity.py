@@ -153,10 +153,10 @@ def score_pairs(**signals: DataFrame) -> DataFrame:
 
 
 def merge_and_surface(links: DataFrame, *, min_signals: int = 1) -> DataFrame:
-    """links with decision: merge, surface or none. Confidences are compared at nine decimals, so a product that should reach a threshold does."""
-    links = links.withColumn("confidence", F.round("confidence", 9))
-    merge = (F.col("confidence") >= MERGE) & (F.col("n_signals") >= min_signals)
-    return links.withColumn("decision", F.when(merge, "merge").when(F.col("confidence") >= SURFACE, "surface").otherwise("none"))
+    """links with decision: merge, surface or none. Confidences are compared at nine decimals, so a product that should reach a threshold does; the column stays as it came."""
+    at_nine = F.round("confidence", 9)
+    merge = (at_nine >= MERGE) & (F.col("n_signals") >= min_signals)
+    return links.withColumn("decision", F.when(merge, "merge").when(at_nine >= SURFACE, "surface").otherwise("none"))
 
 
 def cluster(links: DataFrame) -> DataFrame:

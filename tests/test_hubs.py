@@ -28,6 +28,14 @@ def test_cliques_leave_out_only_what_they_say(spark):
     assert members(links) == members(whole)
 
 
+def test_links_are_rounded_once(spark):
+    nodes = spark.createDataFrame([("a", None, None), ("b", None, None), ("c", None, None)], NODE)
+    pair = lambda *rows: spark.createDataFrame(rows, "a string, b string, conf double")
+    links, _ = entity.resolve(nodes, gas_funding=pair(("a", "b", 0.7), ("b", "c", 0.75)), temporal_cospend=pair(("a", "b", 0.015625), ("b", "c", 0.4)))
+    tie = 1 - (1 - 0.7) * (1 - 0.015625)  # just below 0.7046875
+    assert {(r.a, r.confidence, r.six, r.decision) for r in links.selectExpr("*", "round(confidence, 6) AS six").collect()} == {("a", tie, 0.704687, "surface"), ("b", 1 - (1 - 0.75) * (1 - 0.4), 0.85, "merge")}
+
+
 def test_a_funder_of_a_million_wallets_costs_one_row_each(spark):
     nodes = spark.range(1_000_000).selectExpr("concat('w', id) AS address", "'hub' AS funder", "cast(null as string) AS gas_funder")
     links, cliques = entity.resolve(nodes, bridge=spark.range(1000).selectExpr("concat('w', 2 * id) AS x", "concat('w', 2 * id + 1) AS y").selectExpr("least(x, y) AS a", "greatest(x, y) AS b", "0.75 AS conf"))
