@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import decontam, exact_dedup, jaccard, langid, licenses, packing, pii, sharding, substring, url_rules
 from tallyforge.llm.words import LOWER, shingle_sets
+from tallyforge.plans.scratch import materialise
 
 
 def docs_of(spark, texts, first=1):
@@ -196,6 +197,29 @@ def test_pruning_keeps_accuracy(spark, make_dir):
     assert all(r.lang == r.lang_pred for r in found)
 
 
+@pytest.mark.parametrize("entries", [1, 300])
+def test_no_ngram_is_left_out_of_a_model_beyond_the_broadcast(spark, entries):
+    """What the broadcast part does not hold is joined: cross-entropies are those of the textbook formula over all n-grams."""
+    docs = [(i, prose(20 + i, 30 + i).lower() if i % 2 else prose(20 + i, 30 + i)[::-1], "en" if i % 2 else "xe") for i in range(60)]
+    docs += [(100, None, "en"), (101, "12 ?", "en"), (102, "qqq zzz жжж", None), (103, "a", None), (None, "of the", "en")]
+    docs += [docs[2]] * 2 + [(104, t, lang) for _, t, lang in docs[:1]]
+    own = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    told = lambda x: sorted((r.doc_id or -1, r.n_letters, r.lang_pred, round(r.score, 5), round(r.entropy, 5) + 0.0, r.rejected) for r in x.collect())
+    whole, parted = told(langid.identify(own)), told(langid.identify(own, entries=entries))
+    assert len(whole) == len(docs) and [x[:3] for x in parted] == [x[:3] for x in whole]
+    assert [x[3:] for x in parted] == [(pytest.approx(x[3], abs=1e-4), pytest.approx(x[4], abs=1e-4), x[5]) for x in whole]
+    t = langid.clean(prose(3, 400))
+    one = spark.createDataFrame([(1, t, "en")], "doc_id long, text string, lang string")
+    model, want = langid.train(one), brute_kneser_ney(t)
+    orders, kinds = langid.kneser_ney(materialise(langid.ngram_counts(one), "ngrams"))
+    orders, rest = langid.split(orders, entries)
+    assert rest is not None and sum(o.count() for o in orders) <= entries
+    got = langid.score(one, langid._models(orders, kinds), ["doc_id"], rest).first().entropy
+    inner = sum(-np.log(want[4][t[i - 3 : i + 1]]) for i in range(3, len(t)))
+    start = -model.look(langid.packed([t[:2]])[0][1:], 2)[0, 0] - model.look(langid.packed([t[:3]])[0][2:], 3)[0, 0]
+    assert got == pytest.approx((inner + start) / (len(t) - 1), abs=1e-4)
+
+
 def test_languages_are_told_apart_on_held_out_texts(spark, make_dir):
     de = [" ".join(random.Random(i).choices("der die und nicht auch über für schön straße haus machen".split(), k=20)) for i in range(120)]
     en = [" ".join(random.Random(i).choices("the and not also over for nice street house make with".split(), k=20)) for i in range(120)]
