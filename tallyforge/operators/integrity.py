@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, clamp, count_if, round_half_up
@@ -110,34 +110,57 @@ def burst_of_ticks(ticks: DataFrame, *, days: int = 7) -> DataFrame:
     return peaks.withColumn("severity", F.when(F.col("n") < 4, 0.0).when(F.col("span") <= width, 1.0).otherwise(clamp(even, 0.0, 1.0)))
 
 
+def _levels(blocks: int) -> range:
+    return range((blocks + 1).bit_length())
+
+
+def _spans_of(block: Column, blocks: int) -> Column:
+    """(level, span): the spans of 2**level blocks that a block lies in, up to blocks + 1 long."""
+    return F.array(*(F.struct(F.lit(j).alias("level"), F.floor(block / 2**j).alias("span")) for j in _levels(blocks)))
+
+
+def _spans_from(block: Column, blocks: int) -> Column:
+    """(level, span): block to block + blocks, both included, as at most two such spans a level."""
+    parts = []
+    for j in _levels(blocks):
+        lo, hi = F.ceil(block / 2**j), F.floor((block + (blocks + 1)) / 2**j)  # what the levels below leave, without hi
+        for taken, span in ((F.pmod(lo, F.lit(2)) == 1, lo), (F.pmod(hi, F.lit(2)) == 1, hi - 1)):
+            parts.append(F.when((lo < hi) & taken, F.struct(F.lit(j).alias("level"), span.alias("span"))))
+    return F.array_compact(F.array(*parts))
+
+
 def instant_repay(events: DataFrame, *, seconds: int = 60, blocks: int | None = 1, copies: str | None = None) -> DataFrame:
     """Share of borrows that a repay follows within `seconds`, or within `blocks` where both blocks are known.
 
     Of the repays in a bucket of `seconds` only the first and the last matter: a borrow is
     followed in its own bucket if that one's last repay is not before it, and in the next if that
-    one's first repay is near enough. Of a block only the last repay matters, told to the blocks
-    that reach it. So borrows meet sums of repays, and no wallet is held by one task. copies: a
-    column with the number of equal events that a row stands for.
+    one's first repay is near enough. Of blocks only the last repay matters, kept for each span of
+    1, 2, 4 ... blocks that starts at a multiple of its length; a borrow's blocks are a few such
+    spans. So borrows meet sums of repays, a row costs rows by the logarithm of `blocks`, and no wallet is
+    held by one task. copies: a column with the number of equal events that a row stands for.
     """
     times = F.col(copies) if copies else F.lit(1).cast("long")
     borrows = events.where("kind = 'borrow'").select(*KEY, "ts", *(["block"] if blocks is not None else []), times.alias("k"), F.floor(F.col("ts") / seconds).alias("bucket"))
     repays = events.where("kind = 'repay' and ts is not null")
     ends = repays.groupBy(*KEY, F.floor(F.col("ts") / seconds).alias("bucket")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
 
-    def met(df: DataFrame, other: DataFrame, at: str) -> DataFrame:
+    def met(df: DataFrame, other: DataFrame, at: list[str], how: str) -> DataFrame:
         """df with what the other table has for its wallet and place; null wallets are wallets too."""
-        named = other.withColumnsRenamed({c: f"__{c}" for c in (*KEY, at)})
-        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in KEY] + [F.col(at) == F.col(f"__{at}")]
-        return df.join(named, on, "left").drop(*(f"__{c}" for c in (*KEY, at)))
+        named = other.withColumnsRenamed({c: f"__{c}" for c in (*KEY, *at)})
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in KEY] + [F.col(c) == F.col(f"__{c}") for c in at]
+        return df.join(named, on, how).drop(*(f"__{c}" for c in (*KEY, *at)))
 
     around = ends.select(*KEY, F.explode(F.array(F.struct("bucket", "last", F.lit(None).cast("long").alias("after")), F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(None).cast("long").alias("last"), F.col("first").alias("after")))).alias("x")).select(*KEY, "x.*")
     around = around.groupBy(*KEY, "bucket").agg(F.max("last").alias("last"), F.min("after").alias("after"))
-    own = met(borrows, around, "bucket")
+    own = met(borrows, around, ["bucket"], "left")
     fast = F.coalesce(F.col("last") >= F.col("ts"), F.lit(False)) | F.coalesce(F.col("after") - F.col("ts") <= seconds, F.lit(False))
+    own = own.withColumn("fast", fast)
     if blocks is not None:
-        reach = repays.where("block is not null").select(*KEY, "ts", F.explode(F.sequence(F.col("block") - blocks, F.col("block"))).alias("block"))
-        own = met(own, reach.groupBy(*KEY, "block").agg(F.max("ts").alias("near")), "block")
-        fast = fast | F.coalesce(F.col("near") >= F.col("ts"), F.lit(False))
+        spans = repays.where("block is not null").select(*KEY, "ts", F.explode(_spans_of(F.col("block"), blocks)).alias("x")).groupBy(*KEY, "x.level", "x.span").agg(F.max("ts").alias("near"))
+        asked = borrows.where("block is not null").select(*KEY, "ts", "block").distinct().withColumn("x", F.explode(_spans_from(F.col("block"), blocks))).select(*KEY, "ts", "block", "x.*")
+        told = met(asked, spans, ["level", "span"], "inner").where("near >= ts").select(*KEY, "ts", "block", F.lit(0).cast("long").alias("k"), F.lit(True).alias("fast"))
+        own = own.select(*KEY, "ts", "block", "k", "fast").unionByName(told).groupBy(*KEY, "ts", "block").agg(F.sum("k").alias("k"), F.max("fast").alias("fast"))
+    fast = F.col("fast")
     sums = own.groupBy(*KEY).agg(F.sum("k").alias("borrows"), F.sum(F.when(fast, F.col("k")).otherwise(0)).alias("instant"))
     return sums.withColumn("severity", F.col("instant") / F.col("borrows"))
 

@@ -54,6 +54,21 @@ def test_instant_repay_equals_plain_loops(spark, seconds, blocks):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("blocks", [0, 2400, 10**10])
+def test_wide_block_limits_cost_a_few_rows_a_repay(spark, blocks):
+    rng, far = random.Random(7), 3 * (blocks + 1)
+    rows = [(wallet(rng), "base", rng.choice(["borrow", "repay"]), rng.randrange(10**6), rng.choice([None, -5, rng.randrange(-far, far)])) for _ in range(700)]
+    want = {}
+    for w, _, kind, t, b in rows:
+        if kind == "borrow":
+            hit = any(x[0] == w and x[2] == "repay" and x[3] >= t and (x[3] - t <= 1 or None not in (b, x[4]) and 0 <= x[4] - b <= blocks) for x in rows)
+            want[w] = (want.get(w, (0, 0))[0] + 1, want.get(w, (0, 0))[1] + hit)
+    df = spark.createDataFrame(rows, "address string, chain string, kind string, ts long, block long")
+    out = integrity.instant_repay(df, seconds=1, blocks=blocks)
+    assert {r.address: (r.borrows, r.instant) for r in out.collect()} == want
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_as_of_join_spreads_one_wallet_and_equals_plain_search(spark):
     rng = random.Random(3)
     snaps = [(wallet(rng) or "n", "base", rng.randrange(5000), "v5", float(i)) for i in range(900)]
