@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import DAY, round_half_up
+from tallyforge.plans.cells import block_count, in_blocks, pairs_in_cells
 from tallyforge.plans.graph import connected_components
 from tallyforge.plans.rows import small
 from tallyforge.plans.scratch import materialise
@@ -16,6 +19,8 @@ SHARED_FUNDER, GAS_FUNDING, BRIDGE = 0.6, 0.7, 0.75
 MERGE, SURFACE = 0.85, 0.5
 #: Ticks, and addresses, of a crowded time bucket that meet in one task.
 CELL = 20_000
+#: A wallet with more different times is too much for a block of addresses.
+HOT_TICKS = 100_000
 
 
 def build_nodes(transfers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,21 +57,28 @@ def funder_cliques(nodes: DataFrame) -> DataFrame:
     return sizes.select("funder", "members", pairs.alias("pairs"), F.lit(SHARED_FUNDER).alias("confidence"))
 
 
-def resolve(nodes: DataFrame, **signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _named(signals: dict[str, DataFrame]) -> DataFrame | None:
+    named = None
+    for pairs in signals.values():
+        own = pairs.where("conf > 0").select("a", "b")
+        named = own if named is None else named.unionByName(own)
+    return named
+
+
+def resolve(nodes: DataFrame, *, times: DataFrame | None = None, floor: float = 0.0, **signals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, cliques): the pairs that a signal other than the shared funder names, with all their signals, and the cliques of the funders.
 
     A shared funder alone surfaces a pair and never merges it. So a pair that only a clique
     holds is not written out: it has the clique's confidence and the decision `surface`. Every other pair has its row in links,
     and components and confidences are those of all pairs. Output grows with wallets and with
-    named pairs, whatever the size of a hub.
+    named pairs, whatever the size of a hub. times: the co-spends are counted from these, where
+    the pairs are scored; floor: with times, the least confidence of a link.
     """
     if SHARED_FUNDER >= MERGE:
         raise ValueError("a shared funder alone would merge")
-    named = None
-    for pairs in signals.values():
-        own = pairs.where("conf > 0").select("a", "b")
-        named = own if named is None else named.unionByName(own)
-    return merge_and_surface(score_pairs(shared_funder=shared_funder_among(nodes, named), **signals)), funder_cliques(nodes)
+    if times is not None:
+        return merge_and_surface(linked_pairs(nodes, times, beside=True, floor=floor, **signals)), funder_cliques(nodes)
+    return merge_and_surface(score_pairs(shared_funder=shared_funder_among(nodes, _named(signals)), **signals)), funder_cliques(nodes)
 
 
 def _ordered(df: DataFrame, x: str, y: str, conf: float) -> DataFrame:
@@ -112,7 +124,7 @@ def _grid(ticks: DataFrame, near: DataFrame, cell: int) -> tuple[DataFrame, Data
     return placed(ticks, "bucket", "rows", "columns", ("row", "column"), "a", "t"), placed(near, "at", "columns", "rows", ("at_column", "at_row"), "b")
 
 
-def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3, among: DataFrame | None = None, cell: int = CELL) -> DataFrame:
+def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int = 3, among: DataFrame | None = None, cell: int = CELL, dense: bool | None = None) -> DataFrame:
     """Share of a's times with a time of b within the tolerance, over the shorter list: an interval join on time buckets.
 
     Equal times of an address are one tick with a count. Buckets are `tolerance` seconds wide,
@@ -120,27 +132,122 @@ def temporal_cospend_pairs(times: DataFrame, *, tolerance: int = 300, least: int
     only b's last and first time matter. That is one row of b a bucket: a tick meets each b
     once, and the pairs are counted with map-side combine. A bucket in which many ticks meet many
     addresses is cut into a grid: ticks by blocks of ticks, addresses by blocks of addresses, so
-    that a task gets about CELL rows of each and every pair meets in one cell. among: pairs (a, b), a < b; with it
+    that a task gets about CELL rows of each and every pair meets in one cell. That moves a row for each
+    meeting. Where these are more than the ticks times the blocks of a grid of addresses (dense: by default as counted),
+    each pair is counted in one cell of that grid (plans/cells.py) and none is moved. among: pairs (a, b), a < b; with it
     only these are looked at, which joins on the pair's address and the bucket in place of the
     bucket alone (the others are lost, so it is off by default).
     """
+    own = _ticks(times, tolerance, least)
+    if among is None:
+        busy = _Busy.of(own, None)
+        if dense if dense is not None else busy.dense:
+            return busy.pairs(["temporal_cospend"], tolerance=tolerance, cell=cell, plain=True).select("a", "b", F.col("confidence").alias("conf"))
+        return _by_bucket(own, own, tolerance, cell)
+    ticks, near = _ticks_and_near(own, own, tolerance)
+    met = ticks.join(among.select("a", F.col("b").alias("other")).distinct(), "a").join(near, (F.col("other") == F.col("b")) & (F.col("bucket") == F.col("at")) & _close(tolerance))
+    return _counted(met)
+
+
+def _ticks(times: DataFrame, tolerance: int, least: int) -> DataFrame:
+    """(address, ts, k, n, bucket), stored: different times with their counts, of addresses with `least` times."""
     busy = times.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    own = materialise(times.groupBy("address", "ts").agg(F.count("*").alias("k")).join(busy, "address").withColumn("bucket", F.floor(F.col("ts") / tolerance)), "ticks")
-    held = own.groupBy("address", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.first("n").alias("bn"))
+    return materialise(times.groupBy("address", "ts").agg(F.count("*").alias("k")).join(busy, "address").withColumn("bucket", F.floor(F.col("ts") / tolerance)), "ticks")
+
+
+def _ticks_and_near(left: DataFrame, right: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
+    held = right.groupBy("address", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.first("n").alias("bn"))
     null = F.lit(None).cast("long")
     seen = lambda step, before, here, after: F.struct((F.col("bucket") + step).alias("at"), before.alias("before"), F.lit(here).alias("here"), after.alias("after"))
     near = held.select("address", "bn", F.explode(F.array(seen(-1, null, False, F.col("lo")), seen(0, null, True, null), seen(1, F.col("hi"), False, null))).alias("x")).select(F.col("address").alias("b"), "bn", "x.*")
     near = near.groupBy("b", "at").agg(F.max("before").alias("before"), F.max("here").alias("here"), F.min("after").alias("after"), F.first("bn").alias("bn"))
-    ticks = own.select(F.col("address").alias("a"), F.col("ts").alias("t"), "k", F.col("n").alias("an"), "bucket")
-    close = F.col("here") | F.coalesce(F.col("before") >= F.col("t") - tolerance, F.lit(False)) | F.coalesce(F.col("after") <= F.col("t") + tolerance, F.lit(False))
-    if among is None:
-        ticks, near = _grid(ticks, near, cell)
-        met = ticks.join(near, (F.col("bucket") == F.col("at")) & (F.col("row") == F.col("at_row")) & (F.col("column") == F.col("at_column")) & (F.col("a") < F.col("b")) & close)
-    else:
-        met = ticks.join(among.select("a", F.col("b").alias("other")).distinct(), "a").join(near, (F.col("other") == F.col("b")) & (F.col("bucket") == F.col("at")) & close)
+    return left.select(F.col("address").alias("a"), F.col("ts").alias("t"), "k", F.col("n").alias("an"), "bucket"), near
+
+
+def _close(tolerance: int) -> Column:
+    return F.col("here") | F.coalesce(F.col("before") >= F.col("t") - tolerance, F.lit(False)) | F.coalesce(F.col("after") <= F.col("t") + tolerance, F.lit(False))
+
+
+def _counted(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.least(F.lit(1.0), F.sum("k") / F.least(F.first("an"), F.first("bn"))).alias("conf"))
 
 
+def _by_bucket(left: DataFrame, right: DataFrame, tolerance: int, cell: int) -> DataFrame:
+    """(a, b, conf) of a < b, a in left and b in right."""
+    ticks, near = _grid(*_ticks_and_near(left, right, tolerance), cell)
+    return _counted(ticks.join(near, (F.col("bucket") == F.col("at")) & (F.col("row") == F.col("at_row")) & (F.col("column") == F.col("at_column")) & (F.col("a") < F.col("b")) & _close(tolerance)))
+
+
+@dataclass(frozen=True)
+class _Busy:
+    """Ticks of the wallets, and what they say about the cheaper way to their pairs."""
+
+    own: DataFrame
+    nodes: DataFrame | None
+    wallets: int
+    ticks: int
+    meetings: float
+    hot: int
+    since: int
+    span: int
+
+    @staticmethod
+    def of(own: DataFrame, nodes: DataFrame | None) -> _Busy:
+        a = own.groupBy("address").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum((F.col("n") > HOT_TICKS).cast("long"))).first()
+        b = own.groupBy("bucket").agg(F.count("*").cast("double").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.min("lo"), F.max("hi")).first()
+        return _Busy(own, nodes, max(a[0], nodes.count() if nodes is not None else 0), int(b[0] or 0), 1.5 * (b[1] or 0), a[1] or 0, b[2] or 0, (b[3] or 0) - (b[2] or 0))
+
+    @property
+    def dense(self) -> bool:
+        """Whether ticks meet more often than they would be sent out to the cells of a grid of address blocks."""
+        return self.meetings > (self.ticks + self.wallets) * block_count(self.wallets, self.ticks)
+
+    def pairs(self, signals: list[str], named: DataFrame | None = None, *, tolerance: int = 300, cell: int = CELL, shared: float | None = None, beside: bool = False, floor: float = 0.0, plain: bool = False) -> DataFrame:
+        """pairs_in_cells() of all wallets. Pairs with a wallet of very many ticks, which would not fit its block, come by buckets and are named to the cells."""
+        cold = self.own
+        if self.hot:
+            which = F.broadcast(self.own.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > HOT_TICKS).select("address"))  # fewer than ticks / HOT_TICKS
+            hot, cold = self.own.join(which, "address", "left_semi"), self.own.join(which, "address", "left_anti")
+            far = _by_bucket(hot, self.own, tolerance, cell).unionByName(_by_bucket(cold, hot, tolerance, cell)).select("a", "b", F.lit(signals.index("temporal_cospend")).alias("signal"), "conf")
+            named = far if named is None else named.unionByName(far)
+        each = cold.where("address is not null").groupBy("address").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct((F.col("ts") - self.since).cast("int" if self.span < 2**31 else "long").alias("ts"), "k"))).alias("x"))
+        each = each.select("address", "n", F.col("x.ts").alias("ts"), F.when(F.exists("x", lambda e: e["k"] > 1), F.col("x.k")).alias("k"))
+        known = self.own.select("address").distinct() if self.nodes is None else self.nodes.select("address", "funder")
+        known = known.where("address is not null") if self.nodes is not None else known.where("address is not null").withColumn("funder", F.lit(None).cast("string"))
+        blocks, n = in_blocks(known.join(each, "address", "left"), self.wallets, self.ticks)
+        return pairs_in_cells(blocks, n, named, signals, tolerance=tolerance, shared=shared, beside=beside, floor=floor, plain=plain)
+
+
+def linked_pairs(nodes: DataFrame, times: DataFrame, *, beside: bool = False, floor: float = 0.0, tolerance: int = 300, least: int = 3, dense: bool | None = None, **signals: DataFrame) -> DataFrame:
+    """score_pairs() of the shared funders of nodes, the co-spends of times, and the other signals; a signal names a pair once, and only nodes have times.
+
+    Where most wallets meet, the pairs are as many as the wallets' square, and moving them would cost far more than
+    the tables. Then every pair is scored in the one task that counts its co-spends. beside: without
+    the pairs that a shared funder alone names. floor: least confidence, at nine decimals.
+    """
+    busy = _Busy.of(_ticks(times, tolerance, least), nodes)
+    if dense if dense is not None else busy.dense:
+        names = sorted([*signals, "shared_funder", "temporal_cospend"])
+        named = None
+        for name, pairs in signals.items():
+            own = pairs.where("conf > 0").select("a", "b", F.lit(names.index(name)).alias("signal"), F.col("conf").cast("double").alias("conf"))
+            named = own if named is None else named.unionByName(own)
+        outside = None
+        if named is not None:
+            named = materialise(named, "named")
+            known = nodes.select(F.col("address").alias("known"))
+            far = named.join(known, F.col("a") == F.col("known"), "left_anti").unionByName(named.join(known, F.col("a") == F.col("known"), "left_semi").join(known, F.col("b") == F.col("known"), "left_anti"))
+            outside = score_pairs(**{name: far.where(F.col("signal") == names.index(name)) for name in signals})
+        got = busy.pairs(names, named, tolerance=tolerance, shared=SHARED_FUNDER, beside=beside, floor=floor)
+        told = F.filter(F.array(*(F.when(F.col("told").bitwiseAND(1 << s) != 0, name) for s, name in enumerate(names))), lambda x: x.isNotNull())
+        links = got.select("a", "b", "confidence", told.alias("signals"), "n_signals")
+        links = links if outside is None else links.unionByName(outside)
+    else:
+        all_of = {**signals, "temporal_cospend": _by_bucket(busy.own, busy.own, tolerance, CELL)}
+        links = score_pairs(shared_funder=shared_funder_among(nodes, _named(all_of)) if beside else shared_funder_pairs(nodes), **all_of)
+    return links.where(F.round("confidence", 9) >= floor) if floor else links
+
+
 def score_pairs(**signals: DataFrame) -> DataFrame:
     """(a, b, confidence, signals, n_signals): 1 - prod(1 - conf) over the signals that a pair has."""
     each = None

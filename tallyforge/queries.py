@@ -773,21 +773,32 @@ _LINKS = "al AS (SELECT a, b, CAST(conf AS DOUBLE) AS conf FROM p1 UNION ALL SEL
 _GRAPH = f"{with_views('transfers')}, {_NODES}, {_EDGES}, {_PAIRS}, {_LINKS}"
 
 
-def _graph(s, d):
+def _few(s, d):
+    """Nodes, activity times, and the signals that name few pairs."""
     nodes, edges, times = entity.build_nodes(v.transfers(s, d))
     e = v._events(s, d).where("event_type = 'signup'")
     bridges = e.select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("address"), F.concat(F.lit("w"), F.col("k")).alias("bridged_to"))
-    return nodes, edges, {"shared_funder": entity.shared_funder_pairs(nodes), "gas_funding": entity.gas_funding_pairs(nodes), "bridge": entity.bridge_pairs(bridges), "direct_transfer": entity.direct_transfer_pairs(edges, nodes), "temporal_cospend": entity.temporal_cospend_pairs(times)}
+    return nodes, times, {"gas_funding": entity.gas_funding_pairs(nodes), "bridge": entity.bridge_pairs(bridges), "direct_transfer": entity.direct_transfer_pairs(edges, nodes)}
+
+
+def _graph(s, d):
+    nodes, times, signals = _few(s, d)
+    return nodes, times, {"shared_funder": entity.shared_funder_pairs(nodes), "temporal_cospend": entity.temporal_cospend_pairs(times), **signals}
 
 
 @query("g1_build_nodes", f"WITH {with_views('transfers')}, {_NODES} SELECT * FROM nodes")
 def _(s, d) -> DataFrame:
-    return _graph(s, d)[0]
+    return _few(s, d)[0]
+
+
+def _signal(s, d, name: str) -> DataFrame:
+    nodes, times, signals = _few(s, d)
+    return entity.shared_funder_pairs(nodes) if name == "shared_funder" else entity.temporal_cospend_pairs(times) if name == "temporal_cospend" else signals[name]
 
 
 for _n, _name, _key in (("g2", "shared_funder_pairs", "p1"), ("g3", "gas_funding_pairs", "p2"), ("g4", "direct_transfer_pairs", "p4"), ("g5", "temporal_cospend_pairs", "p5")):
     query(f"{_n}_{_name}", f"WITH {with_views('transfers')}, {_NODES}, {_EDGES}, {_PAIRS} SELECT a, b, round(CAST(conf AS DOUBLE), 6) AS conf FROM {_key}")(
-        lambda s, d, k=_name.removesuffix("_pairs"): _graph(s, d)[2][k].withColumn("conf", r(F.col("conf").cast("double")))
+        lambda s, d, k=_name.removesuffix("_pairs"): _signal(s, d, k).withColumn("conf", r(F.col("conf").cast("double")))
     )
 
 
