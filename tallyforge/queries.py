@@ -816,9 +816,8 @@ def _(s, d) -> DataFrame:
 @query("g6_named_pairs", f"WITH {_GRAPH} SELECT a, b, round(confidence, 6) AS confidence, CAST(n_signals AS INT) AS n_signals, CASE WHEN round(confidence, 9) >= 0.85 THEN 'merge' WHEN round(confidence, 9) >= 0.5 THEN 'surface' ELSE 'none' END AS decision FROM links WHERE n_signals > 1 OR (a, b) NOT IN (SELECT (a, b) FROM p1)")
 def _(s, d) -> DataFrame:
     """The pairs that other signals than the shared funder name, with all their signals: what is written out when cliques are not."""
-    nodes, _, signals = _graph(s, d)
-    signals.pop("shared_funder")
-    return entity.resolve(nodes, **signals)[0].select("a", "b", r("confidence").alias("confidence"), "n_signals", "decision")
+    nodes, times, signals = _few(s, d)
+    return entity.resolve(nodes, times=times, **signals)[0].select("a", "b", r("confidence").alias("confidence"), "n_signals", "decision")
 
 
 @query("g7_merge_and_surface", f"WITH {_GRAPH} SELECT a, b, CASE WHEN round(confidence, 9) >= 0.85 THEN 'merge' WHEN round(confidence, 9) >= 0.5 THEN 'surface' ELSE 'none' END AS decision FROM links")

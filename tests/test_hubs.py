@@ -131,3 +131,11 @@ def test_links_in_cells_are_those_of_joined_signals(spark, monkeypatch, beside):
         assert got == exact(want)
         merged = exact(entity.merge_and_surface(entity.linked_pairs(nodes, times, beside=beside, dense=dense, floor=entity.MERGE, **signals)))
         assert merged == [r for r in got if r[5] == "merge"] and merged
+
+
+@pytest.mark.parametrize("name", ["g6_named_pairs"])
+def test_queries_score_pairs_where_they_are_counted(spark, name):
+    from tallyforge.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "bucket" not in plan
