@@ -822,7 +822,8 @@ def _(s, d) -> DataFrame:
 
 @query("g7_merge_and_surface", f"WITH {_GRAPH} SELECT a, b, CASE WHEN round(confidence, 9) >= 0.85 THEN 'merge' WHEN round(confidence, 9) >= 0.5 THEN 'surface' ELSE 'none' END AS decision FROM links")
 def _(s, d) -> DataFrame:
-    return entity.merge_and_surface(entity.score_pairs(**_graph(s, d)[2])).select("a", "b", "decision")
+    nodes, times, signals = _few(s, d)
+    return entity.merge_and_surface(entity.linked_pairs(nodes, times, **signals)).select("a", "b", "decision")
 
 
 @query("g8_cluster", f"""WITH RECURSIVE {_GRAPH}, mg AS (SELECT a, b, confidence FROM links WHERE round(confidence, 9) >= 0.85), un AS (SELECT a AS u, b AS v FROM mg UNION SELECT b, a FROM mg), reach(u, v) AS (SELECT u, v FROM un UNION SELECT r.u, un.v FROM reach r JOIN un ON r.v = un.u),
