@@ -830,9 +830,8 @@ def _(s, d) -> DataFrame:
 comp AS (SELECT u AS address, least(u, min(v)) AS entity_id FROM reach GROUP BY u), sz AS (SELECT entity_id, count(*) AS size FROM comp GROUP BY entity_id), co AS (SELECT entity_id, min(confidence) AS cohesion FROM mg JOIN comp ON a = address GROUP BY entity_id)
 SELECT comp.entity_id, address, size, round(cohesion, 6) AS cohesion FROM comp JOIN sz USING (entity_id) JOIN co USING (entity_id)""")
 def _(s, d) -> DataFrame:
-    nodes, _, signals = _graph(s, d)
-    signals.pop("shared_funder")  # hubs stay cliques: alone they merge nothing
-    return entity.cluster(entity.resolve(nodes, **signals)[0]).withColumn("cohesion", r("cohesion"))
+    nodes, times, signals = _few(s, d)  # hubs stay cliques: alone they merge nothing, and only what merges is written out
+    return entity.cluster(entity.resolve(nodes, times=times, floor=entity.MERGE, **signals)[0]).withColumn("cohesion", r("cohesion"))
 
 
 @query("g9_entity_scores", f"""WITH {with_views('history')}, mem AS (SELECT 'e' || (CAST(substr(address, 2) AS INT) % 37) AS entity_id, address, arg_max(score, ts * 1000000 + event_id) AS score, count(*) AS activity, max(ts) AS t FROM history GROUP BY address),
