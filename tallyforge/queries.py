@@ -781,11 +781,6 @@ def _few(s, d):
     return nodes, times, {"gas_funding": entity.gas_funding_pairs(nodes), "bridge": entity.bridge_pairs(bridges), "direct_transfer": entity.direct_transfer_pairs(edges, nodes)}
 
 
-def _graph(s, d):
-    nodes, times, signals = _few(s, d)
-    return nodes, times, {"shared_funder": entity.shared_funder_pairs(nodes), "temporal_cospend": entity.temporal_cospend_pairs(times), **signals}
-
-
 @query("g1_build_nodes", f"WITH {with_views('transfers')}, {_NODES} SELECT * FROM nodes")
 def _(s, d) -> DataFrame:
     return _few(s, d)[0]
@@ -804,7 +799,8 @@ for _n, _name, _key in (("g2", "shared_funder_pairs", "p1"), ("g3", "gas_funding
 
 @query("g6_score_pairs", f"WITH {_GRAPH} SELECT a, b, round(confidence, 6) AS confidence, CAST(n_signals AS INT) AS n_signals FROM links")
 def _(s, d) -> DataFrame:
-    return entity.score_pairs(**_graph(s, d)[2]).select("a", "b", r("confidence").alias("confidence"), "n_signals")
+    nodes, times, signals = _few(s, d)
+    return entity.linked_pairs(nodes, times, **signals).select("a", "b", r("confidence").alias("confidence"), "n_signals")
 
 
 @query("g2_funder_cliques", f"WITH {with_views('transfers')}, {_NODES} SELECT funder, count(*) AS members, count(*) * (count(*) - 1) // 2 AS pairs, 0.6e0 AS confidence FROM nodes WHERE funder IS NOT NULL GROUP BY funder HAVING count(*) > 1")

@@ -133,7 +133,7 @@ def test_links_in_cells_are_those_of_joined_signals(spark, monkeypatch, beside):
         assert merged == [r for r in got if r[5] == "merge"] and merged
 
 
-@pytest.mark.parametrize("name", ["g6_named_pairs", "g7_merge_and_surface"])
+@pytest.mark.parametrize("name", ["g6_named_pairs", "g7_merge_and_surface", "g6_score_pairs"])
 def test_queries_score_pairs_where_they_are_counted(spark, name):
     from tallyforge.queries import QUERIES
 
